@@ -7,11 +7,12 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from newswake.functions.text import WORD
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake2b_hex(text: pd.Series) -> pd.Series:
     return text.map(
         lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=8).hexdigest())
@@ -27,7 +28,7 @@ def document_id(oid: Column, aid: Column, canonical: Column, url: Column, title:
     return blake2b_hex(F.concat(base, F.lit("|"), F.coalesce(published_iso, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def simhash64(text: pd.Series) -> pd.Series:
     """64-bit simhash over the words of a text, each word hashed by blake2b-64; hex text."""
     import numpy as np

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -17,12 +17,29 @@ PUBLISHER_TIER = {
 DEFAULT_TIER = 0.5
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row.
+
+    An expression named inside a lambda is computed again for every element; a lambda variable
+    is not, so the value is passed through a one-element array.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def text_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+BLANKS = " \t\n\r\f\v"
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends, line breaks included."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def _trimmed(parts: Column) -> Column:
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def comma_list(raw: Column) -> Column:
@@ -55,28 +72,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def _runs(words: Column, n: int, sep: str) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.concat_ws(sep, F.slice(words, i, n)))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(words: Column, n: int, sep: str = " ") -> Column:
     """All runs of n consecutive words; empty when there are fewer."""
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
-        lambda i: F.concat_ws(sep, F.slice(words, i, n)))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+    return let(words, lambda w: _runs(w, n, sep))
 
 
 def keyphrases(title: Column, limit: int = 32) -> Column:
     """Words, pairs and triples with and without their spaces; distinct, sorted, first `limit`."""
-    words = tokens(title)
-    pairs, triples = ngrams(words, 2), ngrams(words, 3)
-    squeezed = lambda a: F.transform(a, lambda p: F.replace(p, F.lit(" "), F.lit("")))
-    every = F.concat(words, pairs, squeezed(pairs), triples, squeezed(triples))
+    every = let(tokens(title), lambda w: F.concat(
+        w, _runs(w, 2, " "), _runs(w, 2, ""), _runs(w, 3, " "), _runs(w, 3, "")))
     return F.slice(F.array_sort(F.array_distinct(every)), 1, limit)
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.length(t) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))),
-        lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
+    return F.filter(let(letters, lambda c: _runs(c, n, "")), lambda g: F.length(g) == n)
 
 
 # --- URLs ----------------------------------------------------------------------------------
@@ -156,7 +172,7 @@ def parse_vector(value: Column) -> Column:
 def keyword_hits(text: Column, keywords: Iterable[str]) -> Column:
     """Keywords contained in the text in any letter case, in the order of the list."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(text_array(keywords), lambda k: t.contains(F.lower(k)))
+    return let(t, lambda v: F.filter(text_array(keywords), lambda k: v.contains(F.lower(k))))
 
 
 def has_any(text: Column, keywords: Iterable[str]) -> Column:
@@ -221,5 +237,5 @@ def text_key(text: Column, title: Column | None = None) -> Column:
 
 
 def long_enough(text: Column, least: int = 5, most: int | None = None) -> Column:
-    n = F.length(F.trim(text))
+    n = F.length(strip(text))
     return (n >= least) & (n <= most) if most else n >= least

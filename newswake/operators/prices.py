@@ -73,8 +73,12 @@ def anchor_calendar(series: DataFrame, first_day: Column, horizons=HORIZONS,
 
 def with_anchor(facts: DataFrame, calendar: DataFrame, date_col: str = "news_date",
                 how: str = "inner") -> DataFrame:
-    """Join facts to their anchor row on (stock_code, date)."""
-    look = calendar.withColumnRenamed("event_date", date_col)
+    """Join facts to their anchor row on (stock_code, date).
+
+    The merge hint keeps the planner from broadcasting the calendar: its size estimate does not
+    see the unrolled days. Both sides shuffle on (code, date) and a hot pair is split at run time.
+    """
+    look = calendar.withColumnRenamed("event_date", date_col).hint("merge")
     return facts.join(look, ["stock_code", date_col], how)
 
 

@@ -622,14 +622,14 @@ def avg_return_by_event(spark, sf):
 
 @query("win_rate", f"""
 WITH {SQL_PX}, {SQL_FACTS} {SQL_NEWS_RETURNS}
-SELECT stock_code, round(avg(CAST(return_1d AS DOUBLE)), 9) AS avg_1d,
-       round(avg(CAST(return_3d AS DOUBLE)), 9) AS avg_3d,
+SELECT stock_code, round(avg(CAST(return_1d AS DOUBLE)), 11) AS avg_1d,
+       round(avg(CAST(return_3d AS DOUBLE)), 11) AS avg_3d,
        round(100.0 * avg(CASE WHEN return_1d > 0 THEN 1.0 WHEN return_1d IS NOT NULL THEN 0.0 END), 6)
          AS win_rate, count(*) AS count
 FROM news_returns GROUP BY stock_code""")
 def win_rate(spark, sf):
     return r6(r6(mk.return_analysis(_news_returns(spark, sf)), "win_rate"), "avg_1d", "avg_3d",
-              digits=9)
+              digits=11)
 
 
 @query("market_counts", f"""

@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from newswake.plans import gap_queries  # noqa: F401
+from newswake.plans import gap_queries, text_queries  # noqa: F401
 from newswake.plans.catalog import ORACLES, QUERIES  # noqa: F401

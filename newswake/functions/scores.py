@@ -38,7 +38,8 @@ def sample_confidence(n: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    # greatest and least skip nulls, so null is kept apart
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def percent(x: Column) -> Column:

@@ -91,8 +91,9 @@ def keyphrases(title: Column, limit: int = 32) -> Column:
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    return F.filter(let(letters, lambda c: _runs(c, n, "")), lambda g: F.length(g) == n)
+    """All runs of n letters, lower case. The look-ahead yields overlapping runs in one pass."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 # --- URLs ----------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ company that fills a third of all documents is spread over them.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -94,9 +95,8 @@ def similar_names(names: DataFrame, master: DataFrame, threshold: float = 0.9,
         F.length("name"), F.length("official"))
     pairs = (a.join(b, "letter").filter(ratio >= floor - 1e-9)
              .select("name", "official").distinct())
-    scored = pairs.withColumn("similarity", F.round(
-        name_similarity(F.col("name"), F.col("official")), 9))
-    w = Window.partitionBy("name").orderBy(F.desc("similarity"), "official")
+    scored = pairs.withColumn("similarity", name_similarity(F.col("name"), F.col("official")))
+    w = Window.partitionBy("name").orderBy(F.round("similarity", 9).desc(), "official")
     return (scored.filter(F.col("similarity") >= threshold)
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top))
 
@@ -144,52 +144,61 @@ def extractable(docs: DataFrame, text_col: str = "text") -> DataFrame:
 MENTION_SCHEMA = "start int, stop int, company string, alias string, weight double"
 
 
-def _span_finder(entries: list[tuple[str, str, float]]):
-    """Function from a text to its resolved mention spans, for a fixed (alias, company, weight) list.
+def _fold(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
-    Letter case is ignored; the alias reported is the text as written.
-    """
-    by_alias: dict[str, list[tuple[str, float]]] = {}
-    for alias, company, weight in entries:
-        by_alias.setdefault(alias.lower(), []).append((company, weight))
-
-    def fold(text: str) -> str:
-        low = text.lower()
-        if len(low) == len(text):
-            return low
-        return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
+def _alias_finder(aliases: list[str]):
+    """Function from a text to (start, stop, alias) of each alias's non-overlapping occurrences."""
     try:
         import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for alias in by_alias:
-            automaton.add_word(alias, alias)
-        automaton.make_automaton()
-
-        def hits(text: str) -> Iterator[tuple[int, int, str]]:
-            last: dict[str, int] = {}
-            for end, alias in automaton.iter(text):
-                start = end + 1 - len(alias)
-                # of one alias only hits that do not overlap its previous hit count
-                if start >= last.get(alias, 0):
-                    last[alias] = end + 1
-                    yield start, end + 1, alias
     except ImportError:
-        def hits(text: str) -> Iterator[tuple[int, int, str]]:
-            for alias in by_alias:
+        def by_search(text: str) -> Iterator[tuple[int, int, str]]:
+            for alias in aliases:
                 at = text.find(alias)
                 while at >= 0:
                     yield at, at + len(alias), alias
                     at = text.find(alias, at + len(alias))
 
+        return by_search
+
+    automaton = ahocorasick.Automaton()
+    for alias in aliases:
+        automaton.add_word(alias, alias)
+    automaton.make_automaton()
+
+    def in_one_pass(text: str) -> Iterator[tuple[int, int, str]]:
+        free: dict[str, int] = {}
+        for end, alias in automaton.iter(text):
+            start = end + 1 - len(alias)
+            if start >= free.get(alias, 0):
+                free[alias] = end + 1
+                yield start, end + 1, alias
+
+    return in_one_pass
+
+
+def _span_finder(entries: list[tuple[str, str, float]]):
+    """Function from a text to its resolved mention spans, for a fixed (alias, company, weight) list.
+
+    Letter case is ignored; the alias reported is the text as written.
+    """
+    by_alias: dict[str, list[tuple[str, float]]] = {}
+    for alias, company, weight in entries:
+        by_alias.setdefault(alias.lower(), []).append((company, weight))
+    hits = _alias_finder(list(by_alias))
+
     def rank(m: tuple) -> tuple:
         return m[4], len(m[2]), 1.0 if m[3] == m[2] else 0.8
 
     def spans(text: str | None) -> list[tuple]:
         if not text:
             return []
-        found = [(s, e, company, text[s:e], weight) for s, e, alias in hits(fold(text))
+        found = [(s, e, company, text[s:e], weight) for s, e, alias in hits(_fold(text))
                  for company, weight in by_alias[alias]]
         found.sort(key=lambda m: (m[0], -m[4], -len(m[2]), m[2], m[3]))
         done: list[tuple] = []
@@ -212,17 +221,22 @@ def _span_finder(entries: list[tuple[str, str, float]]):
 MAX_DICTIONARY_ROWS = 200_000
 
 
+def _small_dictionary(rows: DataFrame) -> list | None:
+    """The rows of a dictionary if there are at most MAX_DICTIONARY_ROWS, else None."""
+    head = rows.limit(MAX_DICTIONARY_ROWS + 1).collect()
+    return head if len(head) <= MAX_DICTIONARY_ROWS else None
+
+
 def mentions(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(doc_id, start, stop, company, alias, weight) of the resolved dictionary mentions.
 
-    The dictionary goes to every task, so its size is checked first; `dictionary_hits` is the
-    join form for larger ones. Overlapping spans keep the best by weight, name length and whether
+    The dictionary goes to every task, so its size is checked first. Overlapping spans keep the best by weight, name length and whether
     the alias is the name itself.
     """
-    rows = patterns.select("alias", "company", "weight").limit(MAX_DICTIONARY_ROWS + 1).collect()
-    if len(rows) > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"more than {MAX_DICTIONARY_ROWS} patterns; use dictionary_hits")
+    rows = _small_dictionary(patterns.select("alias", "company", "weight"))
+    if rows is None:
+        raise ValueError(f"more than {MAX_DICTIONARY_ROWS} patterns; see count_mentions")
     entries = sorted((r.alias, r.company, r.weight) for r in rows)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,6 +251,33 @@ def mentions(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
     return docs.select(id_col, text_col).mapInPandas(scan, f"{id_col} {id_type}, {MENTION_SCHEMA}")
 
 
+def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
+
+    A dictionary of checked size goes to the tasks and each text is read once; a larger one is
+    joined instead.
+    """
+    rows = _small_dictionary(aliases.select("alias").distinct())
+    if rows is None:
+        return dictionary_hits(docs, aliases, id_col, text_col)
+    by_fold: dict[str, list[str]] = {}
+    for r in rows:
+        by_fold.setdefault(r.alias.lower(), []).append(r.alias)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hits = _alias_finder(list(by_fold))
+        for pdf in batches:
+            out = [(i, alias, n) for i, t in zip(pdf[id_col], pdf[text_col], strict=True)
+                   for fold, n in Counter(a for _, _, a in hits(_fold(t or ""))).items()
+                   for alias in by_fold[fold]]
+            yield pd.DataFrame(out, columns=[id_col, "alias", "hits"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInPandas(
+        scan, f"{id_col} {id_type}, alias string, hits long")
+
+
 def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.

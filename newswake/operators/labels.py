@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newswake.functions.scores import clamp
 from newswake.functions.text import has_any, keyword_hits, long_enough, text_array
 
 OTHER_PRIORITY = 10**6
@@ -89,7 +90,7 @@ def parse_confidence(raw: Column) -> Column:
     """First number of a text as a 0..1 confidence; numbers in (1, 100] are percent."""
     x = F.regexp_extract(raw, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     scaled = F.when((x > 1.0) & (x <= 100.0), x / 100.0).otherwise(x)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(0.0))
+    return F.coalesce(clamp(scaled, 0.0, 1.0), F.lit(0.0))
 
 
 def parse_reply(reply: Column, known: Sequence[str]) -> Column:
@@ -191,12 +192,13 @@ def label_rows(titles: DataFrame, title_col: str, registry: Sequence[Label]) ->
 
 def lexicon_hits(text: Column, lexicon: Mapping[str, Mapping[str, Sequence[str]]]) -> Column:
     """array<struct(category, subcategory, keyword)> of a nested keyword lexicon found in a text."""
-    parts = []
-    for category, groups in lexicon.items():
-        for sub, words in groups.items():
-            parts.append(F.transform(keyword_hits(text, words), lambda k, c=category, s=sub: F.struct(
-                F.lit(c).alias("category"), F.lit(s).alias("subcategory"), k.alias("keyword"))))
-    return F.concat(*parts)
+    def rows(category: str, sub: str, words: Sequence[str]) -> Column:
+        return F.transform(keyword_hits(text, words), lambda k: F.struct(
+            F.lit(category).alias("category"), F.lit(sub).alias("subcategory"),
+            k.alias("keyword")))
+
+    return F.concat(*[rows(category, sub, words) for category, groups in lexicon.items()
+                      for sub, words in groups.items()])
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:

@@ -127,11 +127,11 @@ def phrase_freq(words: Column, phrase: Sequence[str], slop: int) -> Column:
 
     def freq(at: Column) -> Column:
         def distance(start: Column) -> Column:
-            total = F.lit(0)
-            for k in range(1, n):
-                gaps = F.transform(at[f"p{k}"], lambda p, k=k: F.abs(p - (start + k)))
-                total = total + F.coalesce(F.array_min(gaps), F.lit(10**6))
-            return total
+            def nearest_gap(k: int) -> Column:
+                gaps = F.transform(at[f"p{k}"], lambda p: F.abs(p - (start + k)))
+                return F.coalesce(F.array_min(gaps), F.lit(10**6))
+
+            return sum((nearest_gap(k) for k in range(1, n)), F.lit(0))
 
         near = F.filter(F.transform(at["p0"], distance), lambda d: d <= slop)
         return F.aggregate(near, F.lit(0.0), lambda a, d: a + 1.0 / (1.0 + d))
@@ -166,6 +166,10 @@ def stats_struct(docs: DataFrame, text: Column, words: Sequence[str]) -> FieldSt
     return FieldStats(row["n"], row["avgdl"], {t: row[f"df_{i}"] for i, t in enumerate(words)})
 
 
+def count_of(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def match_score(words: Column, terms: Sequence[str], stats: FieldStats, operator: str = "or",
                 min_share: float = 0.0) -> Column:
     """BM25 of the terms in a token array; 0 unless enough different terms are there.
@@ -178,7 +182,7 @@ def match_score(words: Column, terms: Sequence[str], stats: FieldStats, operator
     dl = F.size(words).cast("double")
     total, present = F.lit(0.0), F.lit(0)
     for t in terms:
-        tf = F.size(F.filter(words, lambda w, t=t: w == t)).cast("double")
+        tf = count_of(words, t).cast("double")
         total = total + F.when(tf > 0, idf(stats.n_docs, stats.df[t])
                                * tf_norm(tf, dl, stats.avgdl)).otherwise(0.0)
         present = present + (tf > 0).cast("int")

@@ -311,7 +311,7 @@ WITH {LABEL_HITS_SQL}, ranked AS (
 two AS (SELECT doc_id, string_agg(label, '|' ORDER BY r) AS labels FROM ranked WHERE r <= 2 GROUP BY 1)
 SELECT doc_id, CASE WHEN length({_strip_sql('text')}) < 5 THEN 'other' ELSE coalesce(labels, 'other') END
          AS labels,
-       CASE WHEN labels IS NULL OR length({_strip_sql('text')}) < 5 THEN 0.0 ELSE 0.75 END AS confidence
+       CASE WHEN labels IS NULL OR length({_strip_sql('text')}) < 5 THEN 0.0 ELSE 0.75 END::DOUBLE AS confidence
 FROM documents LEFT JOIN two USING (doc_id)""")
 def label_top2(spark, sf):
     c = lb.classify(F.col("text"), _registry())
@@ -384,7 +384,7 @@ def classification_merge(spark, sf):
 SELECT doc_id,
   CASE doc_id % 4 WHEN 0 THEN 'company.water|company.night' WHEN 1 THEN 'company.water'
     WHEN 2 THEN 'sector.lesson' ELSE 'other' END AS labels,
-  CASE doc_id % 4 WHEN 0 THEN 0.85 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0.4 END AS confidence
+  CASE doc_id % 4 WHEN 0 THEN 0.85 WHEN 1 THEN 0.9 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence
 FROM labels""")
 def label_replies(spark, sf):
     k = F.col("doc_id") % 4
@@ -443,6 +443,13 @@ mentions AS (
 
 @query("company_mentions", f"WITH {MENTIONS_SQL} SELECT doc_id, alias, hits FROM mentions")
 def company_mentions(spark, sf):
+    aliases = _master(spark, sf).select(F.col("name").alias("alias"))
+    return co.count_mentions(table(spark, sf, "documents"), aliases)
+
+
+@query("company_mentions_join", f"WITH {MENTIONS_SQL} SELECT doc_id, alias, hits FROM mentions")
+def company_mentions_join(spark, sf):
+    """The same counts by joins alone, the path of a dictionary too large to ship to tasks."""
     aliases = _master(spark, sf).select(F.col("name").alias("alias"))
     return co.dictionary_hits(table(spark, sf, "documents"), aliases)
 
@@ -458,8 +465,8 @@ SELECT doc_id, company, CAST(round(score, 6) AS DOUBLE) AS score, methods,
        CASE WHEN score >= 0.55 THEN 'high' WHEN score >= 0.55 * 0.7 THEN 'medium'
             WHEN score >= 0.3 THEN 'low' END AS tier FROM v""")
 def company_votes(spark, sf):
-    hits = co.dictionary_hits(table(spark, sf, "documents"),
-                              _master(spark, sf).select(F.col("name").alias("alias")))
+    hits = co.count_mentions(table(spark, sf, "documents"),
+                             _master(spark, sf).select(F.col("name").alias("alias")))
     pattern = hits.select("doc_id", F.col("alias").alias("company"),
                           F.lit("pattern_matching").alias("method"),
                           F.explode(F.sequence(F.lit(1), F.col("hits"))).alias("_i")).drop("_i")
@@ -473,7 +480,7 @@ def company_votes(spark, sf):
 
 @query("company_pattern_weights", f"""
 WITH {MASTER_SQL}
-SELECT name AS company, round(0.75 + CASE WHEN item % 5 <> 0 THEN 0.1 ELSE 0 END
+SELECT name AS company, round(0.75::DOUBLE + CASE WHEN item % 5 <> 0 THEN 0.1 ELSE 0 END
   + CASE WHEN item % 3 = 0 THEN 0 ELSE 0.1 END + CASE WHEN item % 2 = 0 THEN 0.05 ELSE 0 END, 6)
   AS weight FROM master""")
 def company_pattern_weights(spark, sf):

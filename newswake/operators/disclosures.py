@@ -36,8 +36,10 @@ def contract_parties(report: Column, remark: Column, counterparty: Column) -> Co
 
 def matched_parties(parties: Column, companies: Column) -> Column:
     """Parties whose cleaned name contains, or lies in, a rumor company's cleaned name."""
-    return F.filter(parties, lambda p: F.exists(companies, lambda c: (
-        company_key(p).contains(company_key(c)) | company_key(c).contains(company_key(p)))))
+    keys = F.transform(companies, company_key)
+    near = lambda p, c: p.contains(c) | c.contains(p)
+    return let(keys, lambda ks: F.filter(parties, lambda p: let(
+        company_key(p), lambda pk: F.exists(ks, lambda c: near(pk, c)))))
 
 
 def contract_signal(report: Column, remark: Column, counterparty: Column, companies: Column
@@ -62,7 +64,6 @@ def signals(report: Column, disclosure_type: Column, remark: Column, counterpart
     A contract with a counterparty answers first, then an exchange filing by its own words; else
     decision, query and answer words add up. Nothing found is one neutral signal.
     """
-    c = contract_signal(report, remark, counterparty, companies)
     decision, query, answer = (has_any(report, w) for w in
                                (words.DECISION, words.QUERY, words.ANSWER))
     exchange = F.coalesce(disclosure_type.isin(*words.EXCHANGE_TYPES), F.lit(False))
@@ -73,10 +74,12 @@ def signals(report: Column, disclosure_type: Column, remark: Column, counterpart
     several = F.array_compact(F.array(
         F.when(decision, one("DECISION", -30)), F.when(query, one("QUERY", 20)),
         F.when(answer, one("ANSWER", -10))))
-    contract = c["is_contract"] & (F.size(companies) > 0)
+    c = let(contract_signal(report, remark, counterparty, companies), lambda s: F.when(
+        s["is_contract"] & (F.size(companies) > 0), F.when(F.size(s["matched"]) > 0, -40)
+        .when(s["has_counterparty"], -15)))
     return (
-        F.when(contract & (F.size(c["matched"]) > 0), F.array(one("DECISION", -40)))
-        .when(contract & c["has_counterparty"], F.array(one("DECISION", -15)))
+        F.when(c == -40, F.array(one("DECISION", -40)))
+        .when(c == -15, F.array(one("DECISION", -15)))
         .when(exchange & query, F.array(one("QUERY", 20)))
         .when(exchange & decision, F.array(one("DECISION", -30)))
         .when(F.size(several) > 0, several)
@@ -248,7 +251,9 @@ def relevance(report: Column, labels: Column, rumor: Column, phrases: Column,
     denial = list(signal_words.get("denial", ()))
     inquiry = d.contains("조회공시")
     denied = has(denial)
-    floor = lambda s, cond, low: F.when(cond & (s < low), F.lit(low)).otherwise(s)
+    # scores are never negative, so raising to a floor is one greatest; naming the score twice in
+    # each step would double the expression every time
+    floor = lambda s, cond, low: F.greatest(s, F.when(cond, low).otherwise(0.0))
     score = floor(score, denied & inquiry & d.contains("답변"), 0.6)
     score = floor(score, denied & ~(inquiry & d.contains("답변")) & has(["해명", "설명", "반박"]), 0.5)
     score = score * F.when(_shared_word(r, d, denial), 0.5).otherwise(1.0)

@@ -191,7 +191,7 @@ def evidence(hits: DataFrame, classified: DataFrame, top: int = 3) -> DataFrame:
 
 
 def evaluate(confidence: Column, relevance: Column, exact_n: Column, partial_n: Column,
-             has_news: Column) -> Column:
+             has_news: Column, digits: int = 1) -> Column:
     """struct(level, points) of the 0..100 evaluator; `relevance` is an array of match relevances."""
     n = F.size(relevance)
     mean = F.when(n > 0, F.aggregate(relevance, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
@@ -204,4 +204,4 @@ def evaluate(confidence: Column, relevance: Column, exact_n: Column, partial_n:
               + F.least(F.lit(100.0), exact_n * 33.33) * 0.2
               + F.least(F.lit(100.0), n * 20.0) * 0.1)
     return F.struct(grade.alias("level"),
-                    F.when(has_news, F.round(points, 1)).otherwise(0.0).alias("points"))
+                    F.when(has_news, F.round(points, digits)).otherwise(0.0).alias("points"))

@@ -1,4 +1,9 @@
 """Imports every module that registers queries."""
 
-from newswake.plans import gap_queries, text_queries  # noqa: F401
+from newswake.plans import (  # noqa: F401
+    disclosure_queries,
+    gap_queries,
+    search_queries,
+    text_queries,
+)
 from newswake.plans.catalog import ORACLES, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newswake.functions import dates, ids, text as tx, words
 from newswake.operators import companies as co, documents as dc, labels as lb
 from newswake.plans.catalog import query, r6
-from newswake.plans.views import table
+from newswake.plans.views import documents, table
 
 WORD_SQL = "'[A-Za-z0-9가-힣]{2,}'"
 BLANK_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -31,7 +31,7 @@ WITH p AS (
 SELECT doc_id, len(names) AS n, array_to_string(names, '|') AS names FROM p""")
 def split_companies(spark, sf):
     names = tx.split_companies(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.size(names).cast("long").alias("n"), F.concat_ws("|", names).alias("names"))
 
 
@@ -53,7 +53,7 @@ TIER_SQL = f"CASE {PUBLISHER_SQL} " + " ".join(
 @query("publisher_tier", f"""
 SELECT doc_id, {PUBLISHER_SQL} AS publisher, CAST({TIER_SQL} AS DOUBLE) AS tier FROM documents""")
 def publisher_tier(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", _publisher().alias("publisher"), tx.publisher_tier(_publisher()).alias("tier"))
 
 
@@ -77,7 +77,7 @@ a AS (
     t, list_transform(t, lambda x: replace(x, ' ', ''))))) AS p FROM g)
 SELECT doc_id, array_to_string(p[1:32], '|') AS phrases FROM a""")
 def keyphrases(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.concat_ws("|", tx.keyphrases(F.col("text"))).alias("phrases"))
 
 
@@ -199,7 +199,7 @@ def stored_vectors(spark, sf):
 SELECT md5(substr(text, 1, 500) || lang) AS text_key, count(*) AS n, min(doc_id) AS first_doc
 FROM documents GROUP BY 1""")
 def text_keys(spark, sf):
-    return (table(spark, sf, "documents")
+    return (documents(spark, sf)
             .groupBy(tx.text_key(F.col("text"), F.col("lang")).alias("text_key"))
             .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")))
 
@@ -214,7 +214,7 @@ def doc_id(spark, sf):
 
 @query("simhash64")
 def simhash64(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", ids.simhash64(F.col("text")).alias("simhash"))
 
 
@@ -222,7 +222,7 @@ def articles(spark, sf):
     """Articles from documents: the first sentence is the title, the whole text the body."""
     number = F.substring("source", 4, 10).cast("int")
     day = F.date_sub(F.lit("2024-06-30").cast("date"), (F.col("doc_id") % 1000).cast("int"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("article_id"),
         F.regexp_extract("text", r"^[^\n.]*", 0).alias("title"),
         F.date_format(day, "yyyy.MM.dd").alias("published_at"),
@@ -300,7 +300,7 @@ SELECT doc_id, label,
        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY priority, coarse, label) - 1 AS INTEGER)
          AS rank FROM hits""")
 def label_rules(spark, sf):
-    return lb.label_rows(table(spark, sf, "documents").select("doc_id", "text"), "text",
+    return lb.label_rows(documents(spark, sf).select("doc_id", "text"), "text",
                          _registry()).select("doc_id", "label", "rank")
 
 
@@ -315,14 +315,14 @@ SELECT doc_id, CASE WHEN length({_strip_sql('text')}) < 5 THEN 'other' ELSE coal
 FROM documents LEFT JOIN two USING (doc_id)""")
 def label_top2(spark, sf):
     c = lb.classify(F.col("text"), _registry())
-    return table(spark, sf, "documents").select("doc_id", c.alias("c")).select(
+    return documents(spark, sf).select("doc_id", c.alias("c")).select(
         "doc_id", F.concat_ws("|", "c.labels").alias("labels"),
         F.col("c.confidence").alias("confidence"))
 
 
 @query("label_counts", f"WITH {LABEL_HITS_SQL} SELECT label, count(*) AS count FROM hits GROUP BY 1")
 def label_counts(spark, sf):
-    rows = table(spark, sf, "documents").select(
+    rows = documents(spark, sf).select(
         F.explode(lb.matched_labels(F.col("text"), _registry())).alias("label"))
     return rows.groupBy("label").agg(F.count("*").alias("count"))
 
@@ -340,7 +340,7 @@ SYNONYM_CODES = list(dict.fromkeys(c for _, c in SYNONYMS))
     f" AS confidence FROM documents WHERE {_any_sql('lower(text)', [a for a, k in SYNONYMS if k == c])}"
     for c in SYNONYM_CODES))
 def synonym_events(spark, sf):
-    return r6(table(spark, sf, "documents").select(
+    return r6(documents(spark, sf).select(
         "doc_id", F.explode(lb.synonym_events(F.col("text"), SYNONYMS)).alias("e")
     ).select("doc_id", "e.code", "e.confidence"), "confidence")
 
@@ -356,7 +356,7 @@ LEXICON = {"earnings": {"metrics": ["tion", "eaux"], "periods": ["nicht", "Token
     f"WHERE contains(lower(text), '{k.lower()}')"
     for c, groups in LEXICON.items() for g, ks in groups.items() for k in ks))
 def keyword_hits(spark, sf):
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.explode(lb.lexicon_hits(F.col("text"), LEXICON)).alias("h")
     ).select("doc_id", "h.category", "h.subcategory", "h.keyword")
 
@@ -444,14 +444,14 @@ mentions AS (
 @query("company_mentions", f"WITH {MENTIONS_SQL} SELECT doc_id, alias, hits FROM mentions")
 def company_mentions(spark, sf):
     aliases = _master(spark, sf).select(F.col("name").alias("alias"))
-    return co.count_mentions(table(spark, sf, "documents"), aliases)
+    return co.count_mentions(documents(spark, sf), aliases)
 
 
 @query("company_mentions_join", f"WITH {MENTIONS_SQL} SELECT doc_id, alias, hits FROM mentions")
 def company_mentions_join(spark, sf):
     """The same counts by joins alone, the path of a dictionary too large to ship to tasks."""
     aliases = _master(spark, sf).select(F.col("name").alias("alias"))
-    return co.dictionary_hits(table(spark, sf, "documents"), aliases)
+    return co.dictionary_hits(documents(spark, sf), aliases)
 
 
 @query("company_votes", f"""
@@ -465,7 +465,7 @@ SELECT doc_id, company, CAST(round(score, 6) AS DOUBLE) AS score, methods,
        CASE WHEN score >= 0.55 THEN 'high' WHEN score >= 0.55 * 0.7 THEN 'medium'
             WHEN score >= 0.3 THEN 'low' END AS tier FROM v""")
 def company_votes(spark, sf):
-    hits = co.count_mentions(table(spark, sf, "documents"),
+    hits = co.count_mentions(documents(spark, sf),
                              _master(spark, sf).select(F.col("name").alias("alias")))
     pattern = hits.select("doc_id", F.col("alias").alias("company"),
                           F.lit("pattern_matching").alias("method"),
@@ -494,7 +494,7 @@ def company_extract(spark, sf):
     """Whole extraction: dictionary spans, votes, validation, relevance. Checked in the tests."""
     master = _master(spark, sf)
     patterns = co.pattern_weights(co.alias_table(master), master)
-    return r6(co.extract(table(spark, sf, "documents"), co.alias_table(master), patterns, master),
+    return r6(co.extract(documents(spark, sf), co.alias_table(master), patterns, master),
               "confidence", "relevance")
 
 

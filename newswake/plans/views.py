@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newswake.operators.prices import pad_code
+from newswake.sources.readers import spread
 
 AS_OF = "2001-06-30"
 SCAN_START = "2000-07-01"
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A text table, split finely enough for per-document work."""
+    return spread(table(spark, sf_dir, name))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")

@@ -21,6 +21,16 @@ def table(spark: SparkSession, path: str, columns: Sequence[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over at least as many partitions as there are cores.
+
+    A small file with one row group is one task, which makes text work serial. Inputs that
+    already have enough splits, as any large table does, are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def jdbc(spark: SparkSession, url: str, name: str, options: Mapping[str, str] | None = None,
          column: str | None = None, lower=None, upper=None, parts: int = 64) -> DataFrame:
     """A database table; with `column` it is read in ranges by several tasks, not in pages."""

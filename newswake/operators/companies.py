@@ -7,6 +7,7 @@ company that fills a third of all documents is spread over them.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -328,33 +329,11 @@ def tier(score: Column, methods: Column, threshold: float = HIGH, min_methods: i
             .when(score >= LOW, "low"))
 
 
-def bounded_mentions(text: Column, name: Column) -> Column:
-    """Occurrences of a name with neither Hangul nor Latin letters on either side."""
-    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-    return F.regexp_count(text, F.concat(
-        F.lit("(?<![가-힣A-Za-z])"), quoted, F.lit("(?![가-힣A-Za-z])")))
-
-
 def obviously_invalid(name: Column) -> Column:
     return ((F.length(name) < 2) | (F.length(name) > 20) | name.isin(*words.NOT_A_COMPANY)
             | name.rlike(r"^\d+$"))
 
 
-def context_score(name: Column, text: Column, title: Column, sector: Column) -> Column:
-    """0.5, +0.4 in the title, +0.1 per bounded mention up to 0.3, +0.05 for a sector word; at most 1."""
-    n = bounded_mentions(text, name)
-    word = F.lit(False)
-    for key, terms in words.SECTOR_WORDS.items():
-        some = F.lit(False)
-        for term in terms:
-            some = some | text.contains(term)
-        word = word | ((sector == key) & some)
-    return F.least(F.lit(1.0), F.lit(0.5)
-                   + F.when(title.contains(name), 0.4).otherwise(0.0)
-                   + F.least(n * 0.1, F.lit(0.3))
-                   + F.when(word, 0.05).otherwise(0.0))
-
-
 def validation_score(in_master: Column, alias_of_master: Column, similar: Column,
                      context: Column, pattern_weight: Column, name: Column) -> Column:
     """Mean of the scores that apply: dictionary standing, context, pattern and plain sense."""
@@ -366,61 +345,116 @@ def validation_score(in_master: Column, alias_of_master: Column, similar: Column
 
 
 def relevance(score: Column, mentions_n: Column, alias_mentions: Column, name: Column,
-              text: Column, listed: Column, in_master: Column) -> Column:
-    at = F.instr(text, name) - 1
-    early = F.when(at >= 0, (1.0 - at / F.greatest(F.length(text), F.lit(1))) * 0.15).otherwise(0.0)
+              first_at: Column, length: Column, listed: Column, in_master: Column) -> Column:
+    """0.4 x score, 0.2 x mentions (3 are full), 0.1 x alias mentions (5 are full), 0.15 x how early
+    the name stands, and up to 0.15 for a listed and a long name."""
+    early = F.when(first_at >= 0, (1.0 - first_at / F.greatest(length, F.lit(1))) * 0.15).otherwise(0.0)
     bonus = F.when(in_master, F.when(listed, 0.075).otherwise(0.0)
                    + F.when(F.length(name) >= 4, 0.075).otherwise(0.0)).otherwise(0.0)
     return (score * 0.4 + F.least(mentions_n / 3.0, F.lit(1.0)) * 0.2
             + F.least(alias_mentions / 5.0, F.lit(1.0)) * 0.1 + early + bonus)
 
 
-def extract(docs: DataFrame, aliases: DataFrame, patterns: DataFrame, master: DataFrame,
-            id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None,
-            provider_votes: DataFrame | None = None) -> DataFrame:
+FACTS_SCHEMA = ("company string, votes int, provider_votes int, weight double, name_mentions int, "
+                "alias_mentions int, first_at int, length int, in_title boolean, "
+                "group_mention boolean, sector_word boolean")
+
+
+def company_facts(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str = "doc_id",
+                  text_col: str = "text", title_col: str | None = None,
+                  provider_col: str | None = None) -> DataFrame:
+    """One row per (document, company) with every number the later steps need from the text.
+
+    The texts are read once where they lie; only these small rows go on. Companies come from the
+    dictionary mentions and, if given, from an array column of a provider's answers. The
+    dictionaries are size-checked, as in `mentions`.
+    """
+    rows = _small_dictionary(patterns.select("alias", "company", "weight"))
+    about = _small_dictionary(master.select("name", "sector"))
+    if rows is None or about is None:
+        raise ValueError(f"more than {MAX_DICTIONARY_ROWS} dictionary rows; see count_mentions")
+    entries = sorted((r.alias, r.company, r.weight) for r in rows)
+    sectors = {r.name: r.sector for r in about}
+    official = {alias: company for alias, company, _ in reversed(entries)}
+    given = [c for c in (title_col, provider_col) if c]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spans = _span_finder(entries)
+        weights: dict[str, float] = {}
+        aliases: dict[str, list[str]] = {}
+        for alias, company, weight in entries:
+            weights[company] = max(weight, weights.get(company, 0.0))
+            if alias != company:
+                aliases.setdefault(company, []).append(alias)
+        bounded: dict[str, re.Pattern] = {}
+
+        def count(name: str, text: str) -> int:
+            if name not in bounded:
+                bounded[name] = re.compile(
+                    f"(?<![가-힣A-Za-z]){re.escape(name)}(?![가-힣A-Za-z])")
+            return len(bounded[name].findall(text))
+
+        def facts(text: str, title: str, provided: list[str]) -> Iterator[tuple]:
+            votes = Counter(m[2] for m in spans(text))
+            asked = Counter(official.get(p.strip(), p.strip()) for p in provided
+                            if len(p.strip()) >= 2)
+            for name in votes.keys() | asked.keys():
+                others = sum(count(a, text) for a in aliases.get(name, ()))
+                terms = words.SECTOR_WORDS.get(sectors.get(name) or "", ())
+                yield (name, votes[name], asked[name], weights.get(name), count(name, text), others,
+                       text.find(name), len(text), name in title,
+                       name in words.GROUPS and any(name + p in text for p in words.PARTICLES),
+                       any(t in text for t in terms))
+
+        for pdf in batches:
+            titles = pdf[title_col] if title_col else [""] * len(pdf)
+            answers = pdf[provider_col] if provider_col else [()] * len(pdf)
+            out = [(i, *f) for i, text, title, provided in
+                   zip(pdf[id_col], pdf[text_col], titles, answers, strict=True)
+                   for f in facts(text or "", title or "", [] if provided is None else list(provided))]
+            yield pd.DataFrame(out, columns=[id_col, *[c.split()[0] for c in FACTS_SCHEMA.split(", ")]])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col, *given).mapInPandas(
+        scan, f"{id_col} {id_type}, {FACTS_SCHEMA}")
+
+
+def extract(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str = "doc_id",
+            text_col: str = "text", title_col: str | None = None,
+            provider_col: str | None = None) -> DataFrame:
     """Companies of every document with confidence, status and relevance rank.
 
     Output: (doc_id, company, status, confidence, relevance, rank). Names are official already,
     since patterns map every alias to its company, so duplicates cannot arise among them.
     """
-    usable = extractable(docs, text_col)
-    title = F.col(title_col) if title_col else F.lit("")
-    texts = usable.select(F.col(id_col), F.col(text_col).alias("_text"), title.alias("_title"))
-    found = mentions(usable, patterns, id_col, text_col)
-    votes = pattern_votes(found, id_col)
-    if provider_votes is not None:
-        votes = votes.unionByName(provider_votes.select(*votes.columns))
-    weight = patterns.groupBy("company").agg(F.max("weight").alias("weight"))
-    about = master.withColumnRenamed("name", "company").select(
-        "company", "sector", "type", F.lit(True).alias("in_master"))
-    others = (found.filter(F.col("alias") != F.col("company")).groupBy(id_col, "company")
-              .agg(F.count("*").alias("alias_mentions")))
-    rows = (
-        collect_votes(votes, id_col).join(texts, id_col)
-        .filter(~is_group_mention(F.col("company"), F.col("_text")))
-        .join(about, "company", "left").join(weight, "company", "left")
-        .join(others, [id_col, "company"], "left")
-    )
-    name, text = F.col("company"), F.col("_text")
-    in_master = F.coalesce("in_master", F.lit(False))
-    n = bounded_mentions(text, name)
+    found = company_facts(extractable(docs, text_col), patterns, master, id_col, text_col, title_col,
+                          provider_col).filter(~F.col("group_mention"))
+    about = master.select(F.col("name").alias("company"), "type", F.lit(True).alias("in_master"))
+    rows = found.join(about, "company", "left").withColumn(
+        "in_master", F.coalesce("in_master", F.lit(False)))
+    name = F.col("company")
+    rows = rows.withColumn(
+        "score", F.col("votes") * PATTERN_VOTE + F.col("provider_votes") * PROVIDER_VOTE
+    ).withColumn("methods", (F.col("votes") > 0).cast("int") + (F.col("provider_votes") > 0).cast("int"))
+    context = F.least(F.lit(1.0), F.lit(0.5) + F.when(F.col("in_title"), 0.4).otherwise(0.0)
+                      + F.least(F.col("name_mentions") * 0.1, F.lit(0.3))
+                      + F.when(F.col("sector_word"), 0.05).otherwise(0.0))
+    rows = rows.withColumn("vconf", validation_score(
+        F.col("in_master"), F.lit(False), F.lit(False), context,
+        F.when(F.col("votes") > 0, F.col("weight")), name))
     level = tier(F.col("score"), F.col("methods"))
-    valid = validation_score(in_master, F.lit(False), F.lit(False),
-                             context_score(name, text, F.col("_title"), F.col("sector")),
-                             F.col("weight"), name)
     status = (F.when((level == "high") & (F.col("vconf") >= 0.5), "validated")
               .when((level == "medium") & (F.col("vconf") > 0.6), "medium_validated")
-              .when((level == "low") & in_master, "recovered_candidate"))
+              .when((level == "low") & F.col("in_master"), "recovered_candidate"))
     final = F.when(F.col("status") == "recovered_candidate",
                    F.greatest(F.lit(0.65), (F.col("score") + 0.7) / 2)
                    ).otherwise(F.col("score") * 0.6 + F.col("vconf") * 0.4)
     scored = (
-        rows.withColumn("vconf", valid).withColumn("status", status)
-        .filter(F.col("status").isNotNull())
+        rows.withColumn("status", status).filter(F.col("status").isNotNull())
         .select(id_col, "company", "status", final.alias("confidence"),
-                relevance(F.col("score"), n, F.coalesce("alias_mentions", F.lit(0)), name, text,
-                          F.col("type") == "listed", in_master).alias("relevance"))
-    )
+                relevance(F.col("score"), F.col("name_mentions"), F.col("alias_mentions"), name,
+                          F.col("first_at"), F.col("length"), F.col("type") == "listed",
+                          F.col("in_master")).alias("relevance")))
     w = Window.partitionBy(id_col).orderBy(F.desc("relevance"), "company")
     return scored.withColumn("rank", F.row_number().over(w))
 

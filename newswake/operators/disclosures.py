@@ -34,58 +34,77 @@ def contract_parties(report: Column, remark: Column, counterparty: Column) -> Co
     return F.coalesce(stated, counterparties(F.concat_ws(" ", report, remark)))
 
 
-def matched_parties(parties: Column, companies: Column) -> Column:
-    """Parties whose cleaned name contains, or lies in, a rumor company's cleaned name."""
-    keys = F.transform(companies, company_key)
+def company_keys(names: Column) -> Column:
+    return F.transform(names, company_key)
+
+
+def matched_parties(parties: Column, keys: Column) -> Column:
+    """Parties whose cleaned name contains, or lies in, a rumor company's cleaned name (`keys`)."""
     near = lambda p, c: p.contains(c) | c.contains(p)
-    return let(keys, lambda ks: F.filter(parties, lambda p: let(
-        company_key(p), lambda pk: F.exists(ks, lambda c: near(pk, c)))))
+    return F.filter(parties, lambda p: let(
+        company_key(p), lambda pk: F.exists(keys, lambda c: near(pk, c))))
 
 
 def contract_signal(report: Column, remark: Column, counterparty: Column, companies: Column
                     ) -> Column:
     """struct(is_contract, has_counterparty, matched, weight): -40 matched, -15 other party."""
-    matched = matched_parties(contract_parties(report, remark, counterparty), companies)
+    none = F.array().cast("array<string>")
+    contract = is_contract(report)
     stated = F.coalesce(counterparty, F.lit("")) != ""
+    kept = F.when(contract, let(company_keys(companies), lambda ks: matched_parties(
+        contract_parties(report, remark, counterparty), ks))).otherwise(none)
+    return let(kept, lambda m: F.struct(
+        contract.alias("is_contract"),
+        (contract & (stated | (F.size(m) > 0))).alias("has_counterparty"),
+        m.alias("matched"),
+        F.when(F.size(m) > 0, -40).when(contract & stated, -15).otherwise(0).alias("weight")))
+
+
+def profile(report: Column, disclosure_type: Column, remark: Column, counterparty: Column) -> Column:
+    """All that a disclosure says by itself, so that it is worked out once per disclosure and not
+    once per article it meets."""
     contract = is_contract(report)
-    none = F.array().cast("array<string>")
-    kept = F.when(contract, matched).otherwise(none)
     return F.struct(
-        contract.alias("is_contract"),
-        (contract & (stated | (F.size(kept) > 0))).alias("has_counterparty"),
-        kept.alias("matched"),
-        F.when(F.size(kept) > 0, -40).when(contract & stated, -15).otherwise(0).alias("weight"))
+        contract.alias("contract"), (F.coalesce(counterparty, F.lit("")) != "").alias("stated"),
+        F.when(contract, F.transform(contract_parties(report, remark, counterparty), company_key))
+        .alias("party_keys"),
+        has_any(report, words.DECISION).alias("decision"), has_any(report, words.QUERY).alias("query"),
+        has_any(report, words.ANSWER).alias("answer"),
+        F.coalesce(disclosure_type.isin(*words.EXCHANGE_TYPES), F.lit(False)).alias("exchange"))
 
 
-def signals(report: Column, disclosure_type: Column, remark: Column, counterparty: Column,
-            companies: Column) -> Column:
-    """array<struct(type, weight)> of one disclosure.
+def signals_of(p: Column, keys: Column) -> Column:
+    """array<struct(type, weight)> of a disclosure profile against a rumor's company keys.
 
     A contract with a counterparty answers first, then an exchange filing by its own words; else
     decision, query and answer words add up. Nothing found is one neutral signal.
     """
-    decision, query, answer = (has_any(report, w) for w in
-                               (words.DECISION, words.QUERY, words.ANSWER))
-    exchange = F.coalesce(disclosure_type.isin(*words.EXCHANGE_TYPES), F.lit(False))
-
-    def one(kind: str, weight) -> Column:
-        return F.struct(F.lit(kind).alias("type"), F.lit(weight).cast("int").alias("weight"))
+    def one(kind: str, weight: int) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lit(weight).alias("weight"))
 
+    near = F.exists(p["party_keys"], lambda a: F.exists(
+        keys, lambda c: a.contains(c) | c.contains(a)))
+    contract = p["contract"] & (F.size(keys) > 0)
     several = F.array_compact(F.array(
-        F.when(decision, one("DECISION", -30)), F.when(query, one("QUERY", 20)),
-        F.when(answer, one("ANSWER", -10))))
-    c = let(contract_signal(report, remark, counterparty, companies), lambda s: F.when(
-        s["is_contract"] & (F.size(companies) > 0), F.when(F.size(s["matched"]) > 0, -40)
-        .when(s["has_counterparty"], -15)))
+        F.when(p["decision"], one("DECISION", -30)), F.when(p["query"], one("QUERY", 20)),
+        F.when(p["answer"], one("ANSWER", -10))))
     return (
-        F.when(c == -40, F.array(one("DECISION", -40)))
-        .when(c == -15, F.array(one("DECISION", -15)))
-        .when(exchange & query, F.array(one("QUERY", 20)))
-        .when(exchange & decision, F.array(one("DECISION", -30)))
-        .when(F.size(several) > 0, several)
+        F.when(contract & near, F.array(one("DECISION", -40)))
+        .when(contract & p["stated"], F.array(one("DECISION", -15)))
+        .when(p["exchange"] & p["query"], F.array(one("QUERY", 20)))
+        .when(p["exchange"] & p["decision"], F.array(one("DECISION", -30)))
+        .when(p["decision"] | p["query"] | p["answer"], several)
         .otherwise(F.array(one("NEUTRAL", 0))))
 
 
+def signals(report: Column, disclosure_type: Column, remark: Column, counterparty: Column,
+            companies: Column) -> Column:
+    """`signals_of` for one disclosure and the companies of one rumor."""
+    both = F.struct(profile(report, disclosure_type, remark, counterparty).alias("p"),
+                    company_keys(companies).alias("k"))
+    return let(both, lambda b: signals_of(b["p"], b["k"]))
+
+
 def weight_sum(found: Column) -> Column:
     return F.aggregate(found, F.lit(0), lambda a, s: a + s["weight"])
 
@@ -134,16 +153,17 @@ def verify(articles: DataFrame, disclosures: DataFrame, window_days: int = 3) ->
     Articles are (article_id, title, body, article_date, corp_code, companies), one row per named
     company; disclosures carry rcept_date.
     """
-    d = disclosures.select("corp_code", "rcept_no", "rcept_date", "report_nm", "pblntf_ty", "rm",
-                           "counterparty")
-    keyed = articles.select("article_id", "article_date", "corp_code", "companies")
-    weight = weight_sum(F.col("found"))
-    pairs = window_matches(keyed, d, window_days).withColumn("found", signals(
-        F.col("report_nm"), F.col("pblntf_ty"), F.col("rm"), F.col("counterparty"),
-        F.col("companies")))
+    d = disclosures.select("corp_code", "rcept_date", profile(
+        F.col("report_nm"), F.col("pblntf_ty"), F.col("rm"), F.col("counterparty")).alias("p"))
+    keyed = articles.select("article_id", "article_date", "corp_code",
+                            company_keys(F.col("companies")).alias("k"))
+    found = signals_of(F.col("p"), F.col("k"))
+    summed = let(found, lambda f: F.struct(
+        weight_sum(f).alias("w"), F.exists(f, lambda s: s["weight"] != 0).alias("relevant")))
+    pairs = window_matches(keyed, d, window_days).select("article_id", summed.alias("s"))
     points = pairs.groupBy("article_id").agg(
-        F.count("*").alias("total"), F.sum(weight).alias("points"),
-        F.count_if(F.exists("found", lambda s: s["weight"] != 0)).alias("relevant"))
+        F.count("*").alias("total"), F.sum("s.w").alias("points"),
+        F.count_if(F.col("s.relevant")).alias("relevant"))
     tone = articles.groupBy("article_id").agg(
         F.max(article_tone(F.col("title"), F.col("body"))).alias("tone"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -63,11 +63,11 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: st
     """(query_id, doc_id, score, rank): the best documents of every query, summed BM25 (OR).
 
     Only words that some query asks for leave the scan. The term table is left to the size-based
-    broadcast decision. Corpus size and mean length are scalar subqueries over the same scan.
+    broadcast decision. Corpus size and mean length come from one scalar subquery.
     """
-    sized = docs.select(F.size(tokens(F.col(text_col))).alias("dl"))
-    n_docs = sized.agg(F.count("*").cast("double").alias("n")).scalar()
-    avgdl = sized.agg(F.avg("dl").alias("a")).scalar()
+    corpus = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.struct(
+        F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    n_docs, avgdl = corpus["n"], corpus["avgdl"]
     asked = terms.select("term").distinct()
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w")).select(
         "doc_id", F.size("w").cast("double").alias("dl"), F.explode("w").alias("term"))

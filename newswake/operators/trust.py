@@ -36,24 +36,30 @@ def classify_hits(claims: DataFrame, hits: DataFrame) -> DataFrame:
     ).drop("q_companies", "q_labels", "q_phrases")
 
 
-def match_numbers(classified: DataFrame) -> DataFrame:
-    """Per claim: counts, publishers of the first ten exact hits, mean scores of the first hits."""
+def _match_aggregates() -> list[Column]:
     ordered = lambda kind: F.array_sort(F.collect_list(F.when(
         F.col("match") == kind, F.struct("rank", "publisher", "score"))))
+    return [F.count("*").alias("results"), F.min_by("score", "rank").alias("top_score"),
+            ordered("exact").alias("exact"), ordered("partial").alias("partial")]
+
+
+def _with_match_numbers(grouped: DataFrame, *keep: str) -> DataFrame:
     mean = lambda a, n: F.aggregate(
         F.slice(a, 1, n), F.lit(0.0), lambda s, x: s + x["score"]
     ) / F.greatest(F.least(F.size(a), F.lit(n)), F.lit(1))
-    g = classified.groupBy("query_id").agg(
-        F.count("*").alias("results"), F.min_by("score", "rank").alias("top_score"),
-        ordered("exact").alias("exact"), ordered("partial").alias("partial"))
     names = F.filter(F.transform(F.slice("exact", 1, 10), lambda x: x["publisher"]),
                      lambda p: p.isNotNull() & (p != ""))
-    return g.select(
+    return grouped.select(
         "query_id", "results", "top_score",
         F.size("exact").alias("exact_n"), F.size("partial").alias("partial_n"),
         F.size(F.array_distinct(names)).alias("publishers"),
         mean(F.col("exact"), 5).alias("exact_score"),
-        mean(F.col("partial"), 3).alias("partial_score"))
+        mean(F.col("partial"), 3).alias("partial_score"), *keep)
+
+
+def match_numbers(classified: DataFrame) -> DataFrame:
+    """Per claim: counts, publishers of the first ten exact hits, mean scores of the first hits."""
+    return _with_match_numbers(classified.groupBy("query_id").agg(*_match_aggregates()))
 
 
 def base_score(exact_n: Column, partial_n: Column, results: Column, publishers: Column,
@@ -122,6 +128,33 @@ def temporal_consistency(claims: DataFrame, hits: DataFrame) -> DataFrame:
         "query_id", F.coalesce(F.col("inside") / F.col("n"), F.lit(0.5)).alias("temporal"))
 
 
+def _numbers_in_one_pass(claims: DataFrame, hits: DataFrame, contradiction_words: Sequence[str],
+                         terms: Sequence[str]) -> DataFrame:
+    """`match_numbers`, `contradictions`, `claim_support` and `temporal_consistency` together: the
+    hits meet the claims once and are aggregated once."""
+    asked = claims.select("query_id", claim_terms(F.col("text"), F.col("companies"), terms)
+                          .alias("terms"), "range_start", "range_end")
+    article = F.concat_ws(" ", _lower(F.col("title")), _lower(F.col("body")))
+    marked = classify_hits(claims, hits).join(asked, "query_id").select(
+        "query_id", "rank", "score", "publisher", "match", let(article, lambda a: F.struct(
+            F.exists(text_array(contradiction_words), lambda k: a.contains(k)).alias("against"),
+            F.when(F.col("rank") <= 10, F.filter("terms", lambda k: a.contains(F.lower(k))))
+            .alias("found"))).alias("a"),
+        F.col("published_at").isNotNull().alias("dated"),
+        F.col("published_at").between(F.col("range_start"), F.col("range_end")).alias("inside"))
+    extra = marked.groupBy("query_id").agg(
+        *_match_aggregates(), F.count_if("a.against").alias("contradictions"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("a.found")))).alias("supported"),
+        F.count_if(F.col("dated") & F.col("inside")).alias("inside"), F.count_if("dated").alias("dated"))
+    return asked.select("query_id", F.size("terms").alias("claims")).join(
+        _with_match_numbers(extra, "contradictions", "supported", "inside", "dated"),
+        "query_id", "left",
+    ).withColumn("support", F.when(F.col("claims") == 0, 0.5).otherwise(
+        F.coalesce("supported", F.lit(0)) / F.greatest("claims", F.lit(1)))
+    ).withColumn("temporal", F.when(F.col("dated") > 0, F.col("inside") / F.col("dated"))
+                 .otherwise(0.5))
+
+
 def penalties(contradiction_n: Column, support: Column, temporal: Column) -> Column:
     return (F.when(contradiction_n > 0, -0.5).otherwise(0.0)
             + F.when(support < 0.3, -0.2).when(support < 0.5, -0.1).otherwise(0.0)
@@ -141,13 +174,7 @@ def verdicts(claims: DataFrame, hits: DataFrame, disclosure_adjustment: DataFram
     `disclosure_adjustment` is (query_id, adjustment, evidence): rumor points of the disclosure
     check, which lower trust by a hundredth each, at most by half.
     """
-    numbers = match_numbers(classify_hits(claims, hits))
-    against = contradictions(hits, contradiction_words).groupBy("query_id").agg(
-        F.count("*").alias("contradictions"))
-    out = (claims.select("query_id").join(numbers, "query_id", "left")
-           .join(against, "query_id", "left")
-           .join(claim_support(claims, hits, terms), "query_id")
-           .join(temporal_consistency(claims, hits), "query_id"))
+    out = _numbers_in_one_pass(claims, hits, contradiction_words, terms)
     if disclosure_adjustment is not None:
         out = out.join(disclosure_adjustment, "query_id", "left")
     else:

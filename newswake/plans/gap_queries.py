@@ -15,23 +15,26 @@ from newswake.plans.views import (
     SQL_NEWS, SQL_NEWS_RETURNS, SQL_PX, SQL_PXF,
 )
 
+# the look-back of AS_OF begins here; a scan's statistics need no earlier rows
+LOOKBACK_START = "2000-06-30"
+
 
 def _as_of():
     return as_date(AS_OF)
 
 
-def _news_returns(spark, sf):
+def _news_returns(spark, sf, start=HISTORY_START):
     return study.build_news_returns(v.news(spark, sf), v.alias_map(spark, sf),
-                                    v.prices(spark, sf), HISTORY_START, AS_OF)
+                                    v.prices(spark, sf), start, AS_OF)
 
 
-def _outcomes(spark, sf):
-    return study.label_outcomes(v.labelled_disclosures(spark, sf), v.stock_list(spark, sf),
-                                v.prices(spark, sf), HISTORY_START)
+def _outcomes(spark, sf, start=HISTORY_START):
+    events = v.labelled_disclosures(spark, sf).filter(F.col("event_date") >= as_date(start))
+    return study.label_outcomes(events, v.stock_list(spark, sf), v.prices(spark, sf), start)
 
 
-def _history(spark, sf):
-    return study.build_event_history(_outcomes(spark, sf))
+def _history(spark, sf, start=HISTORY_START):
+    return study.build_event_history(_outcomes(spark, sf, start))
 
 
 def _inputs(spark, sf):
@@ -40,8 +43,9 @@ def _inputs(spark, sf):
 
 def _gap_table(spark, sf):
     """The `news_gaps` table: one row per (news, stock, event, horizon)."""
-    signals = study.scan_with_fallback(*_inputs(spark, sf), _history(spark, sf),
-                                       _news_returns(spark, sf), SCAN_START, AS_OF, AS_OF)
+    signals = study.scan_with_fallback(
+        *_inputs(spark, sf), _history(spark, sf, LOOKBACK_START),
+        _news_returns(spark, sf, LOOKBACK_START), SCAN_START, AS_OF, AS_OF)
     return signals.dropDuplicates(["news_id", "stock_code", "event_code", "horizon"])
 
 
@@ -276,8 +280,8 @@ WITH {SQL_SCAN_SIMPLE}
 SELECT {SIGNAL_SQL}, {DIRECTION} AS direction, {GRADE4} AS magnitude, cnt AS sample_count
 FROM scored WHERE abs(z) >= 2""")
 def gap_scan_simple(spark, sf):
-    return _signals(study.scan_simple(*_inputs(spark, sf), _news_returns(spark, sf),
-                                      SCAN_START, AS_OF, AS_OF))
+    return _signals(study.scan_simple(*_inputs(spark, sf),
+                                      _news_returns(spark, sf, LOOKBACK_START), SCAN_START, AS_OF, AS_OF))
 
 
 @query("gap_scan_history", f"""
@@ -318,8 +322,8 @@ SELECT news_id, stock_code, event_code, horizon, round(z, 6) AS z_score,
        {DIRECTION} AS direction, {GRADE3} AS magnitude, n AS sample_count
 FROM scored WHERE abs(z) >= 2""")
 def gap_batch_135(spark, sf):
-    out = study.scan_history(*_inputs(spark, sf), _history(spark, sf), SCAN_START, AS_OF, AS_OF,
-                             horizons=(1, 3, 5))
+    out = study.scan_history(*_inputs(spark, sf), _history(spark, sf, LOOKBACK_START), SCAN_START,
+                             AS_OF, AS_OF, horizons=(1, 3, 5))
     return r6(out.select("news_id", "stock_code", "event_code", "horizon", "z_score", "direction",
                          "magnitude", "sample_count"), "z_score")
 
@@ -350,8 +354,8 @@ scored AS (
 SELECT {SIGNAL_SQL}, {DIRECTION} AS direction, {GRADE3} AS magnitude, cnt AS sample_count
 FROM scored WHERE abs(z) >= 2""")
 def gap_scan_pooled(spark, sf):
-    return _signals(study.scan_recent_pooled(*_inputs(spark, sf), _news_returns(spark, sf),
-                                             AS_OF, hours=24 * 60))
+    return _signals(study.scan_recent_pooled(*_inputs(spark, sf),
+                                             _news_returns(spark, sf, LOOKBACK_START), AS_OF, hours=24 * 60))
 
 
 @query("gap_backfill", f"""

@@ -494,7 +494,7 @@ def company_extract(spark, sf):
     """Whole extraction: dictionary spans, votes, validation, relevance. Checked in the tests."""
     master = _master(spark, sf)
     patterns = co.pattern_weights(co.alias_table(master), master)
-    return r6(co.extract(documents(spark, sf), co.alias_table(master), patterns, master),
+    return r6(co.extract(documents(spark, sf), patterns, master),
               "confidence", "relevance")
 
 

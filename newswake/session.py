@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Korean files come in charsets beyond the default list
+    "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

@@ -80,8 +80,11 @@ def sniff_encoding(spark: SparkSession, path: str, sample_bytes: int = 1 << 20)
 def delimited(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
               encoding: str | None = None, sep: str | None = None) -> DataFrame:
     """A CSV or TSV file or folder, all columns as text, headers trimmed and without a BOM."""
+    charset = encoding or sniff_encoding(spark, path)
+    if charset != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = (spark.read.option("header", True).option("sep", sep or separator(path))
-              .option("encoding", encoding or sniff_encoding(spark, path))
+              .option("encoding", charset)
               .option("multiLine", True).option("escape", '"').option("quote", '"')
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[ct]sv"))
     df = reader.csv(path)

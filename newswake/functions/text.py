@@ -26,6 +26,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def each(values: Column) -> Column:
+    """One row per element, and one null row for an empty list, to be dropped by the caller.
+
+    A plain explode makes the optimizer add a filter on the list's size below it, which computes
+    the list a second time.
+    """
+    return F.explode_outer(values)
+
+
 def text_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -87,7 +96,7 @@ def keyphrases(title: Column, limit: int = 32) -> Column:
     """Words, pairs and triples with and without their spaces; distinct, sorted, first `limit`."""
     every = let(tokens(title), lambda w: F.concat(
         w, _runs(w, 2, " "), _runs(w, 2, ""), _runs(w, 3, " "), _runs(w, 3, "")))
-    return F.slice(F.array_sort(F.array_distinct(every)), 1, limit)
+    return F.slice(F.sort_array(F.array_distinct(every)), 1, limit)
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:

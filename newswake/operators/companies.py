@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newswake.functions import words
-from newswake.functions.text import char_ngrams, has_any, long_enough, name_similarity
+from newswake.functions.text import char_ngrams, each, has_any, long_enough, name_similarity
 
 PATTERN_VOTE = 0.45
 PROVIDER_VOTE = 0.55
@@ -279,22 +279,29 @@ def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
         scan, f"{id_col} {id_type}, alias string, hits long")
 
 
+HEAD_LETTERS = (8, 4, 2)
+
+
 def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
 
-    Made of joins, so the dictionary may have any size.
-
-    An alias is met through its first three letters (two for a two-letter alias): the distinct
-    runs of a text meet the aliases' heads without the text, and only the surviving
-    (document, alias) pairs are counted against it.
+    Made of joins, so the dictionary may have any size. An alias is met through its first 8, 4 or
+    2 letters, the longest it has: the distinct runs of a text meet these heads without the text,
+    and only the surviving (document, alias) pairs are counted against it. Runs are cut only in
+    the lengths the dictionary needs.
     """
     text = F.lower(text_col)
-    runs = docs.select(id_col, F.explode(F.array_distinct(F.concat(
-        char_ngrams(text, 2), char_ngrams(text, 3)))).alias("head"))
-    heads = aliases.select("alias").distinct().filter(F.length("alias") >= 2).withColumn(
-        "head", F.lower(F.substring("alias", 1, 3)))
-    pairs = runs.join(heads, "head").select(id_col, "alias")
+    size = F.length("alias")
+    needed = F.lit(None).cast("int")
+    for n in reversed(HEAD_LETTERS):
+        needed = F.when(size >= n, n).otherwise(needed)
+    heads = (aliases.select("alias").distinct().withColumn("n", needed).filter(F.col("n").isNotNull())
+             .withColumn("head", F.lower(F.substring("alias", F.lit(1), F.col("n")))))
+    lengths = sorted(r.n for r in heads.select("n").distinct().collect()) or [HEAD_LETTERS[0]]
+    runs = docs.select(id_col, each(F.array_distinct(F.concat(
+        *[char_ngrams(text, n) for n in lengths]))).alias("head"))
+    pairs = runs.join(heads.select("alias", "head"), "head").select(id_col, "alias")
     gone = F.length(F.replace(text, F.lower("alias"), F.lit("")))
     hits = ((F.length(text) - gone) / F.length("alias")).cast("long")
     return (pairs.join(docs.select(id_col, text_col), id_col)

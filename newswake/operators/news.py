@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from newswake.functions.text import comma_list
+from newswake.functions.text import comma_list, each
 
 
 def company_list(raw: Column) -> Column:
@@ -20,8 +20,9 @@ def explode_news(news: DataFrame) -> DataFrame:
     """One row per (news, company, event), in the order of the two lists; repeats are kept."""
     return (
         news.filter(F.col("companies").isNotNull() & F.col("event_codes").isNotNull())
-        .withColumn("event_code", F.explode(event_list(F.col("event_codes"))))
-        .withColumn("company", F.explode(company_list(F.col("companies"))))
+        .withColumn("event_code", each(event_list(F.col("event_codes"))))
+        .withColumn("company", each(company_list(F.col("companies"))))
+        .filter(F.col("event_code").isNotNull() & F.col("company").isNotNull())
         .drop("companies", "event_codes")
     )
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newswake.functions.text import let, ngrams, text_array, tokens
+from newswake.functions.text import each, let, ngrams, text_array, tokens
 
 K1, B = 1.2, 0.75
 
@@ -27,8 +27,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w"))
     return (
-        words.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-        .groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        words.select("doc_id", F.size("w").cast("long").alias("dl"), each(F.col("w")).alias("term"))
+        .filter(F.col("term").isNotNull()).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     )
 
 
@@ -62,16 +62,18 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: st
          top: int = 20) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of every query, summed BM25 (OR).
 
-    Only words that some query asks for leave the scan. The term table is left to the size-based
-    broadcast decision. Corpus size and mean length come from one scalar subquery.
+    Only words that some query asks for leave the scan. They are laid out by document, which also
+    serves the counts per (document, term) and the sums per (query, document), so nothing larger
+    moves again. The term tables are left to the size-based broadcast decision. Corpus size and
+    mean length come from one scalar subquery.
     """
     corpus = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.struct(
         F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     n_docs, avgdl = corpus["n"], corpus["avgdl"]
     asked = terms.select("term").distinct()
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w")).select(
-        "doc_id", F.size("w").cast("double").alias("dl"), F.explode("w").alias("term"))
-    hits = (words.join(asked, "term").groupBy("doc_id", "dl", "term")
+        "doc_id", F.size("w").cast("double").alias("dl"), each(F.col("w")).alias("term"))
+    hits = (words.join(asked, "term").repartition("doc_id").groupBy("doc_id", "dl", "term")
             .agg(F.count("*").cast("double").alias("tf")))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighted = terms.join(df, "term").select("query_id", "term", idf(n_docs, F.col("df"))

@@ -18,7 +18,7 @@ from newswake.functions.words import EVENT_TERMS
 from newswake.operators import disclosures as ds, documents as dc, gap_reports as rep
 from newswake.operators import patterns as pt, prices as pr, search as se, trust as tr
 from newswake.operators.gaps import GapRules
-from newswake.operators.labels import Label, classify
+from newswake.operators.labels import Label, classify, starter_registry
 from newswake.plans import study
 from newswake.schemas import EVENT_RETURNS_HISTORY, NEWS_GAPS, NEWS_RETURNS, conform
 from newswake.sources import writers
@@ -134,7 +134,8 @@ class Engine:
         writers.upsert_table(usable, self.path("documents"), ["id"], "published_at")
 
     def classify(self, titles: DataFrame, title_col: str = "title") -> DataFrame:
-        return titles.withColumn("event", classify(F.col(title_col), self.registry))
+        registry = self.registry or starter_registry()
+        return titles.withColumn("event", classify(F.col(title_col), registry))
 
     def _range(self, text: str, as_of: str | date) -> tuple:
         c = date_context(F.lit(text), as_of)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newswake.functions.scores import clamp
+from newswake.functions.starter_labels import INTRADAY, LABELS
 from newswake.functions.text import has_any, keyword_hits, long_enough, text_array
 
 OTHER_PRIORITY = 10**6
@@ -32,6 +33,11 @@ def build_registry(base: Mapping[str, Mapping], overrides: Mapping[str, int] | N
     ]
 
 
+def starter_registry(profile: str | None = "intraday_kr") -> list[Label]:
+    """The labels that ship with the package; pass a registry read from a file for all of them."""
+    return build_registry(LABELS, INTRADAY if profile == "intraday_kr" else None)
+
+
 def matched_labels(title: Column, registry: Sequence[Label]) -> Column:
     """All labels with a matching trigger, by priority, fine ones first among equals, then name.
 

@@ -189,7 +189,8 @@ def verdicts(claims: DataFrame, hits: DataFrame, disclosure_adjustment: DataFram
         "top_score")], steps=steps)
     fined = F.greatest(F.lit(0.0), base + penalties(
         F.col("contradictions"), F.col("support"), F.col("temporal")))
-    by_disclosure = clamp(-F.coalesce(F.col("adjustment"), F.lit(0.0)) / 100.0, -0.5, 0.5)
+    by_disclosure = clamp(
+        F.lit(0.0) - F.coalesce(F.col("adjustment"), F.lit(0.0)) / 100.0, -0.5, 0.5)
     score = clamp(F.col("fined") + F.col("by_disclosure"), 0.0, 1.0)
     out = out.withColumn("fined", fined).withColumn("by_disclosure", by_disclosure)
     reason = (F.when(F.col("contradictions") > 0, "contradicted")

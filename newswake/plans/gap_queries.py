@@ -114,13 +114,13 @@ gaps AS (
   FROM picked)"""
 
 SIGNAL_SQL = """news_id, stock_code, stock_name, event_code, news_date, 1 AS horizon,
-  round(r1, 6) AS actual_return, round(mean, 9) AS expected_return, round(std, 6) AS expected_std,
+  round(r1, 6) AS actual_return, round(mean, 12) AS expected_return, round(std, 6) AS expected_std,
   round(z, 6) AS z_score"""
 
 
 def _rounded(df):
     """Signal columns for comparison; the centre lies on a decimal grid and takes more digits."""
-    return r6(r6(df, "actual_return", "expected_std", "z_score"), "expected_return", digits=9)
+    return r6(r6(df, "actual_return", "expected_std", "z_score"), "expected_return", digits=12)
 
 
 def _signals(df):
@@ -221,35 +221,35 @@ def corr_two_series(spark, sf):
 
 @query("expectation_stats", f"""
 WITH {SQL_PXF}, {SQL_HISTORY} {SQL_HISTORY_STATS}
-SELECT event_code, horizon, round(mean, 9) AS mean, round(median, 9) AS median,
-       round(std, 6) AS std, round(q25, 9) AS q25, round(q75, 9) AS q75,
-       round(q75 - q25, 9) AS iqr, n AS sample_count,
+SELECT event_code, horizon, round(mean, 12) AS mean, round(median, 12) AS median,
+       round(std, 6) AS std, round(q25, 12) AS q25, round(q75, 12) AS q75,
+       round(q75 - q25, 12) AS iqr, n AS sample_count,
        CAST(round(confidence, 6) AS DOUBLE) AS confidence
 FROM hstats""")
 def expectation_stats(spark, sf):
     stats = ex.expectation_stats(_history(spark, sf), _as_of())
-    return r6(r6(stats, "std", "confidence"), "mean", "median", "q25", "q75", "iqr", digits=9)
+    return r6(r6(stats, "std", "confidence"), "mean", "median", "q25", "q75", "iqr", digits=12)
 
 
 @query("event_stats_pop", f"""
 WITH {SQL_PX}, {SQL_FACTS} {SQL_NEWS_RETURNS} {SQL_SIMPLE_STATS}
-SELECT event_code, round(mean, 9) AS mean, round(std, 6) AS std, cnt FROM sstats""")
+SELECT event_code, round(mean, 12) AS mean, round(std, 6) AS std, cnt FROM sstats""")
 def event_stats_pop(spark, sf):
     stats = ex.event_stats(_news_returns(spark, sf), _as_of())
-    return r6(r6(stats.withColumnRenamed("stat_key", "event_code"), "std"), "mean", digits=9)
+    return r6(r6(stats.withColumnRenamed("stat_key", "event_code"), "std"), "mean", digits=12)
 
 
 @query("event_stats_prefix", f"""
 WITH {SQL_PX}, {SQL_FACTS} {SQL_NEWS_RETURNS}
 SELECT split_part(event_code, '.', 1) AS category,
-       round(avg(CAST(return_1d AS DOUBLE)), 9) AS mean,
+       round(avg(CAST(return_1d AS DOUBLE)), 12) AS mean,
        round(stddev_pop(CAST(return_1d AS DOUBLE)), 6) AS std, count(return_1d) AS cnt
 FROM news_returns
 WHERE return_1d IS NOT NULL AND news_date BETWEEN DATE '{AS_OF}' - 365 AND DATE '{AS_OF}'
 GROUP BY 1""")
 def event_stats_prefix(spark, sf):
     stats = ex.event_stats(_news_returns(spark, sf), _as_of(), key=ex.event_prefix(F.col("event_code")))
-    return r6(r6(stats.withColumnRenamed("stat_key", "category"), "std"), "mean", digits=9)
+    return r6(r6(stats.withColumnRenamed("stat_key", "category"), "std"), "mean", digits=12)
 
 
 @query("empirical_percentile", f"""
@@ -293,9 +293,9 @@ scored AS (
     AND h.confidence >= 0.5 AND h.std >= 1e-6 AND a.r1 IS NOT NULL),
 kept AS (SELECT event_code, ret FROM long_history WHERE horizon = 1 AND ret IS NOT NULL)
 SELECT s.news_id, s.stock_code, s.stock_name, s.event_code, s.news_date, 1 AS horizon,
-       s.anchor_date, round(s.r1, 6) AS actual_return, round(s.centre, 9) AS expected_return,
-       round(s.std, 6) AS expected_std, round(s.mean, 9) AS expected_mean,
-       round(s.q25, 9) AS expected_q25, round(s.q75, 9) AS expected_q75, round(z, 6) AS z_score,
+       s.anchor_date, round(s.r1, 6) AS actual_return, round(s.centre, 12) AS expected_return,
+       round(s.std, 6) AS expected_std, round(s.mean, 12) AS expected_mean,
+       round(s.q25, 12) AS expected_q25, round(s.q75, 12) AS expected_q75, round(z, 6) AS z_score,
        CAST(round(s.confidence, 6) AS DOUBLE) AS confidence,
        {DIRECTION} AS direction, {GRADE3} AS magnitude, s.n AS sample_count,
        round((SELECT sum(CASE WHEN k.ret < s.r1 THEN 1.0 ELSE 0.0 END) / count(*)
@@ -305,7 +305,7 @@ def gap_scan_history(spark, sf):
     out = study.scan_history(*_inputs(spark, sf), _history(spark, sf), SCAN_START, AS_OF, AS_OF,
                              with_percentile=True)
     return r6(r6(_signals(out), "confidence", "percentile"),
-              "expected_mean", "expected_q25", "expected_q75", digits=9)
+              "expected_mean", "expected_q25", "expected_q75", digits=12)
 
 
 @query("gap_batch_135", f"""
@@ -331,7 +331,7 @@ def gap_batch_135(spark, sf):
 @query("gap_scan_fallback", f"""
 WITH {SQL_FALLBACK}
 SELECT news_id, news_title, stock_code, stock_name, event_code, news_date, horizon,
-       round(actual_return, 6) AS actual_return, round(expected_return, 9) AS expected_return,
+       round(actual_return, 6) AS actual_return, round(expected_return, 12) AS expected_return,
        round(expected_std, 6) AS expected_std, round(z_score, 6) AS z_score, direction,
        magnitude, sample_count, calc_mode FROM gaps""")
 def gap_scan_fallback(spark, sf):
@@ -616,24 +616,24 @@ def upsert_gaps(spark, sf):
 
 @query("avg_return_by_event", f"""
 WITH {SQL_PX}, {SQL_FACTS} {SQL_NEWS_RETURNS}
-SELECT event_code, round(avg(CAST(return_1d AS DOUBLE)), 9) AS avg_return_1d,
-       round(avg(CAST(return_3d AS DOUBLE)), 9) AS avg_return_3d, count(*) AS count
+SELECT event_code, round(avg(CAST(return_1d AS DOUBLE)), 12) AS avg_return_1d,
+       round(avg(CAST(return_3d AS DOUBLE)), 12) AS avg_return_3d, count(*) AS count
 FROM news_returns GROUP BY event_code""")
 def avg_return_by_event(spark, sf):
     return r6(mk.average_returns(_news_returns(spark, sf)), "avg_return_1d", "avg_return_3d",
-              digits=9)
+              digits=12)
 
 
 @query("win_rate", f"""
 WITH {SQL_PX}, {SQL_FACTS} {SQL_NEWS_RETURNS}
-SELECT stock_code, round(avg(CAST(return_1d AS DOUBLE)), 11) AS avg_1d,
-       round(avg(CAST(return_3d AS DOUBLE)), 11) AS avg_3d,
+SELECT stock_code, round(avg(CAST(return_1d AS DOUBLE)), 12) AS avg_1d,
+       round(avg(CAST(return_3d AS DOUBLE)), 12) AS avg_3d,
        round(100.0 * avg(CASE WHEN return_1d > 0 THEN 1.0 WHEN return_1d IS NOT NULL THEN 0.0 END), 6)
          AS win_rate, count(*) AS count
 FROM news_returns GROUP BY stock_code""")
 def win_rate(spark, sf):
     return r6(r6(mk.return_analysis(_news_returns(spark, sf)), "win_rate"), "avg_1d", "avg_3d",
-              digits=11)
+              digits=12)
 
 
 @query("market_counts", f"""

@@ -76,25 +76,29 @@ def similar_names(names: DataFrame, master: DataFrame, threshold: float = 0.9,
                   top: int = 3) -> DataFrame:
     """(name, official, similarity, rank) of the master names like each given name.
 
-    A similarity s needs a length ratio of at least (s - 0.7) / 0.3 and a shared letter, so pairs
-    meet on (letter, length band) instead of all against all. Name lists only: both sides are
-    dictionaries, never documents.
+    A similarity t needs a Jaccard j of at least (t - 0.3) / 0.7 between the letter sets. Then the
+    sets share a letter among the first (1 - j) of each in one fixed order, and their sizes differ
+    by a factor of at most 1 / j. So names meet on (letter, set size) and not all against all. Both
+    sides are dictionaries, never documents.
     """
     floor = max(0.0, (threshold - 0.7) / 0.3)
-    # Jaccard >= j also needs more than (1 - j) of the rarer letters to be shared; the smallest
-    # required Jaccard decides how many of a name's letters have to be looked at
-    j = max(0.0, (threshold - 0.3) / 0.7)
+    j = max(0.05, (threshold - 0.3) / 0.7)
+    eps = 1e-9
+
     def keyed(df: DataFrame, col: str) -> DataFrame:
         letters = F.array_sort(F.array_distinct(F.split(F.lower(col), "")))
-        keep = F.size(letters) - F.ceil(F.size(letters) * j - 1e-9) + 1
-        return df.select(col).distinct().withColumn(
-            "letter", F.explode(F.slice(letters, F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))))
+        sized = df.select(col).distinct().select(col, letters.alias("l"), F.size(letters).alias("size"))
+        keep = (F.col("size") - F.ceil(F.col("size") * j - eps) + 1).cast("int")
+        return sized.select(col, "size", F.explode(
+            F.slice("l", F.lit(1), F.greatest(keep, F.lit(1)))).alias("letter"))
 
     a = keyed(names, "name")
-    b = keyed(master.select(F.col("name").alias("official")), "official")
+    b = keyed(master.select(F.col("name").alias("official")), "official").withColumn(
+        "size", F.explode(F.sequence(F.ceil(F.col("size") * j - eps).cast("int"),
+                                     F.floor(F.col("size") / j + eps).cast("int"))))
     ratio = F.least(F.length("name"), F.length("official")) / F.greatest(
         F.length("name"), F.length("official"))
-    pairs = (a.join(b, "letter").filter(ratio >= floor - 1e-9)
+    pairs = (a.join(b, ["letter", "size"]).filter(ratio >= floor - eps)
              .select("name", "official").distinct())
     scored = pairs.withColumn("similarity", name_similarity(F.col("name"), F.col("official")))
     w = Window.partitionBy("name").orderBy(F.round("similarity", 9).desc(), "official")

@@ -36,11 +36,11 @@ def forward_closes(series: DataFrame, horizons=HORIZONS) -> DataFrame:
 
 
 def anchor_calendar(series: DataFrame, first_day: Column, horizons=HORIZONS,
-                    pad_days: int | None = None) -> DataFrame:
+                    pad_days: int | None = None, last_day: Column | None = None) -> DataFrame:
     """The forward as-of join, unrolled into a lookup keyed by (stock_code, event_date).
 
-    Every calendar day from `first_day` to the last trading day of a code maps to the first
-    trading day on or after it. Facts then meet prices by a plain equi join on (code, date),
+    Every calendar day from `first_day` to the last trading day of a code, or to `last_day`, maps
+    to the first trading day on or after it. Facts then meet prices by a plain equi join on (code, date),
     which spreads a hot code over its days and never compares a fact with a whole series.
     The lookup has at most codes x calendar days rows, whatever the number of facts.
 
@@ -51,10 +51,11 @@ def anchor_calendar(series: DataFrame, first_day: Column, horizons=HORIZONS,
     since = F.coalesce(F.date_add("prev_date", 1), F.least(first_day, F.col("trade_date")))
     if pad_days is not None:
         since = F.greatest(since, F.date_sub("trade_date", pad_days))
+    start = F.greatest(since, F.least(first_day, F.col("trade_date")))
+    stop = F.col("trade_date") if last_day is None else F.least(last_day, F.col("trade_date"))
     days = (
-        w.filter(F.col("trade_date") >= first_day)
-        .withColumn("event_date", F.explode(F.sequence(
-            F.greatest(since, F.least(first_day, F.col("trade_date"))), F.col("trade_date"))))
+        w.filter(F.col("trade_date") >= first_day).filter(start <= stop)
+        .withColumn("event_date", F.explode(F.sequence(start, stop)))
     )
     base = F.col("close_price")
     cols = []

@@ -218,12 +218,11 @@ def evidence(hits: DataFrame, classified: DataFrame, top: int = 3) -> DataFrame:
     return kept.groupBy("query_id").agg(first.alias("evidence"))
 
 
-def evaluate(confidence: Column, relevance: Column, exact_n: Column, partial_n: Column,
-             has_news: Column, digits: int = 1) -> Column:
-    """struct(level, points) of the 0..100 evaluator; `relevance` is an array of match relevances."""
-    n = F.size(relevance)
-    mean = F.when(n > 0, F.aggregate(relevance, F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
-    best = F.coalesce(F.array_max(relevance), F.lit(0.0))
+def evaluate(confidence: Column, mean: Column, best: Column, n: Column, exact_n: Column,
+             partial_n: Column, digits: int = 1) -> Column:
+    """struct(level, points) of the 0..100 evaluator from the mean, best and number of match
+    relevances; a search without matches is LOW at 0."""
+    has_news = n > 0
     grade = (F.when(~has_news, "LOW")
              .when((confidence >= 0.95) & (exact_n >= 1) & (best >= 0.8), "HIGH")
              .when((confidence >= 0.6) & ((exact_n > 0) | (mean >= 0.5)), "MEDIUM")

@@ -387,11 +387,12 @@ SELECT user_id, day, CASE WHEN c >= 0.95 AND exact_n >= 1 AND best >= 0.8 THEN '
 def trust_evaluator(spark, sf):
     # relevances of one user's day stand for the matches of one search
     g = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
-        F.array_sort(F.collect_list(F.col("value") / 100.0)).alias("r"),
+        (F.avg("value") / 100.0).alias("mean"), (F.max("value") / 100.0).alias("best"),
+        F.count("*").alias("n"),
         F.count_if(F.col("event_type") == "purchase").alias("exact_n"),
         F.count_if(F.col("event_type") == "click").alias("partial_n"))
-    e = tr.evaluate(F.col("user_id") % 100 / 100.0, F.col("r"), F.col("exact_n"),
-                    F.col("partial_n"), F.lit(True), digits=8)
+    e = tr.evaluate(F.col("user_id") % 100 / 100.0, F.col("mean"), F.col("best"), F.col("n"),
+                    F.col("exact_n"), F.col("partial_n"), digits=8)
     return g.select("user_id", "day", e.alias("e")).select("user_id", "day", "e.level", "e.points")
 
 

@@ -26,9 +26,11 @@ def _prices_around(prices: DataFrame, start: Column, end: Column, pad: int) -> D
 
 
 def anchored_facts(news: DataFrame, alias_map: DataFrame, prices: DataFrame, first_day: Column,
-                   pad_days: int | None = None, horizons=pr.HORIZONS) -> DataFrame:
+                   last_day: Column | None = None, pad_days: int | None = None,
+                   horizons=pr.HORIZONS) -> DataFrame:
+    """Facts of the news with their anchor rows; the calendar only covers the days of the news."""
     facts = news_facts(news, alias_map)
-    return pr.with_anchor(facts, pr.anchor_calendar(prices, first_day, horizons, pad_days))
+    return pr.with_anchor(facts, pr.anchor_calendar(prices, first_day, horizons, pad_days, last_day))
 
 
 def build_news_returns(news: DataFrame, alias_map: DataFrame, prices: DataFrame, start: Day,
@@ -39,7 +41,7 @@ def build_news_returns(news: DataFrame, alias_map: DataFrame, prices: DataFrame,
     """
     start, end = as_date(start), as_date(end)
     anchored = anchored_facts(news_between(news, start, end), alias_map,
-                              _prices_around(prices, start, end, pad_days), start)
+                              _prices_around(prices, start, end, pad_days), start, end)
     return (
         anchored.withColumn("news_key", news_key(F.col("news_id")))
         .dropDuplicates(["news_key", "stock_code", "event_code"])
@@ -89,7 +91,7 @@ def scan_simple(news: DataFrame, alias_map: DataFrame, prices: DataFrame, news_r
                 start: Day, end: Day, as_of: Day, rules: GapRules = GapRules()) -> DataFrame:
     start, end, as_of = as_date(start), as_date(end), as_date(as_of)
     near = _prices_around(prices, start, end, rules.price_pad_days)
-    anchored = anchored_facts(news_between(news, start, end), alias_map, near, start,
+    anchored = anchored_facts(news_between(news, start, end), alias_map, near, start, end,
                               rules.price_pad_days, horizons=(1,))
     stats = ex.event_stats(news_returns, as_of, rules.lookback_days)
     return gp.detect_simple(anchored, stats, rules)
@@ -100,7 +102,7 @@ def scan_history(news: DataFrame, alias_map: DataFrame, prices: DataFrame, histo
                  horizons=(1,), with_percentile: bool = False) -> DataFrame:
     start, end, as_of = as_date(start), as_date(end), as_date(as_of)
     anchored = anchored_facts(news_between(news, start, end), alias_map,
-                              prices.filter(F.col("trade_date") >= start), start)
+                              prices.filter(F.col("trade_date") >= start), start, end)
     stats = ex.expectation_stats(history, as_of, rules.lookback_days, rules.min_samples, horizons)
     signals = gp.detect_history(anchored, stats, rules, horizons)
     if with_percentile:
@@ -113,7 +115,8 @@ def scan_with_fallback(news: DataFrame, alias_map: DataFrame, prices: DataFrame,
                        as_of: Day, rules: GapRules = GapRules()) -> DataFrame:
     start, end, as_of = as_date(start), as_date(end), as_date(as_of)
     anchored = anchored_facts(news_between(news, start, end), alias_map,
-                              prices.filter(F.col("trade_date") >= start), start, horizons=(1,))
+                              prices.filter(F.col("trade_date") >= start), start, end,
+                              horizons=(1,))
     h = ex.expectation_stats(history, as_of, rules.lookback_days, rules.min_samples, (1,))
     s = ex.event_stats(news_returns, as_of, rules.lookback_days)
     return gp.detect_with_fallback(anchored, h, s, rules)
@@ -126,7 +129,8 @@ def scan_recent_pooled(news: DataFrame, alias_map: DataFrame, prices: DataFrame,
     as_of = as_date(as_of)
     start = F.date_sub(as_of, -(-hours // 24))
     anchored = anchored_facts(news_between(news, start, as_of), alias_map,
-                              prices.filter(F.col("trade_date") >= start), start, horizons=(1,))
+                              prices.filter(F.col("trade_date") >= start), start, as_of,
+                              horizons=(1,))
     stats = ex.event_stats(news_returns, as_of, rules.lookback_days,
                            key=ex.event_prefix(F.col("event_code")))
     return gp.detect_pooled(anchored, stats, rules)
@@ -140,7 +144,7 @@ def backfill(news: DataFrame, alias_map: DataFrame, prices: DataFrame, news_retu
     """
     start, end = as_date(start), as_date(end)
     near = _prices_around(prices, start, end, rules.price_pad_days)
-    anchored = anchored_facts(news_between(news, start, end), alias_map, near, start,
+    anchored = anchored_facts(news_between(news, start, end), alias_map, near, start, end,
                               rules.price_pad_days, horizons=(1,))
     needed = news_returns.filter(F.col("news_date").between(
         F.date_sub(start, rules.lookback_days), end))

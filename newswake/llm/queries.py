@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newswake.llm import exact_dedup, quality_rules
+from newswake.llm import exact_dedup, mixing, packing, quality_rules, token_counts
 from newswake.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,22 @@ def op3(spark, sf_dir):
     return quality_rules.verdicts(quality_rules.ledger(docs)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@query("op2_packing")
+def op2(spark, sf_dir):
+    found = packing.pieces(table(spark, sf_dir, "documents"))
+    narrow = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(narrow)
+
+
+@query("op4_token_counts")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op5_mixing")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n_chars"))
+    return mixing.mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_rank")

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newswake.llm import exact_dedup, mixing, packing, quality_rules, token_counts
+from newswake.llm import (exact_dedup, mixing, packing, quality_model, quality_rules, simhash,
+                           token_counts)
 from newswake.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,16 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n_chars"))
     return mixing.mix(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_rank")
+
+
+@query("op8_simhash")
+def op8(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "fingerprint", "component_id")
+
+
+@query("op10_quality_model")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    return quality_model.classify(docs, model).select("doc_id", "held_out", "score", "predicted")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newswake.llm import (exact_dedup, mixing, packing, quality_model, quality_rules, simhash,
-                           token_counts)
+from newswake.llm import (exact_dedup, html_extract, mixing, packing, quality_model, quality_rules,
+                           simhash, token_counts)
 from newswake.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
     return quality_model.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_html_extraction")
+def op7(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

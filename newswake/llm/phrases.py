@@ -52,8 +52,7 @@ class Hashed:
 
     def __post_init__(self):
         n = len(self.data)
-        size = 1 << max(16, int(n).bit_length())
-        up, self.down = powers(size)
+        up, self.down = powers((n >> 20) + 1 << 20)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(letters()[self.data] * up[:n], out=self.sums[1:])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newswake.llm import (exact_dedup, html_extract, mixing, packing, quality_model, quality_rules,
-                           simhash, token_counts)
+                           simhash, suffix_dedup, token_counts)
 from newswake.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,12 @@ def op10(spark, sf_dir):
 @query("op7_html_extraction")
 def op7(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op9_suffix_dedup")
+def op9(spark, sf_dir):
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes",
+                        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))

@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from newswake.llm.tables import shared_dir, stored
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 1 << 15
+BUCKET_BYTES = 16 << 20
 NULL_ID = (1 << 63) - 1
 REQUEST = "bucket int, batch long, keys binary, a binary, b binary"
 BATCH = "batch long, ids array<long>, flags array<int>, lengths array<long>, texts binary"
@@ -74,8 +75,8 @@ def batches(docs: DataFrame, target: int = BATCH_BYTES) -> Batches:
     (made.repartition(parts, "batch").write.format("parquet").option("path", path)
      .bucketBy(parts, "batch").saveAsTable(name))
     table = spark.table(name)
-    count = table.count()
-    return Batches(table, max(4, int(count).bit_length()))
+    size = table.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    return Batches(table, max(3, (size // BUCKET_BYTES).bit_length()))
 
 
 @dataclass
@@ -126,12 +127,17 @@ def keys_of(raw: bytes) -> np.ndarray:
     return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
 
 
-def answers(asked: DataFrame, combine) -> DataFrame:
+TOTALS = -1
+
+
+def answers(asked: DataFrame, combine, total: bool = False) -> DataFrame:
     """batch, answers (by bucket) of requests. combine(requests of a bucket) gives a list with the
-    answer bytes of each. Stored, as more than one step reads them."""
+    answer bytes of each, and with `total` one more that is filed under the batch TOTALS. Stored, as
+    more than one step reads them."""
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch")
-        return pd.DataFrame({"batch": frame["batch"], "bucket": frame["bucket"], "answer": combine(frame)})
+        to = frame["batch"].tolist() + [TOTALS] * total
+        return pd.DataFrame({"batch": to, "bucket": int(frame["bucket"].iloc[0]), "answer": combine(frame)})
 
     given = asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket int, answer binary")
     return stored(given.groupBy("batch").agg(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newswake.llm import (exact_dedup, html_extract, mixing, packing, quality_model, quality_rules,
+from newswake.llm import (exact_dedup, html_extract, lm_scoring, mixing, packing, quality_model, quality_rules,
                            simhash, suffix_dedup, token_counts)
 from newswake.llm.tables import table
 
@@ -124,3 +124,9 @@ def op9(spark, sf_dir):
                         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_lm_scoring")
+def op6(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

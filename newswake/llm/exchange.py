@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newswake.llm.tables import shared_dir, stored
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1 << 15
 BUCKET_BYTES = 16 << 20
 NULL_ID = (1 << 63) - 1
@@ -65,8 +65,11 @@ def packed(frames, target: int):
         yield row()
 
 
-def batches(docs: DataFrame, target: int = BATCH_BYTES) -> Batches:
-    """Of rows (id long, flag int, text string) without nulls; flags are the caller's."""
+def batches(docs: DataFrame, target: int = BATCH_BYTES, bucket: int = BUCKET_BYTES) -> Batches:
+    """Of rows (id long, flag int, text string) without nulls; flags are the caller's.
+
+    A task holds one batch of about `target` bytes, or the keys of about `bucket` bytes of texts. A
+    pair of batch and bucket is a row, so both should grow with the memory of the workers."""
     spark = docs.sparkSession
     made = docs.mapInPandas(lambda frames: packed(frames, target), BATCH)
     name = f"newswake_batches_{uuid.uuid4().hex}"
@@ -76,7 +79,7 @@ def batches(docs: DataFrame, target: int = BATCH_BYTES) -> Batches:
      .bucketBy(parts, "batch").saveAsTable(name))
     table = spark.table(name)
     size = table.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).first()[0] or 0
-    return Batches(table, max(3, (size // BUCKET_BYTES).bit_length()))
+    return Batches(table, max(3, (size // bucket).bit_length()))
 
 
 @dataclass
@@ -101,13 +104,19 @@ def opened(row) -> Opened:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight together: the shuffle's compression then takes the empty ones out."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    """Compressed, with the bytes of equal weight together: those of small numbers are all empty."""
+    import zstandard
+
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return zstandard.compress(raw.tobytes(), 1)
 
 
 def unplanes(raw: bytes, kind) -> np.ndarray:
+    import zstandard
+
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    data = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
 
 
 def requests(batch: int, keys: np.ndarray, bits: int, bucket_bits: int, a=None, b=None):

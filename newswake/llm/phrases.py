@@ -52,7 +52,7 @@ class Hashed:
 
     def __post_init__(self):
         n = len(self.data)
-        up, self.down = powers((n >> 20) + 1 << 20)
+        up, self.down = powers((n >> 19) + 1 << 19)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(letters()[self.data] * up[:n], out=self.sums[1:])
 

@@ -34,6 +34,7 @@ from newswake.llm.phrases import SPAN, Hashed, phrases
 from newswake.llm.tables import text_of
 
 U = np.uint64
+SEGMENT = 1 << 18  # positions hashed at a time; a phrase cut there is one more phrase of its trigger
 
 
 @dataclass
@@ -64,12 +65,32 @@ class Parse:
     def __init__(self, batch: Opened, bucket_bits: int):
         self.bits = bucket_bits
         self.batch = batch
-        self.hashed = Hashed(batch.data)
-        self.first, self.last, trigger, doc = phrases(self.hashed, batch.starts, batch.ends)
+        found = [self.of_segment(at, h) for at, h in self.segments()]
+        self.first, self.last, trigger, doc, self.phrase = (
+            np.concatenate([f[i] for f in found]) for i in range(5))
         self.ids = batch.ids[doc]
-        self.phrase = self.hashed.stretches(self.first, self.last + SPAN - 1)
         self.trigger = different(trigger >> U(32 - bucket_bits), self.ids)
 
+    def segments(self):
+        for at in range(0, max(1, len(self.batch.data)), SEGMENT):
+            yield at, Hashed(self.batch.data[at:at + SEGMENT + SPAN - 1])
+
+    def of_segment(self, at: int, h: Hashed):
+        b = self.batch
+        lo, hi = np.searchsorted(b.ends, at, "right"), np.searchsorted(b.starts, at + SEGMENT)
+        first, last, trigger, doc = phrases(h, np.maximum(b.starts[lo:hi] - at, 0),
+                                            np.minimum(b.ends[lo:hi] - at, len(h.data)))
+        return first + at, last + at, trigger, doc + lo, h.stretches(first, last + SPAN - 1)
+
+    def suffixes(self, positions: np.ndarray) -> np.ndarray:
+        """Hashes of the SPAN bytes from ascending positions on."""
+        out = [np.zeros(0, np.uint64)]
+        for at, h in self.segments():
+            own = positions[np.searchsorted(positions, at):np.searchsorted(positions, at + SEGMENT)] - at
+            if len(own):
+                out.append(h.stretches(own, own + SPAN))
+        return np.concatenate(out)
+
     def ask_triggers(self):
         """With each trigger a check of its phrases: 0 if it has several here. Low bit of b: more
         than one document here."""
@@ -81,7 +102,7 @@ class Parse:
                             one, (t.least != t.most).astype(np.uint8))
 
     def know_triggers(self, parts: list[bytes]):
-        known = np.frombuffer(b"".join(parts), np.uint8)
+        known = bits_of(parts, self.trigger)
         shared = (known & 1).astype(bool)[self.trigger.place]
         self.several = (known & 2).astype(bool)[self.trigger.place][shared]
         self.first, self.last = self.first[shared], self.last[shared]
@@ -99,8 +120,7 @@ class Parse:
         size = (self.last - self.first)[open_]
         self.suffix_at = np.repeat(self.first[open_] - np.cumsum(size) + size, size) + np.arange(size.sum())
         self.suffix_ids = np.repeat(self.ids[open_], size)
-        width = self.hashed.windows(SPAN) if len(self.batch.data) >= SPAN else np.zeros(0, np.uint64)
-        self.suffix = different(width[self.suffix_at], self.suffix_ids)
+        self.suffix = different(self.suffixes(self.suffix_at), self.suffix_ids)
 
     def ask_suffixes(self):
         yield from ask_least(self.batch.batch, self.suffix, self.bits)
@@ -109,12 +129,12 @@ class Parse:
         """Per byte whether it lies in a string that starts in a document with a smaller id."""
         place = self.suffix.place
         later = is_later(parts, self.suffix)[place] | (self.suffix_ids > self.suffix.least[place])
-        change = np.zeros(len(self.batch.data) + SPAN + 1, np.int64)
+        change = np.zeros(len(self.batch.data) + SPAN + 1, np.int32)
         np.add.at(change, self.first[self.repeated], 1)
         np.add.at(change, self.last[self.repeated] + SPAN - 1, -1)
         np.add.at(change, self.suffix_at[later], 1)
         np.add.at(change, self.suffix_at[later] + SPAN, -1)
-        return np.cumsum(change)[:len(self.batch.data)] > 0
+        return np.cumsum(change, out=change)[:len(self.batch.data)] > 0
 
 
 def ask_least(batch: int, found: Different, bucket_bits: int):
@@ -122,12 +142,18 @@ def ask_least(batch: int, found: Different, bucket_bits: int):
     yield from requests(batch, found.keys, 64, bucket_bits, found.least)
 
 
+def bits_of(parts: list[bytes], found: Different) -> np.ndarray:
+    if not len(found.keys):
+        return np.zeros(0, np.uint8)
+    return np.concatenate([unplanes(p, np.uint8) for p in parts])
+
+
 def is_later(parts: list[bytes], found: Different) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), np.uint8).astype(bool) if len(found.keys) else np.zeros(0, bool)
+    return bits_of(parts, found).astype(bool)
 
 
 def split(values: np.ndarray, sizes: list[int]) -> list[bytes]:
-    return [x.tobytes() for x in np.split(values.astype(np.uint8), np.cumsum(sizes)[:-1])]
+    return [planes(x) for x in np.split(values.astype(np.uint8), np.cumsum(sizes)[:-1])]
 
 
 def groups_of(frame: pd.DataFrame):

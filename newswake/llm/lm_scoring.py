@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from newswake.llm.exchange import (NULL_ID, REQUEST, TOTALS, Opened, answer_parts, answers, batches, keys_of,
+from newswake.llm.exchange import (BUCKET_BYTES, NULL_ID, REQUEST, TOTALS, Opened, answer_parts, answers, batches, keys_of,
                                    opened, planes, requests, unplanes, with_answers)
 from newswake.llm.phrases import Hashed, mixed
 from newswake.llm.tables import text_of
@@ -68,14 +68,12 @@ class Tokens:
         self.token = np.empty(int(n.sum()), np.uint64)
         inner = np.ones(len(self.token), bool)
         inner[end] = False
-        self.token[inner] = Hashed(data).stretches(first, last) >> U(64 - BITS)
+        self.token[inner] = hashes(data, first, last) >> U(64 - BITS)
         self.token[end] = END
         before = np.empty_like(self.token)
         before[1:] = self.token[:-1]
         before[end - n + 1] = BEGIN
         pair = mixed(before * U(0xC2B2AE3D27D4EB4F) + self.token) >> U(64 - BITS)
-        # a context is a word too, and BEGIN opens each document
-        self.context = before
         self.flag = batch.flags[self.doc]
         self.keys, place = np.unique(np.concatenate([self.token, pair, np.array([BEGIN])]),
                                      return_inverse=True)
@@ -84,7 +82,6 @@ class Tokens:
         self.context_at = np.empty_like(self.word_at)
         self.context_at[1:] = self.word_at[:-1]
         self.context_at[end - n + 1] = self.begin_at
-        self.ends = end
 
     def ask(self, bucket_bits: int):
         """Counts in the kept and the deleted part of the training documents. A document adds one
@@ -117,18 +114,33 @@ class Tokens:
         return bucket_of(context), two, one
 
 
+def hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+    """Of the words at first..last, some thousands at a time."""
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(first), most):
+        f, e = first[i:i + most], last[i:i + most]
+        out.append(Hashed(data[f[0]:e[-1]]).stretches(f - f[0], e - f[0]))
+    return np.concatenate(out)
+
+
 def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1)).astype(np.int64), BUCKETS - 1)
 
 
 def sums(frame: pd.DataFrame):
+    """Requests of a bucket: keys asked for by each, different keys, their places, their counts."""
     keys = [keys_of(k) for k in frame["keys"]]
+    sizes = [len(k) for k in keys]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
     parts = []
     for column in ("a", "b"):
-        values = np.concatenate([unplanes(x, np.uint32) for x in frame[column]])
-        parts.append(np.bincount(place, values, len(every)))
-    return [len(k) for k in keys], every, place, parts[0], parts[0] + parts[1]
+        total, at = np.zeros(len(every), np.uint64), 0
+        for n, raw in zip(sizes, frame[column]):
+            total[place[at:at + n]] += unplanes(raw, np.uint32)  # keys of one request differ
+            at += n
+        parts.append(total)
+    return sizes, every, place, parts[0], parts[0] + parts[1]
 
 
 def combine_counts(frame: pd.DataFrame) -> list[bytes]:
@@ -138,7 +150,7 @@ def combine_counts(frame: pd.DataFrame) -> list[bytes]:
     out, at = [], 0
     for n in sizes:
         own = place[at:at + n]
-        out.append(planes(np.concatenate([kept[own], every[own]]).astype(np.uint64)))
+        out.append(planes(np.concatenate([kept[own], every[own]])))
         at += n
     word = (keys & U(1)).astype(bool)
     total = [kept[word].sum(), (kept[word] > 0).sum(), every[word].sum(), (every[word] > 0).sum()]
@@ -200,7 +212,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", parts: in
             + F.when(F.col(doc_id).isNull(), 4).otherwise(0))
     given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"),
                         part.cast("int").alias("flag"), text_of(text).alias("text"))
-    made = batches(given)
+    made = batches(given, bucket=BUCKET_BYTES // 2)
     bits = made.bucket_bits
 
     def tokens(row) -> tuple[Tokens, np.ndarray]:

@@ -1,8 +1,54 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes the documents that the one before kept, and its result is written as Parquet and
+read again, so a stage is never computed twice and a lost executor costs one stage at most. All
+stages but the last give rows of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from newswake.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from newswake.llm.tables import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy accepts."""
+    return quality_rules.accepted(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that differs in white space only: the longest, then smallest id."""
+    return exact_dedup.keep_one(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return simhash.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which sources are interleaved by their target weights."""
+    return mixing.mixed_order(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    found = packing.pieces(docs)
+    return packing.pack(found.select("doc_id", "piece", "start", "length",
+                                     F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near),
+          ("source mixing", mixed), ("packing", packed)]
+
+#: The tokenizer, the fingerprints and the packing rounds have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newswake.llm.components import components
 from newswake.llm.golay import around, nearest
+from newswake.llm.phrases import mixed
 from newswake.llm.tables import rows, stored, text_of, unpacked
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -30,22 +31,24 @@ SEED = 42
 CELL = 4096
 DENSE = 1024  # from so many pairs on a cell gives a forest
 RUN = 1 << 15
+PRINTS = 4
+WIDE_BITS = 12
 
 
-def fingerprint_of(text: str, shingle: int) -> int:
-    """The SimHash of a text as a signed 64-bit number."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of the shingles of a text, repeats included; of all its words if they are fewer."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()  # lowers A-Z only, splits at [\x20\x09-\x0D]
-    n = len(words) - shingle + 1
-    if not words:
-        return 0
-    if n < 2:
-        hashes = [xxh64_intdigest(b" ".join(words), SEED)]
+    if len(words) < shingle:
+        cut = [words] if words else []
     else:
-        hashes = [xxh64_intdigest(b" ".join(s), SEED)
-                  for s in zip(*[words[i:] for i in range(shingle)])]
-    h = np.array(hashes, dtype="<u8")
+        cut = zip(*[words[i:] for i in range(shingle)])
+    return np.array([xxh64_intdigest(b" ".join(s), SEED) for s in cut], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit number."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), RUN):
         ones += np.unpackbits(h[i:i + RUN].view(np.uint8).reshape(-1, 8), axis=1,
@@ -57,13 +60,25 @@ def fingerprint(shingle: int):
     @F.pandas_udf("long")
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint_of(t, shingle) for t in texts], dtype="int64")
+            yield pd.Series([majority(shingle_hashes(t, shingle)) for t in texts], dtype="int64")
+    return of_texts
+
+
+def fingerprints(shingle: int, prints: int):
+    """Several fingerprints of a text, from independent mixtures of the hashes of its shingles."""
+    @F.pandas_udf("array<long>")
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        odd = np.random.default_rng(SEED).integers(1, 1 << 62, prints, dtype=np.uint64) * np.uint64(2)
+        for texts in batches:
+            hashes = [shingle_hashes(t, shingle) for t in texts]
+            yield pd.Series([[majority(mixed(h ^ o)) for o in odd] for h in hashes])
     return of_texts
 
 
 def filed(batches):
-    """(fp) to (key, side, fp)."""
+    """(no, fp) to (key, side, fp): fingerprints of one number only meet each other."""
     for batch in batches:
+        no = batch["no"].to_numpy().astype(np.int64)
         fp = batch["fp"].to_numpy().view(np.uint64)
         parts = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.uint32) for at, n in SEGMENTS]
         near = [nearest(p).astype(np.int64) for p in parts]
@@ -72,7 +87,7 @@ def filed(batches):
             for side, (row, index) in enumerate((wide[s], wide[t])):
                 index = index.astype(np.int64)
                 key = (index << 12 | near[t][row]) if side == 0 else (near[s][row] << 12 | index)
-                yield pd.DataFrame({"key": key | pair << 24, "side": np.int8(side),
+                yield pd.DataFrame({"key": key | pair << 24 | no[row] << 26, "side": np.int8(side),
                                     "fp": batch["fp"].to_numpy()[row]})
 
 
@@ -112,17 +127,18 @@ def links_of(batches, most: int):
 def cells(rows: pd.DataFrame, starts: np.ndarray, most: int):
     if not len(starts):
         return
-    fp = rows["fp"].to_numpy().view(np.uint64)
+    fp, no = rows["fp"].to_numpy().view(np.uint64), rows["key"].to_numpy() >> 26
     ends = np.append(starts[1:], len(rows))
     rights = np.add.reduceat(rows["side"].to_numpy().astype(np.int64), starts)
     lefts = ends - starts - rights
     middle = starts + lefts
-    a, b = [], []
+    a, b, numbers = [], [], []
     pairs = lefts * rights
     for i in np.flatnonzero(pairs > DENSE):
         x, y = forest(fp[starts[i]:middle[i]], fp[middle[i]:ends[i]], most)
         a.append(np.array(x, np.uint64))
         b.append(np.array(y, np.uint64))
+        numbers.append(np.full(len(x), no[starts[i]]))
     small = np.flatnonzero((pairs > 0) & (pairs <= DENSE))
     step = max(1, (1 << 21) // DENSE)
     for s in range(0, len(small), step):
@@ -134,14 +150,17 @@ def cells(rows: pd.DataFrame, starts: np.ndarray, most: int):
         linked = (x != y) & (np.bitwise_count(x ^ y) <= most)
         a.append(x[linked])
         b.append(y[linked])
+        numbers.append(no[starts[g][cell[linked]]])
     if a and sum(map(len, a)):
         x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+        yield pd.DataFrame({"no": np.concatenate(numbers), "a": np.minimum(x, y),
+                            "b": np.maximum(x, y)}).drop_duplicates()
 
 
 def links(fps: DataFrame, most: int = BITS) -> DataFrame:
-    """Links (a, b), a < b, between different fingerprints `fp` that differ in `most` bits or fewer
-    (at most 3): enough of them to have the components of all."""
+    """Links (no, a, b), a < b, between different fingerprints (no, fp) of one number that differ in
+    `most` bits or fewer: up to 3 enough of them to have the components of all, beyond that those
+    that two segments with one error at most give away."""
     keyed = fps.mapInPandas(filed, "key long, side byte, fp long")
     crowded = (keyed.groupBy("key").count().filter(F.col("count") > CELL)
                .select("key", F.ceil(F.col("count") / CELL).cast("int").alias("cells")))
@@ -152,13 +171,14 @@ def links(fps: DataFrame, most: int = BITS) -> DataFrame:
     right = grid.filter("side = 1").select("key", every.alias("cell_l"), own.alias("cell_r"), "side", "fp")
     order = ["key", "cell_l", "cell_r"]
     dealt = left.unionByName(right).repartition(*order).sortWithinPartitions(*order, "side", "fp")
-    return dealt.mapInPandas(lambda b: links_of(b, most), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda b: links_of(b, most), "no long, a long, b long").distinct()
 
 
 def groups(prints: DataFrame, most: int = BITS) -> DataFrame:
     """fp, component_id of (fp, id): the smallest id reachable over links, null ids aside."""
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("own")))
-    root = components(links(nodes.select("fp"), most)).select(F.col("node").alias("fp"), "root")
+    one = nodes.select(F.lit(0).cast("long").alias("no"), "fp")
+    root = components(links(one, most)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("own").alias("component_id"))
     return rooted.join(lowest, "root").select("fp", "component_id")
@@ -178,3 +198,51 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = printed.join(groups(printed.select("fp", "id"), most), "fp").select(
         "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return unpacked(found, ["fingerprint", "component_id"])
+
+
+def alike(words: int, least: float):
+    @F.pandas_udf("boolean")
+    def compare(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right):
+            a, b = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both >= least * (len(a) + len(b) - both))
+        return pd.Series(out, dtype=bool)
+    return compare
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5,
+                similarity: float = 0.8, prints: int = PRINTS, shingle: int = 2,
+                most: int = WIDE_BITS) -> DataFrame:
+    """The rows with their own columns, one of each group of near-duplicates: the smallest id, null
+    ids last.
+
+    Groups are the components of links between texts whose sets of shingles of `words` words have a
+    Jaccard similarity of `similarity` or more. Candidates come from `prints` fingerprints of shorter
+    shingles, which an edit changes less; texts with one fingerprint are each compared with the
+    first of them, linked fingerprints by their first texts, so pairs stay within a few a text.
+    Null texts count as empty and equal each other. An empty table gives an empty result.
+    """
+    whole = text_of(text)
+    base = stored(rows(docs, id=F.col(doc_id), at=F.monotonically_increasing_id(), text=whole)
+                  .withColumn("fps", fingerprints(shingle, prints)("text")))
+    each = base.select("at", F.posexplode("fps").alias("no", "fp")).withColumn("no", F.col("no").cast("long"))
+    nodes = stored(each.groupBy("no", "fp").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    linked = links(nodes.select("no", "fp"), most)
+    first = lambda c: nodes.select("no", F.col("fp").alias(c), F.col("first").alias(f"at_{c}"))
+    across = linked.join(first("a"), ["no", "a"]).join(first("b"), ["no", "b"]).select(
+        F.least("at_a", "at_b").alias("x"), F.greatest("at_a", "at_b").alias("y"))
+    within = each.join(nodes.filter("n > 1"), ["no", "fp"]).select(F.col("first").alias("x"), F.col("at").alias("y"))
+    pairs = stored(across.unionByName(within).filter("x <> y").distinct())
+    texts = base.select("at", "text")
+    compared = (pairs.join(texts.withColumnRenamed("at", "x").withColumnRenamed("text", "left"), "x")
+                .join(texts.withColumnRenamed("at", "y").withColumnRenamed("text", "right"), "y"))
+    edges = compared.filter(alike(words, similarity)("left", "right")).select(
+        F.col("x").alias("a"), F.col("y").alias("b"))
+    member = components(edges).select(F.col("node").alias("at"), "root")
+    member = member.unionByName(member.select(F.col("root").alias("at"), "root").distinct())
+    known = member.join(base.select("at", "id"), "at")
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("best"))
+    dropped = stored(known.join(best, "root").filter("at <> best.at").select("at"))
+    return base.join(dropped, "at", "left_anti").select("row.*")

@@ -98,4 +98,5 @@ def phrases(h: Hashed, starts: np.ndarray, ends: np.ndarray):
     stop[:-1] &= ~valid[1:] | (trigger[1:] != trigger[:-1])
     last = np.flatnonzero(stop) + 1
     doc = np.searchsorted(starts, first, "right") - 1
-    return first, last, window[trigger[first]], doc
+    # least hashes are small numbers; mixed once more they spread evenly over buckets
+    return first, last, mixed(window[trigger[first]] ^ U(0x5851F42D4C957F2D)), doc

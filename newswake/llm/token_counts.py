@@ -91,7 +91,8 @@ def spliced(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         "tail_at array<long>, tail_n array<long>")
     encoded = stored(encoded)
     left = encoded.select("sha", (F.col("part") + 1).alias("part"), "tail_at", "tail_n")
-    meet = F.array_intersect("tail_at", "head_at")[0]  # in the order of the left chunk: the first
+    # in the order of the left chunk; the first, or null
+    meet = F.get(F.array_intersect("tail_at", "head_at"), F.lit(0))
 
     def before(at: str, n: str) -> Column:
         return F.get(F.col(n), (F.array_position(at, meet) - 1).cast("int"))

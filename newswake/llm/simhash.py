@@ -31,7 +31,7 @@ SEED = 42
 CELL = 4096
 DENSE = 1024  # from so many pairs on a cell gives a forest
 RUN = 1 << 15
-PRINTS = 4
+PRINTS = 3
 WIDE_BITS = 12
 
 
@@ -76,7 +76,8 @@ def fingerprints(shingle: int, prints: int):
 
 
 def filed(batches):
-    """(no, fp) to (key, side, fp): fingerprints of one number only meet each other."""
+    """(no, fp) to (key, fp). The key ends in the side, 0 for left; fingerprints of one number only
+    meet each other."""
     for batch in batches:
         no = batch["no"].to_numpy().astype(np.int64)
         fp = batch["fp"].to_numpy().view(np.uint64)
@@ -87,8 +88,8 @@ def filed(batches):
             for side, (row, index) in enumerate((wide[s], wide[t])):
                 index = index.astype(np.int64)
                 key = (index << 12 | near[t][row]) if side == 0 else (near[s][row] << 12 | index)
-                yield pd.DataFrame({"key": key | pair << 24 | no[row] << 26, "side": np.int8(side),
-                                    "fp": batch["fp"].to_numpy()[row]})
+                key = key | pair << 24 | no[row] << 26
+                yield pd.DataFrame({"key": key << 1 | side, "fp": batch["fp"].to_numpy()[row]})
 
 
 def forest(left: np.ndarray, right: np.ndarray, most: int) -> tuple[list, list]:
@@ -109,14 +110,13 @@ def forest(left: np.ndarray, right: np.ndarray, most: int) -> tuple[list, list]:
 
 
 def links_of(batches, most: int):
-    """Rows (key, cell_l, cell_r, side, fp) in the order of these to links (a, b)."""
+    """Rows (key, cell, fp), in the order of key without its side, cell, key, to links (no, a, b)."""
     held = None
     for batch in batches:
         now = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        cols = [now[c].to_numpy() for c in ("key", "cell_l", "cell_r")]
+        key, cell = now["key"].to_numpy() >> 1, now["cell"].to_numpy()
         new = np.ones(len(now), bool)
-        if len(now) > 1:
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        new[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
         starts = np.flatnonzero(new)
         held = now.iloc[starts[-1]:]  # the last cell may go on: at most two sides of CELL
         yield from cells(now.iloc[:starts[-1]], starts[:-1], most)
@@ -127,9 +127,10 @@ def links_of(batches, most: int):
 def cells(rows: pd.DataFrame, starts: np.ndarray, most: int):
     if not len(starts):
         return
-    fp, no = rows["fp"].to_numpy().view(np.uint64), rows["key"].to_numpy() >> 26
+    fp, key = rows["fp"].to_numpy().view(np.uint64), rows["key"].to_numpy()
+    no = key >> 27
     ends = np.append(starts[1:], len(rows))
-    rights = np.add.reduceat(rows["side"].to_numpy().astype(np.int64), starts)
+    rights = np.add.reduceat(key & 1, starts)
     lefts = ends - starts - rights
     middle = starts + lefts
     a, b, numbers = [], [], []
@@ -161,16 +162,23 @@ def links(fps: DataFrame, most: int = BITS) -> DataFrame:
     """Links (no, a, b), a < b, between different fingerprints (no, fp) of one number that differ in
     `most` bits or fewer: up to 3 enough of them to have the components of all, beyond that those
     that two segments with one error at most give away."""
-    keyed = fps.mapInPandas(filed, "key long, side byte, fp long")
-    crowded = (keyed.groupBy("key").count().filter(F.col("count") > CELL)
-               .select("key", F.ceil(F.col("count") / CELL).cast("int").alias("cells")))
-    grid = keyed.join(crowded, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    left = grid.filter("side = 0").select("key", own.alias("cell_l"), every.alias("cell_r"), "side", "fp")
-    right = grid.filter("side = 1").select("key", every.alias("cell_l"), own.alias("cell_r"), "side", "fp")
-    order = ["key", "cell_l", "cell_r"]
-    dealt = left.unionByName(right).repartition(*order).sortWithinPartitions(*order, "side", "fp")
+    keyed = fps.mapInPandas(filed, "key long, fp long")
+    pair = F.shiftright("key", 1)
+    crowded = stored(keyed.groupBy(pair.alias("pair")).count().filter(F.col("count") > CELL)
+                     .select("pair", F.ceil(F.col("count") / CELL).cast("int").alias("cells")))
+    if crowded.isEmpty():
+        dealt = keyed.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        grid = keyed.withColumn("pair", pair).join(crowded, "pair", "left").withColumn(
+            "cells", F.coalesce("cells", F.lit(1)))
+        own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("long")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+        left = F.col("key").bitwiseAND(1) == 0
+        dealt = grid.select("key", "fp", own.alias("own"), other.alias("other")).withColumn(
+            "cell", F.when(left, F.shiftleft("own", 20) + F.col("other"))
+            .otherwise(F.shiftleft("other", 20) + F.col("own")))
+    dealt = (dealt.select("key", "cell", "fp").repartition(pair, "cell")
+             .sortWithinPartitions(pair, "cell", "key", "fp"))
     return dealt.mapInPandas(lambda b: links_of(b, most), "no long, a long, b long").distinct()
 
 
@@ -235,7 +243,9 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
         F.least("at_a", "at_b").alias("x"), F.greatest("at_a", "at_b").alias("y"))
     within = each.join(nodes.filter("n > 1"), ["no", "fp"]).select(F.col("first").alias("x"), F.col("at").alias("y"))
     pairs = stored(across.unionByName(within).filter("x <> y").distinct())
-    texts = base.select("at", "text")
+    # only texts of pairs are moved; whether their ids are broadcast is left to the size of the table
+    paired = stored(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct())
+    texts = stored(base.join(paired, "at", "left_semi").select("at", "text"))
     compared = (pairs.join(texts.withColumnRenamed("at", "x").withColumnRenamed("text", "left"), "x")
                 .join(texts.withColumnRenamed("at", "y").withColumnRenamed("text", "right"), "y"))
     edges = compared.filter(alike(words, similarity)("left", "right")).select(

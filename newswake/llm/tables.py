@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,10 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """The paths of the work tables that are stored inside, for `drop_stored`."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Remove work tables whose results have been written."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once to shared storage and read back: later steps neither compute them
     again nor depend on shuffle files of an executor that may be lost."""
     path = f"{shared_dir(df.sparkSession)}/newswake-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

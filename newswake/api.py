@@ -13,12 +13,13 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newswake.functions.dates import as_date, date_context
+from newswake.functions.dates import as_date, date_context, seoul_midnight
 from newswake.functions.words import EVENT_TERMS
 from newswake.operators import disclosures as ds, documents as dc, gap_reports as rep
 from newswake.operators import patterns as pt, prices as pr, search as se, trust as tr
 from newswake.operators.gaps import GapRules
 from newswake.operators.labels import Label, classify, starter_registry
+from newswake.operators.upsert import first_per_key
 from newswake.plans import study
 from newswake.schemas import EVENT_RETURNS_HISTORY, NEWS_GAPS, NEWS_RETURNS, conform
 from newswake.sources import writers
@@ -68,7 +69,8 @@ class Engine:
         return study.run_counters(outcomes)
 
     def _save_gaps(self, signals: DataFrame) -> None:
-        rows = signals.dropDuplicates(GAP_KEYS).withColumn("detected_at", F.current_timestamp())
+        rest = F.struct(*[c for c in signals.columns if c not in GAP_KEYS])
+        rows = first_per_key(signals, GAP_KEYS, rest).withColumn("detected_at", F.current_timestamp())
         writers.upsert_table(conform(rows, NEWS_GAPS), self.path("news_gaps"), GAP_KEYS,
                              "news_date", GAP_UPDATES)
 
@@ -139,7 +141,7 @@ class Engine:
 
     def _range(self, text: str, as_of: str | date) -> tuple:
         c = date_context(F.lit(text), as_of)
-        return c["start"].cast("timestamp"), F.date_add(c["end"], 1).cast("timestamp")
+        return seoul_midnight(c["start"]), seoul_midnight(F.date_add(c["end"], 1))
 
     def search(self, text: str, as_of: str | date, companies: Sequence[str] = (),
                event_phrases: Sequence[str] = (), event_labels: Sequence[str] = (),
@@ -168,7 +170,7 @@ class Engine:
 
     def _disclosure_points(self, text: str, as_of: str | date, companies, corp_codes) -> DataFrame:
         articles = self.spark.range(1).select(
-            F.lit(0).alias("article_id"), F.lit(text[:100]).alias("title"), F.lit(text).alias("body"),
+            F.lit(0).alias("article_id"), F.lit(text).alias("title"), F.lit(text).alias("body"),
             as_date(as_of).alias("article_date"),
             F.explode(F.array(*[F.lit(c) for c in corp_codes])).alias("corp_code"),
             F.array(*[F.lit(c) for c in companies]).cast("array<string>").alias("companies"))

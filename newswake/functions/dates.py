@@ -6,6 +6,8 @@ from datetime import date
 
 from pyspark.sql import Column, functions as F
 
+SEOUL = "Asia/Seoul"
+
 
 def to_event_date(value: Column) -> Column:
     """DATE from `yyyyMMdd`, `yyyy-MM-dd`, `yyyy/MM/dd` or `yyyy.MM.dd` text; null when none fits."""
@@ -23,21 +25,34 @@ def to_yyyymmdd(value: Column) -> Column:
 
 
 def published_at(text: Column) -> Column:
-    """Korean wall-clock text in one of four formats, as a UTC instant; null when none fits."""
+    """Korean wall-clock text in one of four formats, as an instant; null when none fits.
+
+    The same in a session of any time zone."""
     t = F.trim(text)
-    local = F.coalesce(
-        F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-               F.try_to_timestamp(t, F.lit("yyyy-M-d H:m:s"))),
-        F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(t, F.lit("yyyy-M-d"))),
-        F.when(t.rlike(r"^\d{4}\.\d{1,2}\.\d{1,2}$"), F.try_to_timestamp(t, F.lit("yyyy.M.d"))),
-        F.when(t.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_timestamp(t, F.lit("yyyy/M/d"))),
-    )
-    return F.to_utc_timestamp(local, "Asia/Seoul")
+    full = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$"
+    day = r"^(\d{4})([-./])(\d{1,2})\2(\d{1,2})$"
+
+    def at(pattern: str, *groups: int) -> Column:
+        part = [F.regexp_extract(t, pattern, g).try_cast("int") for g in groups]
+        return F.try_make_timestamp(*part[:3], *(part[3:] or [F.lit(0)] * 3), F.lit(SEOUL))
+
+    return F.when(t.rlike(full), at(full, 1, 2, 3, 4, 5, 6)).when(t.rlike(day), at(day, 1, 3, 4))
+
+
+def seoul_clock(instant: Column) -> Column:
+    """What a clock in Seoul shows at an instant, as a timestamp without a zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit(SEOUL), instant.cast("timestamp_ntz"))
+
+
+def seoul_midnight(day: Column) -> Column:
+    """The instant at which a day begins in Seoul."""
+    return F.make_timestamp(F.year(day), F.month(day), F.day(day), F.lit(0), F.lit(0), F.lit(0),
+                            F.lit(SEOUL))
 
 
 def seoul_text(instant: Column) -> Column:
-    """UTC instant as `yyyy-MM-dd HH:mm:ss` on the Seoul clock."""
-    return F.date_format(F.from_utc_timestamp(instant, "Asia/Seoul"), "yyyy-MM-dd HH:mm:ss")
+    """An instant as `yyyy-MM-dd HH:mm:ss` on the Seoul clock."""
+    return F.date_format(seoul_clock(instant), "yyyy-MM-dd HH:mm:ss")
 
 
 def as_date(value: date | str | Column) -> Column:

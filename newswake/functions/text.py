@@ -92,11 +92,13 @@ def ngrams(words: Column, n: int, sep: str = " ") -> Column:
     return let(words, lambda w: _runs(w, n, sep))
 
 
-def keyphrases(title: Column, limit: int = 32) -> Column:
-    """Words, pairs and triples with and without their spaces; distinct, sorted, first `limit`."""
+def keyphrases(title: Column, limit: int | None = None) -> Column:
+    """Words, pairs and triples with and without their spaces; distinct and sorted, all of them
+    or the first `limit`."""
     every = let(tokens(title), lambda w: F.concat(
         w, _runs(w, 2, " "), _runs(w, 2, ""), _runs(w, 3, " "), _runs(w, 3, "")))
-    return F.slice(F.sort_array(F.array_distinct(every)), 1, limit)
+    phrases = F.sort_array(F.array_distinct(every))
+    return phrases if limit is None else F.slice(phrases, 1, limit)
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
@@ -222,8 +224,9 @@ def amounts(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0))
 
 
-def counterparties(text: Column, limit: int = 5) -> Column:
-    """Contract parties named in a text, by three wordings; distinct, at most 50 letters long."""
+def counterparties(text: Column, limit: int | None = None, longest: int | None = None) -> Column:
+    """Contract parties named in a text, by three wordings; distinct, all of them or the first
+    `limit` of at most `longest` letters."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
     names = r"[가-힣A-Za-z0-9\s]+"
     found = lambda p, least: F.filter(
@@ -236,14 +239,15 @@ def counterparties(text: Column, limit: int = 5) -> Column:
         found(r"(?:주식회사|㈜|\(주\))\s*([가-힣A-Za-z0-9]+)", 1),
         lambda m: F.concat(F.lit("(주)"), m))
     every = F.filter(F.concat(with_party, labelled, company_form),
-                     lambda m: (m != "") & (F.length(m) <= 50))
-    return F.slice(F.array_distinct(every), 1, limit)
+                     lambda m: (m != "") & ((F.length(m) <= longest) if longest else F.lit(True)))
+    names = F.array_distinct(every)
+    return names if limit is None else F.slice(names, 1, limit)
 
 
 def text_key(text: Column, title: Column | None = None) -> Column:
-    """md5 of the first 500 letters plus the title: equal keys share one extraction."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, 500)
-    return F.md5(F.concat(head, F.coalesce(title, F.lit(""))) if title is not None else head)
+    """md5 of the whole text plus the title: equal keys share one extraction."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.md5(F.concat(whole, F.coalesce(title, F.lit(""))) if title is not None else whole)
 
 
 def long_enough(text: Column, least: int = 5, most: int | None = None) -> Column:

@@ -11,8 +11,6 @@ from newswake.functions.words import EVENT_NAMES
 from newswake.operators.labels import synonym_events
 from newswake.schemas import NEWS_DOCUMENT, conform
 
-BODY_LETTERS = 5000
-
 
 def normalise_company(name: Column) -> Column:
     return tx.strip_company_form(name)
@@ -35,7 +33,7 @@ def build(articles: DataFrame, synonyms: Sequence[tuple[str, str]] = (),
         url.alias("_url"), keys["oid"].alias("_oid"), keys["aid"].alias("_aid"),
         tx.canonical_url(url).alias("_canonical"),
         tx.split_companies(F.col("stock_name")).alias("_raw"))
-    iso = F.date_format(F.from_utc_timestamp("_at", "Asia/Seoul"), "yyyy-MM-dd'T'HH:mm:ss'+09:00'")
+    iso = F.date_format(dates.seoul_clock(F.col("_at")), "yyyy-MM-dd'T'HH:mm:ss'+09:00'")
     names = tx.distinct_names(F.transform("_raw", normalise_company))
     by_rule = synonym_events(F.col("_title"), synonyms) if synonyms else None
     none = F.array().cast("array<string>")
@@ -60,7 +58,7 @@ def build(articles: DataFrame, synonyms: Sequence[tuple[str, str]] = (),
         names.alias("companies"), F.transform(names, lambda n: F.lower(n)).alias("companies_kw"),
         F.col("_raw").alias("companies_raw"), none.alias("tickers"), events.alias("events"),
         codes.alias("event_codes"), conf.alias("event_conf"),
-        F.substring("body", 1, BODY_LETTERS).alias("body"))
+        F.col("body"))
     return conform(rows, NEWS_DOCUMENT)
 
 

@@ -27,11 +27,11 @@ def similarity(companies: Column, events: Column, q_companies: Column, q_events:
 
 
 def similar_cases(docs: DataFrame, companies: Sequence[str], events: Sequence[str], start: Column,
-                  end: Column, min_similarity: float = 0.0, size: int = 100) -> DataFrame:
-    """Documents that share a company or an event with the query, newest first within a score.
+                  end: Column, min_similarity: float = 0.0, size: int | None = None) -> DataFrame:
+    """All documents that share a company or an event with the query, graded by `similarity`; with
+    `size` only the first ones by (score, date).
 
-    A matching feature group scores 1, as the search engine's constant term queries do; the top
-    `size` by (score, date) are graded by `similarity`.
+    A matching feature group scores 1, as the search engine's constant term queries do.
     """
     q_companies, q_events = text_array(companies), text_array(events)
     by_company = F.coalesce(F.arrays_overlap("companies", q_companies), F.lit(False))
@@ -40,8 +40,9 @@ def similar_cases(docs: DataFrame, companies: Sequence[str], events: Sequence[st
                 if wants_event else F.lit(False))
     score = by_company.cast("double") + by_event.cast("double")
     hits = (docs.filter(F.col("published_at").between(start, end) & (by_company | by_event))
-            .withColumn("score", score)
-            .orderBy(F.desc("score"), F.desc("published_at"), "id").limit(size))
+            .withColumn("score", score))
+    if size is not None:
+        hits = hits.orderBy(F.desc("score"), F.desc("published_at"), "id").limit(size)
     graded = hits.withColumn("similarity", F.round(similarity(
         F.col("companies"), F.col("event_codes"), q_companies, q_events, F.col("score")), 2))
     return graded.filter(F.col("similarity") >= min_similarity)
@@ -89,15 +90,23 @@ def interval_groups(events: DataFrame, keys: list[str], date_col: str, least: in
 def mean_interval(cases: DataFrame, least: int = 5) -> DataFrame:
     """One row (n, mean_gap): mean of the whole days between consecutive cases.
 
-    Cases come from a search with a fixed size, so their dates fit one sorted array.
+    Gaps are taken inside blocks of 30 days, which many tasks share, and then from block to block:
+    only the first and last case of each block of the time span meet in one window.
     """
-    dated = cases.filter(F.col("published_at").isNotNull())
-    t = F.array_sort(F.collect_list(F.unix_timestamp("published_at")))
-    days = F.zip_with(F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), F.slice(
-        "t", 1, F.greatest(F.size("t") - 1, F.lit(1))), lambda b, a: F.floor((b - a) / 86400))
-    total = F.aggregate(days, F.lit(0).cast("long"), lambda s, x: s + x)
-    return (dated.agg(t.alias("t"), F.count("*").alias("n")).filter(F.col("n") >= least)
-            .select("n", (total / (F.col("n") - 1)).alias("mean_gap")))
+    t = F.unix_timestamp("published_at")
+    dated = cases.filter(F.col("published_at").isNotNull()).select(t.alias("t")).withColumn(
+        "block", F.floor(F.col("t") / (30 * 86400)))
+    days = lambda b, a: F.floor((b - a) / 86400)
+    # cases of one instant have no days between them, so one of them stands for all
+    instants = dated.groupBy("block", "t").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("block").orderBy("t")
+    blocks = (instants.withColumn("gap", days(F.col("t"), F.lag("t").over(inside))).groupBy("block")
+              .agg(F.sum("n").alias("n"), F.sum("gap").alias("gap"), F.min("t").alias("first"),
+                   F.max("t").alias("last")))
+    across = days(F.col("first"), F.lag("last").over(Window.orderBy("block")))
+    total = F.coalesce(F.sum("gap"), F.lit(0)) + F.coalesce(F.sum("across"), F.lit(0))
+    return (blocks.withColumn("across", across).agg(F.sum("n").alias("n"), total.alias("total"))
+            .filter(F.col("n") >= least).select("n", (F.col("total") / (F.col("n") - 1)).alias("mean_gap")))
 
 
 def gaps_between(events: DataFrame, keys: list[str], date_col: str) -> DataFrame:
@@ -116,8 +125,9 @@ def outcome_mode(cases: DataFrame, col: str = "trust_outcome") -> DataFrame:
             .withColumn("share", F.col("count") / total))
 
 
-def mean_similarity(cases: DataFrame, top: int = 20) -> DataFrame:
-    return top_cases(cases, top).agg(F.count("*").alias("n"),
+def mean_similarity(cases: DataFrame, top: int | None = None) -> DataFrame:
+    """Over all cases, or the `top` most similar ones."""
+    return (cases if top is None else top_cases(cases, top)).agg(F.count("*").alias("n"),
                                      F.avg("similarity").alias("mean_similarity"))
 
 

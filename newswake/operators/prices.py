@@ -28,6 +28,7 @@ def daily_close(prices: DataFrame) -> DataFrame:
 def forward_closes(series: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Add, per row, the close and date of the h-th later trading day and the previous date."""
     w = Window.partitionBy("stock_code").orderBy("trade_date")
+    series = daily_close(series)
     cols = [F.lag("trade_date").over(w).alias("prev_date")]
     for h in horizons:
         cols += [F.lead("close_price", h).over(w).alias(f"close_{h}d"),
@@ -87,7 +88,7 @@ def price_path(series: DataFrame, start: Column, days: int = 10) -> DataFrame:
     """The next `days` closes of every code from `start` on, numbered from 1."""
     w = Window.partitionBy("stock_code").orderBy("trade_date")
     return (
-        series.filter(F.col("trade_date") >= start)
+        daily_close(series.filter(F.col("trade_date") >= start))
         .withColumn("step", F.row_number().over(w))
         .filter(F.col("step") <= days)
         .select("stock_code", F.col("step").cast("int").alias("step"), "trade_date",
@@ -122,7 +123,7 @@ def first_last_change(series: DataFrame, start: Column, end: Column) -> DataFram
     """
     close = F.col("close_price").cast("double")
     return (
-        series.filter(F.col("trade_date").between(start, end))
+        daily_close(series.filter(F.col("trade_date").between(start, end)))
         .groupBy("stock_code")
         .agg(F.min_by(close, "trade_date").alias("first_close"),
              F.max_by(close, "trade_date").alias("last_close"),

@@ -235,7 +235,7 @@ class SearchRequest:
 
 
 def parse_intent(text: str, synonyms: Sequence[tuple[str, str]], terms: Sequence[str],
-                 companies: Sequence[str] = (), limit: int = 10) -> SearchRequest:
+                 companies: Sequence[str] = (), limit: int | None = None) -> SearchRequest:
     """Event codes and keywords of a query text by the synonym list and the fixed terms."""
     low = text.lower()
     hits = [(a, c) for a, c in synonyms if a and a in low]
@@ -262,17 +262,16 @@ def _clauses(request: SearchRequest):
     text_words = phrase_words(request.text)
     rest = residual(request)
     if request.event_phrases:
-        for i, phrase in enumerate(p for p in request.event_phrases if p):
+        for phrase in filter(None, request.event_phrases):
             w = phrase_words(phrase)
             out.append(("phrase", "title", w, 3.0, {"slop": 3}))
             if len(phrase.split()) > 1:
                 out.append(("match", "title", w, 2.5, {"operator": "and"}))
             out.append(("match", "title", w, 2.0, {"min_share": 0.5}))
             out.append(("match", "body", w, 1.5, {"min_share": 0.3}))
-            if i < 2:
-                for company in request.companies[:2]:
-                    out.append(("phrase", "title", phrase_words(f"{company} {phrase}"), 9.0,
-                                {"slop": 12}))
+            for company in request.companies:
+                out.append(("phrase", "title", phrase_words(f"{company} {phrase}"), 9.0,
+                            {"slop": 12}))
     if request.event_codes:
         from newswake.functions.words import EVENT_NAMES
         out.append(("match", "events", text_words, 8.0, {}))
@@ -296,13 +295,14 @@ def _clauses(request: SearchRequest):
 
 def search(docs: DataFrame, request: SearchRequest, now: Column, start: Column, end: Column,
            top: int = 20) -> DataFrame:
-    """Top documents for a request over (id, title, body, events, companies_kw, event_codes, ...).
+    """Top documents for a request over (id, title, body, events, companies_kw, event_codes, ...),
+    published from `start` on and before `end`.
 
     The date range and the needed columns reach the scan; scoring is one pass over the remaining
     rows and the top-k keeps `top` rows per task. Two small aggregates over the same range give
     the corpus numbers.
     """
-    ranged = docs.filter(F.col("published_at").between(start, end))
+    ranged = docs.filter((F.col("published_at") >= start) & (F.col("published_at") < end))
     texts = {"title": F.col("title"), "body": F.col("body"),
              "events": F.concat_ws(" ", F.col("events"))}
     clauses = [c for c in _clauses(request) if c[2]]
@@ -350,7 +350,7 @@ def search(docs: DataFrame, request: SearchRequest, now: Column, start: Column,
     base = total if request.flexible or not lowered else total + 1.0
     scored = rows.filter(required).withColumn("score", F.round(base * factor, 6))
     return (scored.filter(F.col("score") > 0).orderBy(F.desc("score"), "id").limit(top)
-            .select("id", "score", "title", F.substring("body", 1, 500).alias("body"), "publisher",
+            .select("id", "score", "title", "body", "publisher",
                     "published_at", "url", "companies", "events", "event_codes", "tickers"))
 
 

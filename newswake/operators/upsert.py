@@ -45,7 +45,3 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str],
 
     return joined.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in existing.columns])
 
-
-def news_key(news_id: Column) -> Column:
-    """Stored news ids are unique on their first 255 letters."""
-    return F.substring(news_id, 1, 255)

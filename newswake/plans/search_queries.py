@@ -186,7 +186,7 @@ def function_score(spark, sf):
 
 @query("company_event_search", f"""
 WITH {DOCS_SQL}, ranged AS (
-  SELECT * FROM docs WHERE published_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 400 DAY AND TIMESTAMP '{NOW}'),
+  SELECT * FROM docs WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY AND published_at < TIMESTAMP '{NOW}'),
 w AS (SELECT id, regexp_extract_all(lower(title), {WORD_SQL}) AS w FROM ranged),
 t AS (
   SELECT id, len(w)::DOUBLE AS dl, len(list_filter(w, lambda x: x = 'the'))::DOUBLE AS t0,
@@ -412,8 +412,8 @@ CASES_SQL = f"""{DOCS_SQL}, scored AS (
     (len(list_intersect({Q_COMPANIES}, companies)) + len(list_intersect({Q_EVENTS}, event_codes))) / 5.0::DOUBLE
       AS similarity
   FROM docs WHERE published_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 365 DAY AND TIMESTAMP '{NOW}'),
-hundred AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, published_at DESC, id LIMIT 100),
-cases AS (SELECT * REPLACE (round(similarity, 2) AS similarity) FROM hundred WHERE round(similarity, 2) >= 0.3)"""
+cases AS (SELECT * REPLACE (round(similarity, 2) AS similarity) FROM scored
+          WHERE score > 0 AND round(similarity, 2) >= 0.3)"""
 
 
 @query("similar_cases", f"""
@@ -477,12 +477,30 @@ def pattern_outcome(spark, sf):
 
 
 @query("pattern_mean_similarity", f"""
-WITH {CASES_SQL}, t AS (SELECT similarity FROM cases ORDER BY similarity DESC, published_at DESC, id LIMIT 20)
-SELECT count(*) AS n, round(avg(similarity), 6) AS mean_similarity FROM t""")
+WITH {CASES_SQL} SELECT count(*) AS n, round(avg(similarity), 6) AS mean_similarity FROM cases""")
 def pattern_mean_similarity(spark, sf):
     return r6(pt.mean_similarity(_cases(spark, sf)), "mean_similarity")
 
 
-@query("pattern_insights")
+@query("pattern_insights", f"""
+WITH {CASES_SQL}, n AS (SELECT count(*) AS n FROM cases),
+c AS (SELECT unnest(companies) AS value FROM cases), e AS (SELECT unnest(event_codes) AS value FROM cases),
+old AS (SELECT count(*) AS n, count(*) FILTER (
+  floor(epoch(TIMESTAMP '{NOW}' - published_at) / 86400) <= 30) AS recent FROM cases),
+gaps AS (SELECT floor(epoch(published_at - lag(published_at) OVER (ORDER BY published_at)) / 86400) AS g FROM cases),
+q AS (SELECT sum(g) / (count(*) - 1) AS mean_gap, count(*) AS n FROM gaps)
+SELECT 'frequent_company' AS pattern_type, value, count(*) AS frequency,
+  round(least(1.0, count(*)::DOUBLE / max(n)), 6) AS confidence FROM c, n GROUP BY value
+  HAVING count(*) >= 3 QUALIFY row_number() OVER (ORDER BY count(*) DESC, value) = 1
+UNION ALL SELECT 'frequent_event', value, count(*), round(least(1.0, count(*)::DOUBLE / max(n)), 6) FROM e, n
+  GROUP BY value HAVING count(*) >= 3 QUALIFY row_number() OVER (ORDER BY count(*) DESC, value) = 1
+UNION ALL SELECT 'recent_spike', NULL, recent, round(recent::DOUBLE / n, 6) FROM old
+  WHERE n >= 5 AND recent >= n * 0.5
+UNION ALL SELECT 'quarterly_pattern', CAST(CAST(floor(mean_gap) AS BIGINT) AS VARCHAR), n, 0.7 FROM q
+  WHERE n >= 5 AND mean_gap BETWEEN 80 AND 100
+UNION ALL SELECT 'trust_pattern', trust_outcome, count(*),
+  round(count(*)::DOUBLE / (SELECT count(trust_outcome) FROM cases), 6) FROM cases
+  WHERE trust_outcome IS NOT NULL GROUP BY trust_outcome
+  QUALIFY row_number() OVER (ORDER BY count(*) DESC, trust_outcome) = 1""")
 def pattern_insights(spark, sf):
     return r6(pt.insights(_cases(spark, sf), _now()), "confidence")

@@ -10,7 +10,7 @@ from newswake.functions.dates import as_date
 from newswake.operators import expectation as ex, gaps as gp, prices as pr
 from newswake.operators.gaps import GapRules
 from newswake.operators.news import news_facts
-from newswake.operators.upsert import news_key
+from newswake.operators.upsert import first_per_key
 from newswake.schemas import RETURN
 
 Day = date | str | Column
@@ -43,13 +43,17 @@ def build_news_returns(news: DataFrame, alias_map: DataFrame, prices: DataFrame,
     anchored = anchored_facts(news_between(news, start, end), alias_map,
                               _prices_around(prices, start, end, pad_days), start, end)
     return (
-        anchored.withColumn("news_key", news_key(F.col("news_id")))
-        .dropDuplicates(["news_key", "stock_code", "event_code"])
+        _first(anchored, ["news_id", "stock_code", "event_code"])
         .select("news_id", "stock_code", "stock_name", "event_code", "news_date", "anchor_price",
                 *[F.col(f"return_{h}d").cast(RETURN).alias(f"return_{h}d") for h in pr.HORIZONS])
     )
 
 
+def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, of repeats that differ the first in the order of all other columns."""
+    return first_per_key(rows, keys, F.struct(*[c for c in rows.columns if c not in keys]))
+
+
 def label_outcomes(events: DataFrame, stock_list: DataFrame, prices: DataFrame,
                    first_day: Day) -> DataFrame:
     """Every labelled disclosure with the reason it is or is not kept, for counters and saving.
@@ -74,8 +78,7 @@ def label_outcomes(events: DataFrame, stock_list: DataFrame, prices: DataFrame,
 def build_event_history(outcomes: DataFrame) -> DataFrame:
     """`event_returns_history` rows: the saved outcomes, one per (stock, day, event)."""
     return (
-        outcomes.filter(F.col("status") == "saved")
-        .dropDuplicates(["stock_code", "event_date", "event_code"])
+        _first(outcomes.filter(F.col("status") == "saved"), ["stock_code", "event_date", "event_code"])
         .select("stock_code", "event_date", "event_code", "anchor_date", "anchor_price",
                 *[F.col(f"return_{h}d").cast(RETURN).alias(f"return_{h}d") for h in pr.HORIZONS],
                 F.lit(0).cast("long").alias("volume"),

@@ -75,7 +75,7 @@ g AS (
 a AS (
   SELECT doc_id, list_sort(list_distinct(list_concat(w, b, list_transform(b, lambda x: replace(x, ' ', '')),
     t, list_transform(t, lambda x: replace(x, ' ', ''))))) AS p FROM g)
-SELECT doc_id, array_to_string(p[1:32], '|') AS phrases FROM a""")
+SELECT doc_id, array_to_string(p, '|') AS phrases FROM a""")
 def keyphrases(spark, sf):
     return documents(spark, sf).select(
         "doc_id", F.concat_ws("|", tx.keyphrases(F.col("text"))).alias("phrases"))
@@ -196,7 +196,7 @@ def stored_vectors(spark, sf):
 
 
 @query("text_keys", """
-SELECT md5(substr(text, 1, 500) || lang) AS text_key, count(*) AS n, min(doc_id) AS first_doc
+SELECT md5(text || lang) AS text_key, count(*) AS n, min(doc_id) AS first_doc
 FROM documents GROUP BY 1""")
 def text_keys(spark, sf):
     return (documents(spark, sf)
@@ -248,7 +248,7 @@ SELECT title, 'https://news.example.com/a b?aid=' || doc_id || '&oid=' || k AS c
   strftime(DATE '2024-06-30' - CAST(doc_id % 1000 AS INTEGER) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S')
     AS published_at,
   CAST({TIER_SQL} AS DOUBLE) AS publisher_tier, 'Source ' || k || '|Press' AS companies,
-  length(substr(text, 1, 5000)) AS body_length,
+  length(text) AS body_length,
   concat_ws('|', CASE WHEN contains(lower(title), 'tion') OR contains(lower(title), 'ciónll')
                       THEN 'movement' END,
     CASE WHEN contains(lower(title), 'eaux') THEN 'water' END,

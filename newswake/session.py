@@ -36,11 +36,16 @@ def get_session(app_name: str = "newswake", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own if it names one, else a new local one."""
+    """The shared folder for checkpoints and work tables that the cluster names. Only a session in
+    one process gets a folder of its own; on a cluster that names none this is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    return tempfile.mkdtemp(prefix="newswake-ckpt-")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="newswake-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own

@@ -37,12 +37,12 @@ def month_of(date_col: str) -> Column:
 
 def upsert_table(incoming: DataFrame, path: str, keys: list[str], date_col: str,
                  update_cols: list[str] | None = None) -> None:
-    """Merge rows into a Parquet table kept in month partitions of `date_col`.
+    """Merge rows into a Parquet table kept in month partitions of `date_col` (one for null dates).
 
-    A key's date does not change, so only the months of the incoming rows are read and rewritten.
-    Rows keyed to the same key must be reduced to one before. The new partitions are written
-    beside the old ones and swapped in by the commit of the job, so a lost executor or a failed
-    job leaves the table as it was.
+    Rows keyed to the same key must be reduced to one before. Read and rewritten are the months of
+    the incoming rows and those where their keys are stored. The new partitions are written beside
+    the old ones and swapped in by the commit of the job, so a lost executor or a failed job leaves
+    the table as it was; a month that its only rows have left is removed after that.
     """
     spark = incoming.sparkSession
     fresh = incoming.withColumn("month", month_of(date_col))
@@ -51,9 +51,31 @@ def upsert_table(incoming: DataFrame, path: str, keys: list[str], date_col: str,
         return
     stored = spark.read.option("mergeSchema", "true").parquet(path).withColumn(
         "month", F.col("month").cast("string"))
-    # partition names of the batch: at most one value per month, pruned statically in the scan
-    months = [r.month for r in fresh.select("month").distinct().collect()]
-    touched = stored.filter(F.col("month").isin(months)).select(*fresh.columns)
-    merged = upsert(touched, fresh, keys, None if update_cols is None else update_cols)
+    held = stored.join(incoming.select(*keys), keys, "left_semi").select("month")
+    # partition names, at most one a month, so that the scan below is pruned by them
+    months = [r.month for r in fresh.select("month").unionByName(held).distinct().collect()]
+    touched = F.col("month").isin([m for m in months if m is not None])
+    if None in months:
+        touched = touched | F.col("month").isNull()
+    new = fresh.select(*keys, F.col("month").alias("new"))
+
+    def moved(table: DataFrame) -> DataFrame:
+        """Months with rows whose keys now belong to another month."""
+        both = table.select(*keys, F.col("month").alias("old")).join(new, keys)
+        return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("old").distinct()
+
+    dates_change = update_cols is None or date_col in update_cols
+    left = moved(stored.filter(touched)).collect() if dates_change else []
+    merged = upsert(stored.filter(touched).select(*fresh.columns), fresh, keys, update_cols)
+    merged = merged.withColumn("month", month_of(date_col))
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("month").parquet(path))
+    if left:  # a month that lost its last row got no new partition, and still has the old one
+        table = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+        for r in moved(table).collect():
+            drop_partition(spark, path, f"month={r.old or '__HIVE_DEFAULT_PARTITION__'}")
+
+
+def drop_partition(spark: SparkSession, path: str, name: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

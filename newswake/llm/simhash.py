@@ -29,9 +29,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BITS = 3
 SEED = 42
 CELL = 4096
-DENSE = 1024  # from so many pairs on a cell gives a forest
+DENSE = 16  # from so many pairs on a cell gives a forest
 RUN = 1 << 15
-PRINTS = 3
+PRINTS = 4
 WIDE_BITS = 12
 
 
@@ -93,19 +93,27 @@ def filed(batches):
 
 
 def forest(left: np.ndarray, right: np.ndarray, most: int) -> tuple[list, list]:
-    """A spanning forest of the links between left and right fingerprints."""
+    """A spanning forest of the links between left and right fingerprints, closest links first: at
+    any number of bits up to `most` it has the components of all links of so many bits."""
     nodes = np.unique(np.concatenate([left, right]))
     label = np.arange(len(nodes))
-    at_right = np.searchsorted(nodes, right)
+    at_left, at_right = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    bits = np.empty((len(left), len(right)), np.uint8)
+    for i in range(0, len(left), 256):
+        bits[i:i + 256] = np.bitwise_count(left[i:i + 256, None] ^ right[None, :])
     a, b = [], []
-    for x, i in zip(left, np.searchsorted(nodes, left)):
-        near = at_right[np.bitwise_count(right ^ x) <= most]
-        others, first = np.unique(label[near], return_index=True)
-        fresh = others != label[i]
-        if fresh.any():
-            a += [x] * int(fresh.sum())
-            b += nodes[near[first[fresh]]].tolist()
-            label[np.isin(label, others[fresh])] = label[i]
+    for distance in range(1, most + 1):
+        if (label == label[0]).all():
+            break
+        for i in np.flatnonzero((bits == distance).any(1)):
+            own = label[at_left[i]]
+            near = at_right[bits[i] == distance]
+            others, first = np.unique(label[near], return_index=True)
+            fresh = others != own
+            if fresh.any():
+                a += [nodes[at_left[i]]] * int(fresh.sum())
+                b += nodes[near[first[fresh]]].tolist()
+                label[np.isin(label, others[fresh])] = own
     return a, b
 
 

@@ -64,7 +64,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     mask = F.aggregate(cells, F.lit(0).cast("long"),
                        lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))
     # at most filter_words rows, so its size is bounded by a parameter
-    repeated = F.broadcast(repeated_words(hashed.select("key"), filter_words))
+    repeated = F.broadcast(stored(repeated_words(hashed.select("key"), filter_words)))
     tested = hashed.withColumns({"word": word, "mask": mask}).join(repeated, "word", "left")
     maybe = F.coalesce(F.col("twice").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
 
@@ -72,7 +72,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "row", "id", "n", "sha", F.monotonically_increasing_id().alias("at")))
     rank = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"),
                     F.col("id").alias("id"), F.col("at").alias("at"))
-    groups = candidates.groupBy("sha").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
+    # stored, so that the join below has shuffles of its own and may split those of a large group
+    groups = stored(candidates.groupBy("sha").agg(F.min(rank).alias("best"), F.count("*").alias("group_size")))
     resolved = candidates.join(groups, "sha").select(
         "row", F.col("best.id").alias("keep_id"), "group_size",
         (F.col("at") == F.col("best.at")).alias("kept"), F.col("sha").alias("text_sha256"))

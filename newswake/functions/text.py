@@ -253,3 +253,18 @@ def text_key(text: Column, title: Column | None = None) -> Column:
 def long_enough(text: Column, least: int = 5, most: int | None = None) -> Column:
     n = F.length(strip(text))
     return (n >= least) & (n <= most) if most else n >= least
+
+
+def json_block(text: Column) -> Column:
+    """The JSON object in a text, from its first brace to its last; null if that is no JSON."""
+    block = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(block).isNotNull(), block)
+
+
+def company_list(reply: Column) -> Column:
+    """Names in a reply: the strings of its JSON list, else its lines without numbers and bullets."""
+    text = F.coalesce(reply, F.lit(""))
+    listed = F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), "array<string>")
+    lines = F.transform(F.split(text, r"[\r\n]+"), lambda x: F.regexp_replace(
+        x, r"^\s*(?:[-*\u2022]|\d+[.)])\s*|[\s,\"']+$", ""))
+    return distinct_names(F.coalesce(listed, lines))

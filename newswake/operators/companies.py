@@ -48,8 +48,8 @@ def alias_table(master: DataFrame, given: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("company", "alias").agg(F.min("ord").alias("ord"))
 
 
-def pattern_weights(aliases: DataFrame, master: DataFrame, extra_aliases: int = 2) -> DataFrame:
-    """(alias, company, weight) of the name and its first aliases.
+def pattern_weights(aliases: DataFrame, master: DataFrame, extra_aliases: int | None = None) -> DataFrame:
+    """(alias, company, weight) of the name and its aliases, all of them or the first ones.
 
     The base weight grows with verified, listed, long and key-sector names; aliases weigh 0.95 of
     it when at least as long as the name, else 0.85.
@@ -64,9 +64,11 @@ def pattern_weights(aliases: DataFrame, master: DataFrame, extra_aliases: int =
         + F.when(F.col("sector").isin(*words.KEY_SECTORS), 0.05).otherwise(0.0))
     factor = (F.when(F.col("alias") == F.col("company"), 1.0)
               .when(F.length("alias") >= F.length("company"), 0.95).otherwise(0.85))
+    if extra_aliases is not None:
+        aliases = aliases.withColumn("rank", F.row_number().over(rank)).filter(
+            F.col("rank") <= 1 + extra_aliases)
     return (
-        aliases.withColumn("rank", F.row_number().over(rank))
-        .filter(F.col("rank") <= 1 + extra_aliases)
+        aliases
         .join(master.withColumnRenamed("name", "company"), "company")
         .select("alias", "company", (base * factor).alias("weight"))
     )
@@ -123,11 +125,10 @@ def learning_histogram(learned: DataFrame) -> DataFrame:
 # --- gates --------------------------------------------------------------------------------
 
 def is_analyst_report(text: Column) -> Column:
-    """A broker's name in the first 100 letters and a report word anywhere, in any case."""
-    head = F.substring(text, 1, 100)
+    """A broker's name and a report word anywhere in the text, the word in any case."""
     broker = F.lit(False)
     for b in words.BROKERS:
-        broker = broker | head.contains(b)
+        broker = broker | text.contains(b)
     return broker & has_any(text, words.REPORT_WORDS)
 
 
@@ -261,7 +262,7 @@ def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
     """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
 
     A dictionary of checked size goes to the tasks and each text is read once; a larger one is
-    joined instead.
+    joined instead, with the same result.
     """
     rows = _small_dictionary(aliases.select("alias").distinct())
     if rows is None:
@@ -283,15 +284,15 @@ def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
         scan, f"{id_col} {id_type}, alias string, hits long")
 
 
-HEAD_LETTERS = (8, 4, 2)
+HEAD_LETTERS = (8, 4, 2, 1)
 
 
 def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
 
-    Made of joins, so the dictionary may have any size. An alias is met through its first 8, 4 or
-    2 letters, the longest it has: the distinct runs of a text meet these heads without the text,
+    Made of joins, so the dictionary may have any size. An alias is met through its first 8, 4, 2
+    or 1 letters, the longest it has: the distinct runs of a text meet these heads without the text,
     and only the surviving (document, alias) pairs are counted against it. Runs are cut only in
     the lengths the dictionary needs.
     """

@@ -151,19 +151,26 @@ def verify(articles: DataFrame, disclosures: DataFrame, window_days: int = 3) ->
     """Per article: disclosures around it, summed signal and tone points, probability, summary.
 
     Articles are (article_id, title, body, article_date, corp_code, companies), one row per named
-    company; disclosures carry rcept_date.
+    company; disclosures carry rcept_date. Neither a disclosure nor an article meets the other side
+    by itself: alike disclosures of a company and day are one row with a count, as are articles with
+    the same company, day and names.
     """
     d = disclosures.select("corp_code", "rcept_date", profile(
         F.col("report_nm"), F.col("pblntf_ty"), F.col("rm"), F.col("counterparty")).alias("p"))
+    d = d.groupBy("corp_code", "rcept_date", "p").agg(F.count("*").alias("n"))
     keyed = articles.select("article_id", "article_date", "corp_code",
                             company_keys(F.col("companies")).alias("k"))
     found = signals_of(F.col("p"), F.col("k"))
     summed = let(found, lambda f: F.struct(
         weight_sum(f).alias("w"), F.exists(f, lambda s: s["weight"] != 0).alias("relevant")))
-    pairs = window_matches(keyed, d, window_days).select("article_id", summed.alias("s"))
-    points = pairs.groupBy("article_id").agg(
-        F.count("*").alias("total"), F.sum("s.w").alias("points"),
-        F.count_if(F.col("s.relevant")).alias("relevant"))
+    same = ["article_date", "corp_code", "k"]
+    met = window_matches(keyed.select(*same).distinct(), d, window_days).select(
+        *same, "n", summed.alias("s"))
+    around = met.groupBy(*same).agg(
+        F.sum("n").alias("total"), F.sum(F.col("s.w") * F.col("n")).alias("points"),
+        F.sum(F.when(F.col("s.relevant"), F.col("n")).otherwise(0)).alias("relevant"))
+    points = keyed.join(around, same).groupBy("article_id").agg(
+        *[F.sum(c).alias(c) for c in ("total", "points", "relevant")])
     tone = articles.groupBy("article_id").agg(
         F.max(article_tone(F.col("title"), F.col("body"))).alias("tone"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -202,7 +209,29 @@ def verdict(score: Column) -> Column:
 
 def verdicts(articles: DataFrame, pairs: DataFrame) -> DataFrame:
     """(article_id, score, verdict) from text points and the summed points of its disclosures."""
-    added = pairs.groupBy("article_id").agg(F.sum(report_points(F.col("report_nm"))).alias("add"))
+    return _scored(articles, pairs.groupBy("article_id").agg(
+        F.sum(report_points(F.col("report_nm"))).alias("add")))
+
+
+def verdicts_around(articles: DataFrame, disclosures: DataFrame, window_days: int = 3,
+                    back_only: bool = False) -> DataFrame:
+    """`verdicts` with the disclosures of an article's company within +-days (or before it).
+
+    The points of a report do not depend on the article, so they are summed by company and day, each
+    sum is spread over the days of its window, and articles meet the sums by an equi join.
+    """
+    after = 0 if back_only else window_days
+    daily = disclosures.groupBy("corp_code", "rcept_date").agg(
+        F.sum(report_points(F.col("report_nm"))).alias("add"))
+    days = F.explode(F.sequence(F.date_sub("rcept_date", after), F.date_add("rcept_date", window_days)))
+    by_day = (daily.select("corp_code", days.alias("article_date"), "add")
+              .groupBy("corp_code", "article_date").agg(F.sum("add").alias("add")))
+    named = articles.select("article_id", "corp_code", "article_date")
+    return _scored(articles, named.join(by_day, ["corp_code", "article_date"])
+                   .groupBy("article_id").agg(F.sum("add").alias("add")))
+
+
+def _scored(articles: DataFrame, added: DataFrame) -> DataFrame:
     points = text_points(F.col("title"), F.col("body"))
     return (articles.select("article_id", points.alias("base")).join(added, "article_id", "left")
             .select("article_id", clamp(F.col("base") + F.coalesce("add", F.lit(0)), 0, 100)
@@ -287,7 +316,7 @@ def relevance(report: Column, labels: Column, rumor: Column, phrases: Column,
     request = inquiry & has(["요구", "요청"])
     reply = inquiry & ~has(["요구", "요청"]) & has(["답변", "회신"])
     yes = has(["사실", "확인", "맞다", "진행"])
-    no = has(denial[:20])
+    no = has(denial)
     score = floor(score, request, 0.4)
     score = floor(score, reply & yes, 0.7)
     score = floor(score, reply & ~yes & no, 0.3)

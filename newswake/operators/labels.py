@@ -183,11 +183,12 @@ def synonym_events(text: Column, synonyms: Sequence[tuple[str, str]]) -> Column:
 
 
 def query_event_keywords(text: Column, synonyms: Sequence[tuple[str, str]],
-                         terms: Sequence[str], limit: int = 10) -> Column:
-    """Synonym aliases in the text, then the fixed terms in it; distinct, at most `limit`."""
+                         terms: Sequence[str], limit: int | None = None) -> Column:
+    """Synonym aliases in the text, then the fixed terms in it; distinct, all or the first `limit`."""
     by_alias = keyword_hits(text, [a for a, _ in synonyms])
     by_term = F.filter(text_array(terms), lambda k: F.coalesce(text, F.lit("")).contains(k))
-    return F.slice(F.array_distinct(F.concat(by_alias, by_term)), 1, limit)
+    words = F.array_distinct(F.concat(by_alias, by_term))
+    return words if limit is None else F.slice(words, 1, limit)
 
 
 def label_rows(titles: DataFrame, title_col: str, registry: Sequence[Label]) -> DataFrame:

@@ -176,10 +176,7 @@ SELECT article_id, CAST(score AS INTEGER) AS score, CASE WHEN score >= 70 THEN '
 def disclosure_verdict(spark, sf):
     arts = _news_articles(spark, sf)
     stored, _ = filings(spark, sf)
-    pairs = ds.window_matches(arts.select("article_id", "corp_code", "article_date"),
-                              stored.select("corp_code", "rcept_date", "report_nm"), 3,
-                              back_only=True)
-    return ds.verdicts(arts, pairs)
+    return ds.verdicts_around(arts, stored, 3, back_only=True)
 
 
 LEXICON = {"earnings": {"metrics": ["실적", "매출"]}, "mna": {"actions": ["인수", "취득"]},
@@ -270,11 +267,11 @@ def _run_dir(spark, name: str) -> str:
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n,
        round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_tumbling_counts(spark, sf):
-    """A stream drained to the end; the memory sink holds one row per day and type."""
-    name = f"tumbling_{uuid.uuid4().hex}"
+    """A stream drained to the end into a table of this run."""
+    out = _run_dir(spark, "tumbling")
     stream = sync.tumbling_counts(_event_stream(spark, sf), "ts", "1 day", "event_type", "value")
-    sync.run_to_table(stream, name, "complete", _run_dir(spark, name))
-    return r6(spark.table(name).select(
+    sync.run_to_path(stream, out, "complete", f"{out}-state")
+    return r6(spark.read.parquet(out).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"),
         "total", digits=4)
 

@@ -4,6 +4,7 @@ from newswake.plans import (  # noqa: F401
     disclosure_queries,
     gap_queries,
     search_queries,
+    source_queries,
     text_queries,
 )
 from newswake.plans.catalog import ORACLES, QUERIES  # noqa: F401

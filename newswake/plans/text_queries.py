@@ -402,7 +402,7 @@ WITH t AS (
   SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'UBS note: ' || text WHEN 1 THEN text || ' UBS hold'
     ELSE 'KB증권 ' || text || ' 목표가' END AS text FROM conversations)
 SELECT conv_id, turn,
-  ({' OR '.join(f"contains(substr(text, 1, 100), '{b}')" for b in words.BROKERS)})
+  ({' OR '.join(f"contains(text, '{b}')" for b in words.BROKERS)})
   AND {_any_sql('lower(text)', words.REPORT_WORDS)} AS analyst,
   length({_strip_sql('text')}) BETWEEN 10 AND 2000 AS fits
 FROM t""")

@@ -44,7 +44,7 @@ def synonyms(spark: SparkSession, path: str) -> DataFrame:
     return (rules.select(F.trim(sides[1]).alias("code"), "n",
                          F.posexplode(F.split(sides[0], ",")).alias("i", "alias"))
             .select(F.lower(F.trim("alias")).alias("alias"), "code",
-                    (F.col("n") * 1000 + F.col("i")).alias("ord"))
+                    F.struct("n", "i").alias("ord"))
             .filter(F.col("alias") != ""))
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # fixed values: encodings tried in turn, with their names on the JVM
 ENCODINGS = (("utf-8", "UTF-8"), ("cp949", "x-windows-949"), ("euc-kr", "EUC-KR"))
 
+FILES = "*.{csv,tsv,txt}"
+
 # fixed values: Korean column names of the price files
 PRICE_COLUMNS = {"날짜": "trade_date", "종목코드": "stock_code", "종목명": "stock_name",
                  "종가": "close_price"}
@@ -47,49 +51,60 @@ def separator(path: str) -> str:
     return "\t" if path.lower().endswith((".tsv", ".txt")) else ","
 
 
-def sniff_encoding(spark: SparkSession, path: str, sample_bytes: int = 1 << 20) -> str:
-    """JVM name of the first encoding that decodes the start of the (first) file.
+def charsets(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """JVM name of a charset to the files below a path that it decodes, each file in the first of
+    ENCODINGS that fits all of its lines.
 
-    Only the head of one file comes to the driver.
+    Tasks test the lines that are not plain ASCII; one row a file reaches the driver, as does the
+    listing of the files anyway. A file that none fits is an error.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path").orderBy("path").limit(1).collect())
-    if not files:
-        return ENCODINGS[0][1]
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(files[0].path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.open(hadoop_path)
-    try:
-        size = min(sample_bytes, fs.getFileStatus(hadoop_path).getLen())
-        head = bytes(stream.readNBytes(int(size)))
-    finally:
-        stream.close()
-    # a cut at the sample's end may split one letter
-    for python_name, jvm_name in ENCODINGS:
-        for cut in range(0, 4):
-            try:
-                head[:len(head) - cut].decode(python_name)
-                return jvm_name
-            except UnicodeDecodeError:
-                if size < sample_bytes:
-                    break
-    return ENCODINGS[0][1]
+    @F.pandas_udf("int")
+    def misfits(lines: pd.Series) -> pd.Series:
+        def one(raw: bytes) -> int:
+            bad = 0
+            for bit, (name, _) in enumerate(ENCODINGS):
+                try:
+                    raw.decode(name)
+                except UnicodeDecodeError:
+                    bad |= 1 << bit
+            return bad
+        return lines.map(one).astype("int32")
+
+    # no letter of these charsets has a line feed among its bytes
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", FILES).text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw")))
+    plain = F.col("raw").cast("string").rlike(r"^[\x00-\x7F]*$")
+    found = (lines.select("file", F.when(plain, 0).otherwise(misfits("raw")).alias("bad"))
+             .groupBy("file").agg(F.bit_or("bad").alias("bad")).orderBy("file").collect())
+    out: dict[str, list[str]] = {}
+    for r in found:
+        fits = [jvm for bit, (_, jvm) in enumerate(ENCODINGS) if not r["bad"] >> bit & 1]
+        if not fits:
+            raise ValueError(f"{r['file']} is in none of {[name for name, _ in ENCODINGS]}")
+        out.setdefault(fits[0], []).append(unquote(r["file"]))
+    return out
 
 
 def delimited(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-              encoding: str | None = None, sep: str | None = None) -> DataFrame:
-    """A CSV or TSV file or folder, all columns as text, headers trimmed and without a BOM."""
-    charset = encoding or sniff_encoding(spark, path)
-    if charset != "UTF-8":
+              encoding: str | None = None, sep: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A CSV or TSV file or folder, all columns as text, headers trimmed and without a BOM.
+
+    Files are read in their own charsets, unless one is given. With `multi_line` fields may have line
+    breaks, and a file is then read by one task; without it large files are split.
+    """
+    groups = {encoding: [path]} if encoding else charsets(spark, path) or {ENCODINGS[0][1]: [path]}
+    if set(groups) != {"UTF-8"}:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = (spark.read.option("header", True).option("sep", sep or separator(path))
-              .option("encoding", charset)
-              .option("multiLine", True).option("escape", '"').option("quote", '"')
-              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[ct]sv"))
-    df = reader.csv(path)
-    df = df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
-    return df.select(*columns) if columns else df
+    out = None
+    for charset, paths in sorted(groups.items()):
+        reader = (spark.read.option("header", True).option("sep", sep or separator(path))
+                  .option("encoding", charset).option("multiLine", multi_line)
+                  .option("escape", '"').option("quote", '"')
+                  .option("recursiveFileLookup", "true").option("pathGlobFilter", FILES))
+        df = reader.csv([path] if len(groups) == 1 else paths)
+        df = df.toDF(*[c.strip().lstrip("\ufeff") for c in df.columns])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.select(*columns) if columns else out
 
 
 def folder(spark: SparkSession, path: str, **kwargs) -> DataFrame:

@@ -59,8 +59,15 @@ def tumbling_counts(stream: DataFrame, time_col: str, width: str, by: str, value
             .select(F.col("w.start").alias("window_start"), by, "n", "total"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """Drain what is available into an in-memory table; for tests and small views."""
-    q = (stream.writeStream.outputMode(mode).format("memory").queryName(name)
+def run_to_path(stream: DataFrame, path: str, mode: str, checkpoint: str) -> None:
+    """Drain what is available into a Parquet table on shared storage; a complete result replaces
+    the one before, so a batch that is repeated after a failure changes nothing."""
+    def write(batch: DataFrame, number: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(path)
+        else:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -100,3 +100,35 @@ def test_mean_interval_over_blocks(spark):
     want = sum((b - a).days for a, b in zip(at, at[1:])) / (len(at) - 1)
     assert (got.n, got.mean_gap) == (len(at), want)
     assert pt.mean_interval(df.limit(0)).count() == 0
+
+
+def test_both_ways_of_counting_mentions_agree(spark, monkeypatch):
+    from newswake.operators import companies as co
+    docs = spark.createDataFrame([(1, "a b a"), (2, "bb A b"), (3, None)], "doc_id int, text string")
+    names = spark.createDataFrame([("a",), ("a b",), ("b",)], "alias string")
+    got = sorted(map(tuple, co.count_mentions(docs, names).collect()))
+    monkeypatch.setattr(co, "MAX_DICTIONARY_ROWS", 1)
+    assert sorted(map(tuple, co.count_mentions(docs, names).collect())) == got
+    assert got == [(1, "a", 2), (1, "a b", 1), (1, "b", 1), (2, "a", 1), (2, "a b", 1), (2, "b", 3)]
+
+
+def test_files_of_one_folder_in_different_charsets(spark, tmp_path):
+    from newswake.sources import readers
+    (tmp_path / "a.csv").write_text("이름,n\n삼성,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("이름,n\n" + "plain,0\n" * 50 + "현대,2\n", encoding="cp949")
+    got = {r["이름"] for r in readers.delimited(spark, str(tmp_path)).collect()}
+    assert got == {"삼성", "plain", "현대"}
+    (tmp_path / "c.csv").write_bytes(b"x\n\xff\xff\xff\n")
+    try:
+        readers.delimited(spark, str(tmp_path))
+    except ValueError as e:
+        assert "c.csv" in str(e)
+    else:
+        raise AssertionError("a file in no known charset must be refused")
+
+
+def test_words_around_json(spark):
+    df = spark.createDataFrame([('x {"a": {"b": 1}} y',), ("{broken",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.json_block(F.col("t"))).collect()] == ['{"a": {"b": 1}}', None, None]
+    df = spark.createDataFrame([('["A", "B", "A"]',), ("1. A\n- B\n\n",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(tx.company_list(F.col("t"))).collect()] == [["A", "B"], ["A", "B"], [], []]

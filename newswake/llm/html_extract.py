@@ -50,10 +50,11 @@ WHOLE = frozenset(("html", "body", "article", "main"))  # too much to drop for a
 NOISE = frozenset("nav header footer aside form button menu dialog head search".split())
 # fixed values: words in class, id or role names that mark noise
 NOISE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|captcha|comments?|commentlist|consent|"
-    r"cookies?|disqus|footer|gdpr|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|"
-    r"notices?|paywall|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebars?|social|"
-    r"sponsor\w*|subscribe|toolbar|widgets?|complementary|contentinfo)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?(?:box|slot|sense|unit|wrap\w*|container)?|advert\w*|banner\w*|breadcrumb\w*|"
+    r"captcha|comments?(?:list|form|section|area|box)?|consent|cookie\w*|disqus|footer\w*|gdpr|"
+    r"header\w*|masthead|menu\w*|modal|nav|navbar\w*|navigation|newsletter\w*|notices?|notification\w*|"
+    r"paywall|popup\w*|promo\w*|related\w*|repl(?:y|ies)|respond|share\w*|sharing|sidebar\w*|social\w*|"
+    r"sponsor\w*|subscribe\w*|toolbar\w*|widget\w*|complementary|contentinfo)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"

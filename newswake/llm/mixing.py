@@ -24,6 +24,7 @@ from newswake.llm.tables import rows, stored, unpacked
 
 BLOCK = 64
 PERIOD = 1000
+BROADCAST_SLOTS = 100_000
 POWER = 0.5
 RESULTS = ["mix_block", "mix_slot", "mix_rank"]
 
@@ -93,13 +94,14 @@ def mix(docs: DataFrame, source: str = "source", weights: dict | None = None, bl
     order = numbered(narrow.select("source", "spread", "at"), F.col("source"), F.col("spread"), F.col("at"))
     first = order.groupBy("source").agg(F.min("rank").alias("first"))
     share = places.select("source", "share", "period").distinct()
-    # a period has a fixed number of entries, at most twice the number of sources or PERIOD
-    begun = order.join(F.broadcast(first.join(share, "source")), "source")
+    # one row a source, or PERIOD of them: small tables are broadcast, larger ones are not
+    small = F.broadcast if period <= BROADCAST_SLOTS else (lambda table: table)
+    begun = order.join(small(first.join(share, "source")), "source")
     inside = F.col("rank") - F.col("first")
     blocks = begun.select("at", "source", "share", "period", (inside % block).alias("mix_rank"),
                           F.floor(inside / block).alias("mix_block"))
     slots = blocks.withColumn("turn", F.col("mix_block") % F.col("share")).join(
-        F.broadcast(places.select("source", "turn", "place")), ["source", "turn"])
+        small(places.select("source", "turn", "place")), ["source", "turn"])
     slot = F.col("period") * F.floor(F.col("mix_block") / F.col("share")) + F.col("place")
     placed = slots.select("at", "mix_block", slot.alias("mix_slot"), "mix_rank")
     return unpacked(narrow.join(placed, "at"), RESULTS)

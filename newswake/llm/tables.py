@@ -7,6 +7,8 @@ replace given columns of the same name.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -30,9 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='newswake-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    folder = tempfile.mkdtemp(prefix="newswake-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 _recorders: list[list[str]] = []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from newswake.functions.dates import as_date
 from newswake.operators import expectation as ex, gap_reports as rep, gaps as gp, prices as pr
 from newswake.operators import market as mk, upsert as up
+from newswake.operators.gaps import GapRules
 from newswake.operators.news import explode_news, news_facts
 from newswake.plans import study, views as v
 from newswake.plans.catalog import query, r6
@@ -15,8 +18,8 @@ from newswake.plans.views import (
     SQL_NEWS, SQL_NEWS_RETURNS, SQL_PX, SQL_PXF,
 )
 
-# the look-back of AS_OF begins here; a scan's statistics need no earlier rows
-LOOKBACK_START = "2000-06-30"
+# the look-back of a scan at AS_OF begins here, and its statistics need no earlier rows
+LOOKBACK_START = (date.fromisoformat(AS_OF) - timedelta(days=GapRules().lookback_days)).isoformat()
 
 
 def _as_of():

@@ -6,6 +6,8 @@ caller made. The settings choose the behaviour that holds up on large, uneven in
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,5 +49,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="newswake-ckpt-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newswake.functions.dates import as_date, date_context, seoul_midnight
 from newswake.functions.words import EVENT_TERMS
 from newswake.operators import disclosures as ds, documents as dc, gap_reports as rep
-from newswake.operators import patterns as pt, prices as pr, search as se, trust as tr
+from newswake.operators import patterns as pt, prices as pr, search as se, search_index as si
+from newswake.operators import trust as tr
 from newswake.operators.gaps import GapRules
 from newswake.operators.labels import Label, classify, starter_registry
 from newswake.operators.upsert import first_per_key
@@ -131,9 +132,15 @@ class Engine:
     # --- documents, search, trust, patterns -------------------------------------------------
 
     def index(self, articles: DataFrame) -> None:
-        """Build documents from articles and write them by id; undatable ones are not indexed."""
+        """Build documents from articles, write them by id and index their words; undatable ones
+        are left out. The built rows are written first, so both writes read the same ones."""
         usable, _ = dc.quarantine(dc.build(articles, self.synonyms))
-        writers.upsert_table(usable, self.path("documents"), ["id"], "published_at")
+        one_each = first_per_key(usable, ["id"], F.struct(*[c for c in usable.columns if c != "id"]))
+        writers.replace(one_each, self.path("incoming_documents"))
+        incoming = self.table("incoming_documents")
+        writers.upsert_table(incoming, self.path("documents"), ["id"], "published_at")
+        si.update(incoming, self.path("index"), {
+            "title": F.col("title"), "body": F.col("body"), "events": F.concat_ws(" ", "events")})
 
     def classify(self, titles: DataFrame, title_col: str = "title") -> DataFrame:
         registry = self.registry or starter_registry()
@@ -150,7 +157,7 @@ class Engine:
                           event_phrases=tuple(event_phrases), event_labels=tuple(event_labels))
         start, end = self._range(text, as_of)
         return se.search(self.table("documents"), request, as_date(as_of).cast("timestamp"),
-                         start, end, top)
+                         start, end, top, si.opened(self.spark, self.path("index")))
 
     def verify_rumor(self, text: str, as_of: str | date, companies: Sequence[str] = (),
                      event_phrases: Sequence[str] = (), event_labels: Sequence[str] = ("other",),

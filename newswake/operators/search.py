@@ -1,8 +1,8 @@
 """Full-text and vector search: postings, BM25, phrases, combined scores, exact cosine top-k.
 
-Two access paths share the formulas. `postings` builds an index table once; `bm25` scores a set
-of queries against it. `field_score` scores one query text held by the driver in a single scan
-without any shuffle of documents, as the search calls do.
+Two access paths share the formulas. Without an index, `bm25` and `search` read the words of the
+texts themselves. With a stored index (`newswake.operators.search_index`) words and counts come from
+it, and only documents that can score are read.
 """
 
 from __future__ import annotations
@@ -293,14 +293,28 @@ def _clauses(request: SearchRequest):
     return out
 
 
+def can_score(docs: DataFrame, request: SearchRequest, with_words: DataFrame) -> DataFrame:
+    """Rows with a word of the request (`with_words`: doc_id), a company or an event code of it.
+
+    Ids and name lists are matched first, so the texts of other rows are never moved."""
+    codes = [*request.event_codes, *request.event_labels]
+    named = F.arrays_overlap(F.col("companies_kw"), text_array([c.lower() for c in request.companies]))
+    coded = F.arrays_overlap(F.col("event_codes"), text_array(codes))
+    marked = docs.select("id", F.coalesce(named, F.lit(False)).alias("named"),
+                         F.coalesce(coded, F.lit(False)).alias("coded"))
+    other = marked.filter(F.col("named") | F.col("coded")).select("id")
+    return docs.join(other.unionByName(with_words.select(F.col("doc_id").alias("id"))), "id", "left_semi")
+
+
 def search(docs: DataFrame, request: SearchRequest, now: Column, start: Column, end: Column,
-           top: int = 20) -> DataFrame:
+           top: int = 20, index=None) -> DataFrame:
     """Top documents for a request over (id, title, body, events, companies_kw, event_codes, ...),
     published from `start` on and before `end`.
 
     The date range and the needed columns reach the scan; scoring is one pass over the remaining
-    rows and the top-k keeps `top` rows per task. Two small aggregates over the same range give
-    the corpus numbers.
+    rows and the top-k keeps `top` rows per task. Without an index, two small aggregates over the
+    same range give the corpus numbers. With one (`search_index.Index` over the fields title, body
+    and events) they are those of all indexed documents, and only rows that can score are read.
     """
     ranged = docs.filter((F.col("published_at") >= start) & (F.col("published_at") < end))
     texts = {"title": F.col("title"), "body": F.col("body"),
@@ -310,7 +324,11 @@ def search(docs: DataFrame, request: SearchRequest, now: Column, start: Column,
     for _, fld, words, _, _ in clauses:
         for f in ([fld] if fld else list(texts)):
             wanted[f] = list(dict.fromkeys(wanted[f] + words))
-    stats = {f: stats_struct(ranged, texts[f], w) for f, w in wanted.items() if w}
+    if index is None:
+        stats = {f: stats_struct(ranged, texts[f], w) for f, w in wanted.items() if w}
+    else:
+        stats = {f: index.stats(f, w) for f, w in wanted.items() if w}
+        ranged = can_score(ranged, request, index.having_any(wanted))
     arrays = {f: F.col(f"_w_{f}") for f in stats}
     rows = ranged.select("*", *[tokens(texts[f]).alias(f"_w_{f}") for f in stats])
 
@@ -365,9 +383,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, query: Column, id_col: str, vec_col: str, k: int = 10
+def nearest(vectors: DataFrame, query: Column, id_col: str, vec_col: str, k: int = 10,
+            start: Column | None = None, end: Column | None = None, time_col: str = "published_at"
             ) -> DataFrame:
-    """Exact top-k by cosine for one query vector: one scan, k rows kept per task."""
+    """Exact top-k by cosine for one query vector: one scan, k rows kept per task. Rows are those
+    from `start` on and before `end`, where given; the range reaches the scan."""
+    if start is not None:
+        vectors = vectors.filter(F.col(time_col) >= start)
+    if end is not None:
+        vectors = vectors.filter(F.col(time_col) < end)
     return (vectors.select(id_col, F.round(cosine(F.col(vec_col), query), 6).alias("score"))
             .orderBy(F.desc("score"), id_col).limit(k))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newswake.functions import text as tx
-from newswake.operators import patterns as pt, search as se, trust as tr
+from newswake.operators import patterns as pt, search as se, search_index as si, trust as tr
 from newswake.plans.catalog import query, r6
 from newswake.plans.text_queries import PUBLISHER_SQL, TIER_SQL, WORD_SQL, _publisher
+from newswake.plans.source_queries import run_dir
 from newswake.plans.views import documents, table
 
 NOW = "2024-06-30 00:00:00"
@@ -184,10 +185,12 @@ def function_score(spark, sf):
     return r6(scored.withColumn("score", F.col("base") * F.col("factor")), "base", "factor", "score")
 
 
-@query("company_event_search", f"""
+def _company_event_sql(corpus: str) -> str:
+    """`corpus`: whose numbers weigh the words, the documents of the range or all of them."""
+    return f"""
 WITH {DOCS_SQL}, ranged AS (
   SELECT * FROM docs WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY AND published_at < TIMESTAMP '{NOW}'),
-w AS (SELECT id, regexp_extract_all(lower(title), {WORD_SQL}) AS w FROM ranged),
+w AS (SELECT id, regexp_extract_all(lower(title), {WORD_SQL}) AS w FROM {corpus}),
 t AS (
   SELECT id, len(w)::DOUBLE AS dl, len(list_filter(w, lambda x: x = 'the'))::DOUBLE AS t0,
     len(list_filter(w, lambda x: x = 'of'))::DOUBLE AS t1,
@@ -207,14 +210,86 @@ SELECT r.id, round((words + CASE WHEN list_has_any(companies, ['src3', 'src7'])
     + CASE WHEN list_contains(event_codes, 'sector.good') THEN 5 ELSE 0 END) * {FACTOR_SQL}, 6) AS score
 FROM ranged r JOIN s USING (id)
 WHERE words > 0 OR list_has_any(companies, ['src3', 'src7']) OR list_contains(event_codes, 'sector.good')
-ORDER BY score DESC, id LIMIT 20""")
+ORDER BY score DESC, id LIMIT 20"""
+
+
+COMPANY_EVENT = se.SearchRequest("The of", companies=("src3", "SRC7"), event_labels=("sector.good",))
+
+
+@query("company_event_search", _company_event_sql("ranged"))
 def company_event_search(spark, sf):
-    request = se.SearchRequest("The of", companies=("src3", "SRC7"), event_labels=("sector.good",))
-    out = se.search(news_documents(spark, sf), request, _now(),
+    out = se.search(news_documents(spark, sf), COMPANY_EVENT, _now(),
                     _now() - F.make_dt_interval(days=F.lit(400)), _now())
     return out.select("id", "score")
 
 
+# --- the stored index -----------------------------------------------------------------------------
+
+@query("index_bm25", f"""
+WITH {BM25_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top""")
+def index_bm25(spark, sf):
+    """The queries of `bm25_search` from an index of the whole texts."""
+    index = si.update(documents(spark, sf).select("doc_id", "text"), run_dir(spark, "index"),
+                      {"body": F.col("text")}, "doc_id")
+    return si.bm25(index, se.query_terms(table(spark, sf, "benchmark"), "item_id"), "body")
+
+
+@query("index_update", f"""
+WITH {BM25_SQL}, every AS (
+  SELECT doc_id, 'body' AS field, term, tf, dl FROM tf
+  UNION ALL SELECT doc_id, 'source', lower(source), 1, 1 FROM documents)
+SELECT field, term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences,
+  CAST(sum(dl) AS BIGINT) AS lengths, (SELECT count(*) FROM documents) AS indexed,
+  (SELECT CAST(sum(len(w)) AS BIGINT) FROM words) AS words
+FROM every GROUP BY 1, 2""")
+def index_update(spark, sf):
+    """All texts in two batches: some stand in the first with an older text, benchmark items are in
+    it and then removed, and the second batch is applied twice. Equal to an index built at once."""
+    path = run_dir(spark, "index")
+    fields = {"body": F.col("text"), "source": F.col("source")}
+    docs = documents(spark, sf).select("doc_id", "text", "source")
+    part = F.col("doc_id") % 3
+    items = table(spark, sf, "benchmark").select(
+        (-1 - F.col("item_id")).alias("doc_id"), "text", F.lit("bench").alias("source"))
+    older = docs.filter(part != 1).withColumn(
+        "text", F.when(part == 0, F.concat(F.lit("older words "), F.substring("text", 1, 200)))
+        .otherwise(F.col("text")))
+    si.update(older.unionByName(items), path, fields, "doc_id")
+    for _ in range(2):
+        index = si.update(docs.filter(part != 2), path, fields, "doc_id", removed=items)
+    one = index.numbers["body"]
+    return index.postings().groupBy("field", "term").agg(
+        F.count("*").alias("docs"), F.sum("tf").alias("occurrences"), F.sum("dl").alias("lengths"),
+        F.lit(one.documents).cast("long").alias("indexed"), F.lit(one.words).cast("long").alias("words"))
+
+
+@query("index_search", _company_event_sql("docs"))
+def index_search(spark, sf):
+    """The request of `company_event_search`; words are weighed by all documents, as in an index."""
+    docs = news_documents(spark, sf)
+    index = si.update(docs, run_dir(spark, "index"), {
+        "title": F.col("title"), "body": F.col("body"), "events": F.concat_ws(" ", "events")})
+    out = se.search(docs, COMPANY_EVENT, _now(), _now() - F.make_dt_interval(days=F.lit(400)), _now(),
+                    index=index)
+    return out.select("id", "score")
+
+
+@query("knn_cosine_dated", """
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+  (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score
+FROM embeddings WHERE DATE '2024-06-30' - CAST(vec_id % 1000 AS INTEGER) >= DATE '2024-01-01'
+  AND DATE '2024-06-30' - CAST(vec_id % 1000 AS INTEGER) < DATE '2024-06-01'
+ORDER BY score DESC, vec_id LIMIT 10""")
+def knn_cosine_dated(spark, sf):
+    """Vector search within a range of dates."""
+    vectors = table(spark, sf, "embeddings")
+    q = vectors.filter("vec_id = 7").select("embedding").scalar()
+    dated = vectors.withColumns({"q": q, "day": F.date_sub(
+        F.lit("2024-06-30").cast("date"), (F.col("vec_id") % 1000).cast("int"))})
+    return se.nearest(dated, F.col("q"), "vec_id", "embedding", 10, F.lit("2024-01-01").cast("date"),
+                      F.lit("2024-06-01").cast("date"), "day")
+
+
 @query("knn_cosine", """
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
   (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score

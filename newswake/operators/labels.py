@@ -34,7 +34,8 @@ def build_registry(base: Mapping[str, Mapping], overrides: Mapping[str, int] | N
 
 
 def starter_registry(profile: str | None = "intraday_kr") -> list[Label]:
-    """The labels that ship with the package; pass a registry read from a file for all of them."""
+    """The labels that ship with the package, with the priorities of a profile; other registries
+    are read from files."""
     return build_registry(LABELS, INTRADAY if profile == "intraday_kr" else None)
 
 
@@ -46,8 +47,9 @@ def matched_labels(title: Column, registry: Sequence[Label]) -> Column:
     """
     ranked = sorted(registry, key=lambda la: (la.priority, not la.fine, la.name))
     text = F.trim(title)
-    # triggers of a label become one alternation; (?iu) ignores case for Hangul and Latin alike
-    hits = [F.when(text.rlike("(?iu)" + "|".join(f"(?:{t})" for t in la.triggers)), F.lit(la.name))
+    # triggers of a label become one alternation; (?iU) ignores case and lets words end at any
+    # letter, Hangul and Latin alike
+    hits = [F.when(text.rlike("(?iU)" + "|".join(f"(?:{t})" for t in la.triggers)), F.lit(la.name))
             for la in ranked if la.triggers]
     if not hits:
         return F.array().cast("array<string>")

@@ -227,3 +227,20 @@ def test_window_matches_equal_the_range_join(spark):
         want = sorted((x[0], y[0]) for x in arts for y in fil if x[1] == y[1]
                       and (0 if back else -3) <= (x[2] - y[2]).days <= 3)
         assert got == want
+
+
+def test_every_shipped_label_has_a_phrase(spark):
+    from newswake.operators.labels import matched_labels, starter_registry
+    from newswake.plans.text_queries import LABEL_PHRASES, SHIPPED
+    assert len(LABEL_PHRASES) == len(SHIPPED) == 118
+    rows = spark.createDataFrame(list(enumerate(LABEL_PHRASES)), "i int, t string").select(
+        "i", "t", matched_labels(F.col("t"), starter_registry()).alias("found")).collect()
+    missed = [(SHIPPED[r.i].name, r.t) for r in rows if SHIPPED[r.i].name not in r.found]
+    assert not missed
+
+
+def test_word_ends_at_hangul(spark):
+    from newswake.operators.labels import matched_labels, starter_registry
+    rows = spark.createDataFrame([("의견 매수 제시",), ("의견 매수자 제시",)], "t string")
+    got = [r[0] for r in rows.select(matched_labels(F.col("t"), starter_registry())).collect()]
+    assert got == [["analyst.rating_change"], []]

@@ -162,7 +162,7 @@ class Engine:
     def verify_rumor(self, text: str, as_of: str | date, companies: Sequence[str] = (),
                      event_phrases: Sequence[str] = (), event_labels: Sequence[str] = ("other",),
                      corp_codes: Sequence[str] = ()) -> DataFrame:
-        """One row: trust score, level, reason and the numbers behind them."""
+        """One row: trust score, level, reason, the numbers behind them and the articles they rest on."""
         start, end = self._range(text, as_of)
         found = self.search(text, as_of, companies, event_phrases, event_labels)
         w = F.row_number().over(se.Window.orderBy(F.desc("score"), "id"))
@@ -173,7 +173,8 @@ class Engine:
             texts(event_labels).alias("labels"), texts(event_phrases).alias("phrases"),
             start.alias("range_start"), end.alias("range_end"))
         points = self._disclosure_points(text, as_of, companies, corp_codes) if corp_codes else None
-        return tr.verdicts(claim, hits, points, self.score_steps)
+        listed = tr.evidence(tr.classify_hits(claim, hits))
+        return tr.verdicts(claim, hits, points, self.score_steps).join(listed, "query_id", "left")
 
     def _disclosure_points(self, text: str, as_of: str | date, companies, corp_codes) -> DataFrame:
         articles = self.spark.range(1).select(

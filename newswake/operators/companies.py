@@ -80,29 +80,45 @@ def similar_names(names: DataFrame, master: DataFrame, threshold: float = 0.9,
 
     A similarity t needs a Jaccard j of at least (t - 0.3) / 0.7 between the letter sets. Then the
     sets share a letter among the first (1 - j) of each in one fixed order, and their sizes differ
-    by a factor of at most 1 / j. So names meet on (letter, set size) and not all against all. Both
-    sides are dictionaries, never documents.
+    by a factor of at most 1 / j. The order is rarest letter first, so few names meet on a (letter,
+    set size); what meets are different letter sets, and only those that are alike enough are
+    replaced by their names. Null names match nothing.
     """
     floor = max(0.0, (threshold - 0.7) / 0.3)
     j = max(0.05, (threshold - 0.3) / 0.7)
     eps = 1e-9
 
-    def keyed(df: DataFrame, col: str) -> DataFrame:
-        letters = F.array_sort(F.array_distinct(F.split(F.lower(col), "")))
-        sized = df.select(col).distinct().select(col, letters.alias("l"), F.size(letters).alias("size"))
+    def lettered(df: DataFrame, col: str) -> DataFrame:
+        return df.filter(F.col(col).isNotNull()).select(F.col(col).alias("name")).distinct().select(
+            "name", F.array_sort(F.array_distinct(F.split(F.lower("name"), ""))).alias("letters"))
+
+    left, right = lettered(names, "name"), lettered(master, "name")
+    sets = {"a": left.select("letters").distinct(), "b": right.select("letters").distinct()}
+    # one row a letter of the alphabets in use
+    rarity = (sets["a"].unionByName(sets["b"]).select(F.explode("letters").alias("letter"))
+              .groupBy("letter").agg(F.count("*").alias("n")))
+
+    def keyed(one: str) -> DataFrame:
+        ranked = (sets[one].select("letters", F.explode("letters").alias("letter"))
+                  .join(rarity, "letter").groupBy("letters")
+                  .agg(F.array_sort(F.collect_list(F.struct("n", "letter"))).alias("l")))
+        sized = ranked.select(F.col("letters").alias(one), "l.letter", F.size("letters").alias("size"))
         keep = (F.col("size") - F.ceil(F.col("size") * j - eps) + 1).cast("int")
-        return sized.select(col, "size", F.explode(
-            F.slice("l", F.lit(1), F.greatest(keep, F.lit(1)))).alias("letter"))
-
-    a = keyed(names, "name")
-    b = keyed(master.select(F.col("name").alias("official")), "official").withColumn(
-        "size", F.explode(F.sequence(F.ceil(F.col("size") * j - eps).cast("int"),
-                                     F.floor(F.col("size") / j + eps).cast("int"))))
+        return sized.select(one, "size", F.explode(
+            F.slice("letter", F.lit(1), F.greatest(keep, F.lit(1)))).alias("letter"))
+
+    b = keyed("b").withColumn("size", F.explode(F.sequence(
+        F.ceil(F.col("size") * j - eps).cast("int"), F.floor(F.col("size") / j + eps).cast("int"))))
+    common = F.size(F.array_intersect("a", "b"))
+    alike = (keyed("a").join(b, ["letter", "size"]).select("a", "b").distinct()
+             .filter(common >= (F.size("a") + F.size("b") - common) * j - eps))
     ratio = F.least(F.length("name"), F.length("official")) / F.greatest(
         F.length("name"), F.length("official"))
-    pairs = (a.join(b, ["letter", "size"]).filter(ratio >= floor - eps)
-             .select("name", "official").distinct())
-    scored = pairs.withColumn("similarity", name_similarity(F.col("name"), F.col("official")))
+    scored = (alike.join(left.withColumnRenamed("letters", "a"), "a")
+              .join(right.select(F.col("name").alias("official"), F.col("letters").alias("b")), "b")
+              .filter(ratio >= floor - eps)
+              .select("name", "official", name_similarity(F.col("name"), F.col("official"))
+                      .alias("similarity")))
     w = Window.partitionBy("name").orderBy(F.round("similarity", 9).desc(), "official")
     return (scored.filter(F.col("similarity") >= threshold)
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top))
@@ -160,21 +176,13 @@ def _fold(text: str) -> str:
 
 def _alias_finder(aliases: list[str]):
     """Function from a text to (start, stop, alias) of each alias's non-overlapping occurrences."""
-    try:
-        import ahocorasick
-    except ImportError:
-        def by_search(text: str) -> Iterator[tuple[int, int, str]]:
-            for alias in aliases:
-                at = text.find(alias)
-                while at >= 0:
-                    yield at, at + len(alias), alias
-                    at = text.find(alias, at + len(alias))
-
-        return by_search
+    import ahocorasick
 
     automaton = ahocorasick.Automaton()
     for alias in aliases:
         automaton.add_word(alias, alias)
+    if not aliases:
+        return lambda text: iter(())
     automaton.make_automaton()
 
     def in_one_pass(text: str) -> Iterator[tuple[int, int, str]]:
@@ -237,24 +245,45 @@ def mentions(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(doc_id, start, stop, company, alias, weight) of the resolved dictionary mentions.
 
-    The dictionary goes to every task, so its size is checked first. Overlapping spans keep the best by weight, name length and whether
-    the alias is the name itself.
+    Overlapping spans keep the best by weight, name length and whether the alias is the name itself.
+    A dictionary of checked size goes to the tasks; of a larger one every document is given the
+    entries that may stand in it, with the same result.
     """
     rows = _small_dictionary(patterns.select("alias", "company", "weight"))
-    if rows is None:
-        raise ValueError(f"more than {MAX_DICTIONARY_ROWS} patterns; see count_mentions")
-    entries = sorted((r.alias, r.company, r.weight) for r in rows)
+    entries = None if rows is None else sorted((r.alias, r.company, r.weight) for r in rows)
+    given = docs.select(id_col, text_col)
+    if entries is None:
+        given = with_entries(given, patterns, id_col, text_col)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spans = _span_finder(entries)
+        shared = None if entries is None else _span_finder(entries)
         for pdf in batches:
-            out = [(i, *m) for i, t in zip(pdf[id_col], pdf[text_col], strict=True)
-                   for m in spans(t)]
+            own = [None] * len(pdf) if entries is not None else pdf["entries"]
+            out = [(i, *m) for i, t, e in zip(pdf[id_col], pdf[text_col], own, strict=True)
+                   for m in (shared or _span_finder(_own_entries(e)))(t)]
             yield pd.DataFrame(
                 out, columns=[id_col, "start", "stop", "company", "alias", "weight"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(scan, f"{id_col} {id_type}, {MENTION_SCHEMA}")
+    return given.mapInPandas(scan, f"{id_col} {id_type}, {MENTION_SCHEMA}")
+
+
+def _own_entries(rows) -> list[tuple[str, str, float]]:
+    return sorted({(r["alias"], r["company"], r["weight"]) for r in (() if rows is None else rows)})
+
+
+def with_entries(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str,
+                 provider_col: str | None = None) -> DataFrame:
+    """`docs` with `entries`: the (alias, company, weight) rows that may stand in a document's text or
+    that its provider named. A document's list is bounded by the different runs of its text."""
+    met = meetings(docs, patterns, id_col, text_col)
+    if provider_col:
+        met = met.unionByName(docs.select(id_col, each(F.col(provider_col)).alias("alias"))
+                              .select(id_col, F.trim("alias").alias("alias"))).distinct()
+    lists = met.join(patterns.select("alias", "company", "weight"), "alias").groupBy(
+        F.col(id_col).alias("_of")).agg(
+        F.collect_list(F.struct("alias", "company", "weight")).alias("entries"))
+    return docs.join(lists, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
@@ -287,15 +316,11 @@ def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
 HEAD_LETTERS = (8, 4, 2, 1)
 
 
-def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
-
-    Made of joins, so the dictionary may have any size. An alias is met through its first 8, 4, 2
-    or 1 letters, the longest it has: the distinct runs of a text meet these heads without the text,
-    and only the surviving (document, alias) pairs are counted against it. Runs are cut only in
-    the lengths the dictionary needs.
-    """
+def meetings(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+             ) -> DataFrame:
+    """(doc_id, alias) that may go together: the first 8, 4, 2 or 1 letters of the alias, the longest
+    it has, are a run of the text in any letter case. Texts are not moved, only their distinct runs,
+    and these only in the lengths that the dictionary needs."""
     text = F.lower(text_col)
     size = F.length("alias")
     needed = F.lit(None).cast("int")
@@ -306,7 +331,18 @@ def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
     lengths = sorted(r.n for r in heads.select("n").distinct().collect()) or [HEAD_LETTERS[0]]
     runs = docs.select(id_col, each(F.array_distinct(F.concat(
         *[char_ngrams(text, n) for n in lengths]))).alias("head"))
-    pairs = runs.join(heads.select("alias", "head"), "head").select(id_col, "alias")
+    return runs.join(heads.select("alias", "head"), "head").select(id_col, "alias")
+
+
+def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
+
+    Made of joins, so the dictionary may have any size: only (document, alias) pairs that meet on
+    the alias's first letters are counted against the text.
+    """
+    text = F.lower(text_col)
+    pairs = meetings(docs, aliases, id_col, text_col)
     gone = F.length(F.replace(text, F.lower("alias"), F.lit("")))
     hits = ((F.length(text) - gone) / F.length("alias")).cast("long")
     return (pairs.join(docs.select(id_col, text_col), id_col)
@@ -372,63 +408,101 @@ FACTS_SCHEMA = ("company string, votes int, provider_votes int, weight double, n
                 "group_mention boolean, sector_word boolean")
 
 
+def _fact_finder(entries: list[tuple[str, str, float]], weights: dict[str, float],
+                 sectors: dict[str, str | None]):
+    """Function from a text, its title and a provider's names to the rows of `company_facts`."""
+    spans = _span_finder(entries)
+    official = {alias: company for alias, company, _ in reversed(entries)}
+    aliases: dict[str, list[str]] = {}
+    for alias, company, _ in entries:
+        if alias != company:
+            aliases.setdefault(company, []).append(alias)
+    bounded: dict[str, re.Pattern] = {}
+
+    def count(name: str, text: str) -> int:
+        if name not in text:
+            return 0
+        if name not in bounded:
+            bounded[name] = re.compile(f"(?<![가-힣A-Za-z]){re.escape(name)}(?![가-힣A-Za-z])")
+        return len(bounded[name].findall(text))
+
+    def facts(text: str, title: str, provided: list[str]) -> Iterator[tuple]:
+        votes = Counter(m[2] for m in spans(text))
+        asked = Counter(official.get(p.strip(), p.strip()) for p in provided
+                        if p is not None and len(p.strip()) >= 2)
+        for name in votes.keys() | asked.keys():
+            others = sum(count(a, text) for a in aliases.get(name, ()))
+            terms = words.SECTOR_WORDS.get(sectors.get(name) or "", ())
+            yield (name, votes[name], asked[name], weights.get(name), count(name, text), others,
+                   text.find(name), len(text), name in title,
+                   name in words.GROUPS and any(name + p in text for p in words.PARTICLES),
+                   any(t in text for t in terms))
+
+    return facts
+
+
+def _with_abouts(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str, text_col: str,
+                 provider_col: str | None) -> DataFrame:
+    """`with_entries`, and `abouts`: (company, weight, sector) of every company in them or named by
+    the provider; the weight is the greatest of all its aliases."""
+    given = with_entries(docs, patterns, id_col, text_col, provider_col)
+    named = given.select(id_col, F.explode(F.col("entries.company")).alias("company"))
+    if provider_col:
+        named = named.unionByName(docs.select(id_col, F.explode(provider_col).alias("company"))
+                                  .select(id_col, F.trim("company").alias("company")))
+    about = patterns.groupBy("company").agg(F.max("weight").alias("weight")).join(
+        master.select(F.col("name").alias("company"), "sector"), "company", "full")
+    lists = named.distinct().join(about, "company").groupBy(F.col(id_col).alias("_of")).agg(
+        F.collect_list(F.struct("company", "weight", "sector")).alias("abouts"))
+    return given.join(lists, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def company_facts(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", title_col: str | None = None,
                   provider_col: str | None = None) -> DataFrame:
     """One row per (document, company) with every number the later steps need from the text.
 
-    The texts are read once where they lie; only these small rows go on. Companies come from the
-    dictionary mentions and, if given, from an array column of a provider's answers. The
-    dictionaries are size-checked, as in `mentions`.
+    Only these small rows go on. Companies come from the dictionary mentions and, if given, from an
+    array column of a provider's answers. Dictionaries of checked size go to the tasks and the texts
+    are read once where they lie; of larger ones every document is given the rows that concern it,
+    with the same result.
     """
     rows = _small_dictionary(patterns.select("alias", "company", "weight"))
     about = _small_dictionary(master.select("name", "sector"))
-    if rows is None or about is None:
-        raise ValueError(f"more than {MAX_DICTIONARY_ROWS} dictionary rows; see count_mentions")
-    entries = sorted((r.alias, r.company, r.weight) for r in rows)
-    sectors = {r.name: r.sector for r in about}
-    official = {alias: company for alias, company, _ in reversed(entries)}
-    given = [c for c in (title_col, provider_col) if c]
+    given = docs.select(id_col, text_col, *[c for c in (title_col, provider_col) if c])
+    small = rows is not None and about is not None
+    if small:
+        entries = sorted((r.alias, r.company, r.weight) for r in rows)
+        sectors = {r.name: r.sector for r in about}
+    else:
+        entries, sectors = [], {}
+        given = _with_abouts(given, patterns, master, id_col, text_col, provider_col)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spans = _span_finder(entries)
         weights: dict[str, float] = {}
-        aliases: dict[str, list[str]] = {}
-        for alias, company, weight in entries:
+        for _, company, weight in entries:
             weights[company] = max(weight, weights.get(company, 0.0))
-            if alias != company:
-                aliases.setdefault(company, []).append(alias)
-        bounded: dict[str, re.Pattern] = {}
-
-        def count(name: str, text: str) -> int:
-            if name not in bounded:
-                bounded[name] = re.compile(
-                    f"(?<![가-힣A-Za-z]){re.escape(name)}(?![가-힣A-Za-z])")
-            return len(bounded[name].findall(text))
-
-        def facts(text: str, title: str, provided: list[str]) -> Iterator[tuple]:
-            votes = Counter(m[2] for m in spans(text))
-            asked = Counter(official.get(p.strip(), p.strip()) for p in provided
-                            if len(p.strip()) >= 2)
-            for name in votes.keys() | asked.keys():
-                others = sum(count(a, text) for a in aliases.get(name, ()))
-                terms = words.SECTOR_WORDS.get(sectors.get(name) or "", ())
-                yield (name, votes[name], asked[name], weights.get(name), count(name, text), others,
-                       text.find(name), len(text), name in title,
-                       name in words.GROUPS and any(name + p in text for p in words.PARTICLES),
-                       any(t in text for t in terms))
+        shared = _fact_finder(entries, weights, sectors) if small else None
+
+        def own(found, abouts):
+            rows = () if abouts is None else abouts
+            return _fact_finder(_own_entries(found),
+                                {r["company"]: r["weight"] for r in rows if r["weight"] is not None},
+                                {r["company"]: r["sector"] for r in rows})
 
         for pdf in batches:
-            titles = pdf[title_col] if title_col else [""] * len(pdf)
-            answers = pdf[provider_col] if provider_col else [()] * len(pdf)
-            out = [(i, *f) for i, text, title, provided in
-                   zip(pdf[id_col], pdf[text_col], titles, answers, strict=True)
+            none = [None] * len(pdf)
+            titles = pdf[title_col] if title_col else none
+            answers = pdf[provider_col] if provider_col else none
+            finders = ([shared] * len(pdf) if small
+                       else map(own, pdf["entries"], pdf["abouts"]))
+            out = [(i, *f) for i, text, title, provided, facts in
+                   zip(pdf[id_col], pdf[text_col], titles, answers, finders, strict=True)
                    for f in facts(text or "", title or "", [] if provided is None else list(provided))]
             yield pd.DataFrame(out, columns=[id_col, *[c.split()[0] for c in FACTS_SCHEMA.split(", ")]])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, *given).mapInPandas(
-        scan, f"{id_col} {id_type}, {FACTS_SCHEMA}")
+    return given.mapInPandas(scan, f"{id_col} {id_type}, {FACTS_SCHEMA}")
 
 
 def extract(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str = "doc_id",

@@ -207,15 +207,16 @@ def verdicts(claims: DataFrame, hits: DataFrame, disclosure_adjustment: DataFram
         F.col("by_disclosure").alias("disclosure"))
 
 
-def evidence(hits: DataFrame, classified: DataFrame, top: int = 3) -> DataFrame:
-    """The first hits of a claim: exact ones if there are any, else all."""
-    has_exact = classified.groupBy("query_id").agg(
-        F.max((F.col("match") == "exact").cast("int")).alias("has_exact"))
-    kept = classified.join(has_exact, "query_id").filter(
-        (F.col("match") == "exact") | (F.col("has_exact") == 0))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("rank", F.substring("title", 1, 200).alias(
-        "title"), "url", "published_at"))), 1, top)
-    return kept.groupBy("query_id").agg(first.alias("evidence"))
+def evidence(hits: DataFrame, top: int | None = None) -> DataFrame:
+    """(query_id, evidence): (rank, title, url, published_at) of a claim's exact hits, or of all hits
+    if none is exact; all of them or the first `top`. `hits` are classified."""
+    exact = F.col("match") == "exact"
+    entry = F.struct("rank", "title", "url", "published_at")
+    listed = hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(exact, entry))).alias("exact"),
+        F.array_sort(F.collect_list(entry)).alias("every"))
+    found = F.when(F.size("exact") > 0, F.col("exact")).otherwise(F.col("every"))
+    return listed.select("query_id", (found if top is None else F.slice(found, 1, top)).alias("evidence"))
 
 
 def evaluate(confidence: Column, mean: Column, best: Column, n: Column, exact_n: Column,

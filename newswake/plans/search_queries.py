@@ -449,6 +449,19 @@ def rumor_verdicts(spark, sf):
         F.col(c).cast("long").alias(c) for c in ("exact_n", "partial_n", "contradictions")])
 
 
+@query("rumor_evidence", f"""
+WITH {HITS_SQL}, sides AS (SELECT query_id, bool_or(match = 'exact') AS any_exact FROM marked GROUP BY 1)
+SELECT m.query_id, count(*) AS hits, string_agg(m.rank || ' ' || url || ' ' || title, '|' ORDER BY m.rank) AS evidence
+FROM (SELECT *, 'http://n/' || doc_id AS url FROM marked) m JOIN sides s ON s.query_id = m.query_id
+WHERE NOT any_exact OR match = 'exact' GROUP BY 1""")
+def rumor_evidence(spark, sf):
+    """The articles that a verdict rests on."""
+    listed = tr.evidence(tr.classify_hits(_claims(spark, sf), _hits(spark, sf)))
+    return listed.select("query_id", F.size("evidence").cast("long").alias("hits"), F.concat_ws(
+        "|", F.transform("evidence", lambda e: F.concat_ws(" ", e["rank"], e["url"], e["title"])))
+        .alias("evidence"))
+
+
 @query("trust_evaluator", """
 WITH e AS (
   SELECT user_id, ts::DATE AS day, avg(value) / 100.0 AS mean, max(value) / 100.0 AS best, count(*) AS n,

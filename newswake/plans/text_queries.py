@@ -586,6 +586,39 @@ def name_similarity(spark, sf):
     return r6(out.withColumn("rank", F.col("rank").cast("int")), "similarity")
 
 
+WORD_PAIRS_SQL = """
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents),
+names AS (SELECT name, list_sort(list_distinct(string_split(name, ''))) AS a FROM w WHERE length(name) >= 10),
+officials AS (
+  SELECT DISTINCT 'c' || name AS official FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM benchmark) WHERE length(name) >= 7),
+letters AS (
+  SELECT name, official, a, list_sort(list_distinct(string_split(official, ''))) AS b
+  FROM names JOIN officials ON least(length(name), length(official)) * 3 >= greatest(length(name), length(official)) * 2),
+sims AS (
+  SELECT name, official, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) * 0.7
+    + (1.0 - abs(length(name) - length(official)) / greatest(length(name), length(official))) * 0.3
+    AS similarity FROM letters)"""
+
+
+@query("similar_words", f"""
+WITH {WORD_PAIRS_SQL}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(similarity, 9) DESC, official) AS rank
+  FROM sims WHERE similarity >= 0.9)
+SELECT name, official, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE rank <= 3""")
+def similar_words(spark, sf):
+    """Many distinct names: long words of all texts against long words of the benchmark."""
+    def words_of(name):
+        return table(spark, sf, name).select(F.explode(F.regexp_extract_all(
+            F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name")).distinct()
+
+    names = words_of("documents").filter(F.length("name") >= 10)
+    master = words_of("benchmark").filter(F.length("name") >= 7).select(F.concat(F.lit("c"), "name").alias("name"))
+    out = co.similar_names(names, master, 0.9)
+    return r6(out.withColumn("rank", F.col("rank").cast("int")), "similarity")
+
+
 @query("learned_alias_histogram", f"""
 WITH {SIMILAR_SQL}, best AS (SELECT name, max(similarity) AS s FROM sims GROUP BY name)
 SELECT floor(round(s, 9) * 10) / 10 AS band, count(*) AS count FROM best WHERE s >= 0.9 GROUP BY 1""")

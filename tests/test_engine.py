@@ -62,6 +62,7 @@ def test_index_search_verify_patterns(spark, engine):
     assert len(hits) == 10 and hits[0].score >= hits[-1].score > 0
     v = engine.verify_rumor("최근 한달 삼성 실적 발표", "2024-10-31", companies=["갑"], event_phrases=["실적 발표"]).head()
     assert v.exact_n == 10 and v.temporal == 1.0 and v.support == 0.5 and v.level == "HIGH"
+    assert len(v.evidence) == 10 and [e.rank for e in v.evidence] == list(range(1, 11))
     v = engine.verify_rumor("최근 한달 삼성 실적 발표", "2024-10-31", companies=["갑"], event_phrases=["실적 발표"],
                             corp_codes=["K1"]).head()
     assert v.disclosure > 0

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from newswake.functions import dates, text as tx
-from newswake.operators import patterns as pt, prices as pr
+from newswake.operators import companies as co, patterns as pt, prices as pr
 from newswake.plans import study
 from newswake.sources import writers
 
@@ -132,3 +133,27 @@ def test_words_around_json(spark):
     assert [r[0] for r in df.select(tx.json_block(F.col("t"))).collect()] == ['{"a": {"b": 1}}', None, None]
     df = spark.createDataFrame([('["A", "B", "A"]',), ("1. A\n- B\n\n",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(tx.company_list(F.col("t"))).collect()] == [["A", "B"], ["A", "B"], [], []]
+
+
+def test_large_dictionaries_give_the_same_companies(spark, monkeypatch):
+    rng = random.Random(5)
+    letters = "ab 가나"
+    docs = spark.createDataFrame(
+        [(i, "".join(rng.choice(letters) for _ in range(40)), [rng.choice(["ab가", "가나", "x y", " 나a "]), None])
+         for i in range(30)] + [(30, None, None), (31, "", []), (None, "ab가 가나", ["가나"])],
+        "doc_id long, text string, said array<string>")
+    patterns = spark.createDataFrame(
+        [("ab", "ab가", 0.8), ("ab가", "ab가", 0.9), ("가나", "가나", 0.9), ("나", "가나", 0.7), ("AB", "BA", 0.8),
+         ("나a", "가나", 0.75), ("없음", "x y", 0.6)], "alias string, company string, weight double")
+    master = spark.createDataFrame([("ab가", "IT"), ("가나", "금융"), ("x y", None), ("only", "IT")],
+                                   "name string, sector string")
+
+    def found():
+        spans = sorted(map(str, co.mentions(docs, patterns).collect()))
+        facts = sorted(map(str, co.company_facts(docs, patterns, master, provider_col="said").collect()))
+        return spans, facts
+
+    small = found()
+    monkeypatch.setattr(co, "MAX_DICTIONARY_ROWS", 1)
+    assert found() == small
+    assert len(small[0]) > 50 and len(small[1]) > 50

@@ -405,7 +405,7 @@ def relevance(score: Column, mentions_n: Column, alias_mentions: Column, name: C
 
 FACTS_SCHEMA = ("company string, votes int, provider_votes int, weight double, name_mentions int, "
                 "alias_mentions int, first_at int, length int, in_title boolean, "
-                "group_mention boolean, sector_word boolean")
+                "group_mention boolean, sector_word boolean, named boolean")
 
 
 def _fact_finder(entries: list[tuple[str, str, float]], weights: dict[str, float],
@@ -418,6 +418,14 @@ def _fact_finder(entries: list[tuple[str, str, float]], weights: dict[str, float
         if alias != company:
             aliases.setdefault(company, []).append(alias)
     bounded: dict[str, re.Pattern] = {}
+    apart: dict[str, re.Pattern] = {}
+
+    def stands(name: str, text: str) -> bool:
+        """As a word of its own, in any letter case."""
+        if name not in apart:
+            apart[name] = re.compile(
+                f"(?<![가-힣A-Za-z0-9]){re.escape(name)}(?![가-힣A-Za-z0-9])", re.IGNORECASE)
+        return apart[name].search(text) is not None
 
     def count(name: str, text: str) -> int:
         if name not in text:
@@ -436,7 +444,8 @@ def _fact_finder(entries: list[tuple[str, str, float]], weights: dict[str, float
             yield (name, votes[name], asked[name], weights.get(name), count(name, text), others,
                    text.find(name), len(text), name in title,
                    name in words.GROUPS and any(name + p in text for p in words.PARTICLES),
-                   any(t in text for t in terms))
+                   any(t in text for t in terms),
+                   any(stands(a, text) for a in (name, *aliases.get(name, ()))))
 
     return facts
 
@@ -505,19 +514,53 @@ def company_facts(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_co
     return given.mapInPandas(scan, f"{id_col} {id_type}, {FACTS_SCHEMA}")
 
 
+def spellings(docs: DataFrame, patterns: DataFrame, master: DataFrame, provider_col: str,
+              like: float = 0.8) -> DataFrame:
+    """(name, official, similarity): the most similar master name of each provider's name that is
+    neither an alias nor a master name. Names are compared once each, however often they are given."""
+    known = patterns.select(F.col("alias").alias("name")).unionByName(master.select("name"))
+    names = (docs.select(F.explode(provider_col).alias("name")).select(F.trim("name").alias("name"))
+             .filter(F.length("name") >= 2).distinct().join(known, "name", "left_anti"))
+    return similar_names(names, master, like, top=1).select("name", "official", "similarity")
+
+
+def normalised_answers(docs: DataFrame, close: DataFrame, id_col: str, provider_col: str,
+                       above: float = 0.9) -> DataFrame:
+    """`docs` with the provider's names replaced by the master names they are closer to than `above`."""
+    official = close.filter(F.col("similarity") > above).select("name", "official")
+    answers = (docs.select(F.col(id_col).alias("_of"), F.explode(provider_col).alias("name"))
+               .select("_of", F.trim("name").alias("name")).join(official, "name", "left")
+               .groupBy("_of").agg(F.sort_array(F.collect_list(F.coalesce("official", "name")))
+                                   .alias("_names")))
+    return (docs.join(answers, F.col(id_col).eqNullSafe(F.col("_of")), "left")
+            .withColumn(provider_col, F.col("_names")).drop("_of", "_names"))
+
+
 def extract(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str = "doc_id",
             text_col: str = "text", title_col: str | None = None,
             provider_col: str | None = None) -> DataFrame:
-    """Companies of every document with confidence, status and relevance rank.
+    """Companies of every document with confidence, status and relevance rank. Ids are unique.
 
-    Output: (doc_id, company, status, confidence, relevance, rank). Names are official already,
-    since patterns map every alias to its company, so duplicates cannot arise among them.
+    Output: (doc_id, company, status, confidence, relevance, rank). Aliases, and a provider's
+    spellings with a similarity above 0.9, become official names before votes are counted, so a
+    company stands once; names with one of 0.8 to 0.9 stay and have the standing of a similar name.
+    A candidate of the low tier is recovered if it is listed and it or an alias stands in the text.
     """
-    found = company_facts(extractable(docs, text_col), patterns, master, id_col, text_col, title_col,
+    texts = extractable(docs, text_col)
+    close = None
+    if provider_col:
+        close = spellings(texts, patterns, master, provider_col)
+        texts = normalised_answers(texts, close, id_col, provider_col)
+    found = company_facts(texts, patterns, master, id_col, text_col, title_col,
                           provider_col).filter(~F.col("group_mention"))
     about = master.select(F.col("name").alias("company"), "type", F.lit(True).alias("in_master"))
     rows = found.join(about, "company", "left").withColumn(
         "in_master", F.coalesce("in_master", F.lit(False)))
+    if close is None:
+        rows = rows.withColumn("similar", F.lit(False))
+    else:
+        rows = rows.join(close.select(F.col("name").alias("company"), F.lit(True).alias("similar")),
+                         "company", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
     name = F.col("company")
     rows = rows.withColumn(
         "score", F.col("votes") * PATTERN_VOTE + F.col("provider_votes") * PROVIDER_VOTE
@@ -526,12 +569,12 @@ def extract(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str
                       + F.least(F.col("name_mentions") * 0.1, F.lit(0.3))
                       + F.when(F.col("sector_word"), 0.05).otherwise(0.0))
     rows = rows.withColumn("vconf", validation_score(
-        F.col("in_master"), F.lit(False), F.lit(False), context,
+        F.col("in_master"), F.lit(False), F.col("similar"), context,
         F.when(F.col("votes") > 0, F.col("weight")), name))
     level = tier(F.col("score"), F.col("methods"))
     status = (F.when((level == "high") & (F.col("vconf") >= 0.5), "validated")
               .when((level == "medium") & (F.col("vconf") > 0.6), "medium_validated")
-              .when((level == "low") & F.col("in_master"), "recovered_candidate"))
+              .when((level == "low") & F.col("in_master") & F.col("named"), "recovered_candidate"))
     final = F.when(F.col("status") == "recovered_candidate",
                    F.greatest(F.lit(0.65), (F.col("score") + 0.7) / 2)
                    ).otherwise(F.col("score") * 0.6 + F.col("vconf") * 0.4)

@@ -163,6 +163,43 @@ def test_extract_scores_by_hand(spark, master):
     assert rows[(4, "가나자동차")].status == "validated"
 
 
+def test_spellings_of_a_provider(spark):
+    """A spelling above 0.9 is the listed name and adds to its votes; one of 0.8 to 0.9 stays a similar
+    name; another name has no standing. Blanks and nulls name nothing."""
+    m = spark.createDataFrame([("abcdefghij", "1", None, "KRX", "listed", True)],
+                              "name string, code string, sector string, market string, type string, verified boolean")
+    pats = co.pattern_weights(co.alias_table(m), m)
+    docs = spark.createDataFrame(
+        [(1, "the abcdefghij company rises", [" abcdefghij ", "abcdefghijj", None, " "]),
+         (2, "abcdefghixyz opens a plant", ["abcdefghixy"]), (3, "nothing of note today", ["qqqq"]),
+         (4, "no answer at all here", None)], "doc_id int, text string, asked array<string>")
+    close = {r.name: round(r.similarity, 4) for r in co.spellings(docs, pats, m, "asked").collect()}
+    assert close == {"abcdefghijj": round(0.7 + 0.3 * 10 / 11, 4)}
+    rows = {(r.doc_id, r.company): r for r in co.extract(docs, pats, m, provider_col="asked").collect()}
+    assert (1, "abcdefghij") in rows and (1, "abcdefghijj") not in rows
+    # one mention, two answers; validation: 0.9 master, context 0.6, pattern weight + 0.1, 0.7
+    score = 0.45 + 2 * 0.55
+    weight = min([r.weight for r in pats.collect() if r.alias == "abcdefghij"][0] + 0.1, 1.0)
+    assert rows[(1, "abcdefghij")].confidence == pytest.approx(
+        score * 0.6 + (0.9 + 0.6 + weight + 0.7) / 4 * 0.4)
+    assert (3, "qqqq") in rows and not any(i == 4 for i, _ in rows)
+
+
+def test_similar_spelling_has_its_own_standing(spark):
+    m = spark.createDataFrame([("abcdefghijkl", "1", None, "KRX", "listed", True)],
+                              "name string, code string, sector string, market string, type string, verified boolean")
+    pats = co.pattern_weights(co.alias_table(m), m)
+    docs = spark.createDataFrame([(1, "something about abcdefghijxy", ["abcdefghijk", "abcdefghijxyk"]), (2, "word", ["zzzzz"])],
+                                 "doc_id int, text string, asked array<string>")
+    close = {r.name: r.similarity for r in co.spellings(docs, pats, m, "asked").collect()}
+    assert close == {"abcdefghijk": pytest.approx(0.7 * 11 / 12 + 0.3 * 11 / 12),
+                     "abcdefghijxyk": pytest.approx(0.7 * 11 / 14 + 0.3 * 12 / 13)}
+    rows = {r.company: r for r in co.extract(docs, pats, m, provider_col="asked").collect() if r.doc_id == 1}
+    assert set(rows) == {"abcdefghijkl", "abcdefghijxyk"}
+    # standing 0.6, context 0.5, sense 0.7; the name itself is not in the text
+    assert rows["abcdefghijxyk"].confidence == pytest.approx(0.55 * 0.6 + (0.6 + 0.5 + 0.7) / 3 * 0.4)
+
+
 def test_group_name_with_particle_is_no_company(spark):
     m = spark.createDataFrame([("SK", None, None, None, "listed", True)],
                               "name string, code string, sector string, market string, type string, verified boolean")

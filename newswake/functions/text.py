@@ -217,7 +217,12 @@ def name_similarity(a: Column, b: Column) -> Column:
                   jaccard * 0.7 + closeness * 0.3).otherwise(0.0)
 
 
+# fixed values: amounts in a claim, and the wordings that name a contract party
 AMOUNT = r"\d+[\.,]?\d*\s*(?:조|억|만|천|백|달러|원|%)"
+PARTY_LETTERS = r"[가-힣A-Za-z0-9\s]+"
+WITH_PARTY = rf"({PARTY_LETTERS})(?:와|과)\s*계약"
+LABELLED_PARTY = rf"(?:매수인|매도인|거래처|공급처|수요처|계약상대방|상대방)\s*[:\s]\s*({PARTY_LETTERS})"
+COMPANY_FORM = r"(?:주식회사|㈜|\(주\))\s*([가-힣A-Za-z0-9]+)"
 
 
 def amounts(text: Column) -> Column:
@@ -228,16 +233,12 @@ def counterparties(text: Column, limit: int | None = None, longest: int | None =
     """Contract parties named in a text, by three wordings; distinct, all of them or the first
     `limit` of at most `longest` letters."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
-    names = r"[가-힣A-Za-z0-9\s]+"
     found = lambda p, least: F.filter(
         F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), lambda m: F.trim(m)),
         lambda m: F.length(m) > least)
-    with_party = found(f"({names})(?:와|과)\\s*계약", 2)
-    labelled = found(
-        rf"(?:매수인|매도인|거래처|공급처|수요처|계약상대방|상대방)\s*[:\s]\s*({names})", 2)
-    company_form = F.transform(
-        found(r"(?:주식회사|㈜|\(주\))\s*([가-힣A-Za-z0-9]+)", 1),
-        lambda m: F.concat(F.lit("(주)"), m))
+    with_party = found(WITH_PARTY, 2)
+    labelled = found(LABELLED_PARTY, 2)
+    company_form = F.transform(found(COMPANY_FORM, 1), lambda m: F.concat(F.lit("(주)"), m))
     every = F.filter(F.concat(with_party, labelled, company_form),
                      lambda m: (m != "") & ((F.length(m) <= longest) if longest else F.lit(True)))
     names = F.array_distinct(every)

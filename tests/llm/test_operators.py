@@ -362,6 +362,35 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(df).columns == df.columns
 
 
+def jaccard_groups(texts, least=0.8):
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= least * len(x | y) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return set(root)
+
+
+def test_one_of_each_joins_crowded_groups(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for _ in range(4):  # edits of one text are often less alike to each other than 0.8
+        base = [word() for _ in range(150)]
+        for _ in range(60):
+            w = list(base)
+            for i in rng.sample(range(150), rng.randint(1, 6)):
+                w[i] = word()
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == jaccard_groups(texts)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 500)] + [(5, 5)]

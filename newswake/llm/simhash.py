@@ -67,13 +67,14 @@ def fingerprint(shingle: int):
     return of_texts
 
 
-def fingerprints(shingle: int, prints: int):
-    """Several fingerprints of a text, from independent mixtures of the hashes of its shingles."""
+def fingerprints(shingle: int, prints: int, once: bool = False):
+    """Several fingerprints of a text, from independent mixtures of the hashes of its shingles; with
+    `once` a shingle that is repeated counts once."""
     @F.pandas_udf("array<long>")
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         odd = np.random.default_rng(SEED).integers(1, 1 << 62, prints, dtype=np.uint64) * np.uint64(2)
         for texts in batches:
-            hashes = [shingle_hashes(t, shingle) for t in texts]
+            hashes = [different(t, shingle) if once else shingle_hashes(t, shingle) for t in texts]
             yield pd.Series([[majority(mixed(h ^ o)) for o in odd] for h in hashes])
     return of_texts
 
@@ -316,7 +317,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
 
     Groups are the components of links between texts whose sets of shingles of `words` words have a
     Jaccard similarity of `similarity` or more. Candidates are texts whose SimHash fingerprints, of
-    shorter shingles, are linked or equal, and texts that share one of BANDS bands of
+    different shorter shingles, are linked or equal, and texts that share one of BANDS bands of
     least hashes; sign bits alone miss many pairs near the threshold, the bands find all but
     (1 - 0.8 ** BAND_WIDTH) ** BANDS, 7 in 100,000, of the pairs at 0.8. Linked fingerprints of a
     crowded key are a forest and are compared by their first texts; texts with a fingerprint or a
@@ -327,7 +328,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     """
     whole = text_of(text)
     base = stored(rows(docs, id=F.col(doc_id), at=F.monotonically_increasing_id(), text=whole)
-                  .withColumn("fps", fingerprints(shingle, prints)("text"))
+                  .withColumn("fps", fingerprints(shingle, prints, once=True)("text"))
                   .withColumn("bands", band_keys(words)("text")))
     each = base.select("at", F.posexplode("fps").alias("no", "fp")).withColumn("no", F.col("no").cast("long"))
     nodes = stored(each.groupBy("no", "fp").agg(F.min("at").alias("first")))

@@ -376,6 +376,22 @@ def jaccard_groups(texts, least=0.8):
     return set(root)
 
 
+def test_one_of_each_leaves_no_near_copy(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    fresh = lambda n: [word() for _ in range(n)]
+    texts = []
+    for _ in range(40):  # appended, replaced and repeated passages at similarities of 0.8 to 0.84
+        w = fresh(220)
+        line = fresh(11)
+        for v in (w, w + fresh(rng.randint(42, 52)), w[:100] + fresh(18) + w[118:]):
+            texts.append(" ".join(v))
+        w = fresh(300)
+        texts += [" ".join(w), " ".join(w + line * 11)]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == jaccard_groups(texts)
+
+
 def test_one_of_each_joins_crowded_groups(spark):
     rng = random.Random(13)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))

@@ -1,22 +1,27 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents are numbered and cut into blocks of `block` documents. With weights in whole
-shares k of a period P, block j (from 0) of a source is released at slot floor(j P / k)
-and due by slot ceil((j + 1) P / k): one block every P/k slots. Earliest deadline first over the
-released blocks meets all deadlines, because the shares sum to P; so after any number of slots each
-source is less than one block away from its target. Every P slots all sources are exactly on target
-and the schedule repeats: only one period is scheduled, P entries whatever the number of documents,
-and block j takes slot P * (j // k) + (place of turn j % k in the period).
-
-A source that has run out leaves its slots empty, and the others keep their proportions. All
-documents are kept, each once; a document's place is its slot, then its rank in the block.
+A source's documents are numbered and cut into blocks of `block` documents. With weight w, a share
+of one, block j (from 0) of a source is released at slot floor(j / w) and due by slot
+ceil((j + 1) / w): one block every 1/w slots. Earliest deadline first over the released blocks
+meets all deadlines, because the weights sum to one; so after any number of slots each source that
+has not run out is less than one block away from its target. Weights are taken as they are, as
+whole numbers of any size, so the bound does not depend on the number of slots.
+
+The schedule has one entry a block. It is computed in one pass that holds one block a source, by a
+task that hands its entries on as it goes: 1/64 of the number of documents.
+
+A source that has run out leaves slots empty, and the others keep their proportions. All documents are kept, each once; a document's place is its slot, then its rank in
+the block.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from newswake.llm.ranks import numbered
@@ -62,6 +67,53 @@ def schedule(whole: dict, period: int) -> list[tuple]:
     return out
 
 
+def exact_shares(weights: dict) -> tuple[dict, int]:
+    """The positive weights as whole numbers, without rounding, and their sum."""
+    given = {s: Fraction(w) for s, w in weights.items() if w and w > 0}
+    common = math.lcm(*[w.denominator for w in given.values()])
+    whole = {s: int(w * common) for s, w in given.items()}
+    least = math.gcd(*whole.values()) or 1
+    whole = {s: w // least for s, w in whole.items()}
+    return whole, sum(whole.values())
+
+
+def turns(whole: dict, period: int, blocks: dict) -> Iterator[tuple]:
+    """(source, block, slot) of all blocks, earliest deadline first among the released ones; one
+    block a source is held. Slots in which no block is released stay empty."""
+    coming = [(0, str(s), s, 0) for s in whole if blocks.get(s)]
+    heapq.heapify(coming)
+    ready: list = []
+    slot = 0
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            _, name, s, j = heapq.heappop(coming)
+            heapq.heappush(ready, (-(-(j + 1) * period // whole[s]), name, j, s))
+        deadline, name, j, s = heapq.heappop(ready)
+        assert slot < deadline, "a block missed its deadline"
+        yield s, j, slot
+        if j + 1 < blocks[s]:
+            heapq.heappush(coming, ((j + 1) * period // whole[s], name, s, j + 1))
+        slot += 1
+
+
+def places(spark, whole: dict, period: int, blocks: dict) -> DataFrame:
+    """source, mix_block, mix_slot of all blocks."""
+    def run(batches):
+        for _ in batches:
+            held = []
+            for turn in turns(whole, period, blocks):
+                held.append(turn)
+                if len(held) == BROADCAST_SLOTS:
+                    yield pd.DataFrame(held, columns=["source", "mix_block", "mix_slot"])
+                    held = []
+            yield pd.DataFrame(held, columns=["source", "mix_block", "mix_slot"]).astype(
+                {"source": object, "mix_block": "int64", "mix_slot": "int64"})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "source string, mix_block long, mix_slot long")
+
+
 def target_weights(docs: DataFrame, source: str = "source", power: float = POWER) -> dict:
     """Weights of all sources: their number of documents to a power below 1, which lifts the small
     ones. One row a source goes to the driver."""
@@ -70,12 +122,12 @@ def target_weights(docs: DataFrame, source: str = "source", power: float = POWER
 
 
 def mix(docs: DataFrame, source: str = "source", weights: dict | None = None, block: int = BLOCK,
-        period: int = PERIOD) -> DataFrame:
+        period: int | None = None) -> DataFrame:
     """Every row with mix_block (of its source), mix_slot and mix_rank (in the block).
 
     Order by mix_slot, mix_rank for the mixed stream. A null source counts as "". A source that
     `weights` lacks, or gives nothing, has no target and no slot: it gets the share of the lightest
-    one. Within a source the order is that of a hash of the row, so a block is not one site's or
+    one. Weights are exact; only a given `period` rounds them to whole shares of so many slots. Within a source the order is that of a hash of the row, so a block is not one site's or
     day's; repeated rows get places of their own. An empty table gives an empty result. Given
     columns named as the results are replaced.
     """
@@ -87,23 +139,18 @@ def mix(docs: DataFrame, source: str = "source", weights: dict | None = None, bl
     if weights is not None:
         least = min([w for w in weights.values() if w and w > 0], default=1.0)
         found = {s: weights.get(s) or least for s in found}
-    whole, period = shares(found, period)
-    places = spark.createDataFrame(
-        [(s, j, slot, whole[s], period) for s, j, slot in schedule(whole, period)],
-        "source string, turn long, place long, share long, period long")
+    whole, period = exact_shares(found) if period is None else shares(found, period)
     order = numbered(narrow.select("source", "spread", "at"), F.col("source"), F.col("spread"), F.col("at"))
-    first = order.groupBy("source").agg(F.min("rank").alias("first"))
-    share = places.select("source", "share", "period").distinct()
-    # one row a source, or PERIOD of them: small tables are broadcast, larger ones are not
-    small = F.broadcast if period <= BROADCAST_SLOTS else (lambda table: table)
-    begun = order.join(small(first.join(share, "source")), "source")
+    sizes = order.groupBy("source").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    blocks = {r["source"]: -(-r["n"] // block) for r in sizes.select("source", "n").collect()}
+    slots = stored(places(spark, whole, period, blocks))
+    # one row a source, and one a block: tables of checked size are broadcast, larger ones are not
+    few = F.broadcast if len(blocks) <= BROADCAST_SLOTS else (lambda table: table)
+    small = F.broadcast if sum(blocks.values()) <= BROADCAST_SLOTS else (lambda table: table)
+    begun = order.join(few(sizes.select("source", "first")), "source")
     inside = F.col("rank") - F.col("first")
-    blocks = begun.select("at", "source", "share", "period", (inside % block).alias("mix_rank"),
-                          F.floor(inside / block).alias("mix_block"))
-    slots = blocks.withColumn("turn", F.col("mix_block") % F.col("share")).join(
-        small(places.select("source", "turn", "place")), ["source", "turn"])
-    slot = F.col("period") * F.floor(F.col("mix_block") / F.col("share")) + F.col("place")
-    placed = slots.select("at", "mix_block", slot.alias("mix_slot"), "mix_rank")
+    placed = begun.select("at", "source", (inside % block).alias("mix_rank"), F.floor(inside / block).alias("mix_block")).join(
+        small(slots), ["source", "mix_block"]).select("at", "mix_block", "mix_slot", "mix_rank")
     return unpacked(narrow.join(placed, "at"), RESULTS)
 
 

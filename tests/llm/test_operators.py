@@ -211,6 +211,28 @@ def test_pfair_schedule_stays_within_one_block():
             assert abs(done[k] - n * share / period) < 1
 
 
+def test_exact_weights_stay_within_one_block_over_any_run():
+    weights = {"a": 1 / 3, "b": 2 / 3 - 1e-4, "c": 1e-4}
+    whole, period = mixing.exact_shares(weights)
+    done, total = Counter(), sum(weights.values())
+    for n, (s, j, slot) in enumerate(mixing.turns(whole, period, dict.fromkeys(weights, 1 << 40)), 1):
+        assert j == done[s] and slot == n - 1
+        done[s] += 1
+        assert all(abs(done[k] - n * w / total) < 1 for k, w in weights.items())
+        if n == 30_000:
+            break
+
+
+def test_mix_holds_weights_that_are_no_thousandths(spark):
+    df = spark.range(9000).selectExpr("id as doc_id", "if(id < 3000, 'a', 'b') as source")
+    got = mixing.mix(df, weights={"a": 1, "b": 2}, block=1).orderBy("mix_slot").collect()
+    done = 0
+    for n, r in enumerate(got, 1):
+        assert r.mix_slot == n - 1
+        done += r.source == "a"
+        assert abs(done - n / 3) < 1
+
+
 def test_mix(corpus, docs):
     weights = {"s0": 3, "s1": 1}
     got = mixing.mix(corpus, weights=weights, block=4, period=8).orderBy("mix_slot", "mix_rank").collect()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newswake.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from newswake.llm.tables import drop_stored, recorded, stored, table
+from newswake.llm.tables import drop_stored, recorded, stored, stored_place, table
 
 _work: list[str] = []
 
@@ -55,10 +55,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
-    found = packing.pieces(docs)
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    The order of the stored documents, which is that of the mixing stage, decides among pieces of
+    equal length and numbers the sequences."""
+    found = packing.pieces(docs.withColumn("_place", stored_place(docs)), place="_place")
     return packing.pack(found.select("doc_id", "piece", "start", "length",
-                                     F.crc32("ids").alias("ids_crc32")))
+                                     F.crc32("ids").alias("ids_crc32"), "_place"), place="_place").drop("_place")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near),

@@ -38,8 +38,9 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None,
-           capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document.
+           capacity: int = CAPACITY, place: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of every document, and
+    its whole number `place` if that is named.
 
     Ids are those of the byte-level BPE without special tokens around them, then one END; a special
     string inside a text is its one id. A null text counts as empty and gives one piece of END."""
@@ -51,20 +52,25 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
         for batch in batches:
             at = 0
             for group in groups(batch["text"].tolist(), 1 << 21):
-                out = []
-                for key, t in zip(batch["doc_id"].iloc[at:at + len(group)], group):
+                out, places = [], []
+                for i, (key, t) in enumerate(zip(batch["doc_id"].iloc[at:at + len(group)], group), at):
                     ids = np.append(encoder.encode_to_numpy(t, allowed_special="all"), END).astype("<u4")
                     out += [(key, i, s, e - s, ids[s:e].tobytes())
                             for i, (s, e) in enumerate(cut_points(len(ids), capacity))]
+                    if place is not None:
+                        places += [batch["place"].iloc[i]] * (len(out) - len(places))
                 at += len(group)
                 frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
                 frame["doc_id"] = pd.array(frame["doc_id"], dtype="Int64") if key_type in (
                     "bigint", "int", "smallint", "tinyint") else frame["doc_id"]
-                yield frame
+                yield frame if place is None else frame.assign(place=pd.array(places, dtype="Int64"))
 
     given = docs.select(F.col(doc_id).alias("doc_id"),
-                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return given.mapInPandas(encode, f"doc_id {key_type}, piece int, start long, length long, ids binary")
+                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+                        *([F.col(place).cast("long").alias("place")] if place else []))
+    found = given.mapInPandas(encode, f"doc_id {key_type}, piece int, start long, length long, ids binary"
+                              + (", place long" if place else ""))
+    return found.withColumnRenamed("place", place) if place else found
 
 
 def sweep(items: list, gaps: list) -> tuple[list, list, list]:
@@ -122,11 +128,13 @@ def merged(gaps: list) -> list:
     return out
 
 
-def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
+def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY,
+         place: str | None = None) -> DataFrame:
     """Every row with sequence_id and offset: sequences of at most `capacity`, gapless from 0.
 
     Lengths must lie in 1..capacity. Equal rows get places of their own; the order among rows of
-    equal length is arbitrary but fixed once stored. An empty table gives an empty result. Given
+    equal length is arbitrary but fixed once stored. With a column `place` of whole numbers it decides
+    among rows of equal length, and sequences are numbered by the least place in them. An empty table gives an empty result. Given
     columns named as the results are replaced.
     """
     own = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
@@ -134,8 +142,9 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     # a unique last key, so that a length shared by many rows is spread over ranges
     spread = F.xxhash64(F.monotonically_increasing_id(), F.spark_partition_id())
     keyed = stored(items.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
-                                F.col(length).cast("long").alias("length"), spread.alias("spread")))
-    ordered = numbered(keyed, F.col("length"), F.col("spread"))
+                                F.col(length).cast("long").alias("length"), spread.alias("spread"),
+                                *([F.col(place).cast("long").alias("place")] if place else [])))
+    ordered = numbered(keyed, F.col("length"), *([F.col("place")] if place else []), F.col("spread"))
     runs, first = [], 0
     for r in ordered.groupBy("length").count().orderBy("length").collect():  # <= capacity rows
         if r["length"] is None or not 0 < r["length"] <= capacity:
@@ -160,4 +169,11 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     narrow = ordered.select("rank", F.floor(F.col("rank") / BLOCK).alias("block"))
     found = narrow.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(
         look_up, "rank long, sequence_id long, offset long")
-    return ordered.join(found, "rank").select("row.*", "sequence_id", "offset")
+    packed = ordered.join(found, "rank")
+    if place:
+        packed = stored(packed)
+        begin = packed.groupBy("sequence_id").agg(F.min("place").alias("begin"))
+        renamed = numbered(begin, F.col("begin"), F.col("sequence_id")).select(
+            "sequence_id", F.col("rank").alias("renamed"))
+        packed = packed.join(renamed, "sequence_id").withColumn("sequence_id", F.col("renamed"))
+    return packed.select("row.*", "sequence_id", "offset")

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: [\x20\x09-\x0D], the white space of words
@@ -95,3 +96,15 @@ def blocks_for(df: DataFrame, size: Column, target: int) -> int:
     """How many blocks of about `target` it takes to hold the sum of `size`: grows with the input."""
     total = df.agg(F.sum(size)).first()[0] or 0
     return max(1, -(-int(total) // target))
+
+
+def stored_place(df: DataFrame) -> Column:
+    """The place of a row of a table read from Parquet: by the number of its part, then its place in
+    the file. Sorted rows that were range-partitioned and written are in this order. Rows of a table
+    that was not read from files have the places Spark gives them."""
+    try:
+        df.select("_metadata.row_index", "_metadata.file_name").schema
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long")
+    return F.shiftleft(F.coalesce(part, F.lit(0).cast("long")), 40) + F.col("_metadata.row_index")

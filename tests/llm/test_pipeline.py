@@ -82,6 +82,20 @@ def test_packing_covers_all_documents(stages):
     assert len(used) <= 1.02 * total / 2048 + 1
 
 
+def test_packing_follows_the_mix(spark, stages):
+    """Fails without the mixing stage: then the places are those of another order."""
+    place = {r.doc_id: i for i, r in enumerate(mixing.mixed_order(stages[3]).collect())}
+    first = {}
+    for r in stages[5].collect():
+        first[r.sequence_id] = min(place[r.doc_id], first.get(r.sequence_id, len(place)))
+    assert sorted(first) == list(range(len(first)))
+    assert [first[i] for i in sorted(first)] == sorted(first.values())
+    unmixed = {}
+    for r in dict(corpus_pipeline.STAGES)["packing"](spark, stages[3], SF).collect():
+        unmixed[r.sequence_id] = min(place[r.doc_id], unmixed.get(r.sequence_id, len(place)))
+    assert [unmixed[i] for i in sorted(unmixed)] != sorted(unmixed.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()

@@ -14,6 +14,9 @@ page of the host. A host with one page has no such evidence, and a host may repe
 many pages, so elements that say what they are come first: `article` and `main` are kept, and named
 noise (below) is removed wherever it stands, also inside an article.
 
+A form, or a class name, may wrap a whole page. If a page has no article but in such wrappers, and
+it has more text there than beside them, it is the page's article and its wrappers are no noise.
+
 The tree is built from (host, node, block) counts that are combined before their shuffle, so a host
 with a third of all pages is no large group. The nodes to remove are stored, and whether their table
 is broadcast to the pages is left to its size.
@@ -56,6 +59,9 @@ NOISE_WORD = re.compile(
     r"paywall|popup\w*|promo\w*|related\w*|repl(?:y|ies)|respond|share\w*|sharing|sidebar\w*|social\w*|"
     r"sponsor\w*|subscribe\w*|toolbar\w*|widget\w*|complementary|contentinfo)(?:$|[\s_-])", re.I)
 
+# fixed values: names of a layout that has or lacks a part, not of the part
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:no|non|not|has|have|with|without)[-_]\S+|\S+[-_](?:no|has|with|without)[-_]\S+", re.I)
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(" + RAW + r")(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
@@ -68,7 +74,8 @@ SPACE = re.compile(r"\s+")
 def parsed(page: str) -> tuple[list, Counter]:
     """([(node, role, text)] of the blocks in page order, count of (node, style)).
 
-    The role is "kept", "noise" or "" by the nearest ancestors that tell; noise wins."""
+    The role is "kept", "noise" or "" by the nearest ancestors that tell; noise wins, but for
+    wrappers of the page's article."""
     blocks, styles = [], Counter()
     stack = [("", "", "", [])]  # tag, node, role, kinds of children
     pieces: list[str] = []
@@ -123,17 +130,25 @@ def parsed(page: str) -> tuple[list, Counter]:
         if not kinds or kinds[-1] != kind:
             kinds.append(kind)
         if role != "noise":
-            if tag in NOISE or (names and tag not in WHOLE and NOISE_WORD.search(names)):
+            named = bool(names) and tag not in WHOLE and bool(NOISE_WORD.search(LAYOUT.sub(" ", names)))
+            if (tag in NOISE and tag != "form") or ((named or tag == "form") and role in ("kept", "held")):
                 role = "noise"
             elif tag in KEPT:
-                role = "kept"
+                role = "held" if role in ("held", "wrapper") else "kept"
+            elif named or tag == "form":
+                role = "wrapper"
         if tag not in INLINE or role != stack[-1][2]:
             node = f"{node}>{kind}"
         stack.append((tag, node, role, []))
     pieces.append(page[at:])
     flush()
     close(0)
-    return blocks, styles
+    size = Counter()
+    for _, role, text in blocks:
+        size[role] += len(text)
+    held = not size["kept"] and size["held"] > size[""]
+    roles = {"held": "kept" if held else "noise", "wrapper": "noise"}
+    return [(node, roles.get(role, role), text) for node, role, text in blocks], styles
 
 
 def host_of(url: Column) -> Column:

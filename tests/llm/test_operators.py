@@ -293,6 +293,16 @@ def test_html_extraction(spark, empty):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_wrappers_do_not_drop_the_article():
+    for wrap in ("<form>{}</form>", "<div class='site no-sidebar'>{}</div>", "<div class=has-sidebar>{}</div>",
+                 "<div class='with-header'>{}</div>", "<div class=widget>{}</div>"):
+        page = wrap.format("<nav>menu</nav><article>the text<form>no</form><div class=share>no</div></article>")
+        assert html_extract.main_text(f"<body>{page}</body>", {}) == "the text"
+    assert html_extract.main_text("<div class=no-sidebar><p>plain</div>", {}) == "plain"
+    assert html_extract.main_text("<p>a longer text</p><div class=related><article>tease</article></div>", {}) == "a longer text"
+    assert html_extract.main_text("<article>a</article><aside><article>b</article></aside>", {}) == "a"
+
+
 def test_html_blocks_are_linear_in_hostile_pages():
     for page in ("<" * 50_000, "<p " * 20_000, "<!--" * 20_000, "<div>" * 3000, '<a b="' * 20_000):
         html_extract.parsed(page)

@@ -10,9 +10,11 @@ styles its pages give it (the sequence of child elements, runs of one kind as on
   one, a block on every page nothing.
 
 Their weighted sum is the node's importance; branches below the threshold are removed from each
-page of the host. A host with one page has no such evidence, and a host may repeat an article on
-many pages, so elements that say what they are come first: `article` and `main` are kept, and named
-noise (below) is removed wherever it stands, also inside an article.
+page of the host, inside `article` and `main` too. What elements say they are is evidence that is
+added to it: for `article` and `main`, and against what stands beside the article of a page. Named
+noise (below) is removed at any importance, also inside an article. A host with few pages has no importances, so there
+the names decide. A page whose article would be left without text keeps it whole: a host may repeat
+an article on many pages.
 
 A form, or a class name, may wrap a whole page. If a page has no article but in such wrappers, and
 it has more text there than beside them, it is the page's article and its wrappers are no noise.
@@ -37,6 +39,8 @@ from newswake.llm.tables import rows, stored, text_of, unpacked
 THRESHOLD = 0.35
 LEAST_PAGES = 8
 STYLE_WEIGHT = 0.1
+NAMED_KEPT = 0.2  # evidence of names, added to importances
+BESIDE = -0.4
 
 # fixed values: element names of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -164,7 +168,7 @@ def page_facts(batches):
         sums: dict = {}
         for host, page in zip(batch["host"], batch["page"]):
             blocks, styles = parsed(page)
-            facts = Counter((node, 1, text) for node, role, text in blocks if not role)
+            facts = Counter((node, 1, text) for node, role, text in blocks if role != "noise")
             facts.update({(node, 0, style): 1 for node, style in styles})
             facts.update({(node, 2, ""): 1 for node in {n for n, _ in styles}})
             for (node, kind, value), n in facts.items():
@@ -201,13 +205,23 @@ def style_tree(pages: DataFrame, page: str = "html", url: str = "url") -> DataFr
         (STYLE_WEIGHT * presentation + (1 - STYLE_WEIGHT) * content).alias("importance"))
 
 
-def main_text(page: str, noise: frozenset) -> str:
-    """The blocks of a page that are kept, joined by line feeds."""
+def main_text(page: str, importance: dict, threshold: float = THRESHOLD) -> str:
+    """The blocks of a page whose importance and names reach the threshold, joined by line feeds.
+
+    `importance` has the nodes of the host's tree; a node without one is judged by names only."""
     blocks, _ = parsed(page)
-    kept = [t for _, role, t in blocks if role == "kept"]
-    if not kept:  # no article says so: what the style tree leaves
-        kept = [t for node, role, t in blocks if not role and node not in noise]
-    return "\n".join(kept)
+    named = any(role == "kept" for _, role, _ in blocks)
+
+    def stays(node, role):
+        given = importance.get(node)
+        if role == "noise" or given is None:
+            return role == "kept" or (role == "" and not named)
+        return given + (NAMED_KEPT if role == "kept" else BESIDE if named else 0) >= threshold
+
+    left = [(role, t) for node, role, t in blocks if stays(node, role)]
+    if named and not any(role == "kept" for role, _ in left):
+        left = [(role, t) for _, role, t in blocks if role == "kept"]
+    return "\n".join(t for _, t in left)
 
 
 def extract(pages: DataFrame, page: str = "html", url: str = "url", threshold: float = THRESHOLD,
@@ -220,15 +234,15 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", threshold: f
     columns named as the results are replaced.
     """
     tree = style_tree(pages, page, url)
-    low = tree.filter((F.col("pages") >= least_pages) & (F.col("importance") < threshold))
-    # one row a host: the nodes of its templates that are removed
-    noise = stored(low.groupBy("host").agg(F.collect_set("node").alias("noise")))
+    # one row a host: the importances of the nodes of its templates
+    noise = stored(tree.filter(F.col("pages") >= least_pages).groupBy("host").agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("importance").alias("weights")))
 
     @F.pandas_udf("string")
-    def texts(pages: pd.Series, noise: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p, frozenset(n) if n is not None else frozenset())
-                          for p, n in zip(pages, noise)], dtype=object)
+    def texts(pages: pd.Series, nodes: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, dict(zip(n, w)) if n is not None else {}, threshold)
+                          for p, n, w in zip(pages, nodes, weights)], dtype=object)
 
     given = rows(pages, host=host_of(F.col(url)), page=text_of(page)).join(noise, "host", "left")
-    out = given.select("row", texts("page", "noise").alias("text"))
+    out = given.select("row", texts("page", "nodes", "weights").alias("text"))
     return unpacked(out.withColumn("n_chars", F.length("text").cast("long")), ["text", "n_chars"])

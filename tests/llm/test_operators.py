@@ -293,6 +293,15 @@ def test_html_extraction(spark, empty):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_tree_weighs_articles_too(spark):
+    page = "<body><article><p>own {0}<div class=teaser>see our <b>offers</b></div><p>more {0}</article><div id=x>beside {0}</div></body>"
+    pages = [(i, "http://h.example.com/", page.format(i)) for i in range(30)]
+    pages += [(i, "http://same.example.com/", "<article><p>one article</article>") for i in range(30, 60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got[7] == "own 7\nmore 7\nbeside 7" and got[40] == "one article"
+
+
 def test_html_wrappers_do_not_drop_the_article():
     for wrap in ("<form>{}</form>", "<div class='site no-sidebar'>{}</div>", "<div class=has-sidebar>{}</div>",
                  "<div class='with-header'>{}</div>", "<div class=widget>{}</div>"):

@@ -59,6 +59,17 @@ def test_exact_and_near_copies_go(stages):
         assert (d in left) or alike[d], "a text without a near copy must stay"
 
 
+def test_no_near_copy_is_left(stages):
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(r.text) for r in stages[3].collect()]
+    for i, x in enumerate(sets):
+        for y in sets[:i]:
+            assert len(x & y) < 0.8 * len(x | y)
+
+
 def test_mixing_keeps_all_and_orders_them(spark, stages):
     assert sorted(map(tuple, stages[3].collect())) == sorted(map(tuple, stages[4].collect()))
     by_slot = mixing.mix(stages[3]).orderBy("mix_slot", "mix_rank").collect()

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newswake.llm import (exact_dedup, html_extract, lm_scoring, mixing, packing, quality_model, quality_rules,
-                           simhash, suffix_dedup, token_counts)
+from newswake.llm import (conversation_repair, exact_dedup, html_extract, lm_scoring, mixing, packing, quality_model,
+                           quality_rules, secret_scan, simhash, suffix_dedup, token_counts, vector_clusters)
 from newswake.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,54 @@ def op9(spark, sf_dir):
 def op6(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_conversation_repair")
+def op11(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.report(conversation_repair.damaged(given), given)
+
+
+def cluster_sql() -> str:
+    """Five rounds written out; a centroid's sum is divided downwards by its count."""
+    distance = "cast(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    sql = [r"""with k as (
+  select row_number() over () as r, vec_id,
+         list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as v
+  from embeddings where len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as c, v from k qualify c < 40)"""]
+    for n in range(6):
+        sql.append(f"""a{n} as (
+  select r, min(struct_pack(d := d, c := c)) as best
+  from (select k.r, c.c, {distance} as d from k, c{n} c) group by r)""")
+        if n < 5:
+            sql.append(f"""s{n} as (
+  select c, i, sum(x) as s, count(*) as n
+  from (select a{n}.best.c as c, unnest(range(1, 65)) as i, unnest(k.v) as x from k join a{n} using (r))
+  group by c, i),
+c{n + 1} as (
+  select c{n}.c, coalesce(m.v, c{n}.v) as v from c{n} left join (
+    select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from s{n} group by c) m using (c))""")
+    return ",\n".join(sql) + """
+select k.vec_id, cast(a5.best.c as int) as cluster, a5.best.d as distance,
+       cast(sum(a5.best.d) over (partition by a5.best.c) as bigint) as cluster_inertia,
+       cast(sum(a5.best.d) over () as bigint) as inertia,
+       sha256(array_to_string(c5.v, ',')) as centroid_sha256
+from k join a5 using (r) join c5 on c5.c = a5.best.c"""
+
+
+@query("op12_centroid_clustering", cluster_sql())
+def op12(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_clusters.cluster_vectors(vectors).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+@query("op13_secret_scan")
+def op13(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[secret_scan.count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(secret_scan.written("base"), 256).alias("base_sha256"),
+                        secret_scan.written("spans").alias("spans"))

@@ -10,6 +10,7 @@ from newswake.plans.catalog import query, r6
 from newswake.plans.text_queries import PUBLISHER_SQL, TIER_SQL, WORD_SQL, _publisher
 from newswake.plans.source_queries import run_dir
 from newswake.plans.views import documents, table
+from newswake.streaming import sync
 
 NOW = "2024-06-30 00:00:00"
 
@@ -113,19 +114,25 @@ pos AS (
   FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORD_SQL}) AS w FROM documents))"""
 
 
-@query("phrase_search", f"""
+PHRASE_SQL = f"""
 WITH {POS_SQL}
 SELECT a.doc_id, count(*)::DOUBLE AS freq FROM pos a JOIN pos b
-  ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1""")
+  ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1"""
+
+
+@query("phrase_search", PHRASE_SQL)
 def phrase_search(spark, sf):
     return se.phrase_matches(documents(spark, sf), "Of the", 0)
 
 
-@query("phrase_search_slop", f"""
+SLOP_SQL = f"""
 WITH {POS_SQL}, near AS (
   SELECT a.doc_id, a.pos, min(abs(b.pos - a.pos - 1)) AS d FROM pos a JOIN pos b
     ON a.doc_id = b.doc_id WHERE a.term = 'that' AND b.term = 'with' GROUP BY ALL)
-SELECT doc_id, round(sum(1.0::DOUBLE / (1 + d)), 6) AS freq FROM near WHERE d <= 3 GROUP BY 1""")
+SELECT doc_id, round(sum(1.0::DOUBLE / (1 + d)), 6) AS freq FROM near WHERE d <= 3 GROUP BY 1"""
+
+
+@query("phrase_search_slop", SLOP_SQL)
 def phrase_search_slop(spark, sf):
     return r6(se.phrase_matches(documents(spark, sf), "that with", 3), "freq")
 
@@ -229,9 +236,25 @@ def company_event_search(spark, sf):
 WITH {BM25_SQL} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top""")
 def index_bm25(spark, sf):
     """The queries of `bm25_search` from an index of the whole texts."""
-    index = si.update(documents(spark, sf).select("doc_id", "text"), run_dir(spark, "index"),
-                      {"body": F.col("text")}, "doc_id")
-    return si.bm25(index, se.query_terms(table(spark, sf, "benchmark"), "item_id"), "body")
+    return si.bm25(_body_index(spark, sf), se.query_terms(table(spark, sf, "benchmark"), "item_id"), "body")
+
+
+def _body_index(spark, sf):
+    return si.update(documents(spark, sf).select("doc_id", "text"), run_dir(spark, "index"),
+                     {"body": F.col("text")}, "doc_id")
+
+
+@query("index_phrase", PHRASE_SQL)
+def index_phrase(spark, sf):
+    """The phrase of `phrase_search` from positions of the index; no text is read."""
+    asked = si.phrase_table(spark, {"q": se.phrase_words("Of the")})
+    return si.phrase_matches(_body_index(spark, sf), asked, "body").select("doc_id", "freq")
+
+
+@query("index_phrase_slop", SLOP_SQL)
+def index_phrase_slop(spark, sf):
+    asked = si.phrase_table(spark, {"q": se.phrase_words("that with")})
+    return r6(si.phrase_matches(_body_index(spark, sf), asked, "body", 3), "freq").select("doc_id", "freq")
 
 
 @query("index_update", f"""
@@ -263,6 +286,34 @@ def index_update(spark, sf):
         F.lit(one.documents).cast("long").alias("indexed"), F.lit(one.words).cast("long").alias("words"))
 
 
+INDEX_TEXTS_SQL = """
+SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences, (SELECT count(*) FROM documents) AS indexed,
+  (SELECT CAST(sum(len(w)) AS BIGINT) FROM words) AS words FROM tf GROUP BY 1"""
+
+
+@query("stream_index", f"WITH {BM25_SQL} {INDEX_TEXTS_SQL}")
+def stream_index(spark, sf):
+    """Texts streamed into the index in batches: two versions of some, every batch applied again as
+    after a failure between the index and the checkpoint. Equal to an index built at once."""
+    out = run_dir(spark, "streamed")
+    docs = documents(spark, sf).select("doc_id", "text")
+    at = F.lit(NOW).cast("timestamp")
+    older = docs.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("older words "), F.col("text")))
+    for n, rows in enumerate([older.unionByName(docs.filter("doc_id % 3 = 1")), docs.filter("doc_id % 3 <> 1")]):
+        (rows.withColumns({"created_at": at, "updated_at": at + F.make_dt_interval(mins=F.lit(n))})
+         .coalesce(2).write.parquet(f"{out}/articles/part={n}"))
+    schema = spark.read.parquet(f"{out}/articles/part=0").schema
+    stream = sync.article_stream(spark, f"{out}/articles/*", schema, files_per_batch=2)
+    for again in range(2):  # the second run has lost its checkpoint and replays all epochs
+        sync.sync_index(stream, lambda rows: rows, f"{out}/index", {"body": F.col("text")}, f"{out}/state-{again}",
+                        "articles", "doc_id", every=None).awaitTermination()
+    index = si.opened(spark, f"{out}/index")
+    one = index.numbers["body"]
+    return index.postings().groupBy("term").agg(
+        F.count("*").alias("docs"), F.sum("tf").alias("occurrences"),
+        F.lit(one.documents).cast("long").alias("indexed"), F.lit(one.words).cast("long").alias("words"))
+
+
 @query("index_search", _company_event_sql("docs"))
 def index_search(spark, sf):
     """The request of `company_event_search`; words are weighed by all documents, as in an index."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newswake.operators.upsert import upsert
+from newswake.session import checkpoint_dir
 
 
 def replace(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -26,6 +29,13 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to a work folder on shared storage and read back."""
+    path = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -6,11 +6,12 @@ next one. The event-time views are an addition; with on-time data they equal the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from newswake.operators import search_index as si
 from newswake.operators.upsert import latest_per_key
 
 
@@ -42,6 +43,24 @@ def sync_documents(articles: DataFrame, transform: Callable[[DataFrame], DataFra
     return writer.start()
 
 
+def sync_index(articles: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str,
+               fields: Mapping[str, Column], checkpoint: str, name: str, id_col: str = "id",
+               every: str | None = "60 seconds") -> StreamingQuery:
+    """Index the changed rows of each batch, newest version of an id only.
+
+    The index notes the epoch of every batch under the stream's name, in the same commit. A batch that
+    is repeated, after a failure or because the checkpoint was lost, finds its epoch there and is left
+    alone.
+    """
+    def apply(batch: DataFrame, epoch: int) -> None:
+        rows = transform(latest_per_key(batch, [id_col], last_touched()))
+        si.update(rows, path, fields, id_col, stream=name, epoch=epoch)
+
+    writer = articles.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def dedupe(stream: DataFrame, id_cols: list[str], time_col: str, delay: str = "1 day"
            ) -> DataFrame:
     return (stream.withColumn(time_col, F.col(time_col).cast("timestamp"))

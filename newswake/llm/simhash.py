@@ -31,8 +31,6 @@ SEED = 42
 CELL = 4096
 DENSE = 16  # from so many pairs on a cell gives a forest
 RUN = 1 << 15
-PRINTS = 4
-WIDE_BITS = 12
 BANDS = 24
 BAND_WIDTH = 5
 PIVOTS = 8
@@ -226,17 +224,17 @@ def different(text: str, words: int) -> np.ndarray:
 
 
 def shingle_set(words: int):
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<long>")
     def of_texts(texts: pd.Series) -> pd.Series:
-        return pd.Series([different(t, words).tobytes() for t in texts], dtype=object)
+        return pd.Series([different(t, words).view(np.int64) for t in texts], dtype=object)
     return of_texts
 
 
 def band_keys(words: int, bands: int = BANDS, width: int = BAND_WIDTH):
-    """A key for each band of the least hashes of a text's different shingles. Two texts of Jaccard
-    similarity s share a band with probability s ** width."""
-    @F.pandas_udf("array<long>")
-    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """How many different shingles a text has, and a key for each band of their least hashes. Two texts
+    of Jaccard similarity s share a band with probability s ** width."""
+    @F.pandas_udf("size int, bands array<long>")
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         odd = np.random.default_rng(SEED).integers(1, 1 << 62, bands * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
         def keys(text):
@@ -246,30 +244,27 @@ def band_keys(words: int, bands: int = BANDS, width: int = BAND_WIDTH):
             key = np.arange(1, bands + 1, dtype=np.uint64)
             for column in least.reshape(bands, width).T:
                 key = mixed(key ^ column)
-            return key.view(np.int64)
+            return len(h), key.view(np.int64)
 
         for texts in batches:
-            yield pd.Series([keys(t) for t in texts])
+            yield pd.DataFrame([keys(t) for t in texts], columns=["size", "bands"])
     return of_texts
 
 
-def alike(least: float):
-    @F.pandas_udf("boolean")
-    def compare(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = 0
-            if min(len(a), len(b)) >= least * max(len(a), len(b)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both >= least * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
-    return compare
+def comparable(x: str, y: str, least: float):
+    """Whether sets of these sizes can have a Jaccard similarity of `least`."""
+    return F.least(x, y) >= least * F.greatest(x, y)
+
+
+def alike(x: str, y: str, least: float):
+    both = F.size(F.array_intersect(x, y))
+    return both >= least * (F.size(x) + F.size(y) - both)
 
 
-def joined(members: DataFrame, sure: DataFrame, tested, pivots: int = PIVOTS) -> DataFrame:
-    """node, root of the components of all links among the members (cell, at) of each cell, and
-    among the pairs `sure` (x, y); `tested` gives the links (a, b) of a table of pairs.
+def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivots: int = PIVOTS) -> DataFrame:
+    """node, root of the components of all links among the members (cell, at, size) of each cell, and
+    among the pairs `sure` (x, y); `tested` gives the links (a, b) of a table of pairs. Members whose
+    sizes rule out the similarity are no pair.
 
     Pairs within a component are not tested, all others of a cell are. Each round takes more of the
     members of a cell as pivots, by a hash, and tests each against what is not in its component: a
@@ -279,23 +274,24 @@ def joined(members: DataFrame, sure: DataFrame, tested, pivots: int = PIVOTS) ->
     left = stored(members.join(sizes, "cell"))
     place = F.pmod(F.xxhash64("at", F.lit(SEED)), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("n")
     links, low, high = tested(sure), 0, pivots
+    named = ["at", "size", "root", "main"]
     root = None
     while True:
         if root is None:
             now = left.withColumn("root", F.col("at"))
         else:
             now = left.join(root, left["at"] == root["node"], "left").select(
-                "cell", "at", "n", F.coalesce("root", "at").alias("root"))
+                "cell", "at", "size", "n", F.coalesce("root", "at").alias("root"))
         counts = now.groupBy("cell", "root").count()
         main = counts.groupBy("cell").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("parts"))
         now = stored(now.join(main.filter("parts > 1").select("cell", F.col("most.root").alias("main")), "cell"))
         pivot = now.filter((place >= low) & (place < high)).select(
-            "cell", F.col("at").alias("x"), F.col("root").alias("root_x"), F.col("main").alias("main_x"))
-        other = now.select("cell", F.col("at").alias("y"), F.col("root").alias("root_y"), F.col("main").alias("main_y"))
+            "cell", *[F.col(c).alias("x" if c == "at" else f"{c}_x") for c in named])
+        other = now.select("cell", *[F.col(c).alias("y" if c == "at" else f"{c}_y") for c in named])
         # one of a pair is outside the main component of the cell, so its own pairs are never listed
         met = (pivot.filter("root_x <> main_x").join(other, "cell")
                .unionByName(pivot.filter("root_x = main_x").join(other.filter("root_y <> main_y"), "cell")))
-        pairs = met.filter("root_x <> root_y").select(
+        pairs = met.filter("root_x <> root_y").filter(comparable("size_x", "size_y", similarity)).select(
             F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         fresh = stored(links.unionByName(tested(pairs)) if root is None else tested(pairs))
         if root is None or not fresh.isEmpty():
@@ -303,15 +299,14 @@ def joined(members: DataFrame, sure: DataFrame, tested, pivots: int = PIVOTS) ->
                 root.select(F.col("node").alias("a"), F.col("root").alias("b")))
             root = components(known)
             root = stored(root.unionByName(root.select(F.col("root").alias("node"), "root")).distinct())
-        left = now.filter(F.col("n") > high).select("cell", "at", "n")
+        left = now.filter(F.col("n") > high).select("cell", "at", "size", "n")
         if left.isEmpty():
             return root
         low, high = high, high * 4
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5,
-                similarity: float = 0.8, prints: int = PRINTS, shingle: int = 2,
-                most: int = WIDE_BITS) -> DataFrame:
+                similarity: float = 0.8, shingle: int = 2, most: int = BITS) -> DataFrame:
     """The rows with their own columns, one of each group of near-duplicates: the smallest id, null
     ids last.
 
@@ -319,39 +314,38 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     Jaccard similarity of `similarity` or more. Candidates are texts whose SimHash fingerprints, of
     different shorter shingles, are linked or equal, and texts that share one of BANDS bands of
     least hashes; sign bits alone miss many pairs near the threshold, the bands find all but
-    (1 - 0.8 ** BAND_WIDTH) ** BANDS, 7 in 100,000, of the pairs at 0.8. Linked fingerprints of a
-    crowded key are a forest and are compared by their first texts; texts with a fingerprint or a
-    band in common are all compared unless they are in one component already (`joined`), so no
-    link between two of them is lost. Texts that share bands but are not alike are compared with
-    each other, which for a large group of them grows with its square.
-    Null texts count as empty and equal each other. An empty table gives an empty result.
+    (1 - 0.8 ** BAND_WIDTH) ** BANDS, 7 in 100,000, of the pairs at 0.8. Texts with a fingerprint or
+    a band in common are all compared unless they are in one component already (`joined`) or their
+    sizes rule the similarity out, so no link between two of them is lost. Texts that share bands
+    but are not alike are compared with each other, which for a large group of them grows with its
+    square. Null texts count as empty and equal each other. An empty table gives an empty result.
     """
     whole = text_of(text)
     base = stored(rows(docs, id=F.col(doc_id), at=F.monotonically_increasing_id(), text=whole)
-                  .withColumn("fps", fingerprints(shingle, prints, once=True)("text"))
-                  .withColumn("bands", band_keys(words)("text")))
-    each = base.select("at", F.posexplode("fps").alias("no", "fp")).withColumn("no", F.col("no").cast("long"))
-    nodes = stored(each.groupBy("no", "fp").agg(F.min("at").alias("first")))
-    linked = links(nodes.select("no", "fp"), most)
-    first = lambda c: nodes.select("no", F.col("fp").alias(c), F.col("first").alias(f"at_{c}"))
-    across = linked.join(first("a"), ["no", "a"]).join(first("b"), ["no", "b"]).select(
-        F.least("at_a", "at_b").alias("x"), F.greatest("at_a", "at_b").alias("y"))
-    across = stored(across.filter("x <> y").distinct())
-    cells = stored(each.select(F.xxhash64("no", "fp").alias("cell"), "at").unionByName(
-        base.select(F.explode("bands").alias("cell"), "at")))
+                  .withColumn("fp", fingerprints(shingle, 1, once=True)("text")[0])
+                  .withColumn("b", band_keys(words)("text")).select("*", "b.*").drop("b", "text"))
+    nodes = stored(base.groupBy("fp").agg(F.min(F.struct("at", "size")).alias("first")).select("fp", "first.*"))
+    linked = links(nodes.select(F.lit(0).cast("long").alias("no"), "fp"), most)
+    first = lambda c: nodes.select(F.col("fp").alias(c), F.col("at").alias(f"at_{c}"), F.col("size").alias(f"size_{c}"))
+    across = linked.join(first("a"), "a").join(first("b"), "b").filter(comparable("size_a", "size_b", similarity))
+    across = stored(across.select(F.least("at_a", "at_b").alias("x"), F.greatest("at_a", "at_b").alias("y"))
+                    .filter("x <> y").distinct())
+    cells = stored(base.select(F.xxhash64("fp").alias("cell"), "at", "size").unionByName(
+        base.select(F.explode("bands").alias("cell"), "at", "size")))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
     members = stored(cells.join(shared, "cell"))
     # only the sets of candidates are moved; whether their ids are broadcast is left to the size of the table
     paired = stored(across.select(F.explode(F.array("x", "y")).alias("at")).union(members.select("at")).distinct())
-    sets = stored(base.join(paired, "at", "left_semi").select("at", shingle_set(words)("text").alias("set")))
+    sets = stored(base.join(paired, "at", "left_semi").select(
+        "at", shingle_set(words)(text_of(f"row.`{text}`")).alias("set")))
 
     def tested(pairs: DataFrame) -> DataFrame:
         compared = (pairs.join(sets.withColumnRenamed("at", "x").withColumnRenamed("set", "left"), "x")
                     .join(sets.withColumnRenamed("at", "y").withColumnRenamed("set", "right"), "y"))
-        return compared.filter(alike(similarity)("left", "right")).select(
+        return compared.filter(alike("left", "right", similarity)).select(
             F.col("x").alias("a"), F.col("y").alias("b"))
 
-    member = joined(members, across, tested).withColumnRenamed("node", "at")
+    member = joined(members, across, tested, similarity).withColumnRenamed("node", "at")
     known = member.join(base.select("at", "id"), "at")
     best = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("best"))
     dropped = stored(known.join(best, "root").filter("at <> best.at").select("at"))

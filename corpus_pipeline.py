@@ -17,9 +17,11 @@ _work: list[str] = []
 
 def stage(function):
     """When a stage is given documents, those of the stage before it have been written, so the work
-    tables behind them go first."""
+    tables behind them go first. The first stage begins a run and leaves what another run's result
+    may still read."""
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_stored(spark, _work)
+        if run_stage is not STAGES[0][1]:
+            drop_stored(spark, _work)
         _work.clear()
         with recorded() as made:
             found = function(spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newswake.functions import text as tx
-from newswake.operators import patterns as pt, search as se, search_index as si, trust as tr
+from newswake.operators import patterns as pt, search as se, search_index as si, trust as tr, vector_index as vi
 from newswake.plans.catalog import query, r6
 from newswake.plans.text_queries import PUBLISHER_SQL, TIER_SQL, WORD_SQL, _publisher
 from newswake.plans.source_queries import run_dir
@@ -351,6 +351,54 @@ def knn_cosine(spark, sf):
     return se.nearest(vectors.withColumn("q", q), F.col("q"), "vec_id", "embedding", 10)
 
 
+# --- the partitioned vector index ----------------------------------------------------------------
+
+def _vector_index(spark, sf):
+    day = F.date_sub(F.lit("2024-06-30").cast("date"), (F.col("vec_id") % 1000).cast("int"))
+    return vi.build(table(spark, sf, "embeddings").withColumn("day", day), run_dir(spark, "vectors"),
+                    "vec_id", "embedding", "day")
+
+
+def _asked(spark, sf, which):
+    return table(spark, sf, "embeddings").filter(which).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+KNN_ALL_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.e, q.e), 6) AS score
+  FROM v q, v WHERE q.vec_id % 100 = 0{range}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+@query("knn_index", KNN_ALL_SQL.format(range="") + """
+SELECT query_id, count(*) AS found, CAST(10 AS BIGINT) AS exact, true AS recalled FROM r WHERE rank <= 10 GROUP BY 1
+UNION ALL SELECT NULL, count(*), CAST(10 * count(DISTINCT query_id) AS BIGINT), true FROM r WHERE rank <= 10""")
+def knn_index(spark, sf):
+    """Every hundredth vector against all by the index: rows found of each, and whether nine tenths of
+    the exact ones, over all queries, are among them."""
+    asked = _asked(spark, sf, "vec_id % 100 = 0")
+    found = vi.search(_vector_index(spark, sf), asked)
+    want = vi.exact(table(spark, sf, "embeddings"), asked.collect(), "vec_id", "embedding")
+    enough = vi.recall(found, want).select((F.col("recall") >= 0.9).alias("ok")).scalar()
+    each = found.groupBy("query_id").agg(F.count("*").alias("found"), F.lit(10).cast("long").alias("exact"),
+                                         F.lit(True).alias("recalled"))
+    total = found.agg(F.count("*").alias("found"), (10 * F.count_distinct("query_id")).alias("exact"))
+    return each.unionByName(total.select(F.lit(None).cast("long").alias("query_id"), "found", "exact",
+                                         enough.alias("recalled")))
+
+
+@query("knn_index_dated", KNN_ALL_SQL.format(range=" AND DATE '2024-06-30' - CAST(v.vec_id % 1000 AS INTEGER)"
+                                             " >= DATE '2024-01-01' AND DATE '2024-06-30'"
+                                             " - CAST(v.vec_id % 1000 AS INTEGER) < DATE '2024-06-01'") + """
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def knn_index_dated(spark, sf):
+    """All lists probed, within a range of dates: the rows of the range are all compared exactly."""
+    index = _vector_index(spark, sf)
+    return vi.search(vi.opened(spark, index.path), _asked(spark, sf, "vec_id % 100 = 0"), probes=len(index.centres),
+                     rerank=1 << 30, start=F.lit("2024-01-01").cast("date"), end=F.lit("2024-06-01").cast("date"))
+
+
 # --- trust ------------------------------------------------------------------------------------
 
 AGAINST = ["license", "token", "ouoi", "nicht"]

@@ -5,6 +5,7 @@ from newswake.plans import (  # noqa: F401
     gap_queries,
     search_queries,
     source_queries,
+    stream_queries,
     text_queries,
 )
 from newswake.plans.catalog import ORACLES, QUERIES  # noqa: F401

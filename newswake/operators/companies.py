@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newswake.functions import words
 from newswake.functions.text import char_ngrams, each, has_any, long_enough, name_similarity
+from newswake.sources.writers import kept
 
 PATTERN_VOTE = 0.45
 PROVIDER_VOTE = 0.55
@@ -148,15 +149,6 @@ def is_analyst_report(text: Column) -> Column:
     return broker & has_any(text, words.REPORT_WORDS)
 
 
-def is_group_mention(company: Column, text: Column) -> Column:
-    """A bare group name that the text uses with a particle."""
-    particles = "|".join(words.PARTICLES)
-    out = F.lit(False)
-    for g in words.GROUPS:
-        out = out | ((company == g) & text.rlike(f"{g}(?:{particles})"))
-    return out
-
-
 def extractable(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.filter(long_enough(F.col(text_col)) & ~is_analyst_report(F.col(text_col)))
 
@@ -174,46 +166,66 @@ def _fold(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _alias_finder(aliases: list[str]):
-    """Function from a text to (start, stop, alias) of each alias's non-overlapping occurrences."""
-    import ahocorasick
+Places = dict[str, list[tuple[int, int]]]
+
+
+class Finder:
+    """Where aliases (folded) stand in a folded text: all their places, overlapping ones too, by start.
+
+    A list for all texts is one automaton. The few aliases that may stand in one text are looked up
+    one by one, so nothing is built for a text."""
 
-    automaton = ahocorasick.Automaton()
-    for alias in aliases:
-        automaton.add_word(alias, alias)
-    if not aliases:
-        return lambda text: iter(())
-    automaton.make_automaton()
+    def __init__(self, aliases: list[str], shared: bool):
+        self.aliases, self.automaton = [a for a in dict.fromkeys(aliases) if a], None
+        if shared and self.aliases:
+            import ahocorasick
 
-    def in_one_pass(text: str) -> Iterator[tuple[int, int, str]]:
-        free: dict[str, int] = {}
-        for end, alias in automaton.iter(text):
-            start = end + 1 - len(alias)
-            if start >= free.get(alias, 0):
-                free[alias] = end + 1
-                yield start, end + 1, alias
+            self.automaton = ahocorasick.Automaton()
+            for alias in self.aliases:
+                self.automaton.add_word(alias, alias)
+            self.automaton.make_automaton()
 
-    return in_one_pass
+    def places(self, text: str) -> Places:
+        found: Places = {}
+        if self.automaton is not None:
+            for end, alias in self.automaton.iter(text):
+                found.setdefault(alias, []).append((end + 1 - len(alias), end + 1))
+            return found
+        for alias in self.aliases:
+            at = text.find(alias)
+            while at >= 0:
+                found.setdefault(alias, []).append((at, at + len(alias)))
+                at = text.find(alias, at + 1)
+        return found
 
 
-def _span_finder(entries: list[tuple[str, str, float]]):
-    """Function from a text to its resolved mention spans, for a fixed (alias, company, weight) list.
+def _apart(places: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Without those that overlap one before."""
+    free = 0
+    for start, stop in places:
+        if start >= free:
+            free = stop
+            yield start, stop
+
+
+class Lexicon:
+    """A fixed (alias, company, weight) list and what it finds in a text.
 
     Letter case is ignored; the alias reported is the text as written.
     """
-    by_alias: dict[str, list[tuple[str, float]]] = {}
-    for alias, company, weight in entries:
-        by_alias.setdefault(alias.lower(), []).append((company, weight))
-    hits = _alias_finder(list(by_alias))
-
-    def rank(m: tuple) -> tuple:
-        return m[4], len(m[2]), 1.0 if m[3] == m[2] else 0.8
-
-    def spans(text: str | None) -> list[tuple]:
-        if not text:
-            return []
-        found = [(s, e, company, text[s:e], weight) for s, e, alias in hits(_fold(text))
-                 for company, weight in by_alias[alias]]
+
+    def __init__(self, entries: list[tuple[str, str, float]], shared: bool = True):
+        self.by_alias: dict[str, list[tuple[str, float]]] = {}
+        for alias, company, weight in entries:
+            self.by_alias.setdefault(alias.lower(), []).append((company, weight))
+        self.finder = Finder(list(self.by_alias), shared)
+
+    def places(self, text: str) -> Places:
+        return self.finder.places(_fold(text))
+
+    def spans(self, text: str, places: Places) -> list[tuple]:
+        found = [(s, e, company, text[s:e], weight) for alias, every in places.items() for s, e in _apart(every)
+                 for company, weight in self.by_alias[alias]]
         found.sort(key=lambda m: (m[0], -m[4], -len(m[2]), m[2], m[3]))
         done: list[tuple] = []
         live: list[tuple] = []
@@ -225,20 +237,28 @@ def _span_finder(entries: list[tuple[str, str, float]]):
             if not clash:
                 live.append(m)
             else:
-                best = max([*clash, m], key=rank)
+                best = max([*clash, m], key=lambda m: (m[4], len(m[2]), 1.0 if m[3] == m[2] else 0.8))
                 live = [k for k in live if k not in clash] + [best]
         return done + live
 
-    return spans
 
-
-MAX_DICTIONARY_ROWS = 200_000
+#: A dictionary goes to the tasks up to this size; beyond it, every text is given what may stand in it.
+MAX_DICTIONARY_BYTES = 32 << 20
 
 
 def _small_dictionary(rows: DataFrame) -> list | None:
-    """The rows of a dictionary if there are at most MAX_DICTIONARY_ROWS, else None."""
-    head = rows.limit(MAX_DICTIONARY_ROWS + 1).collect()
-    return head if len(head) <= MAX_DICTIONARY_ROWS else None
+    """The rows of a dictionary if they take at most MAX_DICTIONARY_BYTES, else None."""
+    text = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns]
+    size = F.lit(16)
+    for t in text:
+        size = size + t
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return rows.collect() if total <= MAX_DICTIONARY_BYTES else None
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, which ids that repeat or are missing are not."""
+    return kept(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def mentions(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
@@ -246,21 +266,23 @@ def mentions(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
     """(doc_id, start, stop, company, alias, weight) of the resolved dictionary mentions.
 
     Overlapping spans keep the best by weight, name length and whether the alias is the name itself.
-    A dictionary of checked size goes to the tasks; of a larger one every document is given the
-    entries that may stand in it, with the same result.
+    A dictionary of checked size goes to the tasks; of a larger one every row is given the entries
+    that may stand in its text. What is found in a text does not depend on which.
     """
     rows = _small_dictionary(patterns.select("alias", "company", "weight"))
     entries = None if rows is None else sorted((r.alias, r.company, r.weight) for r in rows)
     given = docs.select(id_col, text_col)
     if entries is None:
-        given = with_entries(given, patterns, id_col, text_col)
+        given = with_entries(_numbered(given), patterns, text_col)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shared = None if entries is None else _span_finder(entries)
+        shared = None if entries is None else Lexicon(entries)
         for pdf in batches:
             own = [None] * len(pdf) if entries is not None else pdf["entries"]
-            out = [(i, *m) for i, t, e in zip(pdf[id_col], pdf[text_col], own, strict=True)
-                   for m in (shared or _span_finder(_own_entries(e)))(t)]
+            out = []
+            for i, t, e in zip(pdf[id_col], pdf[text_col], own, strict=True):
+                lexicon, text = shared or Lexicon(_own_entries(e), shared=False), t or ""
+                out += [(i, *m) for m in lexicon.spans(text, lexicon.places(text))]
             yield pd.DataFrame(
                 out, columns=[id_col, "start", "stop", "company", "alias", "weight"])
 
@@ -272,26 +294,25 @@ def _own_entries(rows) -> list[tuple[str, str, float]]:
     return sorted({(r["alias"], r["company"], r["weight"]) for r in (() if rows is None else rows)})
 
 
-def with_entries(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str,
+def with_entries(docs: DataFrame, patterns: DataFrame, text_col: str,
                  provider_col: str | None = None) -> DataFrame:
-    """`docs` with `entries`: the (alias, company, weight) rows that may stand in a document's text or
-    that its provider named. A document's list is bounded by the different runs of its text."""
-    met = meetings(docs, patterns, id_col, text_col)
+    """Numbered rows with `entries`: the (alias, company, weight) rows that may stand in a row's text or
+    that its provider named. A row's list is bounded by the different runs of its text."""
+    met = meetings(docs, patterns, "_row", text_col)
     if provider_col:
-        met = met.unionByName(docs.select(id_col, each(F.col(provider_col)).alias("alias"))
-                              .select(id_col, F.trim("alias").alias("alias"))).distinct()
-    lists = met.join(patterns.select("alias", "company", "weight"), "alias").groupBy(
-        F.col(id_col).alias("_of")).agg(
+        met = met.unionByName(docs.select("_row", each(F.col(provider_col)).alias("alias"))
+                              .select("_row", F.trim("alias").alias("alias"))).distinct()
+    lists = met.join(patterns.select("alias", "company", "weight"), "alias").groupBy("_row").agg(
         F.collect_list(F.struct("alias", "company", "weight")).alias("entries"))
-    return docs.join(lists, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
+    return docs.join(lists, "_row", "left")
 
 
 def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
+    """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case, by row.
 
     A dictionary of checked size goes to the tasks and each text is read once; a larger one is
-    joined instead, with the same result.
+    joined instead, by the row's number, with the same result.
     """
     rows = _small_dictionary(aliases.select("alias").distinct())
     if rows is None:
@@ -301,11 +322,11 @@ def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
         by_fold.setdefault(r.alias.lower(), []).append(r.alias)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hits = _alias_finder(list(by_fold))
+        finder = Finder(list(by_fold), shared=True)
         for pdf in batches:
-            out = [(i, alias, n) for i, t in zip(pdf[id_col], pdf[text_col], strict=True)
-                   for fold, n in Counter(a for _, _, a in hits(_fold(t or ""))).items()
-                   for alias in by_fold[fold]]
+            out = [(i, alias, sum(1 for _ in _apart(places)))
+                   for i, t in zip(pdf[id_col], pdf[text_col], strict=True)
+                   for fold, places in finder.places(_fold(t or "")).items() for alias in by_fold[fold]]
             yield pd.DataFrame(out, columns=[id_col, "alias", "hits"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -336,16 +357,17 @@ def meetings(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_c
 
 def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case.
+    """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case, by row.
 
-    Made of joins, so the dictionary may have any size: only (document, alias) pairs that meet on
-    the alias's first letters are counted against the text.
+    Made of joins, so the dictionary may have any size: only (row, alias) pairs that meet on the
+    alias's first letters are counted against the text.
     """
     text = F.lower(text_col)
-    pairs = meetings(docs, aliases, id_col, text_col)
+    numbered = _numbered(docs.select(id_col, text_col))
+    pairs = meetings(numbered, aliases, "_row", text_col)
     gone = F.length(F.replace(text, F.lower("alias"), F.lit("")))
     hits = ((F.length(text) - gone) / F.length("alias")).cast("long")
-    return (pairs.join(docs.select(id_col, text_col), id_col)
+    return (pairs.join(numbered, "_row")
             .select(id_col, "alias", hits.alias("hits")).filter(F.col("hits") > 0))
 
 
@@ -408,73 +430,81 @@ FACTS_SCHEMA = ("company string, votes int, provider_votes int, weight double, n
                 "group_mention boolean, sector_word boolean, named boolean")
 
 
+LETTERS = re.compile("[가-힣A-Za-z]")
+WORD_LETTERS = re.compile("[가-힣A-Za-z0-9]")
+
+
+def _bounded(text: str, place: tuple[int, int], letters: re.Pattern) -> bool:
+    """Whether no such letter touches the place."""
+    start, stop = place
+    return not (start and letters.match(text[start - 1])) and not (stop < len(text) and letters.match(text[stop]))
+
+
 def _fact_finder(entries: list[tuple[str, str, float]], weights: dict[str, float],
-                 sectors: dict[str, str | None]):
-    """Function from a text, its title and a provider's names to the rows of `company_facts`."""
-    spans = _span_finder(entries)
+                 sectors: dict[str, str | None], shared: bool):
+    """Function from a text, its title and a provider's names to the rows of `company_facts`. Everything
+    about names of the dictionary comes from the places of one pass over the text."""
+    lexicon = Lexicon(entries, shared)
     official = {alias: company for alias, company, _ in reversed(entries)}
     aliases: dict[str, list[str]] = {}
     for alias, company, _ in entries:
         if alias != company:
             aliases.setdefault(company, []).append(alias)
-    bounded: dict[str, re.Pattern] = {}
-    apart: dict[str, re.Pattern] = {}
-
-    def stands(name: str, text: str) -> bool:
-        """As a word of its own, in any letter case."""
-        if name not in apart:
-            apart[name] = re.compile(
-                f"(?<![가-힣A-Za-z0-9]){re.escape(name)}(?![가-힣A-Za-z0-9])", re.IGNORECASE)
-        return apart[name].search(text) is not None
-
-    def count(name: str, text: str) -> int:
-        if name not in text:
-            return 0
-        if name not in bounded:
-            bounded[name] = re.compile(f"(?<![가-힣A-Za-z]){re.escape(name)}(?![가-힣A-Za-z])")
-        return len(bounded[name].findall(text))
 
     def facts(text: str, title: str, provided: list[str]) -> Iterator[tuple]:
-        votes = Counter(m[2] for m in spans(text))
+        places = lexicon.places(text)
+        votes = Counter(m[2] for m in lexicon.spans(text, places))
         asked = Counter(official.get(p.strip(), p.strip()) for p in provided
                         if p is not None and len(p.strip()) >= 2)
+        others = [n for n in asked if n.lower() not in lexicon.by_alias]
+        if others:
+            places = {**places, **Finder([n.lower() for n in others], shared=False).places(_fold(text))}
+
+        def written(name: str) -> list[tuple[int, int]]:
+            """Its places in this letter case."""
+            return [p for p in places.get(name.lower(), ()) if text[p[0]:p[1]] == name]
+
+        def count(name: str) -> int:
+            return sum(1 for _ in _apart([p for p in written(name) if _bounded(text, p, LETTERS)]))
+
         for name in votes.keys() | asked.keys():
-            others = sum(count(a, text) for a in aliases.get(name, ()))
+            of = aliases.get(name, ())
             terms = words.SECTOR_WORDS.get(sectors.get(name) or "", ())
-            yield (name, votes[name], asked[name], weights.get(name), count(name, text), others,
-                   text.find(name), len(text), name in title,
+            at = written(name)
+            yield (name, votes[name], asked[name], weights.get(name), count(name), sum(map(count, of)),
+                   at[0][0] if at else -1, len(text), name in title,
                    name in words.GROUPS and any(name + p in text for p in words.PARTICLES),
                    any(t in text for t in terms),
-                   any(stands(a, text) for a in (name, *aliases.get(name, ()))))
+                   any(_bounded(text, p, WORD_LETTERS) for a in (name, *of) for p in places.get(a.lower(), ())))
 
     return facts
 
 
-def _with_abouts(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str, text_col: str,
+def _with_abouts(docs: DataFrame, patterns: DataFrame, master: DataFrame, text_col: str,
                  provider_col: str | None) -> DataFrame:
     """`with_entries`, and `abouts`: (company, weight, sector) of every company in them or named by
     the provider; the weight is the greatest of all its aliases."""
-    given = with_entries(docs, patterns, id_col, text_col, provider_col)
-    named = given.select(id_col, F.explode(F.col("entries.company")).alias("company"))
+    given = with_entries(docs, patterns, text_col, provider_col)
+    named = given.select("_row", F.explode(F.col("entries.company")).alias("company"))
     if provider_col:
-        named = named.unionByName(docs.select(id_col, F.explode(provider_col).alias("company"))
-                                  .select(id_col, F.trim("company").alias("company")))
+        named = named.unionByName(docs.select("_row", F.explode(provider_col).alias("company"))
+                                  .select("_row", F.trim("company").alias("company")))
     about = patterns.groupBy("company").agg(F.max("weight").alias("weight")).join(
         master.select(F.col("name").alias("company"), "sector"), "company", "full")
-    lists = named.distinct().join(about, "company").groupBy(F.col(id_col).alias("_of")).agg(
+    lists = named.distinct().join(about, "company").groupBy("_row").agg(
         F.collect_list(F.struct("company", "weight", "sector")).alias("abouts"))
-    return given.join(lists, F.col(id_col).eqNullSafe(F.col("_of")), "left").drop("_of")
+    return given.join(lists, "_row", "left")
 
 
 def company_facts(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", title_col: str | None = None,
                   provider_col: str | None = None) -> DataFrame:
-    """One row per (document, company) with every number the later steps need from the text.
+    """One row per (row, company) with every number the later steps need from the text.
 
     Only these small rows go on. Companies come from the dictionary mentions and, if given, from an
     array column of a provider's answers. Dictionaries of checked size go to the tasks and the texts
-    are read once where they lie; of larger ones every document is given the rows that concern it,
-    with the same result.
+    are read once where they lie; of larger ones every row is given the entries that concern it, by
+    its number. What is found in a text does not depend on which.
     """
     rows = _small_dictionary(patterns.select("alias", "company", "weight"))
     about = _small_dictionary(master.select("name", "sector"))
@@ -485,19 +515,19 @@ def company_facts(docs: DataFrame, patterns: DataFrame, master: DataFrame, id_co
         sectors = {r.name: r.sector for r in about}
     else:
         entries, sectors = [], {}
-        given = _with_abouts(given, patterns, master, id_col, text_col, provider_col)
+        given = _with_abouts(_numbered(given), patterns, master, text_col, provider_col)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights: dict[str, float] = {}
         for _, company, weight in entries:
             weights[company] = max(weight, weights.get(company, 0.0))
-        shared = _fact_finder(entries, weights, sectors) if small else None
+        shared = _fact_finder(entries, weights, sectors, shared=True) if small else None
 
         def own(found, abouts):
             rows = () if abouts is None else abouts
             return _fact_finder(_own_entries(found),
                                 {r["company"]: r["weight"] for r in rows if r["weight"] is not None},
-                                {r["company"]: r["sector"] for r in rows})
+                                {r["company"]: r["sector"] for r in rows}, shared=False)
 
         for pdf in batches:
             none = [None] * len(pdf)

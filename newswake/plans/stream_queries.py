@@ -40,7 +40,7 @@ settled AS (SELECT max(ts) - INTERVAL 10 DAY AS until FROM kept)"""
 @query("stream_sessions", f"""
 WITH {KEPT_SQL},
 marked AS (
-  SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new
+  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new
   FROM kept),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked),
 g AS (SELECT user_id, s, min(ts) AS a, max(ts) + INTERVAL 2 HOUR AS b, count(*) AS n, sum(value) AS total

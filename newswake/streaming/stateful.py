@@ -21,7 +21,7 @@ def timed(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
 
 
 def sessions(stream: DataFrame, key: str, time_col: str, value: str, quiet: str, delay: str) -> DataFrame:
-    """(key, session_start, session_end, n, total): rows of a key less than `quiet` apart; a session ends
+    """(key, session_start, session_end, n, total): rows of a key at most `quiet` apart; a session ends
     `quiet` after its last row."""
     return (timed(stream, time_col, delay).groupBy(F.session_window(time_col, quiet).alias("w"), key)
             .agg(F.count("*").alias("n"), F.sum(value).alias("total"))

@@ -108,7 +108,7 @@ def test_both_ways_of_counting_mentions_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b a"), (2, "bb A b"), (3, None)], "doc_id int, text string")
     names = spark.createDataFrame([("a",), ("a b",), ("b",)], "alias string")
     got = sorted(map(tuple, co.count_mentions(docs, names).collect()))
-    monkeypatch.setattr(co, "MAX_DICTIONARY_ROWS", 1)
+    monkeypatch.setattr(co, "MAX_DICTIONARY_BYTES", 1)
     assert sorted(map(tuple, co.count_mentions(docs, names).collect())) == got
     assert got == [(1, "a", 2), (1, "a b", 1), (1, "b", 1), (2, "a", 1), (2, "a b", 1), (2, "b", 3)]
 
@@ -154,6 +154,25 @@ def test_large_dictionaries_give_the_same_companies(spark, monkeypatch):
         return spans, facts
 
     small = found()
-    monkeypatch.setattr(co, "MAX_DICTIONARY_ROWS", 1)
+    monkeypatch.setattr(co, "MAX_DICTIONARY_BYTES", 1)
     assert found() == small
     assert len(small[0]) > 50 and len(small[1]) > 50
+
+
+def test_repeated_and_missing_ids_do_not_depend_on_the_size_of_the_dictionary(spark, monkeypatch):
+    texts = [(1, "ab ab x"), (1, "AB"), (None, "cd cd and cdcd"), (1, "ab ab x"), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    aliases = spark.createDataFrame([("ab",), ("cd",)], "alias string")
+    patterns = spark.createDataFrame([("ab", "ab", 0.9), ("cd", "Cdco", 0.8)], "alias string, company string, weight double")
+    master = spark.createDataFrame([("ab", "IT"), ("Cdco", None)], "name string, sector string")
+
+    def found():
+        return [sorted(map(str, f(docs).collect())) for f in (
+            lambda d: co.count_mentions(d, aliases), lambda d: co.mentions(d, patterns),
+            lambda d: co.company_facts(d, patterns, master))]
+
+    small = found()
+    monkeypatch.setattr(co, "MAX_DICTIONARY_BYTES", 0)
+    assert found() == small
+    assert small[0].count("Row(doc_id=1, alias='ab', hits=2)") == 2
+    assert "Row(doc_id=None, alias='cd', hits=4)" in [r.replace("nan", "None") for r in small[0]]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newswake.functions.dates import as_date, date_context, seoul_midnight
 from newswake.functions.words import EVENT_TERMS
-from newswake.operators import disclosures as ds, documents as dc, gap_reports as rep
+from newswake.operators import disclosures as ds, documents as dc, event_store as es, gap_reports as rep
 from newswake.operators import patterns as pt, prices as pr, search as se, search_index as si
 from newswake.operators import trust as tr
 from newswake.operators.gaps import GapRules
@@ -48,18 +48,28 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def summaries(self, name: str) -> study.Summaries:
+        """A table of returns and the stored counts of it."""
+        return study.Summaries(self.table(name), es.opened(self.spark, self.path(f"{name}_counts")))
+
+    def _count(self, written: DataFrame, name: str, date_col: str) -> None:
+        """Bring the stored counts of a table up to the months of the rows just written to it."""
+        months = [r.m for r in written.select(writers.month_of(date_col).alias("m")).distinct().collect() if r.m is not None]
+        es.update(self.table(name), self.path(f"{name}_counts"), date_col, months)
+
     # --- histories and scans --------------------------------------------------------------
 
     def build_news_returns(self, start: str, end: str) -> None:
         rows = study.build_news_returns(self.table("news"), self.table("alias_map"),
                                         self.table("prices"), start, end)
-        writers.upsert_table(conform(rows, NEWS_RETURNS), self.path("news_returns"), RETURN_KEYS,
-                             "news_date", RETURN_UPDATES)
+        fresh = writers.kept(conform(rows, NEWS_RETURNS))
+        writers.upsert_table(fresh, self.path("news_returns"), RETURN_KEYS, "news_date", RETURN_UPDATES)
+        self._count(fresh, "news_returns", "news_date")
 
     def build_event_history(self, labelled: DataFrame, start: str) -> DataFrame:
         """Write the history of labelled disclosures and return the run counters."""
-        outcomes = study.label_outcomes(labelled, self.table("stock_list"), self.table("prices"),
-                                        start)
+        outcomes = writers.kept(study.label_outcomes(
+            labelled, self.table("stock_list"), self.table("prices"), start))
         stamped = study.build_event_history(outcomes).withColumns(
             {"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
         keep_created = [c for c in EVENT_RETURNS_HISTORY.names
@@ -67,6 +77,7 @@ class Engine:
         writers.upsert_table(conform(stamped, EVENT_RETURNS_HISTORY),
                              self.path("event_returns_history"), HISTORY_KEYS, "event_date",
                              keep_created)
+        self._count(stamped, "event_returns_history", "event_date")
         return study.run_counters(outcomes)
 
     def _save_gaps(self, signals: DataFrame) -> None:
@@ -85,7 +96,7 @@ class Engine:
         rules = self.rules if z_threshold is None else changed(self.rules, z_threshold=z_threshold)
         signals = study.scan_with_fallback(
             self.table("news"), self.table("alias_map"), self.table("prices"),
-            self.table("event_returns_history"), self.table("news_returns"), start, end, as_of, rules)
+            self.summaries("event_returns_history"), self.summaries("news_returns"), start, end, as_of, rules)
         if save:
             self._save_gaps(signals)
         return signals
@@ -102,7 +113,7 @@ class Engine:
         rules = self.rules if z_threshold is None else changed(self.rules, z_threshold=z_threshold)
         return study.scan_recent_pooled(
             self.table("news"), self.table("alias_map"), self.table("prices"),
-            self.table("news_returns"), as_of, hours, rules)
+            self.summaries("news_returns"), as_of, hours, rules)
 
     # --- gap reads ------------------------------------------------------------------------
 

@@ -39,8 +39,18 @@ def expectation_stats(history: DataFrame, as_of: Column, lookback_days: int = 36
     """Mean, median, sample sigma, quartiles, count and confidence per (event_code, horizon)."""
     recent = history.filter(
         (F.col("event_date") >= F.date_sub(as_of, lookback_days)) & (F.col("event_date") <= as_of))
-    counted = value_counts(unpivot_returns(recent, horizons)).withColumn(
-        "x", F.col("ret").cast("double"))
+    return stats_of_counts(value_counts(unpivot_returns(recent, horizons)), min_samples)
+
+
+def on_grid(counts: DataFrame) -> DataFrame:
+    """(event_code, horizon, ret, n) of counts by grid value."""
+    ret = (F.col("grid").cast("decimal(24,6)") / GRID).cast(RETURN)
+    return counts.select("event_code", "horizon", ret.alias("ret"), "n")
+
+
+def stats_of_counts(counts: DataFrame, min_samples: int = 10) -> DataFrame:
+    """`expectation_stats` of (event_code, horizon, ret, n)."""
+    counted = counts.withColumn("x", F.col("ret").cast("double"))
     n, x = F.col("n"), F.col("x")
     by_event = counted.groupBy("event_code", "horizon").agg(
         F.sum("n").alias("n"),
@@ -92,6 +102,16 @@ def event_stats(returns: DataFrame, as_of: Column, lookback_days: int = 365,
     return agg.select("stat_key", mean.alias("mean"), std.alias("std"), F.col("n").alias("cnt"))
 
 
+def event_stats_of_counts(counts: DataFrame, key: Column | None = None) -> DataFrame:
+    """`event_stats` from (event_code, horizon, ret, n); only the 1-day returns are taken."""
+    key = F.col("event_code") if key is None else key
+    x, n = F.col("ret").cast("double"), F.col("n")
+    agg = counts.filter("horizon = 1").groupBy(key.alias("stat_key")).agg(
+        F.sum("n").alias("n"), F.sum(x * n).alias("sx"), F.sum(x * x * n).alias("sxx"))
+    mean, std = _from_moments(F.col("n"), F.col("sx"), F.col("sxx"))
+    return agg.select("stat_key", mean.alias("mean"), std.alias("std"), F.col("n").alias("cnt"))
+
+
 def rolling_event_stats(returns: DataFrame, lookback_days: int = 365,
                         date_col: str = "news_date", key: Column | None = None) -> DataFrame:
     """`event_stats` as of every day that has returns: (stat_key, day, mean, std, cnt).
@@ -127,36 +147,31 @@ def empirical_percentile(signals: DataFrame, history: DataFrame, value_col: str
                          horizons=(1,)) -> DataFrame:
     """Add `percentile`: the share of the event's stored returns strictly under the value.
 
-    0.5 when the event has no stored return. Both sides are first reduced to distinct grid
-    values; running counts are then built per 0.001-wide bucket and over bucket totals, so no
-    window holds more than one bucket of one event or one event's bucket list.
+    0.5 when the event has no stored return.
     """
-    keyed = signals.withColumn("grid", _grid_key(F.col(value_col)))
-    hist = value_counts(unpivot_returns(history, horizons)).select(
+    counts = value_counts(unpivot_returns(history, horizons)).select(
         "event_code", "horizon", (F.col("ret") * GRID).cast("long").alias("grid"), "n")
-    asked = (keyed.filter(F.col("grid").isNotNull())
-             .select("event_code", "horizon", "grid").distinct())
-    both = hist.withColumn("ask", F.lit(False)).unionByName(
-        asked.select("*", F.lit(0).cast("long").alias("n"), F.lit(True).alias("ask"))
-    ).withColumn("bucket", F.floor(F.col("grid") / BUCKET))
-
-    totals = both.groupBy("event_code", "horizon", "bucket").agg(F.sum("n").alias("n"))
-    w_event = Window.partitionBy("event_code", "horizon")
-    before = totals.select(
-        "event_code", "horizon", "bucket",
-        (F.sum("n").over(w_event.orderBy("bucket").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("n_before"),
-        F.sum("n").over(w_event).alias("n_all"))
-    w_bucket = (Window.partitionBy("event_code", "horizon", "bucket").orderBy("grid")
-                .rangeBetween(Window.unboundedPreceding, -1))
-    inside = (
-        both.withColumn("n_inside", F.coalesce(F.sum("n").over(w_bucket), F.lit(0)))
-        .filter("ask")
-        .join(before, ["event_code", "horizon", "bucket"])
-        .select("event_code", "horizon", "grid",
-                F.when(F.col("n_all") > 0,
-                       (F.col("n_before") + F.col("n_inside")) / F.col("n_all"))
-                .otherwise(0.5).alias("percentile"))
-    )
-    return keyed.join(inside, ["event_code", "horizon", "grid"], "left").drop("grid").withColumn(
-        "percentile", F.coalesce("percentile", F.lit(0.5)))
+    return percentile_of_counts(signals, counts, value_col)
+
+
+def percentile_of_counts(signals: DataFrame, counts: DataFrame, value_col: str = "actual_return") -> DataFrame:
+    """`empirical_percentile` over (event_code, horizon, grid, n).
+
+    An event's counts are laid out in buckets of BUCKET grid values: one row a bucket with its values,
+    one row an event with the totals of its buckets. A signal looks up both, so signals are read once
+    and neither sorted nor grouped.
+    """
+    keys = ["event_code", "horizon"]
+    grid = _grid_key(F.col(value_col))
+    asked = signals.withColumns({"_grid": grid, "_bucket": F.floor(grid / BUCKET)})
+    cells = counts.groupBy(*keys, F.floor(F.col("grid") / BUCKET).alias("_bucket")).agg(
+        F.sum("n").alias("_n"), F.collect_list(F.struct("grid", "n")).alias("_cells"))
+    totals = cells.groupBy(*keys).agg(
+        F.collect_list(F.struct("_bucket", "_n")).alias("_totals"), F.sum("_n").alias("_all"))
+    zero = F.lit(0).cast("long")
+    below = F.aggregate("_totals", zero, lambda a, b: a + F.when(b["_bucket"] < F.col("_bucket"), b["_n"]).otherwise(zero))
+    inside = F.aggregate(F.coalesce("_cells", F.array().cast("array<struct<grid: bigint, n: bigint>>")), zero,
+                         lambda a, c: a + F.when(c["grid"] < F.col("_grid"), c["n"]).otherwise(zero))
+    share = F.when(F.col("_grid").isNotNull(), (below + inside) / F.col("_all"))
+    return (asked.join(totals, keys, "left").join(cells.drop("_n"), [*keys, "_bucket"], "left")
+            .select(*signals.columns, F.coalesce(share, F.lit(0.5)).alias("percentile")))

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from newswake.functions.dates import as_date
 from newswake.operators import expectation as ex, gap_reports as rep, gaps as gp, prices as pr
-from newswake.operators import market as mk, upsert as up
+from newswake.operators import event_store as st, market as mk, upsert as up
 from newswake.operators.gaps import GapRules
 from newswake.operators.news import explode_news, news_facts
 from newswake.plans import study, views as v
 from newswake.plans.catalog import query, r6
+from newswake.plans.source_queries import run_dir
+from newswake.sources.writers import kept, month_of
 from newswake.plans.views import (
     AS_OF, HISTORY_START, SCAN_START, SQL_ANCHORED, SQL_DISCLOSURES, SQL_FACTS, SQL_HISTORY,
     SQL_NEWS, SQL_NEWS_RETURNS, SQL_PX, SQL_PXF,
@@ -49,7 +51,8 @@ def _gap_table(spark, sf):
     signals = study.scan_with_fallback(
         *_inputs(spark, sf), _history(spark, sf, LOOKBACK_START),
         _news_returns(spark, sf, LOOKBACK_START), SCAN_START, AS_OF, AS_OF)
-    return signals.dropDuplicates(["news_id", "stock_code", "event_code", "horizon"])
+    keys = ["news_id", "stock_code", "event_code", "horizon"]
+    return up.first_per_key(signals, keys, F.struct(*[c for c in signals.columns if c not in keys]))
 
 
 # --- SQL counterparts ------------------------------------------------------------------------
@@ -222,13 +225,16 @@ def corr_two_series(spark, sf):
 
 # --- expectations ----------------------------------------------------------------------------
 
-@query("expectation_stats", f"""
+EXPECTATION_SQL = f"""
 WITH {SQL_PXF}, {SQL_HISTORY} {SQL_HISTORY_STATS}
 SELECT event_code, horizon, round(mean, 12) AS mean, round(median, 12) AS median,
        round(std, 6) AS std, round(q25, 12) AS q25, round(q75, 12) AS q75,
        round(q75 - q25, 12) AS iqr, n AS sample_count,
        CAST(round(confidence, 6) AS DOUBLE) AS confidence
-FROM hstats""")
+FROM hstats"""
+
+
+@query("expectation_stats", EXPECTATION_SQL)
 def expectation_stats(spark, sf):
     stats = ex.expectation_stats(_history(spark, sf), _as_of())
     return r6(r6(stats, "std", "confidence"), "mean", "median", "q25", "q75", "iqr", digits=12)
@@ -287,7 +293,7 @@ def gap_scan_simple(spark, sf):
                                       _news_returns(spark, sf, LOOKBACK_START), SCAN_START, AS_OF, AS_OF))
 
 
-@query("gap_scan_history", f"""
+HISTORY_SCAN_SQL = f"""
 WITH {SQL_ANCHORED}, {SQL_HISTORY} {SQL_HISTORY_STATS},
 scored AS (
   SELECT a.*, h.median AS centre, h.*, (a.r1 - h.median) / h.std AS z
@@ -303,7 +309,10 @@ SELECT s.news_id, s.stock_code, s.stock_name, s.event_code, s.news_date, 1 AS ho
        {DIRECTION} AS direction, {GRADE3} AS magnitude, s.n AS sample_count,
        round((SELECT sum(CASE WHEN k.ret < s.r1 THEN 1.0 ELSE 0.0 END) / count(*)
               FROM kept k WHERE k.event_code = s.event_code), 6) AS percentile
-FROM scored s WHERE abs(z) >= 2""")
+FROM scored s WHERE abs(z) >= 2"""
+
+
+@query("gap_scan_history", HISTORY_SCAN_SQL)
 def gap_scan_history(spark, sf):
     out = study.scan_history(*_inputs(spark, sf), _history(spark, sf), SCAN_START, AS_OF, AS_OF,
                              with_percentile=True)
@@ -311,6 +320,35 @@ def gap_scan_history(spark, sf):
               "expected_mean", "expected_q25", "expected_q75", digits=12)
 
 
+def _stored_history(spark, sf):
+    """The history, its summaries, and a month that was counted before its rows were all there."""
+    path = run_dir(spark, "counts")
+    history = kept(_history(spark, sf))
+    some = history.filter(F.crc32(F.col("stock_code")) % 3 > 0)
+    st.update(some, path, "event_date")
+    months = [r.m for r in history.select(month_of("event_date").alias("m")).distinct().collect()]
+    st.update(history, path, "event_date", months[::2])
+    st.update(history, path, "event_date", months[1::2])
+    st.update(history, path, "event_date", months[:1])  # once more: nothing changes
+    return study.Summaries(history.limit(0), st.opened(spark, path))
+
+
+@query("expectation_stored", EXPECTATION_SQL)
+def expectation_stored(spark, sf):
+    """The statistics from stored counts; the history is not read."""
+    stats = _stored_history(spark, sf).expectation(_as_of(), GapRules(), (1, 3, 5))
+    return r6(r6(stats, "std", "confidence"), "mean", "median", "q25", "q75", "iqr", digits=12)
+
+
+@query("gap_scan_stored", HISTORY_SCAN_SQL)
+def gap_scan_stored(spark, sf):
+    """The scan with percentiles from stored counts."""
+    out = study.scan_history(*_inputs(spark, sf), _stored_history(spark, sf), SCAN_START, AS_OF, AS_OF,
+                             with_percentile=True)
+    return r6(r6(_signals(out), "confidence", "percentile"),
+              "expected_mean", "expected_q25", "expected_q75", digits=12)
+
+
 @query("gap_batch_135", f"""
 WITH {SQL_ANCHORED}, {SQL_HISTORY} {SQL_HISTORY_STATS},
 long AS (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newswake.functions.dates import as_date
 from newswake.operators import expectation as ex, gaps as gp, prices as pr
+from newswake.operators.event_store import EventStore
 from newswake.operators.gaps import GapRules
 from newswake.operators.news import news_facts
 from newswake.operators.upsert import first_per_key
@@ -63,7 +65,8 @@ def label_outcomes(events: DataFrame, stock_list: DataFrame, prices: DataFrame,
     codes = stock_list.groupBy("corp_code").agg(F.min("stock_code").alias("stock_code"))
     coded = events.join(codes, "corp_code", "left").withColumn(
         "stock_code", pr.pad_code(F.col("stock_code")))
-    calendar = pr.anchor_calendar(prices, as_date(first_day))
+    first_day = as_date(first_day)
+    calendar = pr.anchor_calendar(prices.filter(F.col("trade_date") >= first_day), first_day)
     joined = pr.with_anchor(coded, calendar, "event_date", "left")
     any_return = F.coalesce("return_1d", "return_3d", "return_5d").isNotNull()
     status = (
@@ -90,43 +93,69 @@ def run_counters(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("status").agg(F.count("*").alias("count"))
 
 
-def scan_simple(news: DataFrame, alias_map: DataFrame, prices: DataFrame, news_returns: DataFrame,
+@dataclass(frozen=True)
+class Summaries:
+    """Where a scan takes its statistics from: the stored counts of a table of returns where there are
+    any, else its rows."""
+    rows: DataFrame
+    store: EventStore | None = None
+
+    def expectation(self, as_of: Column, rules: GapRules, horizons) -> DataFrame:
+        if self.store is None:
+            return ex.expectation_stats(self.rows, as_of, rules.lookback_days, rules.min_samples, horizons)
+        counts = self.store.counts(F.date_sub(as_of, rules.lookback_days), as_of)
+        return ex.stats_of_counts(ex.on_grid(counts.filter(F.col("horizon").isin(list(horizons)))), rules.min_samples)
+
+    def moments(self, as_of: Column, rules: GapRules, key: Column | None = None) -> DataFrame:
+        if self.store is None:
+            return ex.event_stats(self.rows, as_of, rules.lookback_days, key=key)
+        counts = self.store.counts(F.date_sub(as_of, rules.lookback_days), as_of)
+        return ex.event_stats_of_counts(ex.on_grid(counts), key)
+
+    def percentile(self, signals: DataFrame, horizons) -> DataFrame:
+        if self.store is None:
+            return ex.empirical_percentile(signals, self.rows, horizons=horizons)
+        return ex.percentile_of_counts(signals, self.store.counts())
+
+
+def _summaries(given: DataFrame | Summaries) -> Summaries:
+    return given if isinstance(given, Summaries) else Summaries(given)
+
+
+def scan_simple(news: DataFrame, alias_map: DataFrame, prices: DataFrame, news_returns: DataFrame | Summaries,
                 start: Day, end: Day, as_of: Day, rules: GapRules = GapRules()) -> DataFrame:
     start, end, as_of = as_date(start), as_date(end), as_date(as_of)
     near = _prices_around(prices, start, end, rules.price_pad_days)
     anchored = anchored_facts(news_between(news, start, end), alias_map, near, start, end,
                               rules.price_pad_days, horizons=(1,))
-    stats = ex.event_stats(news_returns, as_of, rules.lookback_days)
-    return gp.detect_simple(anchored, stats, rules)
+    return gp.detect_simple(anchored, _summaries(news_returns).moments(as_of, rules), rules)
 
 
-def scan_history(news: DataFrame, alias_map: DataFrame, prices: DataFrame, history: DataFrame,
+def scan_history(news: DataFrame, alias_map: DataFrame, prices: DataFrame, history: DataFrame | Summaries,
                  start: Day, end: Day, as_of: Day, rules: GapRules = GapRules(),
                  horizons=(1,), with_percentile: bool = False) -> DataFrame:
     start, end, as_of = as_date(start), as_date(end), as_date(as_of)
     anchored = anchored_facts(news_between(news, start, end), alias_map,
                               prices.filter(F.col("trade_date") >= start), start, end)
-    stats = ex.expectation_stats(history, as_of, rules.lookback_days, rules.min_samples, horizons)
-    signals = gp.detect_history(anchored, stats, rules, horizons)
-    if with_percentile:
-        signals = ex.empirical_percentile(signals, history, horizons=horizons)
-    return signals
+    known = _summaries(history)
+    signals = gp.detect_history(anchored, known.expectation(as_of, rules, horizons), rules, horizons)
+    return known.percentile(signals, horizons) if with_percentile else signals
 
 
 def scan_with_fallback(news: DataFrame, alias_map: DataFrame, prices: DataFrame,
-                       history: DataFrame, news_returns: DataFrame, start: Day, end: Day,
+                       history: DataFrame | Summaries, news_returns: DataFrame | Summaries, start: Day, end: Day,
                        as_of: Day, rules: GapRules = GapRules()) -> DataFrame:
     start, end, as_of = as_date(start), as_date(end), as_date(as_of)
     anchored = anchored_facts(news_between(news, start, end), alias_map,
                               prices.filter(F.col("trade_date") >= start), start, end,
                               horizons=(1,))
-    h = ex.expectation_stats(history, as_of, rules.lookback_days, rules.min_samples, (1,))
-    s = ex.event_stats(news_returns, as_of, rules.lookback_days)
+    h = _summaries(history).expectation(as_of, rules, (1,))
+    s = _summaries(news_returns).moments(as_of, rules)
     return gp.detect_with_fallback(anchored, h, s, rules)
 
 
 def scan_recent_pooled(news: DataFrame, alias_map: DataFrame, prices: DataFrame,
-                       news_returns: DataFrame, as_of: Day, hours: int = 48,
+                       news_returns: DataFrame | Summaries, as_of: Day, hours: int = 48,
                        rules: GapRules = GapRules()) -> DataFrame:
     """News of the last hours (whole days) against the pooled category statistics."""
     as_of = as_date(as_of)
@@ -134,8 +163,7 @@ def scan_recent_pooled(news: DataFrame, alias_map: DataFrame, prices: DataFrame,
     anchored = anchored_facts(news_between(news, start, as_of), alias_map,
                               prices.filter(F.col("trade_date") >= start), start, as_of,
                               horizons=(1,))
-    stats = ex.event_stats(news_returns, as_of, rules.lookback_days,
-                           key=ex.event_prefix(F.col("event_code")))
+    stats = _summaries(news_returns).moments(as_of, rules, ex.event_prefix(F.col("event_code")))
     return gp.detect_pooled(anchored, stats, rules)
 
 

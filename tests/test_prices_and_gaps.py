@@ -196,3 +196,35 @@ def test_fallback_prefers_history_and_fills_with_simple(spark):
          ("none", 0.0, 1.0, 5)], "stat_key string, mean double, std double, cnt long")
     got = {r.news_id: r.calc_mode for r in gp.detect_with_fallback(facts, hist, simple).collect()}
     assert got == {"h": "HISTORY", "s": "SIMPLE", "w": "SIMPLE"}
+
+
+def test_stored_counts_equal_the_history(spark, tmp_path):
+    import random
+    from datetime import date, timedelta
+
+    from newswake.operators import event_store as st, expectation as ex
+
+    rng = random.Random(2)
+    rows = [(f"e{rng.randint(0, 3)}", date(2024, 1, 1) + timedelta(days=rng.randint(0, 200)),
+             *[None if rng.random() < 0.1 else round(rng.gauss(0, 0.05), 6) for _ in range(3)]) for _ in range(3000)]
+    rows += [("e0", None, 0.1, 0.1, 0.1), ("e1", date(2024, 2, 3), None, None, None), ("big", date(2024, 3, 1), 9999.0, -9999.0, 0.0)]
+    history = spark.createDataFrame(rows, "event_code string, event_date date, return_1d double, return_3d double, return_5d double")
+    path = str(tmp_path / "counts")
+    assert st.opened(spark, path) is None
+    st.update(history.filter("event_date < '2024-04-10'"), path, "event_date")
+    st.update(history, path, "event_date", ["2024-04", "2024-05", "2024-06", "2024-07"])
+    store = st.opened(spark, path)
+    dated = history.filter("event_date is not null")
+    for first, last in (("2024-01-15", "2024-06-20"), ("2024-03-02", "2024-03-09"), (None, "2024-02-29"), ("2024-07-01", None), (None, None)):
+        want = dated.filter(f"event_date >= '{first or '2000-01-01'}' and event_date <= '{last or '2100-01-01'}'")
+        count = lambda df: sorted(map(tuple, df.select("event_code", "horizon", "ret", "n").collect()))
+        assert count(ex.on_grid(store.counts(first, last))) == count(ex.value_counts(ex.unpivot_returns(want)))
+    signals = spark.createDataFrame([(i, f"e{i % 5}", 1, x) for i, x in enumerate([0.0, 0.01, -0.049999, 0.05, None, 5.0, -5.0, 0.0123456])],
+                                    "i int, event_code string, horizon int, actual_return double")
+    got = {r.i: r.percentile for r in ex.percentile_of_counts(signals, store.counts()).collect()}
+    for i, code, _, x in signals.collect():
+        known = [r[2] for r in rows if r[0] == code and r[1] is not None and r[2] is not None]
+        want = 0.5 if x is None or not known else sum(k < x for k in known) / len(known)
+        assert abs(got[i] - want) < 1e-12
+    plan = store.counts("2024-03-02", "2024-05-09")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(month") == 2 or "month" in plan.split("PartitionFilters")[1]

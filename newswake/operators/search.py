@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newswake.functions.text import each, let, ngrams, text_array, tokens
+from newswake.functions.text import each, let, text_array, tokens
 
 K1, B = 1.2, 0.75
 
@@ -32,11 +32,6 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
-
-
 def expand_synonyms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Query terms plus their synonyms. `synonyms` is (term, synonym), both directions listed."""
     more = terms.join(synonyms, "term").select("query_id", F.col("synonym").alias("term"))
@@ -394,9 +389,3 @@ def nearest(vectors: DataFrame, query: Column, id_col: str, vec_col: str, k: int
         vectors = vectors.filter(F.col(time_col) < end)
     return (vectors.select(id_col, F.round(cosine(F.col(vec_col), query), 6).alias("score"))
             .orderBy(F.desc("score"), id_col).limit(k))
-
-
-def shingles(text: Column) -> Column:
-    """Words, pairs and triples, as the title analyser emits them."""
-    w = tokens(text)
-    return F.concat(w, ngrams(w, 2), ngrams(w, 3))

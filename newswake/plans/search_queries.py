@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newswake.functions import text as tx
-from newswake.operators import patterns as pt, search as se, search_index as si, trust as tr, vector_index as vi
+from newswake.operators import patterns as pt, query_graph as qg, search as se, search_index as si, trust as tr, vector_index as vi
 from newswake.plans.catalog import query, r6
 from newswake.plans.text_queries import PUBLISHER_SQL, TIER_SQL, WORD_SQL, _publisher
 from newswake.plans.source_queries import run_dir
@@ -257,6 +257,47 @@ def index_phrase_slop(spark, sf):
     return r6(si.phrase_matches(_body_index(spark, sf), asked, "body", 3), "freq").select("doc_id", "freq")
 
 
+GROUPS = [["with", "mit", "of the"], ["les", "that in"], ["nicht", "avec", "pas de tout"]]
+GRAPH_QUERIES = {"a": "With thing", "b": "les nicht tion", "c": "of the re", "d": "that in that"}
+
+
+@query("synonym_graph", f"""
+WITH {BM25_SQL.split("qt AS (")[0]}
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term), {POS_SQL},
+seg(q, s, a, k, n, term) AS (VALUES
+  ('a', 0, 0, 0, 1, 'with'), ('a', 0, 1, 0, 1, 'mit'), ('a', 0, 2, 0, 2, 'of'), ('a', 0, 2, 1, 2, 'the'),
+  ('a', 1, 0, 0, 1, 'thing'),
+  ('b', 0, 0, 0, 1, 'les'), ('b', 0, 1, 0, 2, 'that'), ('b', 0, 1, 1, 2, 'in'),
+  ('b', 1, 0, 0, 1, 'nicht'), ('b', 1, 1, 0, 1, 'avec'), ('b', 1, 2, 0, 3, 'pas'), ('b', 1, 2, 1, 3, 'de'),
+  ('b', 1, 2, 2, 3, 'tout'), ('b', 2, 0, 0, 1, 'tion'),
+  ('c', 0, 0, 0, 1, 'with'), ('c', 0, 1, 0, 1, 'mit'), ('c', 0, 2, 0, 2, 'of'), ('c', 0, 2, 1, 2, 'the'),
+  ('c', 1, 0, 0, 1, 're'),
+  ('d', 0, 0, 0, 1, 'les'), ('d', 0, 1, 0, 2, 'that'), ('d', 0, 1, 1, 2, 'in'), ('d', 1, 0, 0, 1, 'that')),
+single AS (
+  SELECT q, s, doc_id, sum(tf) AS f, max(dl) AS dl FROM seg JOIN tf USING (term) WHERE n = 1 GROUP BY 1, 2, 3),
+single_w AS (
+  SELECT q, s, ln(1.0 + ((SELECT n FROM corpus) - max(df) + 0.5) / (max(df) + 0.5)) AS weight
+  FROM seg JOIN df USING (term) WHERE n = 1 GROUP BY 1, 2),
+starts AS (
+  SELECT q, s, a, n, doc_id, pos - k AS start FROM seg JOIN pos USING (term) WHERE n > 1
+  GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) = n),
+phrase AS (SELECT q, s, a, doc_id, count(*)::DOUBLE AS f FROM starts GROUP BY 1, 2, 3, 4),
+phrase_w AS (
+  SELECT q, s, a, sum(ln(1.0 + ((SELECT n FROM corpus) - df + 0.5) / (df + 0.5))) AS weight
+  FROM seg JOIN df USING (term) WHERE n > 1 GROUP BY 1, 2, 3),
+parts AS (
+  SELECT q, doc_id, f, dl, weight FROM single JOIN single_w USING (q, s)
+  UNION ALL SELECT q, doc_id, f, len(w)::DOUBLE, weight FROM phrase JOIN phrase_w USING (q, s, a) JOIN words USING (doc_id)),
+graph_scores AS (
+  SELECT q AS query_id, doc_id, round(sum(weight * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM parts, corpus GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+FROM graph_scores QUALIFY rank <= 20""")
+def synonym_graph(spark, sf):
+    """Queries whose words have spellings of one and of several words."""
+    return qg.graph_search(_body_index(spark, sf), GRAPH_QUERIES, GROUPS, "body")
+
+
 @query("index_update", f"""
 WITH {BM25_SQL}, every AS (
   SELECT doc_id, 'body' AS field, term, tf, dl FROM tf

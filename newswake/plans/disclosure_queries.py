@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F, types as T
 
 from newswake.functions import text as tx, words
 from newswake.operators import disclosures as ds
-from newswake.plans.catalog import query, r6
+from newswake.plans.catalog import query, r6, run_dir
 from newswake.plans.text_queries import _any_sql
 from newswake.plans.views import table
-from newswake.session import checkpoint_dir
 from newswake.streaming import sync
 
 REPORTS = [
@@ -258,17 +255,12 @@ def _event_stream(spark, sf):
     return sync.article_stream(spark, f"{sf}/events.parquet*", EVENT_SCHEMA)
 
 
-def _run_dir(spark, name: str) -> str:
-    """A new folder of this run below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stream_tumbling_counts", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n,
        round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_tumbling_counts(spark, sf):
     """A stream drained to the end into a table of this run."""
-    out = _run_dir(spark, "tumbling")
+    out = run_dir(spark, "tumbling")
     stream = sync.tumbling_counts(_event_stream(spark, sf), "ts", "1 day", "event_type", "value")
     sync.run_to_path(stream, out, "complete", f"{out}-state")
     return r6(spark.read.parquet(out).select(
@@ -280,7 +272,7 @@ def stream_tumbling_counts(spark, sf):
 SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_dedupe(spark, sf):
     """Every event arrives twice; the deduplicated stream is written out and counted."""
-    out = _run_dir(spark, "dedupe")
+    out = run_dir(spark, "dedupe")
     stream = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     q = (sync.dedupe(stream, ["event_id"], "ts").drop("copy").writeStream.format("parquet")
          .option("path", out).option("checkpointLocation", out + "-state")

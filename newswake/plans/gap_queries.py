@@ -12,8 +12,7 @@ from newswake.operators import event_store as st, market as mk, upsert as up
 from newswake.operators.gaps import GapRules
 from newswake.operators.news import explode_news, news_facts
 from newswake.plans import study, views as v
-from newswake.plans.catalog import query, r6
-from newswake.plans.source_queries import run_dir
+from newswake.plans.catalog import query, r6, run_dir
 from newswake.sources.writers import kept, month_of
 from newswake.plans.views import (
     AS_OF, HISTORY_START, SCAN_START, SQL_ANCHORED, SQL_DISCLOSURES, SQL_FACTS, SQL_HISTORY,

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from newswake.functions import text as tx
 from newswake.operators import patterns as pt, query_graph as qg, search as se, search_index as si, trust as tr, vector_index as vi
-from newswake.plans.catalog import query, r6
+from newswake.plans.catalog import query, r6, run_dir
 from newswake.plans.text_queries import PUBLISHER_SQL, TIER_SQL, WORD_SQL, _publisher
-from newswake.plans.source_queries import run_dir
 from newswake.plans.views import documents, table
 from newswake.streaming import sync
 

@@ -3,24 +3,16 @@ a source reads, and read back through it."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newswake.functions import text as tx
 from newswake.operators import labels as lb, market as mk
-from newswake.plans.catalog import query, r6
+from newswake.plans.catalog import query, r6, run_dir
 from newswake.plans.views import documents, news, stock_list, table
-from newswake.session import checkpoint_dir
 from newswake.sources import lexicons as lx, readers as rd, writers as wr
 from newswake.streaming import sync
 
 
-def run_dir(spark: SparkSession, name: str) -> str:
-    """A new folder of this run below the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # --- delimited text ---------------------------------------------------------------------------
 
 @query("csv_round_trip", """

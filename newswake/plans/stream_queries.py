@@ -8,8 +8,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newswake.plans.catalog import query, r6
-from newswake.plans.source_queries import run_dir
+from newswake.plans.catalog import query, r6, run_dir
 from newswake.plans.views import table
 from newswake.streaming import stateful as st, sync
 

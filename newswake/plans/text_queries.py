@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newswake.functions import dates, ids, text as tx, words
-from newswake.operators import companies as co, documents as dc, labels as lb
-from newswake.plans.catalog import query, r6
+from newswake.operators import companies as co, documents as dc, extraction_store as xs, labels as lb
+from newswake.plans.catalog import query, r6, run_dir
 from newswake.plans.views import documents, table
+from newswake.sources.writers import kept
 
 WORD_SQL = "'[A-Za-z0-9가-힣]{2,}'"
 BLANK_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -545,6 +546,34 @@ def company_extract(spark, sf):
               "confidence", "relevance")
 
 
+@query("extraction_store", """
+WITH d AS (SELECT DISTINCT text FROM documents),
+first AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 > 0)
+SELECT (SELECT count(*) FROM first) AS first_run,
+       (SELECT count(*) FROM d WHERE text NOT IN (SELECT text FROM first)) AS second_run,
+       CAST(0 AS BIGINT) AS third_run, (SELECT count(*) FROM d) AS stored, true AS same""")
+def extraction_store(spark, sf):
+    """Texts that three runs over growing tables had to extract, and whether the rows are those of an
+    extraction without the store."""
+    path = run_dir(spark, "extracted")
+    master = _master(spark, sf)
+    patterns = kept(co.pattern_weights(co.alias_table(master), master))
+    docs = documents(spark, sf).select("doc_id", "text")
+    version = xs.dictionary_version(patterns, master)
+    keyed = lambda d: d.withColumn("key", xs.row_key(F.col("text")))
+    runs, rows = [], None
+    for part in (docs.filter("doc_id % 3 > 0"), docs, docs):
+        runs.append(xs.missing(keyed(part), path, version).count())
+        rows = xs.extract(part, patterns, master, path)
+    cols = ["doc_id", "company", "status", F.round("confidence", 9).alias("c"), F.round("relevance", 9).alias("r"), "rank"]
+    h = F.sum(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in cols]).cast("decimal(38,0)"))
+    digest = lambda df: df.agg(F.struct(h, F.count("*")).alias("d")).scalar()
+    same = digest(rows) == digest(co.extract(docs, patterns, master))
+    return xs.stored(spark, path, version).agg(F.count("*").alias("stored")).select(
+        *[F.lit(n).cast("long").alias(c) for n, c in zip(runs, ("first_run", "second_run", "third_run"), strict=True)],
+        "stored", same.alias("same"))
+
+
 @query("suffix_aliases", """
 WITH n AS (
   SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'S' || s_suppkey || '전자'

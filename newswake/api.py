@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newswake.functions.dates import as_date, date_context, seoul_midnight
 from newswake.functions.words import EVENT_TERMS
-from newswake.operators import disclosures as ds, documents as dc, event_store as es, gap_reports as rep
+from newswake.operators import companies as co, disclosures as ds, documents as dc, event_store as es, gap_reports as rep
 from newswake.operators import patterns as pt, prices as pr, search as se, search_index as si
 from newswake.operators import trust as tr
 from newswake.operators.gaps import GapRules
@@ -146,6 +146,8 @@ class Engine:
         """Build documents from articles, write them by id and index their words; undatable ones
         are left out. The built rows are written first, so both writes read the same ones."""
         usable, _ = dc.quarantine(dc.build(articles, self.synonyms))
+        if writers.exists(self.spark, self.path("alias_map")):
+            usable = dc.add_tickers(usable, self.table("alias_map"))
         one_each = first_per_key(usable, ["id"], F.struct(*[c for c in usable.columns if c != "id"]))
         writers.replace(one_each, self.path("incoming_documents"))
         incoming = self.table("incoming_documents")
@@ -161,6 +163,15 @@ class Engine:
         c = date_context(F.lit(text), as_of)
         return seoul_midnight(c["start"]), seoul_midnight(F.date_add(c["end"], 1))
 
+    def companies_in(self, text: str, given: Sequence[str] = ()) -> list[str]:
+        """Names given with a request, then those extracted from its text by the dictionary tables
+        (company_patterns, company_master), where there are any; each once."""
+        if not writers.exists(self.spark, self.path("company_patterns")):
+            return list(dict.fromkeys(given))
+        one = self.spark.createDataFrame([(0, text)], "doc_id long, text string")
+        found = co.extract(one, self.table("company_patterns"), self.table("company_master")).orderBy("rank")
+        return list(dict.fromkeys([*given, *[r.company for r in found.select("company").collect()]]))
+
     def search(self, text: str, as_of: str | date, companies: Sequence[str] = (),
                event_phrases: Sequence[str] = (), event_labels: Sequence[str] = (),
                top: int = 20) -> DataFrame:
@@ -173,7 +184,9 @@ class Engine:
     def verify_rumor(self, text: str, as_of: str | date, companies: Sequence[str] = (),
                      event_phrases: Sequence[str] = (), event_labels: Sequence[str] = ("other",),
                      corp_codes: Sequence[str] = ()) -> DataFrame:
-        """One row: trust score, level, reason, the numbers behind them and the articles they rest on."""
+        """One row: trust score, level, reason, the numbers behind them and the articles they rest on.
+        Companies are those given and those that the text names."""
+        companies = self.companies_in(text, companies)
         start, end = self._range(text, as_of)
         found = self.search(text, as_of, companies, event_phrases, event_labels)
         w = F.row_number().over(se.Window.orderBy(F.desc("score"), "id"))

@@ -94,9 +94,3 @@ def quarantine(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = (F.col("id").isNotNull() & (F.coalesce(F.length("title"), F.lit(0)) > 0)
           & F.col("published_at").isNotNull())
     return documents.filter(ok), documents.filter(~ok)
-
-
-def index_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The index after writing `incoming` by id: same ids are replaced whole."""
-    from newswake.operators.upsert import upsert
-    return upsert(existing, incoming, ["id"])

@@ -67,8 +67,12 @@ def stats(gaps: DataFrame, as_of: Column, days: int = 7, top_events: int | None
 
     Null keys are not counted. Event codes are cut to the most frequent; pass None for all.
     """
-    recent = gaps.filter(F.col("news_date") >= since(as_of, days))
-    counted = recent.groupingSets(
+    return kind_counts(gaps.filter(F.col("news_date") >= since(as_of, days)), top_events)
+
+
+def kind_counts(rows: DataFrame, top_events: int | None = None) -> DataFrame:
+    """`stats` of the rows given, such as those a monitor's filters leave."""
+    counted = rows.groupingSets(
         [[], ["direction"], ["magnitude"], ["event_code"]], "direction", "magnitude", "event_code"
     ).agg(F.count("*").alias("count"), F.grouping_id().alias("gid"))
     kind = (F.when(F.col("gid") == 7, "total").when(F.col("gid") == 3, "direction")

@@ -208,7 +208,3 @@ def lexicon_hits(text: Column, lexicon: Mapping[str, Mapping[str, Sequence[str]]
 
     return F.concat(*[rows(category, sub, words) for category, groups in lexicon.items()
                       for sub, words in groups.items()])
-
-
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return has_any(text, words)

@@ -524,6 +524,23 @@ def gap_monitor_rows(spark, sf):
                                               "direction", "magnitude", "news_id")
 
 
+@query("gap_monitor_stats", f"""
+WITH {SQL_FALLBACK}, kept AS (
+  SELECT stock_code, event_code, news_date, direction, magnitude FROM gaps
+  WHERE direction IN ('OVER', 'UNDER') AND magnitude IN ('HIGH', 'EXTREME') AND abs(z_score) >= 2
+  GROUP BY stock_code, event_code, news_date, direction, magnitude, floor(z_score * 100 + 0.5)),
+counted AS (
+  SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS key, count(*) AS count FROM kept
+  UNION ALL SELECT 'direction', direction, count(*) FROM kept GROUP BY 2
+  UNION ALL SELECT 'magnitude', magnitude, count(*) FROM kept GROUP BY 2
+  UNION ALL SELECT * FROM (SELECT 'event_code', event_code, count(*) AS c FROM kept GROUP BY 2
+    ORDER BY c DESC, event_code LIMIT 8))
+SELECT * FROM counted""")
+def gap_monitor_stats(spark, sf):
+    """Histograms and the most frequent events of the rows that the monitor's filters leave."""
+    return rep.kind_counts(rep.monitor_rows(_gap_table(spark, sf), magnitudes=("HIGH", "EXTREME"), min_z=2.0), 8)
+
+
 @query("event_performance", f"""
 WITH {SQL_FALLBACK}
 SELECT event_code, round(avg(actual_return), 6) AS avg_actual_return,

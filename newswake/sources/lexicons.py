@@ -54,19 +54,31 @@ def synonym_list(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return [(r.alias, r.code) for r in rows]
 
 
-def _whole(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).head().value
+def _merged(into: dict, more: dict) -> dict:
+    for key, value in more.items():
+        both = isinstance(value, dict) and isinstance(into.get(key), dict)
+        into[key] = _merged(into[key], value) if both else value
+    return into
+
+
+def _whole(spark: SparkSession, path: str) -> dict:
+    """The JSON object of a file, or of all files of a folder: entries of later names go on top."""
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("name")).orderBy("name")
+    out: dict = {}
+    for r in files.collect():  # configuration files
+        _merged(out, json.loads(r.value))
+    return out
 
 
 def label_registry(spark: SparkSession, path: str, profile: str | None = None) -> list[Label]:
     """Labels from `{labels: {name: {fine, priority, triggers}}, profiles: {p: {name: priority}}}`."""
-    data = json.loads(_whole(spark, path))
+    data = _whole(spark, path)
     return build_registry(data["labels"], data.get("profiles", {}).get(profile, {}))
 
 
 def keyword_lexicon(spark: SparkSession, path: str) -> dict:
     """`{category: {group: [keyword]}}`; the signal lists stand under the category `signal`."""
-    return json.loads(_whole(spark, path))
+    return _whole(spark, path)
 
 
 def save_learned(learned: DataFrame, path: str) -> None:

@@ -183,7 +183,3 @@ def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
 
 def describe(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(f"DESCRIBE TABLE {name}")
-
-
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns

@@ -93,3 +93,22 @@ def test_quarterly_cases(spark):
     cases = spark.createDataFrame([(x, ["a"], ["e"]) for x in t], "published_at timestamp, companies array<string>, event_codes array<string>")
     got = {r.pattern_type: r.value for r in pt.insights(cases, F.lit("2026-01-01").cast("timestamp")).collect()}
     assert got == {"frequent_company": "a", "frequent_event": "e", "quarterly_pattern": "90"}
+
+
+def test_tickers_companies_of_a_text_and_folders_of_lexicons(spark, engine, tmp_path):
+    import json
+
+    from newswake.sources import lexicons as lx
+
+    docs = engine.table("documents").select("companies", "tickers").distinct().collect()
+    assert docs and all(list(r.tickers) == ["000001"] for r in docs)
+    assert engine.companies_in("anything", ["b", "a", "b"]) == ["b", "a"]
+    spark.createDataFrame([("Acme Robotics", "Acme Robotics", 0.9)], "alias string, company string, weight double").write.parquet(
+        engine.path("company_patterns"))
+    spark.createDataFrame([("Acme Robotics", "IT", "listed")], "name string, sector string, type string").write.parquet(
+        engine.path("company_master"))
+    text = "Acme Robotics said that Acme Robotics would build a plant"
+    assert engine.companies_in(text, ["given"]) == ["given", "Acme Robotics"]
+    for name, data in (("1.json", {"signal": {"a": ["x"], "b": ["y"]}}), ("2.json", {"signal": {"b": ["z"]}, "more": {"c": ["w"]}})):
+        (tmp_path / name).write_text(json.dumps(data))
+    assert lx.keyword_lexicon(spark, str(tmp_path)) == {"signal": {"a": ["x"], "b": ["z"]}, "more": {"c": ["w"]}}

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newswake.llm.components import components
 from newswake.llm.golay import around, nearest
@@ -34,6 +34,7 @@ RUN = 1 << 15
 BANDS = 24
 BAND_WIDTH = 5
 PIVOTS = 8
+LEVELS = 64
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -262,17 +263,25 @@ def alike(x: str, y: str, least: float):
 
 
 def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivots: int = PIVOTS) -> DataFrame:
-    """node, root of the components of all links among the members (cell, at, size) of each cell, and
-    among the pairs `sure` (x, y); `tested` gives the links (a, b) of a table of pairs. Members whose
-    sizes rule out the similarity are no pair.
+    """node, root of the components of all links among the members (cell, at, size, alone) of each cell,
+    and among the pairs `sure` (x, y); `tested` gives the links (a, b) of a table of pairs. Members
+    whose sizes rule out the similarity are no pair.
 
     Pairs within a component are not tested, all others of a cell are. Each round takes more of the
-    members of a cell as pivots, by a hash, and tests each against what is not in its component: a
-    group is joined by its first pivots, and later ones meet only what was left out. A cell is done
+    members of a cell as pivots, those with fewest shingles of their own first and otherwise by a
+    hash, and tests each against what is not in its component: a group is joined by its most central
+    members, and later pivots meet only what was left out. A cell is done
     when all its members are in one component or all have been pivots."""
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    left = stored(members.join(sizes, "cell"))
-    place = F.pmod(F.xxhash64("at", F.lit(SEED)), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("n")
+    level = F.least(F.floor(F.col("alone") * LEVELS / F.greatest("size", F.lit(1)) / (1 - similarity)), F.lit(LEVELS - 1))
+    members = members.withColumn("level", level)
+    steps = members.groupBy("cell", "level").agg(F.count("*").alias("many"))  # at most LEVELS a cell
+    before = F.sum("many").over(Window.partitionBy("cell").orderBy("level")) - F.col("many")
+    sizes = steps.select("cell", "level", "many", before.alias("before"),
+                         F.sum("many").over(Window.partitionBy("cell")).alias("n")).filter("n > 1")
+    within = F.pmod(F.xxhash64("at", F.lit(SEED)), F.lit(1 << 30)) / F.lit(1 << 30)
+    left = stored(members.join(sizes, ["cell", "level"]).select(
+        "cell", "at", "size", "n", (F.col("before") + within * F.col("many")).alias("place")))
+    place = F.col("place")
     links, low, high = tested(sure), 0, pivots
     named = ["at", "size", "root", "main"]
     root = None
@@ -281,7 +290,7 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
             now = left.withColumn("root", F.col("at"))
         else:
             now = left.join(root, left["at"] == root["node"], "left").select(
-                "cell", "at", "size", "n", F.coalesce("root", "at").alias("root"))
+                "cell", "at", "size", "n", "place", F.coalesce("root", "at").alias("root"))
         counts = now.groupBy("cell", "root").count()
         main = counts.groupBy("cell").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("parts"))
         now = stored(now.join(main.filter("parts > 1").select("cell", F.col("most.root").alias("main")), "cell"))
@@ -299,7 +308,7 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
                 root.select(F.col("node").alias("a"), F.col("root").alias("b")))
             root = components(known)
             root = stored(root.unionByName(root.select(F.col("root").alias("node"), "root")).distinct())
-        left = now.filter(F.col("n") > high).select("cell", "at", "size", "n")
+        left = now.filter(F.col("n") > high).select("cell", "at", "size", "n", "place")
         if left.isEmpty():
             return root
         low, high = high, high * 4
@@ -315,8 +324,9 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     different shorter shingles, are linked or equal, and texts that share one of BANDS bands of
     least hashes; sign bits alone miss many pairs near the threshold, the bands find all but
     (1 - 0.8 ** BAND_WIDTH) ** BANDS, 7 in 100,000, of the pairs at 0.8. Texts with a fingerprint or
-    a band in common are all compared unless they are in one component already (`joined`) or their
-    sizes rule the similarity out, so no link between two of them is lost. Texts that share bands
+    a band in common are all compared unless they are in one component already (`joined`), their
+    sizes rule the similarity out, or one has so many shingles that no other candidate has that it
+    cannot be like any; so no link between two of them is lost. Texts that share bands
     but are not alike are compared with each other, which for a large group of them grows with its
     square. Null texts count as empty and equal each other. An empty table gives an empty result.
     """
@@ -333,19 +343,25 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     cells = stored(base.select(F.xxhash64("fp").alias("cell"), "at", "size").unionByName(
         base.select(F.explode("bands").alias("cell"), "at", "size")))
     shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell")
-    members = stored(cells.join(shared, "cell"))
+    members = cells.join(shared, "cell")
     # only the sets of candidates are moved; whether their ids are broadcast is left to the size of the table
     paired = stored(across.select(F.explode(F.array("x", "y")).alias("at")).union(members.select("at")).distinct())
     sets = stored(base.join(paired, "at", "left_semi").select(
         "at", shingle_set(words)(text_of(f"row.`{text}`")).alias("set")))
 
+    # shingles of one candidate only: with too many of these a text is like no other
+    alone = (sets.select("at", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+             .filter("n = 1").groupBy("at").agg(F.count("*").alias("alone")))
+    able = stored(members.join(alone, "at", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+                  .filter(F.col("size") - F.col("alone") >= similarity * F.col("size")))
+
     def tested(pairs: DataFrame) -> DataFrame:
         compared = (pairs.join(sets.withColumnRenamed("at", "x").withColumnRenamed("set", "left"), "x")
                     .join(sets.withColumnRenamed("at", "y").withColumnRenamed("set", "right"), "y"))
         return compared.filter(alike("left", "right", similarity)).select(
             F.col("x").alias("a"), F.col("y").alias("b"))
 
-    member = joined(members, across, tested, similarity).withColumnRenamed("node", "at")
+    member = joined(able, across, tested, similarity).withColumnRenamed("node", "at")
     known = member.join(base.select("at", "id"), "at")
     best = known.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("best"))
     dropped = stored(known.join(best, "root").filter("at <> best.at").select("at"))

@@ -155,9 +155,10 @@ class Engine:
         si.update(incoming, self.path("index"), {
             "title": F.col("title"), "body": F.col("body"), "events": F.concat_ws(" ", "events")})
 
-    def classify(self, titles: DataFrame, title_col: str = "title") -> DataFrame:
+    def classify(self, titles: DataFrame, title_col: str = "title", top: int | None = 2) -> DataFrame:
+        """The first `top` labels of each title, or all of them."""
         registry = self.registry or starter_registry()
-        return titles.withColumn("event", classify(F.col(title_col), registry))
+        return titles.withColumn("event", classify(F.col(title_col), registry, top=top))
 
     def _range(self, text: str, as_of: str | date) -> tuple:
         c = date_context(F.lit(text), as_of)

@@ -56,19 +56,23 @@ def matched_labels(title: Column, registry: Sequence[Label]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def rule_labels(title: Column, registry: Sequence[Label], top: int = 2) -> Column:
-    return F.slice(matched_labels(title, registry), 1, top)
+def first(values: Column, top: int | None) -> Column:
+    return values if top is None else F.slice(values, 1, top)
+
+
+def rule_labels(title: Column, registry: Sequence[Label], top: int | None = 2) -> Column:
+    return first(matched_labels(title, registry), top)
 
 
 def classify(title: Column, registry: Sequence[Label], provider_labels: Column | None = None,
-             provider_confidence: Column | None = None) -> Column:
-    """struct(labels, confidence) of a title.
+             provider_confidence: Column | None = None, top: int | None = 2) -> Column:
+    """struct(labels, confidence) of a title, with the first `top` labels or all of them.
 
     A provider's answer stands unless it is `other` or under 0.6 confidence; then the rules
     answer at 0.75 if any fires. Without a provider the rules are all there is. Titles under five
     letters are `other` at 0.
     """
-    rules = rule_labels(title, registry)
+    rules = rule_labels(title, registry, top)
     other = F.array(F.lit("other"))
 
     def result(labels: Column, confidence: Column) -> Column:
@@ -81,7 +85,7 @@ def classify(title: Column, registry: Sequence[Label], provider_labels: Column |
         names = [la.name for la in registry]
         asked = valid_labels(provider_labels, names)
         weak = (asked == other) | (provider_confidence < 0.6)
-        own = result(F.slice(asked, 1, 2), provider_confidence)
+        own = result(first(asked, top), provider_confidence)
         answered = F.when(weak, F.coalesce(by_rule, own)).otherwise(own)
     return F.when(long_enough(title), answered).otherwise(result(other, F.lit(0.0)))
 
@@ -101,8 +105,9 @@ def parse_confidence(raw: Column) -> Column:
     return F.coalesce(clamp(scaled, 0.0, 1.0), F.lit(0.0))
 
 
-def parse_reply(reply: Column, known: Sequence[str]) -> Column:
-    """struct(labels, confidence, reason) from a labeller's three-line or JSON text reply."""
+def parse_reply(reply: Column, known: Sequence[str], top: int | None = 2) -> Column:
+    """struct(labels, confidence, reason) from a labeller's three-line or JSON text reply; the first
+    `top` labels or all of them."""
     field = lambda words: rf"(?im)[\"']?(?:{words})[\"']?\s*[:=：]\s*[\"']?([^\n\"']+)"
     labels_text = F.regexp_extract(reply, field("라벨|labels?"), 1)
     listed = F.regexp_extract(reply, r"(?i)[\"']?(?:라벨|labels?)[\"']?\s*[:=：]\s*\[([^\]]*)\]", 1)
@@ -120,7 +125,7 @@ def parse_reply(reply: Column, known: Sequence[str]) -> Column:
     said = parse_confidence(F.regexp_extract(reply, field("정확도|confidence"), 1))
     default = F.when(labels != F.array(F.lit("other")), 0.7).otherwise(0.5)
     return F.struct(
-        F.slice(labels, 1, 2).alias("labels"),
+        first(labels, top).alias("labels"),
         F.when(said > 0, said).otherwise(default).alias("confidence"),
         F.trim(F.regexp_extract(reply, field("근거|reason|이유|basis|rationale"), 1))
         .alias("reason"))

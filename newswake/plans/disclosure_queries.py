@@ -84,6 +84,18 @@ def disclosure_signals(spark, sf):
         ds.weight_sum(F.col("f")).alias("weight"))
 
 
+@query("contract_signals", f"""
+WITH {SIGNALS_SQL}
+SELECT rcept_no, contract AS is_contract, contract AND (counterparty IS NOT NULL OR hit) AS has_counterparty,
+       CASE WHEN hit THEN -40 WHEN contract AND counterparty IS NOT NULL THEN -15 ELSE 0 END AS weight FROM matched""")
+def contract_signals(spark, sf):
+    """Contracts among the filings, and whether their other party is a company of the rumor."""
+    stored, _ = filings(spark, sf)
+    s = ds.contract_signal(F.col("report_nm"), F.col("rm"), F.col("counterparty"), tx.text_array(COMPANIES))
+    return stored.select("rcept_no", s.alias("s")).select(
+        "rcept_no", "s.is_contract", "s.has_counterparty", F.col("s.weight").alias("weight"))
+
+
 @query("first_receipt_dedupe", f"""
 WITH {FILINGS_SQL} SELECT corp_code, rcept_no, report_nm, rm FROM filings""")
 def first_receipt_dedupe(spark, sf):

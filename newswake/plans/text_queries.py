@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from newswake.functions import dates, ids, text as tx, words
 from newswake.operators import companies as co, documents as dc, extraction_store as xs, labels as lb
@@ -546,6 +546,30 @@ def company_extract(spark, sf):
               "confidence", "relevance")
 
 
+@query("company_enrich", f"""
+WITH {MENTIONS_SQL},
+ranked AS (
+  SELECT doc_id, alias AS company, item, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, alias) AS rank
+  FROM mentions JOIN master ON alias = name),
+coded AS (
+  SELECT *, CASE WHEN item % 4 > 0 THEN lpad(CAST(item AS VARCHAR), 6, '0')
+                 WHEN item % 8 = 0 THEN 'L' || company END AS code FROM ranked)
+SELECT doc_id, string_agg(company, ',' ORDER BY rank) AS names,
+       coalesce(string_agg(code, ',' ORDER BY rank), '') AS tickers, count(*) AS n FROM coded GROUP BY 1""")
+def company_enrich(spark, sf):
+    """Names and codes of each document's companies: the master's code, else that of the listing."""
+    master = _master(spark, sf)
+    item = F.col("code").cast("int")
+    listing = master.filter(item % 8 == 0).select(
+        F.col("name").alias("corp_name"), F.concat(F.lit("L"), "name").alias("stock_code"), F.lit("c").alias("corp_code"))
+    hits = co.count_mentions(documents(spark, sf), master.select(F.col("name").alias("alias")))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("hits"), "alias")
+    ranked = hits.select("doc_id", F.col("alias").alias("company"), F.row_number().over(w).alias("rank"))
+    full = co.enrich(ranked, master.withColumn("code", F.when(item % 4 > 0, F.col("code"))), listing)
+    counts = full.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return co.names_and_tickers(full).join(counts, "doc_id")
+
+
 @query("extraction_store", """
 WITH d AS (SELECT DISTINCT text FROM documents),
 first AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 > 0)

@@ -151,6 +151,55 @@ def date_context(spark, sf):
         "o_orderkey", c["start"].alias("range_start"), c["end"].alias("range_end"))
 
 
+def _months_sql(year: str, first: int, last: int) -> tuple[str, str]:
+    return (f"make_date({year}, {first}, 1) - 3", f"least(last_day(make_date({year}, {last}, 1)) + 3, d)")
+
+
+WEEK_SQL = "(d - CAST(isodow(d) - 1 AS INTEGER))"
+MONTH_SQL = "CAST(date_trunc('month', d) AS DATE)"
+#: every kind of date phrase: text ({n} is a number of the row), first and last day
+RUNGS: list[tuple[str, str, str]] = [
+    ("{n}일 전 발표", "d - n - 1", "d - n + 1"), ("{n} 주전 소식", "d - 7 * n - 3", "d - 7 * n + 3"),
+    ("{n}개월 전", "CAST(date_trunc('month', d - to_months(n)) AS DATE)", "last_day(CAST(d - to_months(n) AS DATE))"),
+    ("어제 발표", "d - 1", "d - 1"), ("그제 발표", "d - 2", "d - 2"), ("오늘 발표", "d", "d"),
+    ("이번주 소식", WEEK_SQL, "d"), ("지난주 소식", f"{WEEK_SQL} - 7", f"{WEEK_SQL} - 1"),
+    ("이번달 소식", MONTH_SQL, "d"), ("지난달 소식", f"CAST(date_trunc('month', {MONTH_SQL} - 1) AS DATE)", f"{MONTH_SQL} - 1"),
+    ("올해 소식", "make_date(year(d), 1, 1)", "d"), ("작년 소식", "make_date(year(d) - 1, 1, 1)", "make_date(year(d) - 1, 12, 31)"),
+    ("재작년 소식", "make_date(year(d) - 2, 1, 1)", "make_date(year(d) - 2, 12, 31)"),
+    ("최근 소식", "d - 7", "d"), ("요즘 소식", "d - 14", "d"), ("근래 소식", "d - 30", "d"),
+    ("최근 일주일 소식", "d - 7", "d"), ("최근 한달 소식", "d - 30", "d"),
+    ("최근 3개월 소식", "CAST(d - INTERVAL 3 MONTH AS DATE)", "d"), ("최근 6개월 소식", "CAST(d - INTERVAL 6 MONTH AS DATE)", "d"),
+    *[(f"199{q + 3}년 {q} 분기 실적", *_months_sql(f"199{q + 3}", 3 * q - 2, 3 * q)) for q in range(1, 5)],
+    *[(f"{q}분기 실적", *_months_sql("year(d)", 3 * q - 2, 3 * q)) for q in range(1, 5)],
+    ("이번 상반기", *_months_sql("year(d)", 1, 6)), ("지난해 하반기", *_months_sql("year(d) - 1", 7, 12)),
+    ("작년 4분기", *_months_sql("year(d) - 1", 10, 12)), ("재작년 상반기", *_months_sql("year(d) - 2", 1, 6)),
+    ("1995 하반기", *_months_sql("1995", 7, 12)),
+    *[(t, "DATE '1997-03-04'", "DATE '1997-03-06'") for t in ("1997년 3월 5일 공시", "1997-03-05", "1997.3.5 공시", "1997/03/05")],
+    *[(t, *_months_sql("1996", 7, 7)) for t in ("1996년 7월", "1996-07", "1996.07", "96년 7월 소식")],
+    ("1996년 소식", "CASE WHEN year(d) = 1996 THEN d - 120 ELSE DATE '1996-01-01' END",
+     "CASE WHEN year(d) = 1996 THEN d ELSE least(DATE '1996-12-31', d) END"),
+    ("코로나 시기", "DATE '2020-01-01'", "DATE '2023-05-11'"), ("러우전쟁", "DATE '2022-02-24'", "d"),
+    ("금융위기", "DATE '2008-09-01'", "DATE '2009-06-30'"), ("소식", "d - 30", "d"), ("", "d - 30", "d"),
+]
+
+
+def _rung_sql(which: int) -> str:
+    return "CASE k " + " ".join(f"WHEN {i} THEN {r[which]}" for i, r in enumerate(RUNGS)) + " END"
+
+
+@query("date_context_rungs", f"""
+WITH t AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % {len(RUNGS)} AS k, CAST(o_custkey % 9 AS INTEGER) + 1 AS n
+  FROM orders)
+SELECT o_orderkey, CAST({_rung_sql(1)} AS DATE) AS range_start, CAST({_rung_sql(2)} AS DATE) AS range_end FROM t""")
+def date_context_rungs(spark, sf):
+    """Every kind of date phrase, dealt over the orders."""
+    text = F.element_at(tx.text_array([r[0] for r in RUNGS]), (F.col("o_orderkey") % len(RUNGS) + 1).cast("int"))
+    text = F.replace(text, F.lit("{n}"), (F.col("o_custkey") % 9 + 1).cast("string"))
+    c = dates.date_context(text, F.to_date("o_orderdate"))
+    return table(spark, sf, "orders").select("o_orderkey", c["start"].alias("range_start"), c["end"].alias("range_end"))
+
+
 @query("range_split_at_cutoff", """
 WITH e AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS d, CAST(event_id % 7 AS INTEGER) AS k,

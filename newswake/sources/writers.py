@@ -59,9 +59,10 @@ def upsert_table(incoming: DataFrame, path: str, keys: list[str], date_col: str,
     if not exists(spark, path):
         replace(fresh, path, "month")
         return
+    fresh = kept(fresh)  # read several times below
     stored = spark.read.option("mergeSchema", "true").parquet(path).withColumn(
         "month", F.col("month").cast("string"))
-    held = stored.join(incoming.select(*keys), keys, "left_semi").select("month")
+    held = stored.join(fresh.select(*keys), keys, "left_semi").select("month")
     # partition names, at most one a month, so that the scan below is pruned by them
     months = [r.month for r in fresh.select("month").unionByName(held).distinct().collect()]
     touched = F.col("month").isin([m for m in months if m is not None])

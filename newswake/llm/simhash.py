@@ -257,6 +257,13 @@ def comparable(x: str, y: str, least: float):
     return F.least(x, y) >= least * F.greatest(x, y)
 
 
+def may_be_alike(least: float):
+    """The same of members x and y with their numbers of shingles that no other text has: these are
+    in no intersection, so at most the smaller rest is."""
+    most = F.least(F.col("size_x") - F.col("alone_x"), F.col("size_y") - F.col("alone_y"))
+    return most >= least * (F.col("size_x") + F.col("size_y") - most)
+
+
 def alike(x: str, y: str, least: float):
     both = F.size(F.array_intersect(x, y))
     return both >= least * (F.size(x) + F.size(y) - both)
@@ -264,8 +271,8 @@ def alike(x: str, y: str, least: float):
 
 def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivots: int = PIVOTS) -> DataFrame:
     """node, root of the components of all links among the members (cell, at, size, alone) of each cell,
-    and among the pairs `sure` (x, y); `tested` gives the links (a, b) of a table of pairs. Members
-    whose sizes rule out the similarity are no pair.
+    and among the pairs `sure` (x, y); `tested` gives the links (a, b) of a table of pairs. Members whose
+    sizes, without shingles of their own (`alone`), rule out the similarity are no pair.
 
     Pairs within a component are not tested, all others of a cell are. Each round takes more of the
     members of a cell as pivots, those with fewest shingles of their own first and otherwise by a
@@ -280,17 +287,17 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
                          F.sum("many").over(Window.partitionBy("cell")).alias("n")).filter("n > 1")
     within = F.pmod(F.xxhash64("at", F.lit(SEED)), F.lit(1 << 30)) / F.lit(1 << 30)
     left = stored(members.join(sizes, ["cell", "level"]).select(
-        "cell", "at", "size", "n", (F.col("before") + within * F.col("many")).alias("place")))
+        "cell", "at", "size", "alone", "n", (F.col("before") + within * F.col("many")).alias("place")))
     place = F.col("place")
     links, low, high = tested(sure), 0, pivots
-    named = ["at", "size", "root", "main"]
+    named = ["at", "size", "alone", "root", "main"]
     root = None
     while True:
         if root is None:
             now = left.withColumn("root", F.col("at"))
         else:
             now = left.join(root, left["at"] == root["node"], "left").select(
-                "cell", "at", "size", "n", "place", F.coalesce("root", "at").alias("root"))
+                "cell", "at", "size", "alone", "n", "place", F.coalesce("root", "at").alias("root"))
         counts = now.groupBy("cell", "root").count()
         main = counts.groupBy("cell").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("parts"))
         now = stored(now.join(main.filter("parts > 1").select("cell", F.col("most.root").alias("main")), "cell"))
@@ -300,7 +307,7 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
         # one of a pair is outside the main component of the cell, so its own pairs are never listed
         met = (pivot.filter("root_x <> main_x").join(other, "cell")
                .unionByName(pivot.filter("root_x = main_x").join(other.filter("root_y <> main_y"), "cell")))
-        pairs = met.filter("root_x <> root_y").filter(comparable("size_x", "size_y", similarity)).select(
+        pairs = met.filter("root_x <> root_y").filter(may_be_alike(similarity)).select(
             F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         fresh = stored(links.unionByName(tested(pairs)) if root is None else tested(pairs))
         if root is None or not fresh.isEmpty():
@@ -308,7 +315,7 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
                 root.select(F.col("node").alias("a"), F.col("root").alias("b")))
             root = components(known)
             root = stored(root.unionByName(root.select(F.col("root").alias("node"), "root")).distinct())
-        left = now.filter(F.col("n") > high).select("cell", "at", "size", "n", "place")
+        left = now.filter(F.col("n") > high).select("cell", "at", "size", "alone", "n", "place")
         if left.isEmpty():
             return root
         low, high = high, high * 4

@@ -228,3 +228,22 @@ def test_stored_counts_equal_the_history(spark, tmp_path):
         assert abs(got[i] - want) < 1e-12
     plan = store.counts("2024-03-02", "2024-05-09")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(month") == 2 or "month" in plan.split("PartitionFilters")[1]
+
+
+def test_signals_of_a_percentile_move_without_the_totals_of_their_event(spark):
+    rng = random.Random(8)
+    values = sorted({round(rng.gauss(0, 0.2), 6) for _ in range(4000)} | {-9999.0, 9999.999999, 0.0})
+    history = spark.createDataFrame([("e", v) for v in values for _ in range(1 + int(v * 1e6) % 3)],
+                                    "event_code string, return_1d double")
+    asked = [float("nan"), None, -1e5, 1e5, -9999.0, 9999.999999, 10.0, -10.0, 0.1, 0.10000001]
+    asked += [rng.choice(values) + rng.choice((-1e-7, 0.0, 1e-7)) for _ in range(300)]
+    signals = spark.createDataFrame([(i, "e", 1, x) for i, x in enumerate(asked)],
+                                    "i int, event_code string, horizon int, actual_return double")
+    out = ex.empirical_percentile(signals, history)
+    known = [v for v in values for _ in range(1 + int(v * 1e6) % 3)]
+    for r in out.collect():
+        x = asked[r.i]
+        want = 0.5 if x is None or math.isnan(x) else sum(round(v, 6) < x for v in known) / len(known)
+        assert r.percentile == pytest.approx(want, abs=1e-12), x
+    # one array a bucket, of at most BUCKET values; none of an event's totals
+    assert "_totals" not in out._jdf.queryExecution().optimizedPlan().toString()

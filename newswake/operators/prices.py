@@ -36,17 +36,12 @@ def forward_closes(series: DataFrame, horizons=HORIZONS) -> DataFrame:
     return series.select("*", *cols)
 
 
-def anchor_calendar(series: DataFrame, first_day: Column, horizons=HORIZONS,
-                    pad_days: int | None = None, last_day: Column | None = None) -> DataFrame:
-    """The forward as-of join, unrolled into a lookup keyed by (stock_code, event_date).
+def anchor_spans(series: DataFrame, first_day: Column, horizons=HORIZONS,
+                 pad_days: int | None = None, last_day: Column | None = None) -> DataFrame:
+    """`forward_closes` with the calendar days [start, stop] that each trading day is the anchor of.
 
-    Every calendar day from `first_day` to the last trading day of a code, or to `last_day`, maps
-    to the first trading day on or after it. Facts then meet prices by a plain equi join on (code, date),
-    which spreads a hot code over its days and never compares a fact with a whole series.
-    The lookup has at most codes x calendar days rows, whatever the number of facts.
-
-    With `pad_days`, an anchor or later close further than that many calendar days after the
-    event day does not count.
+    The days run from `first_day` to the last trading day of a code, or to `last_day`. With `pad_days`,
+    an anchor further than that many calendar days after the event day does not count.
     """
     w = forward_closes(series, horizons)
     since = F.coalesce(F.date_add("prev_date", 1), F.least(first_day, F.col("trade_date")))
@@ -54,34 +49,55 @@ def anchor_calendar(series: DataFrame, first_day: Column, horizons=HORIZONS,
         since = F.greatest(since, F.date_sub("trade_date", pad_days))
     start = F.greatest(since, F.least(first_day, F.col("trade_date")))
     stop = F.col("trade_date") if last_day is None else F.least(last_day, F.col("trade_date"))
-    days = (
-        w.filter(F.col("trade_date") >= first_day).filter(start <= stop)
-        .withColumn("event_date", F.explode(F.sequence(start, stop)))
-    )
+    return w.filter(F.col("trade_date") >= first_day).filter(start <= stop).withColumns({"start": start, "stop": stop})
+
+
+def _anchor_columns(day: Column, horizons, pad_days: int | None) -> list[Column]:
+    """Anchor and forward returns of an event day; with `pad_days`, a later close further than that
+    many calendar days after it does not count."""
     base = F.col("close_price")
-    cols = []
+    cols = [F.col("trade_date").alias("anchor_date"), base.cast("double").alias("anchor_price")]
     for h in horizons:
         r = log_return(F.col(f"close_{h}d"), base)
         if pad_days is not None:
-            r = F.when(F.col(f"date_{h}d") <= F.date_add("event_date", pad_days), r)
+            r = F.when(F.col(f"date_{h}d") <= F.date_add(day, pad_days), r)
         cols += [r.alias(f"return_{h}d"), F.col(f"date_{h}d")]
-    return days.select(
-        "stock_code", "event_date",
-        F.col("trade_date").alias("anchor_date"),
-        base.cast("double").alias("anchor_price"),
-        *cols,
-    )
+    return cols
+
+
+def anchor_calendar(series: DataFrame, first_day: Column, horizons=HORIZONS,
+                    pad_days: int | None = None, last_day: Column | None = None) -> DataFrame:
+    """The forward as-of join unrolled into one row per (stock_code, event_date), as a table to look
+    days up in. It has codes x calendar days rows; facts are joined by `with_anchor` instead."""
+    days = anchor_spans(series, first_day, horizons, pad_days, last_day).withColumn(
+        "event_date", F.explode(F.sequence("start", "stop")))
+    return days.select("stock_code", "event_date", *_anchor_columns(F.col("event_date"), horizons, pad_days))
+
+
+def _month_no(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
 
 
-def with_anchor(facts: DataFrame, calendar: DataFrame, date_col: str = "news_date",
+def with_anchor(facts: DataFrame, series: DataFrame, first_day: Column, horizons=HORIZONS,
+                pad_days: int | None = None, last_day: Column | None = None, date_col: str = "news_date",
                 how: str = "inner") -> DataFrame:
-    """Join facts to their anchor row on (stock_code, date).
+    """Facts with the first trading day on or after their day: the forward as-of join.
 
-    The merge hint keeps the planner from broadcasting the calendar: its size estimate does not
-    see the unrolled days. Both sides shuffle on (code, date) and a hot pair is split at run time.
+    A price row is laid out once a month that its days lie in, and facts meet prices on (code, month).
+    Of the at most 31 rows there one has the day of the fact. So prices move as often as they are, not
+    once a calendar day, and a hot code is spread over its months; a hot month of a code is split at
+    run time. The merge hint keeps the planner from broadcasting the prices by an estimate that does
+    not see the spread.
     """
-    look = calendar.withColumnRenamed("event_date", date_col).hint("merge")
-    return facts.join(look, ["stock_code", date_col], how)
+    spans = anchor_spans(series, first_day, horizons, pad_days, last_day)
+    months = F.explode(F.sequence(_month_no(F.col("start")), _month_no(F.col("stop"))))
+    look = spans.drop("prev_date").withColumnRenamed("stock_code", "_code").withColumn("_month", months).hint("merge")
+    day = F.col(date_col)
+    both = facts.join(look, (F.col("stock_code") == F.col("_code")) & (_month_no(day) == F.col("_month"))
+                      & (day >= F.col("start")) & (day <= F.col("stop")), how)
+    keys = ["stock_code", date_col]
+    return both.select(*keys, *[c for c in facts.columns if c not in keys],
+                       *_anchor_columns(F.col(date_col), horizons, pad_days))
 
 
 def price_path(series: DataFrame, start: Column, days: int = 10) -> DataFrame:

@@ -30,9 +30,8 @@ def _prices_around(prices: DataFrame, start: Column, end: Column, pad: int) -> D
 def anchored_facts(news: DataFrame, alias_map: DataFrame, prices: DataFrame, first_day: Column,
                    last_day: Column | None = None, pad_days: int | None = None,
                    horizons=pr.HORIZONS) -> DataFrame:
-    """Facts of the news with their anchor rows; the calendar only covers the days of the news."""
-    facts = news_facts(news, alias_map)
-    return pr.with_anchor(facts, pr.anchor_calendar(prices, first_day, horizons, pad_days, last_day))
+    """Facts of the news with their anchor rows; only prices that are anchors of days of the news are moved."""
+    return pr.with_anchor(news_facts(news, alias_map), prices, first_day, horizons, pad_days, last_day)
 
 
 def build_news_returns(news: DataFrame, alias_map: DataFrame, prices: DataFrame, start: Day,
@@ -66,8 +65,8 @@ def label_outcomes(events: DataFrame, stock_list: DataFrame, prices: DataFrame,
     coded = events.join(codes, "corp_code", "left").withColumn(
         "stock_code", pr.pad_code(F.col("stock_code")))
     first_day = as_date(first_day)
-    calendar = pr.anchor_calendar(prices.filter(F.col("trade_date") >= first_day), first_day)
-    joined = pr.with_anchor(coded, calendar, "event_date", "left")
+    joined = pr.with_anchor(coded, prices.filter(F.col("trade_date") >= first_day), first_day,
+                            date_col="event_date", how="left")
     any_return = F.coalesce("return_1d", "return_3d", "return_5d").isNotNull()
     status = (
         F.when(F.col("event_code").isNull() | (F.lower("event_code") == "other"), "no_label")

@@ -247,3 +247,24 @@ def test_signals_of_a_percentile_move_without_the_totals_of_their_event(spark):
         assert r.percentile == pytest.approx(want, abs=1e-12), x
     # one array a bucket, of at most BUCKET values; none of an event's totals
     assert "_totals" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("pad", [None, 5])
+def test_facts_meet_prices_by_month(spark, series, pad):
+    px = spark.createDataFrame(series, "stock_code string, trade_date date, close_price double")
+    codes = ("000001", "000002", "00104K", "000009", "000008")
+    facts = spark.createDataFrame([(c, day(n), n) for c in codes for n in range(-12, 125)] + [("000001", None, 999)],
+                                  "stock_code string, news_date date, n int")
+    out = pr.with_anchor(facts, px, as_date("2023-12-20"), pad_days=pad, how="left")
+    got = {(r.stock_code, r.n): r for r in out.collect()}
+    assert len(got) == facts.count() == out.count()
+    for code, n in got:
+        want = brute_anchor(series, code, day(n), pad) if n != 999 else None
+        row = got[code, n]
+        assert (row.anchor_date, row.anchor_price) == (want[:2] if want else (None, None))
+        for h, r in zip((1, 3, 5), want[2] if want else (None, None, None)):
+            mine = row[f"return_{h}d"]
+            assert (mine is None) == (r is None) and (r is None or abs(mine - r) < 1e-12)
+    # a price row is repeated for the months its days lie in, not for its days
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(((year(" in plan and "explode(sequence(start" not in plan

@@ -8,9 +8,10 @@ nearest of `codes` pieces of a codebook. Below one folder on shared storage lie
     rows    (id, time, code, v), partitioned by list
 
 A search looks up the lists nearest to a query, adds up a table of inner products by code for every
-row there, and takes the exact cosine of the best `rerank` ones. Lists are partitions, so rows of
+row there, and takes the exact cosine of the best `rerank` ones of every batch of rows that a task reads,
+so that their share stays the same however many rows there are. Lists are partitions, so rows of
 others are not read; a list of any size is read by as many tasks as it has splits, and a task passes
-on `rerank` rows a query at most. Queries are taken in blocks.
+on the best k rows of a batch a query, no candidates. Queries are taken in blocks.
 
 Centres and codebooks are learned from at most `sample` vectors, taken by a hash of the id; every
 vector is indexed. A task gives sums and counts a centre; Spark adds them up. Rows without an id, and
@@ -27,8 +28,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from newswake.operators.search import cosine
-
 SEED = 7
 
 
@@ -200,40 +199,54 @@ def _blocks(asked: DataFrame, block: int) -> Iterator[list]:
 def _search(index: VectorIndex, asked: list, k: int, probes: int, rerank: int, start, end) -> DataFrame:
     centres, books = index.centres, index.books
     q = unit(np.array([r["q"] for r in asked]))
+    names = np.array([r["query_id"] for r in asked], dtype=object)
     parts, codes, piece = books.shape
     by_centre = q @ centres.T
     # nearest centres, as vectors were assigned
     order = np.argsort((centres ** 2).sum(axis=1) - 2.0 * by_centre, axis=1, kind="stable")[:, :probes]
+    probing = np.zeros((len(q), len(centres)), dtype=bool)
+    np.put_along_axis(probing, order, True, axis=1)
     tables = np.einsum("qpd,pcd->qpc", q.reshape(len(q), parts, piece), books)
-    probing = {int(n): np.flatnonzero((order == n).any(axis=1)) for n in np.unique(order)}
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for number, rows in frame.groupby("list"):
-                code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), parts)
-                for i in probing[int(number)]:
-                    about = by_centre[i, int(number)] + tables[i][np.arange(parts), code].sum(axis=1)
-                    top = np.argsort(-about, kind="stable")[:rerank]
-                    yield pd.DataFrame({"asked": i, "list": number, "id": rows["id"].to_numpy()[top], "about": about[top]})
-
-    lists = sorted(probing)
-    rows = index.rows(lists)
+            if not len(frame):
+                continue
+            number, ids = frame["list"].to_numpy(), frame["id"].to_numpy()
+            place = np.unique(ids, return_inverse=True)[1]
+            x = unit(matrix(frame["v"]))
+            open_rows = probing[:, number]
+            few = rerank < len(frame)
+            if few:
+                code = np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), parts)
+                about = by_centre[:, number]
+                for p in range(parts):
+                    about += tables[:, p, code[:, p]]
+                about[~open_rows] = -np.inf
+            found = []
+            for i in range(len(q)):
+                if few:
+                    near = np.argpartition(-about[i], rerank)[:rerank]
+                    near = near[open_rows[i, near]]
+                else:
+                    near = np.flatnonzero(open_rows[i])
+                score = np.round(x[near] @ q[i], 6)
+                top = np.lexsort((place[near], -score))
+                again = np.zeros(len(top), dtype=bool)  # an id that was added twice
+                again[1:] = (place[near[top[1:]]] == place[near[top[:-1]]]) & (score[top[1:]] == score[top[:-1]])
+                top = top[~again][:k]
+                found.append(pd.DataFrame({"query_id": np.full(len(top), names[i], dtype=object), "id": ids[near[top]], "score": score[top]}))
+            yield pd.concat(found, ignore_index=True)
+
+    rows = index.rows([int(n) for n in np.unique(order)])
     if start is not None:
         rows = rows.filter(F.col("time") >= start)
     if end is not None:
         rows = rows.filter(F.col("time") < end)
     id_type = rows.schema["id"].dataType.simpleString()
-    likely = rows.select("id", "code", "list").mapInPandas(best, f"asked int, list int, id {id_type}, about double")
-    by_about = Window.partitionBy("asked").orderBy(F.desc("about"), "id")
-    likely = likely.withColumn("r", F.row_number().over(by_about)).filter(F.col("r") <= rerank)
-    names = index.spark.createDataFrame([(i, r["query_id"], r["q"]) for i, r in enumerate(asked)],
-                                        f"asked int, query_id {_type_of(asked)}, q array<double>")
-    exact = likely.select("asked", "list", "id").join(rows.select("list", "id", "v"), ["list", "id"]).distinct().join(
-        F.broadcast(names), "asked")  # a block of queries
-    score = F.round(cosine(F.col("v"), F.col("q")), 6)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (exact.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    return (rows.select("id", "v", "code", "list").mapInPandas(best, f"query_id {_type_of(asked)}, id {id_type}, score double")
+            .distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 def _type_of(asked: list) -> str:

@@ -45,6 +45,20 @@ def test_recall_with_few_lists(index, vectors):
     assert found.groupBy("query_id").count().filter("count <> 10").count() == 0
 
 
+def test_recall_does_not_fall_with_the_rows(spark, index, vectors):
+    queries = asked(vectors)
+    want = vi.exact(vectors, queries.collect(), "id", "v", 10, 16)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:  # 25 rows of every batch of 50, not of the whole table
+        found = vi.search(index, queries, 10, probes=12, rerank=25)
+        assert vi.recall(found, want).first().recall >= 0.9
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan  # no candidates move to be met with their vectors
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_all_lists_and_ranges_are_exact(index, vectors):
     q = vectors.filter("id = 7").select("v").scalar()
     start, end = F.lit("2024-02-01").cast("date"), F.lit("2024-03-01").cast("date")

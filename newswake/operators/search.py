@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newswake.functions.text import each, let, text_array, tokens
 
 K1, B = 1.2, 0.75
+#: words of a batch of queries that go to every task
+BROADCAST_TERMS = 1 << 20
 
 
 # --- index --------------------------------------------------------------------------------
@@ -57,24 +59,27 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: st
          top: int = 20) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of every query, summed BM25 (OR).
 
-    Only words that some query asks for leave the scan. They are laid out by document, which also
-    serves the counts per (document, term) and the sums per (query, document), so nothing larger
-    moves again. The term tables are left to the size-based broadcast decision. Corpus size and
-    mean length come from one scalar subquery.
+    Only words that some query asks for leave the scan. They are laid out by document, in parts as
+    many as the scan has several times over, which also serves the counts per (document, term) and the
+    sums per (query, document), so nothing larger moves again. For that the term tables go to the tasks,
+    unless the queries have more than BROADCAST_TERMS words: then the size-based decision stands, and hot
+    words may meet in one task. Corpus size and mean length come from one scalar subquery.
     """
+    given = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda t: t)
+    parts = 4 * max(docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
     corpus = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.struct(
         F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     n_docs, avgdl = corpus["n"], corpus["avgdl"]
     asked = terms.select("term").distinct()
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("w")).select(
         "doc_id", F.size("w").cast("double").alias("dl"), each(F.col("w")).alias("term"))
-    hits = (words.join(asked, "term").repartition("doc_id").groupBy("doc_id", "dl", "term")
+    hits = (words.join(given(asked), "term").repartition(parts, "doc_id").groupBy("doc_id", "dl", "term")
             .agg(F.count("*").cast("double").alias("tf")))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     weighted = terms.join(df, "term").select("query_id", "term", idf(n_docs, F.col("df"))
                                              .alias("idf"))
     part = F.col("idf") * tf_norm(F.col("tf"), F.col("dl"), avgdl)
-    scores = (hits.join(weighted, "term").groupBy("query_id", "doc_id")
+    scores = (hits.join(given(weighted), "term").groupBy("query_id", "doc_id")
               .agg(F.round(F.sum(part), 6).alias("score")))
     return top_per_query(scores, top)
 

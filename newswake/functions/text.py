@@ -1,10 +1,13 @@
-"""Text, list, URL and name expressions. All run in the JVM; hashes that need Python are in ids."""
+"""Text, list, URL and name expressions. All but key phrases run in the JVM; hashes that need Python
+are in ids."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 WORD = r"[A-Za-z0-9가-힣]{2,}"
 
@@ -92,12 +95,44 @@ def ngrams(words: Column, n: int, sep: str = " ") -> Column:
     return let(words, lambda w: _runs(w, n, sep))
 
 
+PHRASE_BYTES = 8 << 20
+
+
+def _phrases(words: list[str]) -> set[str]:
+    pairs = list(zip(words, words[1:]))
+    triples = list(zip(words, words[1:], words[2:]))
+    return {*words, *map(" ".join, pairs), *map("".join, pairs), *map(" ".join, triples), *map("".join, triples)}
+
+
+def _phrase_lists(batches: Iterator[pd.Series], most: int = PHRASE_BYTES) -> Iterator[pd.Series]:
+    """Sorted phrases of lower-case texts, joined by |. The phrases of a text take many times its
+    size, so they are given on as soon as they have `most` letters."""
+    for texts in batches:
+        out, letters = [], 0
+        for text in texts:
+            out.append("|".join(sorted(_phrases(re.findall(WORD, text)))))
+            letters += len(out[-1])
+            if letters >= most:
+                yield pd.Series(out, dtype=object)
+                out, letters = [], 0
+        if out:
+            yield pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _joined_phrases(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    yield from _phrase_lists(texts)
+
+
+def joined_keyphrases(title: Column) -> Column:
+    """`keyphrases`, all of them, in one string with | between, which is no letter of a word."""
+    return _joined_phrases(F.lower(F.coalesce(title, F.lit(""))))
+
+
 def keyphrases(title: Column, limit: int | None = None) -> Column:
     """Words, pairs and triples with and without their spaces; distinct and sorted, all of them
     or the first `limit`."""
-    every = let(tokens(title), lambda w: F.concat(
-        w, _runs(w, 2, " "), _runs(w, 2, ""), _runs(w, 3, " "), _runs(w, 3, "")))
-    phrases = F.sort_array(F.array_distinct(every))
+    phrases = F.array_remove(F.split(joined_keyphrases(title), r"\|"), "")
     return phrases if limit is None else F.slice(phrases, 1, limit)
 
 

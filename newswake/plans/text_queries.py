@@ -78,8 +78,7 @@ a AS (
     t, list_transform(t, lambda x: replace(x, ' ', ''))))) AS p FROM g)
 SELECT doc_id, array_to_string(p, '|') AS phrases FROM a""")
 def keyphrases(spark, sf):
-    return documents(spark, sf).select(
-        "doc_id", F.concat_ws("|", tx.keyphrases(F.col("text"))).alias("phrases"))
+    return documents(spark, sf).select("doc_id", tx.joined_keyphrases(F.col("text")).alias("phrases"))
 
 
 @query("char_trigrams", """

@@ -13,19 +13,23 @@ from newswake.plans.views import table
 from newswake.streaming import stateful as st, sync
 
 FILES = 2
+ROWS_A_FILE = 100_000
 DELAY = "10 days"
 
 
 def arriving(spark: SparkSession, sf: str, out: str) -> DataFrame:
-    """The events as a stream of three batches of FILES files each."""
+    """The events as a stream of three batches of as many files each: FILES, and as many more as leave
+    ROWS_A_FILE rows to those of the smallest batch, so no task's work grows with the table."""
     day = lambda d: F.lit(f"2024-01-{d:02d}").cast("timestamp")
     at = F.date_trunc("second", F.col("ts").cast("timestamp"))
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", at.alias("ts"))
     late = (F.col("event_id") % 7 == 0) & (F.col("ts") < day(20)) & ((F.col("ts") < day(4)) | (F.col("ts") >= day(12)))
     batch = F.when(late, 2).when(F.col("ts") < day(16), 0).when(F.col("ts") < day(20), 1).otherwise(2)
+    least = min(events.agg(*[F.count_if(batch == n) for n in range(3)]).first())
+    files = max(FILES, least // ROWS_A_FILE)
     for n in range(3):
-        events.filter(batch == n).repartition(FILES).write.parquet(f"{out}/batch={n}")
-    return sync.article_stream(spark, f"{out}/batch=*", spark.read.parquet(f"{out}/batch=0").schema, files_per_batch=FILES)
+        events.filter(batch == n).repartition(files).write.parquet(f"{out}/batch={n}")
+    return sync.article_stream(spark, f"{out}/batch=*", spark.read.parquet(f"{out}/batch=0").schema, files_per_batch=files)
 
 
 #: what is not too late, and up to where results are settled

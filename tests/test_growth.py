@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from newswake.functions import text as tx
+from newswake.plans import stream_queries as sq
+from newswake.streaming import stateful as st
 
 
 def test_f22_phrases_are_given_on_in_bounded_pieces_and_not_made_by_lambdas(spark):
@@ -26,3 +29,36 @@ def test_f22_phrases_are_given_on_in_bounded_pieces_and_not_made_by_lambdas(spar
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
     rows = found.orderBy("i").collect()
     assert [r.p for r in rows] == expected and [r.j for r in rows] == ["|".join(e) for e in expected]
+
+
+def test_f23_throttle_deals_keys_over_buckets_and_files_grow_with_events(spark, tmp_path, monkeypatch):
+    rng = random.Random(23)
+    made = [(f"k{rng.randrange(40)}", n, n // 200, rng.randrange(0, 40)) for n in range(600)]
+    made = [(k, n, batch, 3600 * (1 + 24 * 10 * batch + hour)) for k, n, batch, hour in made] + [(None, 700 + n, 0, 1800 * (n + 1)) for n in range(20)]
+    for batch in range(3):
+        (spark.createDataFrame([r for r in made if r[2] == batch], "k string, n long, batch int, s long")
+         .select("k", "n", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(f"{tmp_path}/in/batch={batch}"))
+    schema = "k string, n long, at timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/batch=*")
+    alerts = st.throttled(stream, "k", "n", "at", timedelta(hours=12), "10 days", buckets=5)
+    assert "_bucket" in alerts._jdf.queryExecution().analyzed().toString()
+    st.append_to(alerts, f"{tmp_path}/found", f"{tmp_path}/state")
+    until, last, want = max(s for *_, s in made) - 10 * 86400, {}, set()
+    for s, n, k in sorted((s, n, k) for k, n, _, s in made):
+        if s <= until and (k not in last or s >= last[k] + 12 * 3600):
+            last[k] = s
+            want.add((k, n, s))
+    found = spark.read.parquet(f"{tmp_path}/found").select("k", "n", F.unix_seconds("at"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(want) > 100 and set(got) - want == set() and want - set(got) == set() and len(got) == len(want)
+
+    monkeypatch.setattr(sq, "ROWS_A_FILE", 300)
+    spark.range(6000).select(F.col("id").alias("event_id"), (F.col("id") % 9).alias("user_id"), F.lit("click").alias("event_type"),
+                             F.lit(1.0).alias("value"), F.timestamp_seconds(1704067200 + F.col("id") % 30 * 86400).alias("ts")
+                             ).write.parquet(f"{tmp_path}/sf/events.parquet")
+    sq.arriving(spark, f"{tmp_path}/sf", f"{tmp_path}/events")
+    assert [len(list((tmp_path / "events" / f"batch={n}").glob("*.parquet"))) for n in range(3)] == [2, 2, 2]
+    monkeypatch.setattr(sq, "ROWS_A_FILE", 100)
+    sq.arriving(spark, f"{tmp_path}/sf", f"{tmp_path}/more")
+    counts = [len(list((tmp_path / "more" / f"batch={n}").glob("*.parquet"))) for n in range(3)]
+    assert counts[0] > 2 and len(set(counts)) == 1

@@ -11,11 +11,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from newswake.functions import words
-from newswake.functions.text import char_ngrams, each, has_any, long_enough, name_similarity
+from newswake.functions.text import each, has_any, long_enough, name_similarity
 from newswake.sources.writers import kept
 
 PATTERN_VOTE = 0.45
@@ -335,40 +336,85 @@ def count_mentions(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
 
 
 HEAD_LETTERS = (8, 4, 2, 1)
+RUN_LETTERS = 1 << 20
+
+
+def _run_keys(text: str, lengths: list[int]) -> np.ndarray:
+    """64-bit hashes of the different runs of so many letters (of HEAD_LETTERS) of a text."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    runs, size, found = (np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)) * odd, 1, []
+    while True:
+        if size in lengths:
+            found.append(runs ^ np.uint64(size))
+        if size >= max(lengths):
+            return np.unique(np.concatenate(found)).view(np.int64)
+        left = runs[:max(len(runs) - size, 0)]
+        mixed = (left ^ (left >> np.uint64(29))) * odd
+        runs, size = mixed + runs[size:], size * 2
+
+
+def run_keys(text: Column, lengths: Column | list[int]) -> Column:
+    """`_run_keys` of texts as they are written. `lengths` are those of all texts, or a column of one
+    for each: the key of its first letters."""
+    if isinstance(lengths, list):
+        @F.pandas_udf(T.ArrayType(T.LongType()))
+        def every(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                out, letters = [], 0
+                for t in texts:  # the keys take up to 8 bytes a letter and length, so few go on at a time
+                    out.append(_run_keys(t or "", lengths))
+                    letters += len(out[-1])
+                    if letters >= RUN_LETTERS:
+                        yield pd.Series(out, dtype=object)
+                        out, letters = [], 0
+                if out:
+                    yield pd.Series(out, dtype=object)
+        return every(text)
+
+    @F.pandas_udf(T.LongType())
+    def head(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([int(_run_keys(t[:n], [n])[0]) for t, n in zip(texts, sizes)], dtype="int64")
+    return head(text, lengths)
 
 
 def meetings(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              ) -> DataFrame:
     """(doc_id, alias) that may go together: the first 8, 4, 2 or 1 letters of the alias, the longest
-    it has, are a run of the text in any letter case. Texts are not moved, only their distinct runs,
-    and these only in the lengths that the dictionary needs."""
-    text = F.lower(text_col)
-    size = F.length("alias")
+    it has, are a run of the text in any letter case. Texts are not moved, only hashes of their
+    distinct runs, and these only in the lengths that the dictionary needs; a hash that two runs share
+    gives a pair more, which is for the caller to compare anyway."""
+    size = F.length("low")
     needed = F.lit(None).cast("int")
     for n in reversed(HEAD_LETTERS):
         needed = F.when(size >= n, n).otherwise(needed)
-    heads = (aliases.select("alias").distinct().withColumn("n", needed).filter(F.col("n").isNotNull())
-             .withColumn("head", F.lower(F.substring("alias", F.lit(1), F.col("n")))))
+    heads = (aliases.select("alias").distinct().withColumn("low", F.lower("alias"))
+             .withColumn("n", needed).filter(F.col("n").isNotNull()))
     lengths = sorted(r.n for r in heads.select("n").distinct().collect()) or [HEAD_LETTERS[0]]
-    runs = docs.select(id_col, each(F.array_distinct(F.concat(
-        *[char_ngrams(text, n) for n in lengths]))).alias("head"))
-    return runs.join(heads.select("alias", "head"), "head").select(id_col, "alias")
+    heads = heads.select("alias", run_keys(F.col("low"), F.col("n")).alias("head"))
+    runs = docs.select(id_col, each(run_keys(F.lower(text_col), lengths)).alias("head"))
+    return runs.join(heads, "head").select(id_col, "alias")
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _occurrences(texts: pd.Series, names: pd.Series) -> pd.Series:
+    """How often each of its names stands in a text, without overlaps."""
+    return pd.Series([[t.count(n) for n in every] for t, every in zip(texts, names)], dtype=object)
 
 
 def dictionary_hits(docs: DataFrame, aliases: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, alias, hits): non-overlapping occurrences of each alias in any letter case, by row.
 
-    Made of joins, so the dictionary may have any size: only (row, alias) pairs that meet on the
-    alias's first letters are counted against the text.
+    Made of joins, so the dictionary may have any size: only the aliases whose first letters stand in
+    a text are counted in it. They meet the text as one list, which is bounded by the different runs
+    of the text, so a text is moved and lower-cased once and not once an alias.
     """
-    text = F.lower(text_col)
     numbered = _numbered(docs.select(id_col, text_col))
-    pairs = meetings(numbered, aliases, "_row", text_col)
-    gone = F.length(F.replace(text, F.lower("alias"), F.lit("")))
-    hits = ((F.length(text) - gone) / F.length("alias")).cast("long")
-    return (pairs.join(numbered, "_row")
-            .select(id_col, "alias", hits.alias("hits")).filter(F.col("hits") > 0))
+    lists = meetings(numbered, aliases, "_row", text_col).groupBy("_row").agg(F.collect_list("alias").alias("aliases"))
+    met = numbered.join(lists, "_row").select(
+        id_col, "aliases", _occurrences(F.lower(text_col), F.transform("aliases", F.lower)).alias("hits"))
+    found = met.select(id_col, F.explode(F.arrays_zip("aliases", "hits")).alias("found"))
+    return found.select(id_col, F.col("found.aliases").alias("alias"), F.col("found.hits").alias("hits")).filter("hits > 0")
 
 
 # --- votes, validation, refinement --------------------------------------------------------

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from newswake.functions import text as tx
+from newswake.operators import companies as co
 from newswake.plans import stream_queries as sq
 from newswake.streaming import stateful as st
 
@@ -62,3 +63,15 @@ def test_f23_throttle_deals_keys_over_buckets_and_files_grow_with_events(spark,
     sq.arriving(spark, f"{tmp_path}/sf", f"{tmp_path}/more")
     counts = [len(list((tmp_path / "more" / f"batch={n}").glob("*.parquet"))) for n in range(3)]
     assert counts[0] > 2 and len(set(counts)) == 1
+
+
+def test_f24_texts_meet_the_dictionary_once_and_by_hashes_of_their_runs(spark):
+    rng = random.Random(24)
+    names = sorted({"".join(rng.choice("abA삼İ😀") for _ in range(rng.randrange(1, 13))) for _ in range(60)})
+    texts = ["".join(rng.choice([*names, "a", " ", "B"]) for _ in range(rng.randrange(30))) for _ in range(40)] + [None, ""]
+    docs = spark.createDataFrame([(None if n % 10 == 3 else (1 << 60) + n // 2, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    found = co.dictionary_hits(docs, spark.createDataFrame([(n,) for n in names], "alias string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "replace(" not in plan
+    want = [(i, n, t.lower().count(n.lower())) for i, t in docs.collect() if t for n in names if n.lower() in t.lower()]
+    assert len(want) > 300 and sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)

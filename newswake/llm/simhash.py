@@ -35,6 +35,7 @@ BANDS = 24
 BAND_WIDTH = 5
 PIVOTS = 8
 LEVELS = 64
+SKETCH = 1024  # bits
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -231,10 +232,17 @@ def shingle_set(words: int):
     return of_texts
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """For each of SKETCH parts of the hashes whether their number is odd, as bits of signed 64-bit
+    numbers. Sketches differ in no more bits than their sets differ in hashes."""
+    odd = np.bincount((mixed(h ^ np.uint64(SEED)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def band_keys(words: int, bands: int = BANDS, width: int = BAND_WIDTH):
-    """How many different shingles a text has, and a key for each band of their least hashes. Two texts
+    """How many different shingles a text has, a key for each band of their least hashes, and their sketch. Two texts
     of Jaccard similarity s share a band with probability s ** width."""
-    @F.pandas_udf("size int, bands array<long>")
+    @F.pandas_udf("size int, bands array<long>, sketch array<long>")
     def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         odd = np.random.default_rng(SEED).integers(1, 1 << 62, bands * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -245,10 +253,10 @@ def band_keys(words: int, bands: int = BANDS, width: int = BAND_WIDTH):
             key = np.arange(1, bands + 1, dtype=np.uint64)
             for column in least.reshape(bands, width).T:
                 key = mixed(key ^ column)
-            return len(h), key.view(np.int64)
+            return len(h), key.view(np.int64), sketch(h)
 
         for texts in batches:
-            yield pd.DataFrame([keys(t) for t in texts], columns=["size", "bands"])
+            yield pd.DataFrame([keys(t) for t in texts], columns=["size", "bands", "sketch"])
     return of_texts
 
 
@@ -264,15 +272,24 @@ def may_be_alike(least: float):
     return most >= least * (F.col("size_x") + F.col("size_y") - most)
 
 
+def sketches_allow(least: float):
+    """The same by the sketches of x and y. A similarity of `least` leaves a difference of at most
+    (1 - least) / (1 + least) of both sizes, and sketches differ in no more bits than that."""
+    bits = F.lit(0)
+    for i in range(SKETCH // 64):
+        bits = bits + F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i]))
+    return bits * (1 + least) <= (F.col("size_x") + F.col("size_y")) * (1 - least) + 1e-6
+
+
 def alike(x: str, y: str, least: float):
     both = F.size(F.array_intersect(x, y))
     return both >= least * (F.size(x) + F.size(y) - both)
 
 
 def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivots: int = PIVOTS) -> DataFrame:
-    """node, root of the components of all links among the members (cell, at, size, alone) of each cell,
+    """node, root of the components of all links among the members (cell, at, size, alone, sketch) of each cell,
     and among the pairs `sure` (x, y); `tested` gives the links (a, b) of a table of pairs. Members whose
-    sizes, without shingles of their own (`alone`), rule out the similarity are no pair.
+    sizes, without shingles of their own (`alone`), or sketches rule out the similarity are no pair.
 
     Pairs within a component are not tested, all others of a cell are. Each round takes more of the
     members of a cell as pivots, those with fewest shingles of their own first and otherwise by a
@@ -287,17 +304,17 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
                          F.sum("many").over(Window.partitionBy("cell")).alias("n")).filter("n > 1")
     within = F.pmod(F.xxhash64("at", F.lit(SEED)), F.lit(1 << 30)) / F.lit(1 << 30)
     left = stored(members.join(sizes, ["cell", "level"]).select(
-        "cell", "at", "size", "alone", "n", (F.col("before") + within * F.col("many")).alias("place")))
+        "cell", "at", "size", "alone", "sketch", "n", (F.col("before") + within * F.col("many")).alias("place")))
     place = F.col("place")
     links, low, high = tested(sure), 0, pivots
-    named = ["at", "size", "alone", "root", "main"]
+    named = ["at", "size", "alone", "sketch", "root", "main"]
     root = None
     while True:
         if root is None:
             now = left.withColumn("root", F.col("at"))
         else:
             now = left.join(root, left["at"] == root["node"], "left").select(
-                "cell", "at", "size", "alone", "n", "place", F.coalesce("root", "at").alias("root"))
+                "cell", "at", "size", "alone", "sketch", "n", "place", F.coalesce("root", "at").alias("root"))
         counts = now.groupBy("cell", "root").count()
         main = counts.groupBy("cell").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("parts"))
         now = stored(now.join(main.filter("parts > 1").select("cell", F.col("most.root").alias("main")), "cell"))
@@ -307,7 +324,7 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
         # one of a pair is outside the main component of the cell, so its own pairs are never listed
         met = (pivot.filter("root_x <> main_x").join(other, "cell")
                .unionByName(pivot.filter("root_x = main_x").join(other.filter("root_y <> main_y"), "cell")))
-        pairs = met.filter("root_x <> root_y").filter(may_be_alike(similarity)).select(
+        pairs = met.filter("root_x <> root_y").filter(may_be_alike(similarity) & sketches_allow(similarity)).select(
             F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         fresh = stored(links.unionByName(tested(pairs)) if root is None else tested(pairs))
         if root is None or not fresh.isEmpty():
@@ -315,7 +332,7 @@ def joined(members: DataFrame, sure: DataFrame, tested, similarity: float, pivot
                 root.select(F.col("node").alias("a"), F.col("root").alias("b")))
             root = components(known)
             root = stored(root.unionByName(root.select(F.col("root").alias("node"), "root")).distinct())
-        left = now.filter(F.col("n") > high).select("cell", "at", "size", "alone", "n", "place")
+        left = now.filter(F.col("n") > high).select("cell", "at", "size", "alone", "sketch", "n", "place")
         if left.isEmpty():
             return root
         low, high = high, high * 4
@@ -332,8 +349,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     least hashes; sign bits alone miss many pairs near the threshold, the bands find all but
     (1 - 0.8 ** BAND_WIDTH) ** BANDS, 7 in 100,000, of the pairs at 0.8. Texts with a fingerprint or
     a band in common are all compared unless they are in one component already (`joined`), their
-    sizes rule the similarity out, or one has so many shingles that no other candidate has that it
-    cannot be like any; so no link between two of them is lost. Texts that share bands
+    sizes or sketches rule the similarity out, or one has so many shingles that no other candidate
+    has that it cannot be like any; so no link between two of them is lost. Texts that share bands
     but are not alike are compared with each other, which for a large group of them grows with its
     square. Null texts count as empty and equal each other. An empty table gives an empty result.
     """
@@ -360,7 +377,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     alone = (sets.select("at", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("at"))
              .filter("n = 1").groupBy("at").agg(F.count("*").alias("alone")))
     able = stored(members.join(alone, "at", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-                  .filter(F.col("size") - F.col("alone") >= similarity * F.col("size")))
+                  .filter(F.col("size") - F.col("alone") >= similarity * F.col("size"))
+                  .join(base.select("at", "sketch"), "at"))
 
     def tested(pairs: DataFrame) -> DataFrame:
         compared = (pairs.join(sets.withColumnRenamed("at", "x").withColumnRenamed("set", "left"), "x")

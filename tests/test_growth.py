@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from newswake.functions import text as tx
+from newswake.llm import simhash as sh
 from newswake.operators import companies as co
 from newswake.plans import stream_queries as sq
 from newswake.streaming import stateful as st
@@ -75,3 +77,15 @@ def test_f24_texts_meet_the_dictionary_once_and_by_hashes_of_their_runs(spark):
     assert "regexp" not in plan and "replace(" not in plan
     want = [(i, n, t.lower().count(n.lower())) for i, t in docs.collect() if t for n in names if n.lower() in t.lower()]
     assert len(want) > 300 and sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_sketches_rule_out_no_pair_that_is_alike(spark):
+    rng = np.random.default_rng(25)
+    base, rows = rng.integers(0, 1 << 64, 400, dtype=np.uint64), []
+    for gone in range(0, 160, 4):
+        other = np.unique(np.concatenate([base[gone:], rng.integers(0, 1 << 64, gone // 2, dtype=np.uint64)]))
+        both = len(np.intersect1d(base, other))
+        rows.append((gone, len(base), len(other), sh.sketch(base).tolist(), sh.sketch(other).tolist(), both / (len(base) + len(other) - both)))
+    pairs = spark.createDataFrame(rows, "i int, size_x int, size_y int, sketch_x array<long>, sketch_y array<long>, j double")
+    found = pairs.select("j", sh.sketches_allow(0.8).alias("may")).collect()
+    assert all(r.may for r in found if r.j >= 0.8) and not any(r.may for r in found if r.j < 0.7)

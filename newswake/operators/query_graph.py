@@ -58,7 +58,7 @@ def graph_search(index: Index, queries: Mapping[object, str], groups: Sequence[S
     avgdl = F.lit(one.words / one.documents if one.documents else None).cast("double")
 
     terms = single.select("term").unionByName(phrase.select("term")).distinct()
-    hits = index.postings_of(terms, field).select("doc_id", "term", "tf", "dl")
+    hits = index.postings_of(terms, field, gaps=False).select("doc_id", "term", "tf", "dl")
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
 
     weight = single.join(df, "term").groupBy("query_id", "segment").agg(idf(n_docs, F.max("df")).alias("weight"))
